@@ -238,3 +238,20 @@ def ngram_join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5))
     least = labelled.groupBy("part").agg(F.min("id").alias("component_id"))
     named = labelled.join(least, "part").select("c", "component_id")
     return profile.select("doc_id", "n", "c").join(named, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The rows of docs, all columns as they are, that the join doesn't put behind a smaller doc_id; one row per doc_id.
+
+    Rows with a null doc_id stay. Only rows whose id may be among those to drop or repeated pass a shuffle.
+    """
+    found = written(ngram_join(docs, words, share).where("doc_id IS NOT NULL"), "groups")
+    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
+    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    odd = written(drop.union(twice).distinct().withColumnRenamed("doc_id", "odd_id"), "odd")
+    columns = docs.columns
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    sure, maybe = maybe_in(keyed, "__id", odd, "odd_id", inside=False), maybe_in(keyed, "__id", odd, "odd_id")
+    rest = maybe.join(drop.withColumnRenamed("doc_id", "__drop"), F.col("__id") == F.col("__drop"), "left_anti")
+    rest = rest.where("__id IS NULL").union(rest.where("__id IS NOT NULL").dropDuplicates(["__id"]))
+    return sure.union(rest).select(*columns)
