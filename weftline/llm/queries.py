@@ -51,6 +51,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_text
 
