@@ -12,6 +12,7 @@ import hashlib
 import os
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -136,7 +137,7 @@ class Lexicon:
         return rank
 
 
-@functools.cache
+@functools.lru_cache(maxsize=1)
 def codec_encoder(tokenizer: str, lexicon: str) -> WordEncoder:
     vocab, known = vocabulary(tokenizer), Lexicon(lexicon)
     back = {c: b for b, c in enumerate(byte_symbols())}
@@ -162,7 +163,7 @@ def piece_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = vocabulary(tokenizer).special
         for batch in batches:
-            for part in slices(batch, "text", 32 << 20):
+            for part in slices(batch, "text", 16 << 20):
                 counts = word_units(part.column("text"), tokenizer, special).flatten().value_counts()
                 words, n = counts.field("values").to_pylist(), counts.field("counts").to_pylist()
                 lists = [[] if ODD.search(w) else word_pieces(w) for w in words]
@@ -179,7 +180,7 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
     top = piece_counts(docs, tokenizer).orderBy(F.desc("n"), "piece").limit(size).select("piece").collect()  # `size` rows at most
     data = build_lexicon((r["piece"].encode() for r in top), vocab.encode_piece)
     folder = tempfile.mkdtemp(prefix="weftline-lexicon-")
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:32]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"  # a session keeps one path per name
     with open(f"{folder}/{name}", "wb") as f:
         f.write(data)
     docs.sparkSession.sparkContext.addFile(f"{folder}/{name}")
@@ -194,7 +195,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 15,
     text. Repeated rows give repeated results; an empty table gives no rows (and an empty lexicon); other columns play no part.
 
     Scale: pass one counts pieces (partial sums before the only shuffle); the lexicon is bounded by `lexicon_size`, a matter of
-    speed alone, as other pieces are merged exactly. Pass two is a map over the scan, 16 MB of text at a time.
+    speed alone, as other pieces are merged exactly. Pass two is a map over the scan, 8 MB of text at a time.
     """
     name = compile_lexicon(docs, tokenizer, lexicon_size)
     more = ", ids array<int>, decoded string" if keep else ""

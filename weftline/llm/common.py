@@ -48,7 +48,7 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     """Parts of a batch whose texts hold about `most` bytes, one row at least: bounds a worker's memory."""
     import numpy as np
     import pyarrow.compute as pc

@@ -172,7 +172,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
     Nulls and empty texts get the score of a text without words; repeated rows get equal scores; an empty table gives no rows; without
     usable labels all scores are 0.5; columns beyond doc_id and text play no part in a score.
 
-    Scale: the model is fitted on a bounded sample (SAMPLE) and has a fixed size; scoring is a map over the scan, 16 MB at a time.
+    Scale: the model is fitted on a bounded sample (SAMPLE) and has a fixed size; scoring is a map over the scan, 8 MB at a time.
     """
     texts = by_doc(docs)
     model = docs.sparkSession.sparkContext.broadcast(train(texts, labels, sample))  # 8 MB, whatever the corpus

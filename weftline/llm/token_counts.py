@@ -171,7 +171,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int, text: str = "text"
     One row per input row, null texts as empty (0 tokens, 0 bytes), null and repeated doc_ids as they are; special strings
     in a text count as one token; an empty table gives no rows; other columns play no part.
 
-    Scale: a map over the scan of two columns, no shuffle; workers hold 4 MB of text and a bounded table at a time.
+    Scale: a map over the scan of two columns, no shuffle; workers hold 8 MB of text and a bounded table at a time.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
