@@ -27,7 +27,7 @@ def _plain(unit: str) -> str:
 class PrefixCounter:
     """Counts of a byte-level vocabulary for whole texts and all their prefixes."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.vocab: Vocabulary = vocabulary(path)
         back = {c: b for b, c in enumerate(byte_symbols())}
         self.tokens = {bytes(back[c] for c in t): i for t, i in self.vocab.ids.items()}

@@ -76,10 +76,10 @@ def library_encoder(path: str) -> WordEncoder:
     ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def pieces(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
         flat, sizes = [], []
-        for group, e in zip(groups, tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.asarray(e.ids, np.int32)
+        for i in range(0, len(new), 256):
+            group = new[i : i + 256]
+            ids = np.asarray(tok.encode(" ".join(group), add_special_tokens=False).ids, np.int32)
             at = np.flatnonzero(ends[ids])
             if len(at) != len(group):  # a piece that the library cuts further
                 each = [x.ids for x in tok.encode_batch_fast(group, add_special_tokens=False)]
