@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import by_doc, slices, written
+from .common import by_doc, slices, trim, written
 from .graphs import components, maybe_in
 from .text_units import list_sizes
 
@@ -129,6 +129,17 @@ def _parity(signatures: np.ndarray, band: int) -> np.ndarray:
     return (signatures & ~U(1)) | U(band & 1)
 
 
+def histogram(own: np.ndarray) -> bytes:
+    """Elements of a set by the top bits of their hash: two sets differ in at least as many elements as their histograms do."""
+    return np.bincount((own >> U(64 - 8)).astype(np.int64), minlength=256).astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes()
+
+
+def histograms_allow(a: bytes, b: bytes, na: int, nb: int, s: int, t: int) -> bool:
+    """Whether sets of these histograms can be linked: linked sets differ in (na + nb) (t - s) / (t + s) elements at most."""
+    x, y = (np.frombuffer(h, "<u2" if n < 1 << 16 else "<u4").astype(np.int64) for h, n in ((a, na), (b, nb)))
+    return int(np.abs(x - y).sum()) * (t + s) <= (na + nb) * (t - s)
+
+
 def linked(a: np.ndarray, b: np.ndarray, s: int, t: int) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return t * common >= s * (len(a) + len(b) - common)
@@ -162,31 +173,41 @@ def _profile(docs: DataFrame, words: int, s: int, t: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(c, n, own): the hash sets of the wanted classes, from the text of each one's first document."""
+    """(c, n, histogram, own): the hash sets of the wanted classes, from the text of each one's first document."""
     chosen = classes.join(wanted, "c").select("c", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), words)
-                rows = [(c, len(x), x.tobytes()) for c, x in zip(part.column("c").to_pylist(), sets) if len(x) and set_key(x) == c]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["c", "n", "own"])
+                rows = [(c, len(x), histogram(x), x.tobytes()) for c, x in zip(part.column("c").to_pylist(), sets) if len(x) and set_key(x) == c]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["c", "n", "histogram", "own"])
 
     texts = maybe_in(docs, "doc_id", chosen, "id")
-    return texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["id"])).select("c", "text").mapInArrow(run, "c long, n long, own binary")
+    return texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["id"])).select("c", "text").mapInArrow(run, "c long, n long, histogram binary, own binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, s: int, t: int, rough: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets are linked; `rough` pairs are sifted by the sets' histograms before any set is moved."""
+    if rough:
+        left, right = (sets.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("histogram").alias(f"h_{x}")) for x in "ab")
+        joined = pairs.join(left, "a").join(right, "b").select("a", "b", "h_a", "h_b", "n_a", "n_b")
 
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [histograms_allow(*r, s, t) for r in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-def _verified(pairs: DataFrame, sets: DataFrame, s: int, t: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
+        pairs = written(joined.mapInArrow(sift, "a long, b long"), "sifted")
     left, right = (sets.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
-    joined = pairs.join(left.select("a", "n_a"), "a").join(right.select("b", "n_b"), "b").where(F.least("n_a", "n_b") * t >= F.greatest("n_a", "n_b") * s)
-    joined = joined.select("a", "b").join(right.select("b", "own_b"), "b").join(left.select("a", "own_a"), "a").select("a", "b", "own_a", "own_b")
+    joined = pairs.join(right, "b").join(left, "a").where(F.least("n_a", "n_b") * t >= F.greatest("n_a", "n_b") * s).select("a", "b", "own_a", "own_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column(2), batch.column(3))
             keep = [linked(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), s, t) for x, y in rows]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return joined.mapInArrow(run, "a long, b long").distinct()
 
@@ -220,11 +241,11 @@ def ngram_join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5))
     star = written(kept.where("c <> lo").select(F.col("lo").alias("a"), F.col("c").alias("b")).distinct(), "star")
 
     sets = written(_sets(texts, classes, kept.select("c").distinct(), words), "sets")
-    first = written(_verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, s, t), "links")
+    first = written(_verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, s, t, rough=True), "links")
     parts = components(first)
     of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
     open_ = star.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    links = written(first.union(_verified(open_, sets, s, t)), "links")
+    links = written(first.union(_verified(open_, sets, s, t, rough=True)), "links")
     parts = components(links)
 
     mine = kept.join(parts.select(F.col("node").alias("c"), "component"), "c", "left").join(classes.select("c", "n"), "c").select("sig", "c", "n", F.coalesce("component", "c").alias("part"), (F.col("c") == F.col("lo")).alias("pivot"))
@@ -232,7 +253,7 @@ def ngram_join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5))
     x, y = mixed.alias("x"), mixed.alias("y")
     crossing = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") < F.col("y.part")) & (F.least("x.n", "y.n") * t >= F.greatest("x.n", "y.n") * s))
     crossing = written(crossing.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "crossing")
-    parts = components(links.union(_verified(crossing, sets, s, t)))
+    parts = components(links.union(_verified(crossing, sets, s, t, rough=True)))
 
     labelled = classes.select("c", "id").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("part", F.coalesce("component", "c"))
     least = labelled.groupBy("part").agg(F.min("id").alias("component_id"))
