@@ -7,7 +7,6 @@ flat array. The whole is one file of flat arrays that workers memory-map. Pieces
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import os
 import struct
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols, vocabulary
-from .common import by_doc, slices
+from .common import by_doc, only, slices
 from .text_units import ODD, WordEncoder, library, word_pieces, word_units
 
 MAGIC = b"LEXICON1"
@@ -137,8 +136,11 @@ class Lexicon:
         return rank
 
 
-@functools.lru_cache(maxsize=1)
 def codec_encoder(tokenizer: str, lexicon: str) -> WordEncoder:
+    return only(("codec", tokenizer, lexicon), lambda: _codec_encoder(tokenizer, lexicon))
+
+
+def _codec_encoder(tokenizer: str, lexicon: str) -> WordEncoder:
     vocab, known = vocabulary(tokenizer), Lexicon(lexicon)
     back = {c: b for b, c in enumerate(byte_symbols())}
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +63,32 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers are reused, and what one operator has freed the next one can't always use."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
+_held: dict = {}
+
+
+def only(key: tuple, make: Callable[[], Any]) -> Any:
+    """The table under this key, made where it isn't there; a worker holds one table at a time, whatever operators it serves."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        trim()
+        _held[key] = make()
+    return _held[key]
 
 
 def by_doc(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

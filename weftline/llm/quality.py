@@ -6,6 +6,7 @@ fitted on the scaled, unit-length vectors by dual coordinate descent, and a logi
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +17,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_doc, slices
-from .text_units import list_sizes
+from .common import by_doc, only, slices
+from .text_units import Slots, list_sizes
 
 U = np.uint64
 #: Features are hashed into 2**BITS bins.
 BITS = 20
+#: Bytes of text whose features are made at once: each byte takes about 60 of memory.
+STEP = 1 << 20
 #: Labelled documents to fit on at most: those of the smallest hashes.
 SAMPLE = 8_000
 
@@ -36,6 +39,20 @@ def _shape(word: str) -> str:
     return "".join(out)
 
 
+def _hashes() -> Slots:
+    return only(("hashes",), _hash_slots)
+
+
+def _hash_slots() -> Slots:
+    """Two numbers per word, of its lower case and of its shape."""
+
+    def resolve(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat = [h for w in words for h in (xxhash.xxh64_intdigest(w.lower().encode()), xxhash.xxh64_intdigest(_shape(w).encode(), 1))]
+        return np.array(flat, U), np.full(len(words), 2, np.int32)
+
+    return Slots(resolve, 120_000, U)
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, bin) of the distinct indicators of each text: words, pairs of words, shapes, runs of two and three shapes, and how many lines and words are repeats."""
     texts = pc.fill_null(texts, "")
@@ -43,8 +60,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sizes = list_sizes(lists)
     coded = lists.flatten().dictionary_encode()
     names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    word = np.fromiter((xxhash.xxh64_intdigest(w.lower().encode()) for w in names), U, len(names))[at] if names else np.empty(0, U)
-    shape = np.fromiter((xxhash.xxh64_intdigest(_shape(w).encode(), 1) for w in names), U, len(names))[at] if names else np.empty(0, U)
+    both = _hashes().gather(_hashes().codes(names))[0].reshape(-1, 2)
+    word, shape = both[at, 0], both[at, 1]
     row = np.repeat(np.arange(len(sizes)), sizes)
     k = U(0x9E3779B97F4A7C15)
     same2, same3 = row[1:] == row[:-1], row[2:] == row[:-2]
@@ -156,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP):
                 row, bins = features(part.column("text"))
                 lists = np.split(bins.astype(np.int32), np.searchsorted(row, np.arange(1, part.num_rows)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality").cast(pa.int32()), pa.array([x.tobytes() for x in lists], pa.binary())], names=["doc_id", "quality", "bins"])
@@ -172,14 +189,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
     Nulls and empty texts get the score of a text without words; repeated rows get equal scores; an empty table gives no rows; without
     usable labels all scores are 0.5; columns beyond doc_id and text play no part in a score.
 
-    Scale: the model is fitted on a bounded sample (SAMPLE) and has a fixed size; scoring is a map over the scan, 8 MB at a time.
+    Scale: the model is fitted on a bounded sample (SAMPLE) and has a fixed size; scoring is a map over the scan, STEP bytes at a time.
     """
     texts = by_doc(docs)
     model = docs.sparkSession.sparkContext.broadcast(train(texts, labels, sample))  # 8 MB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP):
                 s = model.value.scores(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -192,7 +209,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP):
                 yield part.filter(pa.array(model.value.scores(part.column("text")) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,6 @@ ends in a token that stays apart from t. So count(i) = count(i - len(t)) + 1, fr
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from os.path import commonprefix
 
@@ -16,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bpe import Vocabulary, byte_symbols, vocabulary
-from .common import by_doc, slices
+from .common import by_doc, only, slices
 from .text_units import BYTE_PIECES, MARK, Slots, byte_units, list_sizes, per_text
 
 
@@ -160,9 +159,8 @@ class PrefixCounter:
         return sum(map(self._piece, BYTE_PIECES.findall(unit[:cut])))
 
 
-@functools.cache
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    return only(("counts", path), lambda: PrefixCounter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int, text: str = "text", key: str = "doc_id") -> DataFrame:

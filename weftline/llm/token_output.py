@@ -14,7 +14,6 @@ and adds a constant, so that checksums of data which itself holds checksums stay
 
 from __future__ import annotations
 
-import functools
 import struct
 import uuid
 import zlib
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_doc, fresh_path, slices
+from .common import by_doc, fresh_path, only, slices
 from .text_units import WordEncoder, library
 
 #: Added to a rotated checksum; the constant of the common record format.
@@ -67,8 +66,11 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else uri if uri.startswith("file:") else f"file://{uri}")
 
 
-@functools.cache
 def library_encoder(path: str) -> WordEncoder:
+    return only(("library", path), lambda: _library_encoder(path))
+
+
+def _library_encoder(path: str) -> WordEncoder:
     """Ids by the tokenizers library: distinct pieces are encoded many at a time, split at the ends of words."""
     tok = library(path)
     vocab = tok.get_vocab()
