@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node of each connected component, for the nodes of edges (a, b) of longs.
+    """(node, component) of edges (a, b) of longs: the smallest node of its connected component, for each node but that one itself.
 
     Alternating large-star and small-star: rounds grow with the logarithm of a component's width. Minima are aggregated
     before the shuffle and joined back, so the edges of a hub are split by the join's skew handling. Each round is a
@@ -32,7 +32,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lows, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
-        current = written(small.where("u <> v"), "edges")
+        last, current = current, written(small.where("u <> v"), "edges")
+        forget(last)
     else:
         raise RuntimeError("components did not settle")
     return current.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import by_doc, slices, trim, written
+from .common import by_doc, forget, slices, trim, written
 from .graphs import components, maybe_in
 from .text_units import list_sizes
 
@@ -235,9 +235,12 @@ def ngram_join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5))
     rows = profile.where("signatures IS NOT NULL").select("c", F.explode("signatures").alias("sig"))
     grouped = rows.select("sig", "c", F.min("c").over(own).alias("lo"), F.max("c").over(own).alias("hi"), F.count("*").over(own).alias("freq"))
     shared = written(grouped.where("lo < hi").drop("hi").distinct(), "shared")
+    documents = written(profile.select("doc_id", "n", "c"), "documents")
+    forget(profile)
     ranked = shared.where(F.col("freq") > FREQUENT).join(classes.select("c", "even", "odd"), "c").withColumn("rank", F.row_number().over(Window.partitionBy("c", F.col("sig").bitwiseAND(1)).orderBy(F.desc("freq"), "sig")))
     frequent = ranked.where(F.col("rank") > F.when(F.col("sig").bitwiseAND(1) == 0, F.col("even")).otherwise(F.col("odd"))).select("sig", "c", F.min("c").over(own).alias("lo"))
     kept = written(shared.where(F.col("freq") <= FREQUENT).select("sig", "c", "lo").union(frequent), "kept")
+    forget(shared)
     star = written(kept.where("c <> lo").select(F.col("lo").alias("a"), F.col("c").alias("b")).distinct(), "star")
 
     sets = written(_sets(texts, classes, kept.select("c").distinct(), words), "sets")
@@ -247,6 +250,7 @@ def ngram_join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5))
     open_ = star.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     links = written(first.union(_verified(open_, sets, s, t, rough=True)), "links")
     parts = components(links)
+    forget(first, star)
 
     mine = kept.join(parts.select(F.col("node").alias("c"), "component"), "c", "left").join(classes.select("c", "n"), "c").select("sig", "c", "n", F.coalesce("component", "c").alias("part"), (F.col("c") == F.col("lo")).alias("pivot"))
     mixed = written(mine.select("*", F.min("part").over(own).alias("p"), F.max("part").over(own).alias("q")).where("p < q AND NOT pivot").drop("p", "q", "pivot"), "mixed")
@@ -254,11 +258,12 @@ def ngram_join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5))
     crossing = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") < F.col("y.part")) & (F.least("x.n", "y.n") * t >= F.greatest("x.n", "y.n") * s))
     crossing = written(crossing.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "crossing")
     parts = components(links.union(_verified(crossing, sets, s, t, rough=True)))
+    forget(kept, links, mixed, crossing, sets)
 
     labelled = classes.select("c", "id").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("part", F.coalesce("component", "c"))
     least = labelled.groupBy("part").agg(F.min("id").alias("component_id"))
     named = labelled.join(least, "part").select("c", "component_id")
-    return profile.select("doc_id", "n", "c").join(named, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return documents.join(named, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
