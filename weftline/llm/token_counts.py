@@ -12,6 +12,7 @@ from os.path import commonprefix
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 
 from .bpe import Vocabulary, byte_symbols, vocabulary
@@ -19,6 +20,9 @@ from .common import by_doc, only, slices
 from .text_units import BYTE_PIECES, MARK, Slots, byte_units, list_sizes, per_text
 
 
+_BLANK = regex.compile(r"\s+")
+
+
 def _plain(unit: str) -> str:
     return unit[len(MARK) :] if unit.startswith(MARK) else unit
 
@@ -123,19 +127,42 @@ class PrefixCounter:
             body, left = head + _plain(unit), left + self._within(head, len(head))
             fits = (cut for cut in range(len(body) - 1, len(head), -1) if self._within(body, cut) <= left)
             return next(fits, len(head)) - len(head)
-        pieces = BYTE_PIECES.findall(unit)
-        spent, at = 0, 0
-        for j, piece in enumerate(pieces):
-            n = self._piece(piece)
-            if spent + n > left:
+        cuts = self._cuts(unit, left)
+        return max((i + 1 for i, n in enumerate(cuts) if n <= left), default=0)
+
+    def _cuts(self, unit: str, most: int | None = None) -> list[int]:
+        """Token counts of unit[:1], unit[:2], ...; with `most`, up to where no longer prefix can have so few.
+
+        A prefix has the unit's pieces up to its last one, which the piece's table counts. Only a cut within white space (the run
+        before the cut is one piece) or within a contraction is cut anew, from at most a few characters on.
+        """
+        out: list[int] = []
+        spent, before = 0, ""
+        over = 0
+        for piece in BYTE_PIECES.findall(unit):
+            blank = before if before and _BLANK.fullmatch(before) else ""
+            table = self._table(blank + piece if _BLANK.fullmatch(piece) else piece)
+            if _BLANK.fullmatch(piece):
+                base = spent - (self._piece(blank) if blank else 0)
+                out += [base + n for n in table[len(blank) + 1 :]]
+            else:
+                few = min(3, len(piece))
+                base = spent - (self._piece(blank) if blank else 0)
+                out += [base + self._within(blank + piece[:c], len(blank) + c) for c in range(1, few + 1)]
+                out += [spent + n for n in table[few + 1 :]]
+            spent, before = spent + self._piece(piece), piece
+            over += most is not None and spent > most
+            if over == 2:
                 break
-            spent, at = spent + n, at + len(piece)
-        back = len(pieces[j - 1]) if j else 0  # a cut can join the white space before it
-        base = spent - (self._piece(pieces[j - 1]) if j else 0)
-        for cut in range(min(len(unit), at + len(pieces[j]) + 1), at, -1):
-            if base + sum(map(self._piece, BYTE_PIECES.findall(unit[at - back : cut]))) <= left:
-                return cut
-        return at
+        return out
+
+    def _table(self, piece: str) -> list[int]:
+        """Token counts of the prefixes of 0, 1, 2, ... characters of a piece."""
+        counts = next(iter(self.prefix_table([piece.encode()])))[1]
+        if piece.isascii():
+            return list(counts)
+        ends = np.cumsum([0, *(len(c.encode()) for c in piece)])
+        return [counts[i] for i in ends]
 
     def _piece(self, piece: str) -> int:
         return int(self.pieces.gather(self.pieces.codes([piece]))[0][0])
@@ -145,13 +172,16 @@ class PrefixCounter:
         out, total, head, spent = [0], 0, "", 0
         for unit in byte_units(pa.array([text]), self.vocab.special)[0].as_py():
             body = _plain(unit)
+            if not body:
+                continue
             if unit.startswith(MARK):
-                out += [total - spent + self._within(head + body, len(head) + i) for i in range(1, len(body))]
+                out += [total - spent + n for n in self._cuts(head + body)[len(head) : -1]]
                 total, head, spent = total + 1, "", 0
                 out.append(total)
             else:
-                out += [total + self._within(body, i) for i in range(1, len(body) + 1)]
-                head, spent = body, self._within(body, len(body))
+                cuts = self._cuts(body)
+                out += [total + n for n in cuts]
+                head, spent = body, cuts[-1]
                 total += spent
         return out
 
