@@ -42,9 +42,12 @@ def word_terms(c: Column | str, most: int = 2) -> Column:
         out = words
         for n in range(2, most + 1):
             starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-            out = F.concat(out, F.transform(starts, lambda i, n=n: F.concat_ws(" ", *(F.get(words, i - 1 + j) for j in range(n)))))
+            out = F.concat(out, F.transform(starts, joined(words, n)))
         return out
 
+    def joined(words: Column, n: int):  # a second parameter of the function would be the element's index
+        return lambda i: F.concat_ws(" ", *(F.get(words, i - 1 + j) for j in range(n)))
+
     return X.let(F.regexp_extract_all(F.lower(X.text(c)), F.lit(rf"({TOKEN})"), 1), runs)
 
 
@@ -52,11 +55,14 @@ def char_terms(c: Column | str, low: int = 3, high: int = 5) -> Column:
     """Character n-grams within words, each padded with a space on both sides, over folded text; a word shorter than n counts once whole."""
     words = F.filter(F.split(X.collapse(F.lower(X.fold_accents(c))), " "), lambda w: w != "")
 
+    def cut(p: Column, n: int):
+        return lambda i: F.substring(p, i, n)
+
     def grams(w: Column) -> Column:
         return X.let(F.concat(F.lit(" "), w, F.lit(" ")), padded)
 
     def padded(p: Column) -> Column:
-        parts = [F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i, n=n: F.substring(p, i, n))).otherwise(F.array(p) if n == low else F.array().cast("array<string>")) for n in range(low, high + 1)]
+        parts = [F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), cut(p, n))).otherwise(F.array(p) if n == low else F.array().cast("array<string>")) for n in range(low, high + 1)]
         return F.concat(*parts)
 
     return F.flatten(F.transform(words, grams))

@@ -15,7 +15,7 @@ from .operators import aggregates as A
 from .operators import features as E
 from .operators import metrics as M
 from .operators import models as L
-from .plans import cleaning, serving, splits
+from .plans import cleaning, serving, splits, training
 from .plans.views import BINARIES, POSTINGS, REGRESSIONS, TITLES, binaries, postings, predictions, predictions_sql, raw_postings, regressions, table, titles
 from .sources import tables as S
 from .streaming.rows import windowed_counts
@@ -1157,6 +1157,45 @@ def snk_artifact(s, d):
     return LogisticRegressionModel.load(path).transform(test).select("vec_id", "prediction")
 
 
+def _labelled(s, d):
+    """Documents as clean postings of one stage, cut down to what the jobs need."""
+    t = titles(s, d).select(F.col("title").alias("job_title"), F.substring("text", 1, 400).alias("description"), F.col("category"), F.lit(1).alias("salary_disclosed"), X.group_key("text").alias("group_id"))
+    return splits.hash_split(t)
+
+
+@query()
+def or_build(s, d):
+    m = training.build_splits(s, raw_postings(s, d).drop("doc_id"), S_path(s, "build"), greedy=True)
+    return s.createDataFrame([(k, v["rows"], v["groups"]) for k, v in m["splits"].items()], "split string, rows long, groups long")
+
+
+@query()
+def or_train(s, d):
+    return training.train(_labelled(s, d), training.TrainConfig(bits=12, overrides={"maxIter": 20}))[1]
+
+
+@query()
+def or_sweep(s, d):
+    import time
+
+    grid = [training.TrainConfig(model=m, bits=10, overrides=o) for m, o in (("nb", {}), ("nb", {"smoothing": 0.1}), ("logreg", {"maxIter": 10}))]
+    rows = [(label, f1) for label, f1, _ in training.sweep(_labelled(s, d), grid, {"nb"}, time.monotonic() + 600)]
+    return s.createDataFrame(rows, "run string, f1 double")
+
+
+@query()
+def or_segabl(s, d):
+    t = titles(s, d)
+    return training.segmenter_difference(t, "title", X.segment("title", ["of the", "de la"]), X.segment("title"))
+
+
+@query("SELECT doc_id, nfc_normalize(coalesce(text, '')) AS text FROM documents")
+def ud_surface(s, d):
+    X.register(s)
+    table(s, d, "documents").createOrReplaceTempView("ud_surface_documents")
+    return s.sql("SELECT doc_id, nfc(coalesce(text, '')) AS text FROM ud_surface_documents")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in Q.items()}
 
