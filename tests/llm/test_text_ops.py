@@ -121,6 +121,19 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 31)}, 101: 100, 102: 100}
 
 
+def test_sets_that_are_never_safe_take_every_seed():
+    plan = ngram_join.Plan(4, 5)
+    _, n, cuts = plan.cuts(plan.bands(12)[0])
+    own = np.arange(12, dtype=np.uint64)  # all in one partition of the first seed
+    found = plan.signatures(own)[0]
+    assert len(found) > 2 and all(len(x) for x in found)
+    empty = plan.cuts
+    plan.cuts = lambda band: (n, n, cuts)
+    every = plan.signatures(own)[0]  # with as many differences as partitions no seed is safe: the prefix filter's elements come last
+    plan.cuts = empty
+    assert len(every) == (ngram_join.SEEDS + 1) * len(plan.bands(12))
+
+
 # ---- decontamination
 
 

@@ -106,7 +106,7 @@ class Plan:
             k, n, cuts = self.cuts(band)
             safe = False
             for seed in range(SEEDS):
-                h = own if seed == 0 else np.sort(mix(own ^ U(seed * 0x5851F42D4C957F2D)))
+                h = own if seed == 0 else np.sort(mix(own ^ U(seed * 0x5851F42D4C957F2D & (1 << 64) - 1)))
                 at = np.append(np.searchsorted(h, cuts), len(h))
                 full = np.flatnonzero(np.diff(at))
                 sums = np.concatenate((np.zeros(1, U), np.cumsum(mix(h + U(0x1234567)), dtype=U)))
