@@ -296,3 +296,38 @@ def test_seatings_and_probabilities():
         total = g.leaf(w.contexts[at].astype(int), w.n[at], t2[at], p1[w.middle_of[at]]).sum()
         rest = g.leaf(np.array([context]), np.zeros(1), np.zeros(1), g.middle(np.array([context // 3]), np.zeros(1), np.zeros(1), unknown))
         assert abs(total + rest[0] - 1) < 1e-9
+
+
+def test_words_before_change_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PART", 200)  # many partitions, of the root too
+    r = random.Random(9)
+    ordered = lambda: " ".join(f"a{k} b{k} c{k}" for k in (r.randrange(6) for _ in range(20)))
+    plain = [(i, ordered()) for i in range(150)]
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 7 == 2][:12]
+    pairs = []
+    for k, i in enumerate(held[0::2]):
+        text = ordered()
+        words = text.split()
+        r.shuffle(words)
+        pairs += [(i, text), (held[2 * k + 1], " ".join(words))]
+    got = {x["doc_id"]: x for x in lm_score.score_texts(frame(spark, plain + pairs)).collect()}
+    for (i, _), (j, _) in zip(pairs[0::2], pairs[1::2]):
+        assert got[i]["held_out"] and got[j]["held_out"] and abs(got[i]["base_score"] - got[j]["base_score"]) < 1e-9
+        assert got[i]["score"] > got[j]["score"] + 10
+
+
+def test_active_entries_carry_the_whole_model():
+    r = np.random.default_rng(5)
+    a, h, g = (r.integers(0, k, 400).astype(np.uint64) for k in (5, 12, 9))
+    key, n = np.unique((a * np.uint64(12) + h) * np.uint64(9) + g, return_counts=True)
+    a, h, g = key // np.uint64(108), key // np.uint64(9) % np.uint64(12), key % np.uint64(9)
+    w = lm_score.Model(h, a, g, n).w
+    parts, many, pairs = w.active()
+    part = lm_score.Words.of_active(parts)
+    x2, x1 = r.integers(1, part.n + 1), np.ones(pairs.sum())
+    t2, t1 = np.ones(len(w.n)), np.ones(len(w.middle))
+    t2[many] = x2
+    whole, own = w.totals(t2, t1, np.zeros(1)), part.totals(x2, x1, np.zeros(1))
+    assert own[0].tolist() == whole[0][np.unique(w.contexts[many])].tolist() and own[1].tolist() == whole[1][np.unique(w.contexts[many])].tolist()
+    assert own[2].tolist() == whole[2][np.unique(w.script[pairs])].tolist() and own[3].tolist() == whole[3][np.unique(w.script[pairs])].tolist()
+    assert part.counts(x2, x1)[1].tolist() == w.counts(t2, t1)[1].tolist()

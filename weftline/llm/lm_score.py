@@ -1,14 +1,13 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-Words are dishes. A word is drawn in the restaurant of its context: (script class, position class), whose parent is the
-restaurant of its script class, whose parent is the root, whose base is uniform over the V known words and one unknown. The
-script class is that of the last letter beyond ASCII among the 16 words before (16 classes, 0 for none), which tells languages apart
-after a few words; the position class tells whether the text begins, the word before ends a sentence, or neither.
+Words are dishes. A word is drawn in the restaurant of the two words before it, whose parent is the restaurant of the one word
+before, whose parent is the root, whose base is uniform over the V known words and one unknown. Before a text stand ends of text.
 A restaurant's tables for a dish are the dish's customers in its parent. Seatings are drawn by Gibbs sweeps, a dish in a
 restaurant at a time given everything else, and predictive probabilities are averaged over the last sweeps.
 
-All of it is kept by word: a word's tables in all restaurants sit in one partition, and only the restaurants' totals, a fixed
-handful of numbers, pass between sweeps. So no context, however common, gathers anywhere.
+The restaurants of one word before sit in one partition with all their children, so both levels are seated there. Only the root
+gathers from all partitions: it is kept by word, partitions send their customers of each word and get back the root's. A dish with
+one customer has one table, so the sweeps pass over those and carry the rest.
 """
 
 from __future__ import annotations
@@ -25,14 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_doc, slices, written
+from .common import by_doc, forget, slices, written
 from .text_units import list_sizes
 
 U = np.uint64
-SCRIPTS, PLACES, REACH = 16, 3, 16
-CONTEXTS = SCRIPTS * PLACES
-#: Entries (distinct word and context) of one partition of words, about.
-PART = 400_000
+#: Restaurants to a parent where parents aren't given.
+FAMILY = 3
+#: Entries (distinct word and two words before) of one partition, about.
+PART = 1_500_000
 #: Sweeps before the first sample, and samples.
 BURN, SAMPLES = 2, 3
 STRENGTH = 1.0
@@ -49,20 +48,8 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
-def _word_classes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in words), U, len(words))
-    script, ends = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-    for i, w in enumerate(words):
-        ends[i] = w[-1:] in ".!?…。"
-        if not w.isascii():
-            last = next((c for c in reversed(w) if ord(c) > 127 and c.isalpha()), None)
-            if last:
-                script[i] = 1 + (ord(last) * 2654435761 >> 7) % (SCRIPTS - 1)
-    return hashes, script, ends
-
-
-def chunk_of(texts: pa.Array, train: np.ndarray) -> dict:
-    """Sizes (tokens of each text, its end included), entries sorted by word hash and context with training counts, and each token's entry."""
+def chunk_of(texts: pa.Array) -> dict:
+    """Sizes (tokens of each text, its end included), sorted word hashes, and each token's place among them."""
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
     coded = lists.flatten().dictionary_encode()
     names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
@@ -71,90 +58,134 @@ def chunk_of(texts: pa.Array, train: np.ndarray) -> dict:
         real = codes != names.index("")
         owner = np.repeat(np.arange(len(sizes)), sizes)[real]
         codes, sizes = codes[real], np.bincount(owner, minlength=len(sizes)).astype(np.int64)
-    hashes, script, stops = _word_classes(names)
-    hashes, script, stops = np.append(hashes, END), np.append(script, 0), np.append(stops, False)
+    hashes = np.append(np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in names), U, len(names)), END)
     lengths = sizes + 1
     token = np.full(int(lengths.sum()), len(names), np.int64)
-    begin = np.cumsum(lengths) - lengths
     is_end = np.zeros(len(token), bool)
-    is_end[begin + sizes] = True
+    is_end[np.cumsum(lengths) - 1] = True
     token[~is_end] = codes
-    at = np.arange(len(token))
-    first = np.repeat(begin, lengths)
-    own = script[token]
-    seen = np.maximum.accumulate(np.where(own > 0, at, -1))
-    seen = np.concatenate(([-1], seen[:-1]))
-    near = (seen >= first) & (at - seen <= REACH)
-    before = np.concatenate((token[-1:], token[:-1]))
-    place = np.where(at == first, 0, np.where(stops[before], 1, 2))
-    context = np.where(near, own[np.maximum(seen, 0)], 0) * PLACES + place
-    keys, seq = np.unique(token * CONTEXTS + context, return_inverse=True)
-    counts = np.bincount(seq, np.repeat(train, lengths).astype(np.float64), len(keys)).astype(np.uint32)
-    h, c = hashes[keys // CONTEXTS], (keys % CONTEXTS).astype(np.uint8)
-    order = np.lexsort((c, h))
-    place_of = np.empty(len(order), np.uint32)
-    place_of[order] = np.arange(len(order), dtype=np.uint32)
-    return {"sizes": lengths, "hashes": h[order], "contexts": c[order], "counts": counts[order], "seq": place_of[seq]}
+    hashes, place = np.unique(hashes, return_inverse=True)
+    return {"sizes": lengths, "hashes": hashes, "seq": place[token].astype(np.uint32)}
+
+
+def entries(hashes: np.ndarray, seq: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (one word before, word, two words before), sorted so, as hashes (word, one, two), and each token's entry."""
+    starts, k = np.cumsum(sizes) - sizes, len(hashes)
+    end = np.searchsorted(hashes, END)
+    word = seq.astype(np.int64)
+    one = np.roll(word, 1)
+    one[starts] = end
+    two = np.roll(one, 1)
+    two[starts] = end
+    key = one * k + word
+    if k**3 >= 2**63:
+        key = np.unique(key, return_inverse=True)[1]
+    _, first, own = np.unique(key * k + two, return_index=True, return_inverse=True)
+    return hashes[word[first]], hashes[one[first]], hashes[two[first]], own
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                held = part.column("held").to_numpy(zero_copy_only=False)
-                c = chunk_of(part.column("text"), ~held)
+                c = chunk_of(part.column("text"))
                 yield pa.RecordBatch.from_pydict(
-                    {"chunk": pa.array([uuid.uuid4().int >> 65], pa.int64()), "docs": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), "held": pa.array([held.tolist()], pa.list_(pa.bool_())), "sizes": pa.array([c["sizes"].tolist()], pa.list_(pa.int64())), "n": pa.array([len(c["hashes"])], pa.int64())}
-                    | {k: pa.array([pack(c[k])], pa.binary()) for k in ("hashes", "contexts", "counts", "seq")}
+                    {"chunk": pa.array([uuid.uuid4().int >> 65], pa.int64()), "docs": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), "held": pa.array([part.column("held").to_pylist()], pa.list_(pa.bool_())), "sizes": pa.array([c["sizes"].tolist()], pa.list_(pa.int64())), "n": pa.array([len(c["seq"])], pa.int64())}
+                    | {k: pa.array([pack(c[k])], pa.binary()) for k in ("hashes", "seq")}
                 )
 
-    return docs.mapInArrow(run, "chunk long, docs array<long>, held array<boolean>, sizes array<long>, n long, hashes binary, contexts binary, counts binary, seq binary")
+    return docs.mapInArrow(run, "chunk long, docs array<long>, held array<boolean>, sizes array<long>, n long, hashes binary, seq binary")
+
+
+def _home(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+
+
+def _coded(h: np.ndarray, a: np.ndarray, g: np.ndarray) -> list[bytes]:
+    """Word hashes of entries as places in one list: a few bytes an entry instead of 24."""
+    names, at = np.unique(np.concatenate((h, a, g)), return_inverse=True)
+    return [pack(names), *(pack(x) for x in np.split(at.astype(np.uint32), 3))]
+
+
+def _decoded(row) -> list[np.ndarray]:
+    names = unpack(row["names"], U)
+    return [names[unpack(row[k], np.uint32)] for k in ("word", "one", "two")]
+
+
+def _cut(p: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of the runs of sorted numbers."""
+    cuts = np.flatnonzero(np.diff(p, prepend=-1))
+    return list(zip(p[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(p)]))
 
 
 def _dealt(chunks: DataFrame, parts: int, counts: bool) -> DataFrame:
-    """A row per chunk and partition of words: (p, chunk, hashes, contexts, counts)."""
-    names = ["hashes", "contexts", *(["counts"] if counts else [])]
+    """A row per chunk and partition of the word before: (p, chunk, entries' names, word, one, two, counts of training)."""
+    names = ["names", "word", "one", "two", *(["counts"] if counts else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data = [unpack(row[k], t) for k, t in zip(names, (U, np.uint8, np.uint32))]
-                p = ((data[0] >> U(32)) * U(parts) >> U(32)).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(p, prepend=-1))
-                ends = np.append(cuts[1:], len(p))
-                columns = [pa.array(p[cuts]), pa.array([row["chunk"]] * len(cuts), pa.int64())]
-                columns += [pa.array([pack(d[a:b]) for a, b in zip(cuts, ends)], pa.binary()) for d in data]
-                yield pa.RecordBatch.from_arrays(columns, names=["p", "chunk", *names])
+                sizes = np.asarray(row["sizes"], np.int64)
+                h, one, two, own = entries(unpack(row["hashes"], U), unpack(row["seq"], np.uint32), sizes)
+                if counts:
+                    train = ~np.asarray(row["held"], bool)
+                    n = np.bincount(own, np.repeat(train, sizes), len(h)).astype(np.uint32)
+                for p, a, b in _cut(_home(one, parts)):
+                    data = [*_coded(h[a:b], one[a:b], two[a:b]), *([pack(n[a:b])] if counts else [])]
+                    yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int64()), "chunk": pa.array([row["chunk"]], pa.int64())} | {k: pa.array([d], pa.binary()) for k, d in zip(names, data)})
 
     kinds = ", ".join(f"{k} binary" for k in names)
-    return chunks.select("chunk", *names).mapInArrow(run, f"p long, chunk long, {kinds}")
+    return chunks.select("chunk", "held", "sizes", "hashes", "seq").mapInArrow(run, f"p long, chunk long, {kinds}")
 
 
 class Words:
-    """The training entries of one partition of words, by word, by word and script class, and by word and context."""
+    """Entries of a partition by word and context, and by word and parent of the context.
+
+    Contexts and parents are numbers from 0. What stays as it is through all sweeps may be left out of the entries; it adds `rest` customers and
+    tables to contexts, to pairs of word and parent, to parents and to words.
+    """
 
-    def __init__(self, hashes: np.ndarray, contexts: np.ndarray, n: np.ndarray):
+    def __init__(self, hashes: np.ndarray, contexts: np.ndarray, n: np.ndarray, parents: np.ndarray | None = None):
+        contexts = contexts.astype(np.int64)
         self.hashes, self.contexts, self.n = hashes, contexts, n.astype(np.int64)
-        self.words, self.word_of = np.unique(hashes, return_inverse=True)
-        key = self.word_of * SCRIPTS + contexts // PLACES
-        self.middle, self.middle_of = np.unique(key, return_inverse=True)
-        self.script, self.middle_word = self.middle % SCRIPTS, self.middle // SCRIPTS
+        self.words, word_of = np.unique(hashes, return_inverse=True)
+        parents = contexts // FAMILY if parents is None else parents
+        self.middle, self.middle_of = np.unique(parents * max(1, len(self.words)) + word_of, return_inverse=True)
+        self.script, self.middle_word = self.middle // max(1, len(self.words)), self.middle % max(1, len(self.words))
+        self.rest = [np.zeros(k) for k in (int(contexts.max(initial=-1)) + 1, len(self.middle), int(parents.max(initial=-1)) + 1, len(self.words))]
+
+    def active(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(what sweeps need of a model, which entries have more than one customer, which pairs can have more than one)."""
+        many = self.n > 1
+        pairs = np.bincount(self.middle_of, self.n, len(self.middle)) > 1
+        at = np.cumsum(pairs) - 1
+        leaves, leaf = np.unique(self.contexts[many], return_inverse=True)
+        mids, mid = np.unique(self.script[pairs], return_inverse=True)
+        singles = [np.bincount(x[~many], minlength=k) for x, k in ((self.contexts, len(self.rest[0])), (self.middle_of, len(self.middle)))]
+        still = [np.bincount(x[~pairs], minlength=k) for x, k in ((self.script, len(self.rest[2])), (self.middle_word, len(self.words)))]
+        return [leaf, self.n[many], at[self.middle_of[many]], mid, self.middle_word[pairs], singles[0][leaves], singles[1][pairs], still[0][mids], still[1]], many, pairs
+
+    @classmethod
+    def of_active(cls, a: list[np.ndarray]) -> Words:
+        w = cls.__new__(cls)
+        w.contexts, w.n, w.middle_of, w.script, w.middle_word = (x.astype(np.int64) for x in a[:5])
+        w.rest = [x.astype(np.float64) for x in a[5:]]
+        return w
 
     def counts(self, t2: np.ndarray, t1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Customers in the script restaurants and in the root."""
-        return np.bincount(self.middle_of, t2, len(self.middle)), np.bincount(self.middle_word, t1, len(self.words))
+        """Customers in the parents' restaurants and in the root."""
+        return self.rest[1] + np.bincount(self.middle_of, t2, len(self.rest[1])), self.rest[3] + np.bincount(self.middle_word, t1, len(self.rest[3]))
 
-    def totals(self, t2: np.ndarray, t1: np.ndarray, t0: np.ndarray) -> np.ndarray:
-        """Tables and customers of all restaurants: 48 + 48, 16 + 16, 1 + 1 numbers."""
+    def totals(self, t2: np.ndarray, t1: np.ndarray, t0: np.ndarray) -> tuple:
+        """Tables and customers of all restaurants, level by level."""
         c1, c0 = self.counts(t2, t1)
-        b = np.bincount
-        return np.concatenate((b(self.contexts, t2, CONTEXTS), b(self.contexts, self.n, CONTEXTS), b(self.script, t1, SCRIPTS), b(self.script, c1, SCRIPTS), [t0.sum(), c0.sum()]))
+        sums = lambda i, at, x: self.rest[i] + np.bincount(at, x, len(self.rest[i]))
+        return sums(0, self.contexts, t2), sums(0, self.contexts, self.n), sums(2, self.script, t1), sums(2, self.script, c1), t0.sum(), c0.sum()
 
 
 class Totals:
-    def __init__(self, x: np.ndarray, known: int, discounts: tuple[float, float, float]):
-        self.t2, self.c2, self.t1, self.c1 = np.split(x[: 2 * CONTEXTS + 2 * SCRIPTS], [CONTEXTS, 2 * CONTEXTS, 2 * CONTEXTS + SCRIPTS])
-        self.t0, self.c0 = x[-2:]
+    def __init__(self, x: tuple, known: int, discounts: tuple[float, float, float]):
+        self.t2, self.c2, self.t1, self.c1, self.t0, self.c0 = x
         self.base = 1 / (known + 1)
         self.d0, self.d1, self.d2 = discounts
 
@@ -184,77 +215,184 @@ def seat(n: np.ndarray, weight: np.ndarray, d: float, random: np.random.Generato
     return t
 
 
-def sweep(w: Words, t2: np.ndarray, t1: np.ndarray, t0: np.ndarray, g: Totals, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    c1, c0 = w.counts(t2, t1)
-    p0 = g.root(c0, t0)[w.middle_word]
+def seat_root(c0: np.ndarray, tables: float, d0: float, base: float, random: np.random.Generator) -> np.ndarray:
+    return seat(c0, np.full(len(c0), (STRENGTH + d0 * max(tables, 0)) * base), d0, random)
+
+
+def seat_contexts(w: Words, t2: np.ndarray, t1: np.ndarray, p0: np.ndarray, g: Totals, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of both levels of contexts, given the root's probability of each pair's word."""
+    c1, _ = w.counts(t2, t1)
     p1 = g.middle(w.script, c1, t1, p0)[w.middle_of]
     t2 = seat(w.n, (STRENGTH + g.d2 * np.maximum(g.t2[w.contexts] - t2, 0)) * p1, g.d2, random)
-    c1 = np.bincount(w.middle_of, t2, len(w.middle))
-    t1 = seat(c1, (STRENGTH + g.d1 * np.maximum(g.t1[w.script] - t1, 0)) * p0, g.d1, random)
-    c0 = np.bincount(w.middle_word, t1, len(w.words))
-    t0 = seat(c0, np.full(len(c0), (STRENGTH + g.d0 * max(g.t0, 0)) * g.base), g.d0, random)
-    return t2, t1, t0
+    c1, _ = w.counts(t2, t1)
+    return t2, seat(c1, (STRENGTH + g.d1 * np.maximum(g.t1[w.script] - t1, 0)) * p0, g.d1, random)
+
 
+def sweep(w: Words, t2: np.ndarray, t1: np.ndarray, t0: np.ndarray, g: Totals, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A sweep of a model that is one partition."""
+    t2, t1 = seat_contexts(w, t2, t1, g.root(w.counts(t2, t1)[1], t0)[w.middle_word], g, random)
+    return t2, t1, seat_root(w.counts(t2, t1)[1], g.t0, g.d0, g.base, random)
 
-def _tables(state: DataFrame, g: Totals, round_: int) -> DataFrame:
-    """The state after one more sweep, and its totals."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                w = Words(unpack(row["hashes"], U), unpack(row["contexts"], np.uint8), unpack(row["n"], np.uint32))
-                t = [unpack(x, np.uint32).astype(np.float64) for x in row["tables"][-3:]] or [np.ones(len(w.n)), np.ones(len(w.middle)), np.ones(len(w.words))]
-                random = np.random.default_rng((row["p"], round_))
-                new = sweep(w, *t, g, random)
-                kept = row["tables"] if round_ > BURN else []
-                out = {"p": pa.array([row["p"]], pa.int64()), "hashes": [row["hashes"]], "contexts": [row["contexts"]], "n": [row["n"]], "tables": [[*kept, *(pack(x.astype(np.uint32)) for x in new)]], "totals": [w.totals(*new).tolist()]}
-                yield pa.RecordBatch.from_pydict(out)
+def _model(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Training entries (word, one, two, n), sorted by one, word and two, and all words that come up, in training or not."""
+    h, a, g = (np.concatenate(x) for x in zip(*(_decoded(row) for _, row in frame.iterrows())))
+    n = np.concatenate([unpack(x, np.uint32) for x in frame["counts"]]).astype(np.int64)
+    words = np.unique(h)
+    h, a, g, n = (x[n > 0] for x in (h, a, g, n))
+    order = np.lexsort((g, h, a))
+    h, a, g, n = (x[order] for x in (h, a, g, n))
+    if len(h):
+        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (g[1:] != g[:-1])))
+        h, a, g, n = h[new], a[new], g[new], np.add.reduceat(n, new)
+    return h, a, g, n, words
+
+
+class Model:
+    """Entries with their contexts numbered: parents by the word before, contexts by the two words before."""
+
+    def __init__(self, h: np.ndarray, a: np.ndarray, g: np.ndarray, n: np.ndarray):
+        self.ones, parents = np.unique(a, return_inverse=True)
+        self.twos, second = np.unique(g, return_inverse=True)
+        self.leaves, contexts = np.unique(parents * max(1, len(self.twos)) + second, return_inverse=True)
+        self.w = Words(h, contexts, n, parents)
+        self.by_entry = self.w.middle_of * max(1, len(self.twos)) + second
+
+    def find(self, h: np.ndarray, a: np.ndarray, g: np.ndarray) -> tuple:
+        """(parent, context) of each asked entry, one past the last where there is none, and (place, found) of its pair and entry."""
+        one, has_one = _find(self.ones, a)
+        two, has_two = _find(self.twos, g)
+        word, has_word = _find(self.w.words, h)
+        pair = _find(self.w.middle, one * len(self.w.words) + word, has_one & has_word)
+        leaf, has_leaf = _find(self.leaves, one * len(self.twos) + two, has_one & has_two)
+        entry = _find(self.by_entry, pair[0] * len(self.twos) + two, pair[1] & has_two)
+        return np.where(has_one, one, len(self.ones)), np.where(has_leaf, leaf, len(self.leaves)), pair, entry
 
-    return state.mapInArrow(run, STATE)
 
+def _packed(arrays: list[np.ndarray]) -> list[bytes]:
+    return [pack(x.astype(np.uint32)) for x in arrays]
 
-STATE = "p long, hashes binary, contexts binary, n binary, tables array<binary>, totals array<double>"
 
+def _unpacked(data, kind=np.uint32) -> list[np.ndarray]:
+    return [unpack(x, kind) for x in data]
 
-def _sums(state: DataFrame) -> np.ndarray:
-    rows = state.select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("x")).collect()  # 130 numbers
-    out = np.zeros(2 * CONTEXTS + 2 * SCRIPTS + 2)
-    for r in rows:
-        out[r["pos"]] = r["x"]
-    return out
 
+STATE = "p long, words binary, at binary, active array<binary>, tables array<binary>, roots array<binary>"
 
-def fit_model(chunks: DataFrame, parts: int) -> tuple[DataFrame, list[Totals], int, int]:
-    """(state by partition of words, totals of each sample, training tokens, known words)."""
+
+def _root(state: DataFrame, roots: int, what: str, given: tuple[float, float, float, int] | None) -> DataFrame:
+    """(p, q, root) by partition and partition of the root: customers and tables of p's words in the root; sums on one row of each q.
+
+    Without `given` (discount, tables, known words' base, round), the training tokens of the words and their pairs instead.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, at = unpack(row["words"], U), unpack(row["at"], np.uint32)
+                if given:
+                    _, own = Words.of_active(_unpacked(row["active"])).counts(*(x.astype(np.float64) for x in _unpacked(row["tables"][-2:])))
+                    values = [np.zeros(len(words))]
+                    values[0][at] = own
+                else:
+                    values = [np.zeros(len(words)), np.zeros(len(words))]
+                    for v, x in zip(values, _unpacked(row["roots"])):
+                        v[at] = x
+                for q, a, b in _cut(_home(words, roots)):
+                    yield pa.RecordBatch.from_pydict({"q": pa.array([q], pa.int64()), "p": pa.array([row["p"]], pa.int64()), "words": pa.array([pack(words[a:b])], pa.binary()), "sent": pa.array([_packed([v[a:b] for v in values])], pa.list_(pa.binary()))})
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        lists = [unpack(x, U) for x in frame["words"]]
+        words, at = np.unique(np.concatenate(lists), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([unpack(x[i], np.uint32) for x in frame["sent"]]), len(words)) for i in range(len(frame["sent"].iloc[0]))]
+        if given:
+            d0, tables, base, round_ = given
+            t0 = np.zeros(len(words))
+            real = np.flatnonzero(sums[0])
+            t0[real] = seat_root(sums[0][real], tables, d0, base, np.random.default_rng((int(frame["q"].iloc[0]), round_, 1)))
+            sums.append(t0)
+            total = [float(t0.sum()), float(sums[0].sum())]
+        else:
+            total = [float((sums[0] > 0).sum()), float(sums[0].sum()), *(float((sums[1] == k).sum()) for k in (1, 2))]
+        ends = np.cumsum([len(x) for x in lists])
+        rows = [_packed([s[at[e - len(x) : e]] for s in sums]) for x, e in zip(lists, ends)]
+        return pd.DataFrame({"p": frame["p"], "q": frame["q"], "root": rows, "total": [total, *[[]] * (len(rows) - 1)]})
+
+    sent = state.mapInArrow(send, "q long, p long, words binary, sent array<binary>")
+    return written(sent.groupBy("q").applyInPandas(add, "p long, q long, root array<binary>, total array<double>"), what)
+
+
+def _sums(root: DataFrame, n: int) -> list[float]:
+    row = root.agg(*(F.sum(F.get("total", F.lit(i))).alias(f"x{i}") for i in range(n))).first()
+    return [row[f"x{i}"] or 0.0 for i in range(n)]
+
+
+def _joined(root: pd.DataFrame) -> list[np.ndarray]:
+    """The root's numbers for all words of a partition."""
+    rows = [_unpacked(x) for x in root.sort_values("q")["root"]]
+    return [np.concatenate(x).astype(np.float64) for x in zip(*rows)]
+
+
+def fit_model(chunks: DataFrame, parts: int) -> tuple[DataFrame, list[tuple], int, int]:
+    """(entries and seatings by partition, tables and customers of each sample's root with the discounts, training tokens, known words)."""
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([unpack(x, U) for x in frame["hashes"]])
-        c = np.concatenate([unpack(x, np.uint8) for x in frame["contexts"]])
-        n = np.concatenate([unpack(x, np.uint32) for x in frame["counts"]])
-        h, c, n = h[n > 0], c[n > 0], n[n > 0].astype(np.int64)
-        order = np.lexsort((c, h))
-        h, c, n = h[order], c[order], n[order]
-        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))) if len(h) else np.empty(0, int)
-        h, c, n = h[new], c[new], np.add.reduceat(n, new) if len(new) else n
-        w = Words(h, c, n)
-        m = np.bincount(w.middle_of, minlength=len(w.middle)), np.bincount(w.middle_word, minlength=len(w.words))
-        few = [float((x == k).sum()) for x in (n, *m) for k in (1, 2)]
-        return pd.DataFrame({"p": [frame["p"].iloc[0]], "hashes": [pack(h)], "contexts": [pack(c)], "n": [pack(n.astype(np.uint32))], "tables": [[]], "totals": [w.totals(np.ones(len(n)), np.ones(len(w.middle)), np.ones(len(w.words))).tolist()], "words": [len(w.words)], "tokens": [int(n.sum())], "few": [few]})
-
-    state = written(_dealt(chunks, parts, counts=True).groupBy("p").applyInPandas(gather, f"{STATE}, words long, tokens long, few array<double>"), "state")
-    sums = state.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"), *(F.sum(F.col("few")[i]).alias(f"f{i}") for i in range(6))).first()
-    known, tokens = int(sums["words"] or 0), int(sums["tokens"] or 0)
+        h, a, g, n, words = _model(frame)
+        w = Model(h, a, g, n).w
+        active, _, _ = w.active()
+        pairs = np.bincount(w.middle_of, minlength=len(w.middle))
+        few = [float((x == k).sum()) for x in (n, pairs) for k in (1, 2)]
+        tables = [np.ones(len(active[0])), np.ones(len(active[3]))]
+        first = [np.bincount(w.middle_word[w.middle_of], n, len(w.words)), np.bincount(w.middle_word, minlength=len(w.words))]
+        coded = {k: [x] for k, x in zip(("names", "word", "one", "two"), _coded(h, a, g))}
+        return pd.DataFrame({"p": [frame["p"].iloc[0]], "words": [pack(words)], "at": [pack(np.searchsorted(words, w.words).astype(np.uint32))], "active": [_packed(active)], "tables": [_packed(tables)], "roots": [_packed(first)], **coded, "n": [pack(n.astype(np.uint32))], "few": [few]})
+
+    model = written(_dealt(chunks, parts, counts=True).groupBy("p").applyInPandas(gather, f"{STATE}, names binary, word binary, one binary, two binary, n binary, few array<double>"), "model")
+    few = model.agg(*(F.sum(F.col("few")[i]).alias(f"f{i}") for i in range(4))).first()
+    roots = max(1, parts // 8)
+    names = [x.split()[0] for x in STATE.split(", ")]
+    state = model.select(*names)
+    counts = _root(state, roots, "counts", None)
+    known, tokens, one, two = _sums(counts, 4)
     # discounts by the counts of dishes with one and two customers, level by level, as the seatings start
-    share = lambda i: min(0.95, max(0.05, (sums[f"f{i}"] or 0) / max(1.0, (sums[f"f{i}"] or 0) + 2 * (sums[f"f{i + 1}"] or 0))))
-    discounts = (share(4), share(2), share(0))
-    totals = _sums(state)
-    state, samples = state.select(*(x.split()[0] for x in STATE.split(", "))), []
-    for round_ in range(1, BURN + SAMPLES + 1):
-        state = written(_tables(state, Totals(totals, known, discounts), round_), "seating")
-        totals = _sums(state)
-        if round_ > BURN:
-            samples.append(Totals(totals, known, discounts))
-    return state, samples, tokens, known
+    share = lambda a, b: min(0.95, max(0.05, a / max(1.0, a + 2 * b)))
+    discounts = share(one, two), share(few["f2"] or 0, few["f3"] or 0), share(few["f0"] or 0, few["f1"] or 0)
+    base = 1 / (known + 1)
+
+    def seated(round_: int, sums: tuple):
+        def run(own: pd.DataFrame, root: pd.DataFrame) -> pd.DataFrame:
+            row, (c0, t0) = own.iloc[0], _joined(root)
+            w = Words.of_active(_unpacked(row["active"]))
+            t2, t1 = (x.astype(np.float64) for x in _unpacked(row["tables"][-2:]))
+            g = Totals((*w.totals(t2, t1, np.zeros(1))[:4], *sums), known, discounts)
+            at = unpack(row["at"], np.uint32)
+            new = seat_contexts(w, t2, t1, g.root(c0, t0)[at][w.middle_word], g, np.random.default_rng((int(row["p"]), round_)))
+            kept, roots_ = (list(row["tables"]), [*row["roots"], *_packed([c0, t0])]) if round_ > BURN + 1 else ([], [])
+            return pd.DataFrame({"p": [row["p"]], "words": [row["words"]], "at": [row["at"]], "active": [list(row["active"])], "tables": [[*kept, *_packed(list(new))]], "roots": [roots_]})
+
+        return run
+
+    samples, old, tables = [], [], known
+    for round_ in range(1, BURN + SAMPLES + 2):
+        root = _root(state, roots, "root", (discounts[0], tables, base, round_))
+        tables, customers = sums = tuple(_sums(root, 2))
+        if round_ > BURN + 1:
+            samples.append(sums)
+        if round_ == BURN + SAMPLES + 1:
+            break
+        state = written(state.groupBy("p").cogroup(root.groupBy("p")).applyInPandas(seated(round_, sums), STATE), "seating")
+        forget(root, *old)
+        old = [state]
+
+    def seal(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        row = own.iloc[0]
+        ends = [*_joined(got[got["kind"] == 0]), _joined(got[got["kind"] == 1])[0]]
+        return pd.DataFrame({"p": [row["p"]], "tables": [list(row["tables"])], "roots": [[*row["roots"], *_packed(ends)]]})
+
+    got = root.select("p", "q", "root", F.lit(0).alias("kind")).union(counts.select("p", "q", "root", F.lit(1).alias("kind")))
+    sealed = written(state.groupBy("p").cogroup(got.groupBy("p")).applyInPandas(seal, "p long, tables array<binary>, roots array<binary>"), "sealed")
+    forget(state, root, counts)
+    return model.select("p", "words", "names", "word", "one", "two", "n").join(sealed, "p"), [(x, discounts) for x in samples], int(tokens), int(known)
 
 
 def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -264,42 +402,42 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     after A-Z are lower-cased; each text ends in one end token. Null and empty texts are the end token alone. Without training texts every
     word is unknown and has probability 1. Repeated rows count again; an empty table gives no rows; other columns play no part.
 
-    Scale: texts are read once into chunks of about 8 MB, which hold each distinct (word, context) once. Chunks meet the model by
-    partitions of words of a set size: each row of a shuffle is one chunk's share of one partition, so neither common words nor
-    common contexts weigh more than rare ones. The model grows with the corpus and is never in one place.
+    Scale: texts are read once into chunks of about 8 MB. Each chunk's distinct (word, two words before) meet the model by partitions
+    of the word before, each row of a shuffle one chunk's share of one partition. The model grows with the corpus and is never in one
+    place; what follows one word, with all words before that, is in one.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
     chunks = written(_chunks(by_doc(docs).withColumn("held", held)), "chunks")
     parts = max(1, -(-int(chunks.agg(F.sum("n")).first()[0] or 0) // PART))
-    state, samples, tokens, known = fit_model(chunks, parts)
+    model, samples, tokens, known = fit_model(chunks, parts)
 
     def reply(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(asked):
-            if len(model):
-                m = model.iloc[0]
-                w = Words(unpack(m["hashes"], U), unpack(m["contexts"], np.uint8), unpack(m["n"], np.uint32))
-                tables = [unpack(x, np.uint32).astype(np.float64) for x in m["tables"]]
-            else:
-                w, tables = Words(np.empty(0, U), np.empty(0, np.uint8), np.empty(0, np.uint32)), [np.empty(0)] * (3 * SAMPLES)
-            count = np.bincount(w.word_of, w.n, len(w.words)).astype(np.uint32) if len(w.n) else np.empty(0, np.uint32)
-            by_entry = w.word_of * CONTEXTS + w.contexts
-            for chunk, hashes, contexts in zip(asked["chunk"], asked["hashes"], asked["contexts"]):
-                h, c = unpack(hashes, U), unpack(contexts, np.uint8).astype(np.int64)
-                word, has = _find(w.words, h)
-                mid, has1 = _find(w.middle, word * SCRIPTS + c // PLACES, has)
-                leaf, has2 = _find(by_entry, word * CONTEXTS + c, has)
-                p = np.zeros(len(h))
-                for g, t2, t1, t0 in zip(samples, tables[0::3], tables[1::3], tables[2::3]):
-                    c1, c0 = w.counts(t2, t1)
-                    p0 = g.root(_at(c0, word, has), _at(t0, word, has))
-                    p1 = g.middle(c // PLACES, _at(c1, mid, has1), _at(t1, mid, has1), p0)
-                    p += g.leaf(c, _at(w.n, leaf, has2), _at(t2, leaf, has2), p1) / len(samples)
-                rows.append((chunk, asked["p"].iloc[0], pack(np.log10(np.minimum(p, 1)).astype(np.float32)), pack(_at(count, word, has).astype(np.uint32))))
+            row = model.iloc[0]
+            words, roots = unpack(row["words"], U), [x.astype(np.float64) for x in _unpacked(row["roots"])]
+            m = Model(*_decoded(row), unpack(row["n"], np.uint32))
+            w, tables = m.w, _unpacked(row["tables"])
+            _, many, pairs = w.active()
+            count, drawn = roots[-1], []
+            for (sums, discounts), x2, x1, c0, t0 in zip(samples, tables[0::2], tables[1::2], roots[0:-1:2], roots[1:-1:2]):
+                t2, t1 = np.ones(len(w.n)), np.ones(len(w.middle))
+                t2[many], t1[pairs] = x2, x1
+                totals = w.totals(t2, t1, np.zeros(1))[:4]
+                g = Totals((*(np.append(x, 0.0) for x in totals), *sums), known, discounts)  # the last restaurant is an empty one
+                drawn.append((g, t2, t1, w.counts(t2, t1)[0], g.root(c0, t0)))
+            for _, ask in asked.iterrows():
+                h, a, b = _decoded(ask)
+                parent, context, pair, entry = m.find(h, a, b)
+                at, n, p = np.searchsorted(words, h), _at(w.n, *entry), np.zeros(len(h))
+                for g, t2, t1, c1, p0 in drawn:
+                    p1 = g.middle(parent, _at(c1, *pair), _at(t1, *pair), p0[at])
+                    p += g.leaf(context, n, _at(t2, *entry), p1) / len(samples)
+                rows.append((ask["chunk"], row["p"], pack(np.log10(np.minimum(p, 1)).astype(np.float32)), pack(count[at].astype(np.uint32))))
         return pd.DataFrame(rows, columns=["chunk", "p", "logs", "counts"])
 
     asked = _dealt(chunks, parts, counts=False)
-    replies = asked.groupBy("p").cogroup(state.select("p", "hashes", "contexts", "n", "tables").groupBy("p")).applyInPandas(reply, "chunk long, p long, logs binary, counts binary")
+    replies = asked.groupBy("p").cogroup(model.groupBy("p")).applyInPandas(reply, "chunk long, p long, logs binary, counts binary")
 
     def add(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         got = got.sort_values("p")
@@ -307,12 +445,13 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
         counts = np.concatenate([unpack(x, np.uint32) for x in got["counts"]]).astype(np.int64)
         base = np.log10((counts + 1) / (tokens + known + 1))
         row = own.iloc[0]
-        seq, sizes = unpack(row["seq"], np.uint32), np.asarray(row["sizes"], np.int64)
+        sizes = np.asarray(row["sizes"], np.int64)
+        seq = entries(unpack(row["hashes"], U), unpack(row["seq"], np.uint32), sizes)[3]
         starts = np.cumsum(sizes) - sizes
         sums = lambda x: np.add.reduceat(x[seq], starts)
         return pd.DataFrame({"doc_id": pd.array(_ids(row["docs"]), "Int64"), "held_out": row["held"], "n_tokens": sizes, "n_known": sums((counts > 0).astype(np.int64)), "train_tokens": tokens, "base_score": sums(base), "score": sums(logs)})
 
-    mine = chunks.select("chunk", "docs", "held", "sizes", "seq")
+    mine = chunks.select("chunk", "docs", "held", "sizes", "hashes", "seq")
     return mine.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
