@@ -1158,8 +1158,8 @@ def snk_artifact(s, d):
 
 
 def _labelled(s, d):
-    """Documents as clean postings of one stage, cut down to what the jobs need."""
-    t = titles(s, d).select(F.col("title").alias("job_title"), F.substring("text", 1, 400).alias("description"), F.col("category"), F.lit(1).alias("salary_disclosed"), X.group_key("text").alias("group_id"))
+    """Documents as clean postings of one stage, with the columns that the jobs need."""
+    t = titles(s, d).select(F.col("title").alias("job_title"), F.col("text").alias("description"), F.col("category"), F.lit(1).alias("salary_disclosed"), X.group_key("text").alias("group_id"))
     return splits.hash_split(t)
 
 
