@@ -234,6 +234,17 @@ def test_extract(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_large_hosts_count_pages_over_all_shards(spark, monkeypatch):
+    menu = "home news sport weather travel culture money about us"
+    pages = [(i, "http://h.org/x", (f"<p>{menu}</p>" if i % 10 == 0 else "") + "<p>" + " ".join(f"t{i}x{j}" for j in range(30)) + "</p>") for i in range(40)] + [(40, "http://h.org/x", "<p>short</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = lambda: sorted(tuple(r) for r in html_text.extract_text(df).collect())
+    one = rows()
+    monkeypatch.setattr(html_text, "SHARD", 300)
+    many = rows()
+    assert many == one and not any(menu in r[2] for r in many)
+
+
 # ---- quality
 
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,18 +139,54 @@ def shared_tokens(streams: list[list[str]], long: int = LONG, pages: int = PAGES
     return np.split(np.cumsum(cover[:-1]) > 0, np.cumsum(sizes)[:-1])
 
 
+def covered(starts: np.ndarray, long: int) -> np.ndarray:
+    """Which tokens lie in a window of `long` tokens that is marked at its start; the last long - 1 tokens start none."""
+    cover = np.zeros(len(starts) + long, np.int64)
+    np.add.at(cover, np.flatnonzero(starts), 1)
+    np.add.at(cover, np.flatnonzero(starts) + long, -1)
+    return np.cumsum(cover)[: len(starts) + long - 1] > 0
+
+
+def windows(stream: list[str], long: int = LONG) -> np.ndarray:
+    """A 64-bit hash of each run of `long` tokens, in order."""
+    if len(stream) < long:
+        return np.empty(0, np.int64)
+    known: dict[str, int] = {}
+    tokens = np.array([known.get(t) or known.setdefault(t, xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))) for t in stream], np.uint64)
+    n = len(stream) - long + 1
+    out = np.zeros(n, np.uint64)
+    for i in range(long):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + tokens[i : i + n]
+    return out.view(np.int64)
+
+
+def stream_of(blocks: list[str]) -> list[str]:
+    return [w for b in blocks for w in (*b.split(" "), "\n")]
+
+
+def without(stream: list[str], shared: np.ndarray) -> str:
+    blocks: list[list[str]] = [[]]
+    for token, drop in zip(stream, shared.tolist()):
+        if token == "\n":
+            blocks.append([])
+        elif not drop:
+            blocks[-1].append(token)
+    return "\n\n".join(" ".join(b) for b in blocks if b)
+
+
 def unique_runs(pages_of_host: list[list[str]], long: int = LONG, pages: int = PAGES) -> list[str]:
     """The text of each page's blocks without tokens that the suffix array finds shared."""
-    streams = [[w for b in blocks for w in (*b.split(" "), "\n")] for blocks in pages_of_host]
+    streams = [stream_of(blocks) for blocks in pages_of_host]
+    return [without(stream, shared) for stream, shared in zip(streams, shared_tokens(streams, long, pages))]
+
+
+def runs_without(pages_of_host: list[list[str]], hits: np.ndarray) -> list[str]:
+    """The text of each page's blocks without tokens in windows whose hash is among hits."""
     out = []
-    for stream, shared in zip(streams, shared_tokens(streams, long, pages)):
-        blocks: list[list[str]] = [[]]
-        for token, drop in zip(stream, shared.tolist()):
-            if token == "\n":
-                blocks.append([])
-            elif not drop:
-                blocks[-1].append(token)
-        out.append("\n\n".join(" ".join(b) for b in blocks if b))
+    for blocks in pages_of_host:
+        stream = stream_of(blocks)
+        found = np.isin(windows(stream), hits)
+        out.append(without(stream, covered(found, LONG) if len(found) else np.zeros(len(stream), bool)))
     return out
 
 
@@ -162,7 +199,8 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", sourc
     empty table gives no rows; other columns play no part.
 
     Scale: a map over the scan; only pages without marks are dealt by host, and a host with more than SHARD characters of these is dealt
-    into several suffix arrays by a hash of the page, each of bounded size.
+    into several shards by a hash of the page, each of bounded size. There windows of LONG tokens, as 64-bit hashes, are counted by
+    distinct pages over the whole host and the hits applied in each shard, so that PAGES holds host-wide as in one suffix array.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +221,26 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", sourc
     shards = rest.groupBy("host").agg(F.ceil(F.sum("size") / SHARD).alias("shards"))
     dealt = rest.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("blocks"), F.greatest("shards", F.lit(1))))
 
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        texts = unique_runs([list(b) for b in frame["blocks"]])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = np.unique(windows(stream_of(row["blocks"])))
+                yield pa.RecordBatch.from_pydict({"host": pa.array([row["host"]], pa.string()), "shard": pa.array([row["shard"]], pa.int64()), "page": pa.array([row["page"]], pa.int64()), "windows": pa.array([own], pa.list_(pa.int64()))})
+
+    # equal pages fall into one shard, so that a shard's distinct pages add up to the host's
+    hot = dealt.where("shards > 1").select("host", "shard", F.xxhash64("blocks").alias("page"), "blocks").mapInArrow(cut, "host string, shard long, page long, windows array<long>")
+    in_shard = hot.select("host", "shard", "page", F.explode("windows").alias("window")).distinct().groupBy("host", "shard", "window").agg(F.count("*").alias("n"))
+    shared = in_shard.groupBy("host", "window").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("in")).where(F.col("n") >= PAGES)
+    hits = shared.select("host", F.explode("in").alias("shard"), "window").groupBy("host", "shard").agg(F.collect_list("window").alias("hits"))
+
+    def settle(frame: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        pages_of_host = [list(b) for b in frame["blocks"]]
+        if len(frame) and frame["shards"].iloc[0] > 1:
+            texts = runs_without(pages_of_host, np.asarray(found["hits"].iloc[0] if len(found) else [], np.int64))
+        else:
+            texts = unique_runs(pages_of_host)
         return pd.DataFrame({"k": frame["k"], "url": frame["url"], "text": texts})
 
-    unmarked = dealt.groupBy("host", "shard").applyInPandas(settle, f"k {kind}, url string, text string")
+    unmarked = dealt.groupBy("host", "shard").cogroup(hits.groupBy("host", "shard")).applyInPandas(settle, f"k {kind}, url string, text string")
     found = parsed.where("text IS NOT NULL").select("k", "url", "text").union(unmarked)
     return found.select(F.col("k").alias(key), "url", "text", F.length("text").cast("long").alias("n_chars"))
