@@ -921,9 +921,7 @@ def ml_svm_cal(s, d):
 
 @query()
 def ml_gbm(s, d):
-    train, test = _vectors(s, d)
-    pair = "label IN (0, 1)"
-    return L.GBTClassifier(maxIter=5, seed=42).fit(train.where(pair)).transform(test.where(pair)).select("vec_id", "label", "prediction")
+    return _fit(s, d, "gbt")
 
 
 @query()
@@ -937,13 +935,13 @@ def ml_probe(s, d):
 
 
 def _regression(s, d, name, **p):
-    v = table(s, d, "embeddings").select("vec_id", array_to_vector(F.slice("embedding", 2, 8)).alias("features"), F.col("embedding")[0].cast("double").alias("label"))
+    v = table(s, d, "embeddings").select("vec_id", array_to_vector(F.expr("slice(embedding, 2, greatest(size(embedding) - 1, 0))")).alias("features"), F.col("embedding")[0].cast("double").alias("label"))
     return L.build(name, True, **p).fit(v.where("vec_id % 5 <> 0")).transform(v.where("vec_id % 5 = 0")).select("vec_id", "label", F.round("prediction", 6).alias("prediction"))
 
 
 Q["ml_linreg"] = (lambda s, d: _regression(s, d, "linreg"), None)
 Q["ml_ridge"] = (lambda s, d: _regression(s, d, "ridge"), None)
-Q["ml_gbm_reg"] = (lambda s, d: _regression(s, d, "gbt", maxIter=5), None)
+Q["ml_gbm_reg"] = (lambda s, d: _regression(s, d, "gbt"), None)
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in sorted(L.CLASSIFIERS)) + ") t(name)")
