@@ -460,6 +460,12 @@ def ag_df(s, d):
     return A.document_frequency(t, F.regexp_extract_all(F.lower(X.text("text")), F.lit("([a-z]{2,})"), 1)).where("df >= 3")
 
 
+@query()
+def ag_df_terms(s, d):
+    """All documents and languages, words and pairs of words as the features cut them; ag_df is the part that SQL checks."""
+    return A.document_frequency(titles(s, d), E.word_terms("text")).where("df >= 3")
+
+
 @query(post(", c AS (SELECT category, count(*) AS n FROM postings GROUP BY category) SELECT category, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 6) AS weight FROM c"))
 def ag_classw(s, d):
     return A.class_weights(postings(s, d), "category")
@@ -785,6 +791,12 @@ def fe_tfidf_word(s, d):
     return E.tfidf(t, "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), 1)).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
+@query()
+def fe_tfidf_terms(s, d):
+    """All documents and languages, words and pairs of words as the features cut them; fe_tfidf_word is the part that SQL checks."""
+    return E.tfidf(titles(s, d), "doc_id", E.word_terms("text")).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 @query()
 def fe_tfidf_char(s, d):
     return E.tfidf(titles(s, d), "doc_id", E.char_terms("title"), most=120_000)
