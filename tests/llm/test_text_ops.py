@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import ann, decontaminate, html_text, lm_score, ngram_join, quality, url_filter
 from weftline.llm.graphs import components
@@ -90,6 +91,19 @@ def test_ngram_join(spark, words, s, t):
     assert got == brute_components(rows, words, s, t)
 
 
+def test_shared_passages_are_refined_without_losing_links(spark, monkeypatch):
+    """Signatures of many sets take the way over rare elements; results stay those of brute force."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    r, rows = random.Random(3), []
+    passage = vocabulary(r, 60, 50)
+    for i in range(60):
+        own = vocabulary(r, r.choice([2, 5, 12, 30]), 400)
+        rows += [(2 * i, f"{passage} {own}"), (2 * i + 1, f"{passage} {own} {vocabulary(r, r.choice([0, 1, 4]), 400)}")]
+    got = sorted((tuple(x) for x in ngram_join.ngram_join(frame(spark, rows), 4, (85, 100)).collect()), key=str)
+    assert got == brute_components(rows, 4, 85, 100)
+    assert len({x[2] for x in got}) > 20
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.ngram_join(frame(spark, [(1, "a")]).limit(0)).count() == 0
 
@@ -111,8 +125,12 @@ def test_signatures_find_every_linked_pair():
 def test_one_of_each(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(1, text), (2, text), (2, text), (3, "other words that are not the same at all"), (3, "x"), (None, text), (4, None)]
-    kept = sorted((r["doc_id"] or -1 for r in ngram_join.one_of_each(frame(spark, rows)).collect()))
-    assert kept == [-1, 1, 3, 4]
+    kept = sorted(tuple(r)[:2] for r in ngram_join.one_of_each(frame(spark, rows)).select("doc_id", F.coalesce("text", F.lit("")), "own", "sig").collect())
+    assert kept == [(1, text), (3, "other words that are not the same at all"), (3, "x"), (4, "")]  # the null id is a copy of 1
+    alone = [(None, text), (None, text), (None, ""), (None, None), (7, "far other words in this row than there are above")]
+    kept = sorted((tuple(r) for r in ngram_join.one_of_each(frame(spark, alone)).select(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("-"))).collect()))
+    assert kept == [(-1, ""), (-1, "-"), (-1, text), (7, alone[-1][1])]
+    assert ngram_join.one_of_each(frame(spark, rows).limit(0)).count() == 0
 
 
 def test_components(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,16 +13,16 @@ from pyspark.sql import functions as F
 from .common import forget, written
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (a, b) of longs: the smallest node of its connected component, for each node but that one itself.
 
     Alternating large-star and small-star: rounds grow with the logarithm of a component's width. Minima are aggregated
     before the shuffle and joined back, so the edges of a hub are split by the join's skew handling. Each round is a
-    written table.
+    written table; rounds go on until one changes nothing.
     """
     current = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         state = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before or not state["n"]:
             break
@@ -34,13 +35,18 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
         last, current = current, written(small.where("u <> v"), "edges")
         forget(last)
-    else:
-        raise RuntimeError("components did not settle")
     return current.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
+#: Bits of a filter that one row holds on the way to the driver.
+BLOCK_BITS = 1 << 21
+
+
 def bloom(keys: DataFrame, column: str, most_bits: int = 1 << 27) -> tuple[np.ndarray, int]:
-    """A Bloom filter (words, bits) of a long column, of 16 bits a key and most_bits at most; beyond, it only lets more through."""
+    """A Bloom filter (bytes, bits) of a long column, of 16 bits a key and most_bits at most; beyond, it only lets more through.
+
+    Each task makes its own, and they are put together block by block on the executors; the driver gets the blocks, 16 MB at most.
+    """
     n = keys.count()
     bits = 1 << int(np.clip(np.ceil(np.log2(16 * max(n, 64))), 10, np.log2(most_bits)))
 
@@ -49,15 +55,33 @@ def bloom(keys: DataFrame, column: str, most_bits: int = 1 << 27) -> tuple[np.nd
         for batch in batches:
             for at in _places(batch.column(0), bits):
                 own[at] = True
-        yield pa.RecordBatch.from_pydict({"bitmap": [np.packbits(own).tobytes()]})
-
-    parts = keys.select(F.col(column).cast("long")).coalesce(4).mapInArrow(fill, "bitmap binary").collect()  # four bounded bitmaps
+        for i, a in enumerate(range(0, bits, BLOCK_BITS)):
+            block = own[a : a + BLOCK_BITS]
+            if block.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int64()), "bitmap": pa.array([np.packbits(block).tobytes()], pa.binary())})
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.frombuffer(frame["bitmap"].iloc[0], np.uint8).copy()
+        for x in frame["bitmap"].iloc[1:]:
+            out |= np.frombuffer(x, np.uint8)
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "bitmap": [out.tobytes()]})
+
+    parts = keys.select(F.col(column).cast("long")).mapInArrow(fill, "block long, bitmap binary").groupBy("block").applyInPandas(merge, "block long, bitmap binary").collect()  # most_bits / 8 bytes at most
     out = np.zeros(bits // 8, np.uint8)
     for p in parts:
-        out |= np.frombuffer(p["bitmap"], np.uint8)
+        at = p["block"] * (BLOCK_BITS // 8)
+        out[at : at + len(p["bitmap"])] = np.frombuffer(p["bitmap"], np.uint8)
     return out, bits
 
 
+def bloom_has(bitmap: np.ndarray, bits: int, keys: pa.Array) -> np.ndarray:
+    """Which keys the filter lets through."""
+    keep = np.ones(len(keys), bool)
+    for place in _places(keys, bits):
+        keep &= (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+    return keep
+
+
 def _places(column: pa.Array, bits: int) -> list[np.ndarray]:
     x = column.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     out = []
@@ -76,11 +100,8 @@ def maybe_in(rows: DataFrame, column: str, keys: DataFrame, key: str, inside: bo
     at = rows.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for place in _places(batch.column(at), bits):
-                keep &= (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+            keep = bloom_has(shared.value, bits, batch.column(at))
             yield batch.filter(pa.array(keep if inside else ~keep))
 
     return rows.mapInArrow(run, rows.schema)

@@ -1,10 +1,14 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sets of shingle hashes fall into bands of size. For a band, a share of s/t in common bounds the number k of elements in
-which two sets differ. The hash domain is cut into N > k partitions: k differences touch k partitions at most, so two
-linked sets agree in N - k partitions or more, and share a signature (a hash of what a partition holds) wherever such a
-partition isn't empty. A set with N - k or more empty partitions isn't safe that way: it also takes the next of several
-hash seeds, and in the end the prefix filter's elements. A pair is found if one of the two is safe, or else there.
+which two sets differ. The hash domain is cut into groups of PARTS partitions, more than k / 2 groups: two linked sets differ in
+at most one partition of some group, so they agree on one of the subsets of PARTS - 1 of its partitions. Each such subset of each
+group is enumerated, and a hash of what its partitions hold is a signature. Subsets that hold nothing give none; a set that has
+so many of these that the count fails also takes the next of several hash seeds, and in the end the prefix filter's elements.
+A pair is found if one of the two is safe that way, or else there.
+
+Signatures that many sets share without being linked (of passages that occur in many texts) are refined: the sets that meet there
+only are compared where they share one of their rarest elements, rarity counted among these sets.
 """
 
 from __future__ import annotations
@@ -19,14 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import by_doc, forget, slices, trim, written
-from .graphs import components, maybe_in
+from .graphs import bloom, bloom_has, components, maybe_in
 from .text_units import list_sizes
 
 U = np.uint64
 SEEDS = 4
-#: A signature of more sets than this is left out where a set can spare it.
+#: Partitions of a group; its subsets leave out one.
+PARTS = 3
+#: A signature of more sets than this is left out where a set can spare it, and refined where it still has sets to compare.
 FREQUENT = 24
 
 
@@ -75,7 +82,7 @@ def set_key(s: np.ndarray) -> int:
 
 
 class Plan:
-    """Bands, numbers of partitions and signatures for a share of s/t."""
+    """Bands, partitions and signatures for a share of s/t."""
 
     def __init__(self, s: int, t: int):
         self.s, self.t = s, t
@@ -94,36 +101,59 @@ class Plan:
 
     @functools.cache
     def cuts(self, band: int) -> tuple[int, int, np.ndarray]:
-        """k, N and where the N partitions of the hash domain begin."""
+        """(groups, signatures that linked sets have in common at least, where the partitions of the hash domain begin).
+
+        Without differences one group of one partition is enough. Else the first partition of a group that differs costs all but one
+        of its subsets and the second one the last, so k differences cost most where they spread over as many groups as they can.
+        A few groups more than needed leave signatures to spare.
+        """
         k = 2 * (self.edges[band + 1] - 1) * (self.t - self.s) // (self.t + self.s)
-        n = k + 2 + -(-k // 5) if k else 1
-        return k, n, np.array([(j << 64) // n for j in range(n)], U)
+        if k == 0:
+            return 1, 1, np.zeros(1, U)
+        groups = k // 2 + 2 + k // 10
+        common = PARTS * groups - (PARTS - 1) * k if k <= groups else 2 * groups - k
+        return groups, common, np.array([(j << 64) // (PARTS * groups) for j in range(PARTS * groups)], U)
 
     def signatures(self, own: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
         """Signatures by band, and how many of the own and the next band's the set can spare."""
         out, spare = [], [0, 0]
         for band in self.bands(len(own)):
-            k, n, cuts = self.cuts(band)
+            groups, common, cuts = self.cuts(band)
             safe = False
             for seed in range(SEEDS):
                 h = own if seed == 0 else np.sort(mix(own ^ U(seed * 0x5851F42D4C957F2D & (1 << 64) - 1)))
                 at = np.append(np.searchsorted(h, cuts), len(h))
-                full = np.flatnonzero(np.diff(at))
                 sums = np.concatenate((np.zeros(1, U), np.cumsum(mix(h + U(0x1234567)), dtype=U)))
-                tags = mix((full.astype(U) << U(16)) ^ U(band << 8 | seed))
-                out.append(_parity(mix((sums[at[full + 1]] - sums[at[full]]) ^ tags), band))
-                left = n - k - 1 - (n - len(full))  # signatures in common beyond one
+                held = (sums[at[1:]] - sums[at[:-1]]).reshape(groups, -1)
+                full = np.diff(at).reshape(groups, -1)
+                width = held.shape[1]
+                subsets, holding = [], []
+                for left_out in range(width) if width > 1 else [None]:
+                    taken = [j for j in range(width) if j != left_out]
+                    h2 = np.zeros(groups, U)
+                    for j in taken:
+                        h2 = mix(h2 * U(0x9E3779B97F4A7C15) + held[:, j])
+                    subsets.append(mix(h2 ^ mix(np.arange(groups, dtype=U) << U(24) | U(taken[0] + width * len(taken) + (left_out or 0) << 16 | band << 8 | seed))))
+                    holding.append(full[:, taken].sum(1) > 0)
+                holding = np.concatenate(holding)
+                out.append(_parity(np.concatenate(subsets)[holding], band))
+                left = common - 1 - int((~holding).sum())  # signatures in common beyond one
                 if left >= 0:
                     safe = True
                     if seed == 0:
                         spare[band & 1] = left
                     break
             if not safe:
-                prefix = own[: len(own) - -(-len(own) * self.s // self.t) + 1]
+                prefix = own[: prefix_size(len(own), self.s, self.t)]
                 out.append(_parity(mix(prefix ^ mix(np.array([band << 8 | 255], U))), band))
         return out, spare
 
 
+def prefix_size(n: int, s: int, t: int) -> int:
+    """In any one order of elements, linked sets share one of so many of their first."""
+    return n - -(-n * s // t) + 1
+
+
 def _parity(signatures: np.ndarray, band: int) -> np.ndarray:
     """The lowest bit tells the set's own band from the next one."""
     return (signatures & ~U(1)) | U(band & 1)
@@ -212,35 +242,73 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: int, t: int, rough: bool = F
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def ngram_join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """doc_id, n_shingles, component_id per input row: documents whose shingle sets have share[0]/share[1] or more in common are linked.
+def _rows_of(profile: DataFrame, shared: DataFrame) -> DataFrame:
+    """(sig, c) of the profile's signatures that may be among the shared ones: a bounded filter before the join."""
+    spark = profile.sparkSession
+    words, bits = bloom(shared, "sig")
+    held = spark.sparkContext.broadcast(words)  # 16 MB at most
 
-    component_id is the smallest doc_id reachable by links, itself included. Texts without words (null, empty, white space)
-    have no shingles, link with nothing and are their own component. Equal sets are one class throughout, so repeated rows and
-    repeated doc_ids are no special case; a null doc_id takes part but never names a component unless all of it are null. An
-    empty table gives no rows; other columns play no part. The words are cut at ASCII white space after A-Z are lower-cased.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes, flat = list_sizes(lists), lists.flatten()
+            keep = bloom_has(held.value, bits, flat)
+            yield pa.RecordBatch.from_arrays([flat.filter(pa.array(keep)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)[keep], pa.int64())], names=["sig", "c"])
 
-    Scale: copies collapse in each task before anything is shuffled. Signatures grow with the shingles, and never with pairs:
-    each signature's sets are compared with its smallest set only (round one: one of these per set), components are formed,
-    and only sets of a signature that are still in different components are compared with each other. Very frequent
-    signatures (of shared passages) are left out as far as the bound on differences lets a set spare them, which loses no link.
-    Nothing is collected; each intermediate result is a table in the shared folder.
+    return profile.where("signatures IS NOT NULL").select("c", "signatures").mapInArrow(run, "sig long, c long")
+
+
+def _crossing(members: DataFrame, key: str, s: int, t: int) -> DataFrame:
+    """Pairs (a, b) of members (key, c, n, part) of one key that are in different parts and may be linked by their sizes."""
+    x, y = members.alias("x"), members.alias("y")
+    pairs = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.part") < F.col("y.part")) & (F.least("x.n", "y.n") * t >= F.greatest("x.n", "y.n") * s))
+    return pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+
+
+def _mixed(members: DataFrame, key: str) -> DataFrame:
+    """Members of keys that hold more than one part, with `size`, the number of the key's members: minima meet before the shuffle."""
+    spans = members.groupBy(key).agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p < q").select(key, "size")
+    return members.join(spans, key)
+
+
+def _rare_elements(sets: DataFrame, wanted: DataFrame, s: int, t: int) -> DataFrame:
+    """(e, c, n, part) for the wanted sets (c, part): the elements of each one's prefix, rarest first, that another wanted set has too.
+
+    Elements that one set alone has come first in its prefix and link with nothing, so a text with enough words of its own
+    has no row here, whatever passage it shares with others.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, n, part, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                e = np.frombuffer(own, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(e), *(pa.array(np.full(len(e), x), pa.int64()) for x in (c, n, part))], names=["e", "c", "n", "part"])
+
+    elements = written(sets.join(wanted, "c").select("c", "n", "part", "own").mapInArrow(run, "e long, c long, n long, part long"), "elements")
+    common = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    shared = elements.join(common, "e")
+    ranked = shared.select("*", F.row_number().over(Window.partitionBy("c").orderBy("df", "e")).alias("rank"), F.count("*").over(Window.partitionBy("c")).alias("held"))
+    prefix = F.col("n") - F.ceil(F.col("n") * s / t) + 1
+    return ranked.where(F.col("rank") <= prefix - (F.col("n") - F.col("held"))).select("e", "c", "n", "part")
+
+
+def _groups(docs: DataFrame, words: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, c) of each row, c the key of its set, null without shingles; (c, id, part) of each class of equal sets, part its linked set."""
     s, t = share
     texts = by_doc(docs)
     profile = written(_profile(texts, words, s, t), "profile")
     classes = written(profile.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("even").alias("even"), F.max("odd").alias("odd")), "classes")
+    documents = written(profile.select("doc_id", "n", "c"), "documents")
 
-    own = Window.partitionBy("sig")
     rows = profile.where("signatures IS NOT NULL").select("c", F.explode("signatures").alias("sig"))
-    grouped = rows.select("sig", "c", F.min("c").over(own).alias("lo"), F.max("c").over(own).alias("hi"), F.count("*").over(own).alias("freq"))
-    shared = written(grouped.where("lo < hi").drop("hi").distinct(), "shared")
-    documents = written(profile.select("doc_id", "n", "c"), "documents")
-    forget(profile)
+    groups = written(rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("freq")).where("lo < hi").select("sig", "lo", "freq"), "signatures")
+    shared = written(_rows_of(profile, groups).distinct().join(groups, "sig"), "shared")
+    forget(profile, groups)
     ranked = shared.where(F.col("freq") > FREQUENT).join(classes.select("c", "even", "odd"), "c").withColumn("rank", F.row_number().over(Window.partitionBy("c", F.col("sig").bitwiseAND(1)).orderBy(F.desc("freq"), "sig")))
-    frequent = ranked.where(F.col("rank") > F.when(F.col("sig").bitwiseAND(1) == 0, F.col("even")).otherwise(F.col("odd"))).select("sig", "c", F.min("c").over(own).alias("lo"))
-    kept = written(shared.where(F.col("freq") <= FREQUENT).select("sig", "c", "lo").union(frequent), "kept")
-    forget(shared)
+    frequent = written(ranked.where(F.col("rank") > F.when(F.col("sig").bitwiseAND(1) == 0, F.col("even")).otherwise(F.col("odd"))).select("sig", "c"), "frequent")
+    lows = frequent.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", "lo")
+    kept = written(shared.where(F.col("freq") <= FREQUENT).select("sig", "c", "lo").union(frequent.join(lows, "sig").select("sig", "c", "lo")), "kept")
+    forget(shared, frequent)
     star = written(kept.where("c <> lo").select(F.col("lo").alias("a"), F.col("c").alias("b")).distinct(), "star")
 
     sets = written(_sets(texts, classes, kept.select("c").distinct(), words), "sets")
@@ -252,32 +320,66 @@ def ngram_join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5))
     parts = components(links)
     forget(first, star)
 
-    mine = kept.join(parts.select(F.col("node").alias("c"), "component"), "c", "left").join(classes.select("c", "n"), "c").select("sig", "c", "n", F.coalesce("component", "c").alias("part"), (F.col("c") == F.col("lo")).alias("pivot"))
-    mixed = written(mine.select("*", F.min("part").over(own).alias("p"), F.max("part").over(own).alias("q")).where("p < q AND NOT pivot").drop("p", "q", "pivot"), "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    crossing = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") < F.col("y.part")) & (F.least("x.n", "y.n") * t >= F.greatest("x.n", "y.n") * s))
-    crossing = written(crossing.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "crossing")
-    parts = components(links.union(_verified(crossing, sets, s, t, rough=True)))
-    forget(kept, links, mixed, crossing, sets)
-
-    labelled = classes.select("c", "id").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("part", F.coalesce("component", "c"))
-    least = labelled.groupBy("part").agg(F.min("id").alias("component_id"))
-    named = labelled.join(least, "part").select("c", "component_id")
+    mine = kept.where("c <> lo").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").join(classes.select("c", "n"), "c").select("sig", "c", "n", F.coalesce("component", "c").alias("part"))
+    mixed = written(_mixed(written(mine, "members"), "sig"), "mixed")
+    few = _crossing(mixed.where(F.col("size") <= FREQUENT), "sig", s, t)
+    rare = written(_rare_elements(sets, mixed.where(F.col("size") > FREQUENT).select("c", "part").distinct(), s, t), "rare")
+    crossing = written(few.union(_crossing(_mixed(rare, "e").drop("size"), "e", s, t)).distinct(), "crossing")
+    parts = written(components(links.union(_verified(crossing, sets, s, t, rough=True))), "parts")
+    forget(kept, links, mixed, rare, crossing, sets)
+    return documents, classes.select("c", "id").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").select("c", "id", F.coalesce("component", "c").alias("part"))
+
+
+def ngram_join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """doc_id, n_shingles, component_id per input row: documents whose shingle sets have share[0]/share[1] or more in common are linked.
+
+    component_id is the smallest doc_id reachable by links, itself included. Texts without words (null, empty, white space)
+    have no shingles, link with nothing and are their own component. Equal sets are one class throughout, so repeated rows and
+    repeated doc_ids are no special case; a null doc_id takes part but never names a component unless all of it are null. An
+    empty table gives no rows; other columns play no part. The words are cut at ASCII white space after A-Z are lower-cased.
+
+    Scale: copies collapse in each task before anything is shuffled. Signatures grow with the shingles, and never with pairs:
+    each signature's sets are compared with its smallest set only (round one: one of these per set), components are formed,
+    and only sets of a signature that are still in different components are compared with each other: those of at most FREQUENT
+    sets directly, the others where they share an element of their prefixes, rarest first. Very frequent
+    signatures (of shared passages) are left out as far as the bound on differences lets a set spare them, which loses no link.
+    Minima and counts of a signature meet before the shuffle and are joined back, so that the join's skew handling splits a hot one.
+    Nothing is collected; each intermediate result is a table in the shared folder.
+    """
+    documents, classes = _groups(docs, words, share)
+    least = classes.groupBy("part").agg(F.min("id").alias("component_id"))
+    named = classes.join(least, "part").select("c", "component_id")
     return documents.join(named, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """The rows of docs, all columns as they are, that the join doesn't put behind a smaller doc_id; one row per doc_id.
+    """The rows of docs, all columns as they are, less all but one of each linked group: the one of the smallest doc_id stays.
 
-    Rows with a null doc_id stay. Only rows whose id may be among those to drop or repeated pass a shuffle.
+    A null doc_id comes after all others; among rows of that id the one of the smallest set key stays, and one of rows that are equal
+    in both. Rows are told apart by id and set, so a row whose text links with nothing stays whatever id it has. Texts without
+    words all stay. Empty tables give empty tables; columns beyond doc_id and text play no part. Only rows whose id may be one of
+    a group of several rows pass a shuffle.
     """
-    found = written(ngram_join(docs, words, share).where("doc_id IS NOT NULL"), "groups")
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    odd = written(drop.union(twice).distinct().withColumnRenamed("doc_id", "odd_id"), "odd")
+    documents, classes = _groups(docs, words, share)
+    members = written(documents.where("c IS NOT NULL").join(classes.select("c", "part"), "c").select("doc_id", "c", "part"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("c").alias("c"))
+    several = members.groupBy("part").agg(F.min(order).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    doubtful = written(members.join(several, "part").select("doc_id", "c", ((F.col("doc_id").eqNullSafe(F.col("first.id"))) & (F.col("c") == F.col("first.c"))).alias("stays")).distinct(), "doubtful")
+    ids = doubtful.select("doc_id").distinct()
     columns = docs.columns
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    sure, maybe = maybe_in(keyed, "__id", odd, "odd_id", inside=False), maybe_in(keyed, "__id", odd, "odd_id")
-    rest = maybe.join(drop.withColumnRenamed("doc_id", "__drop"), F.col("__id") == F.col("__drop"), "left_anti")
-    rest = rest.where("__id IS NULL").union(rest.where("__id IS NOT NULL").dropDuplicates(["__id"]))
-    return sure.union(rest).select(*columns)
+    keyed = docs.select(*(F.col(f"`{x}`").alias(f"_{i}") for i, x in enumerate(columns)), F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"))
+    words_, bits = bloom(ids, "doc_id")
+    held = docs.sparkSession.sparkContext.broadcast(words_)  # 16 MB at most
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.filter(pa.array(bloom_has(held.value, bits, batch.column("__id")))), "__text"):
+                keys = [set_key(x) if len(x) else None for x in shingle_sets(part.column("__text"), words)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(keys, pa.int64())], names=[*part.schema.names[:-1], "__c"])
+
+    found = StructType([*keyed.schema.fields[:-1], StructField("__c", LongType())])
+    sure = maybe_in(keyed, "__id", ids, "doc_id", inside=False)
+    marked = keyed.mapInArrow(key, found).join(doubtful, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__c") == F.col("c")), "left")
+    kept = marked.where("stays").dropDuplicates(["__id", "__c"])
+    rest = marked.where("stays IS NULL").select(*keyed.columns[:-2]).union(kept.select(*keyed.columns[:-2]))
+    return sure.select(*keyed.columns[:-2]).union(rest).toDF(*columns)
