@@ -110,7 +110,7 @@ class Plan:
         k = 2 * (self.edges[band + 1] - 1) * (self.t - self.s) // (self.t + self.s)
         if k == 0:
             return 1, 1, np.zeros(1, U)
-        groups = k // 2 + 2 + k // 10
+        groups = k // 2 + 1 + k // 10
         common = PARTS * groups - (PARTS - 1) * k if k <= groups else 2 * groups - k
         return groups, common, np.array([(j << 64) // (PARTS * groups) for j in range(PARTS * groups)], U)
 
@@ -259,9 +259,14 @@ def _rows_of(profile: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def _crossing(members: DataFrame, key: str, s: int, t: int) -> DataFrame:
-    """Pairs (a, b) of members (key, c, n, part) of one key that are in different parts and may be linked by their sizes."""
+    """Pairs (a, b) of members (key, c, n, most, part) of one key that are in different parts and may be linked.
+
+    Sizes bound that, and `most`: what a set can have in common with another one of which this key is the first that both have.
+    Linked sets of x and y elements have s (x + y) / (s + t) in common at least.
+    """
     x, y = members.alias("x"), members.alias("y")
-    pairs = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.part") < F.col("y.part")) & (F.least("x.n", "y.n") * t >= F.greatest("x.n", "y.n") * s))
+    enough = (F.least("x.most", "y.most") * (s + t) >= (F.col("x.n") + F.col("y.n")) * s) & (F.least("x.n", "y.n") * t >= F.greatest("x.n", "y.n") * s)
+    pairs = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.part") < F.col("y.part")) & enough)
     return pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
 
 
@@ -272,10 +277,10 @@ def _mixed(members: DataFrame, key: str) -> DataFrame:
 
 
 def _rare_elements(sets: DataFrame, wanted: DataFrame, s: int, t: int) -> DataFrame:
-    """(e, c, n, part) for the wanted sets (c, part): the elements of each one's prefix, rarest first, that another wanted set has too.
+    """(e, c, n, most, part) for the wanted sets (c, part): the elements of each one's prefix, rarest first, that another wanted set has too.
 
     Elements that one set alone has come first in its prefix and link with nothing, so a text with enough words of its own
-    has no row here, whatever passage it shares with others.
+    has no row here, whatever passage it shares with others. `most` is the element and all that come after it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,8 +293,8 @@ def _rare_elements(sets: DataFrame, wanted: DataFrame, s: int, t: int) -> DataFr
     common = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     shared = elements.join(common, "e")
     ranked = shared.select("*", F.row_number().over(Window.partitionBy("c").orderBy("df", "e")).alias("rank"), F.count("*").over(Window.partitionBy("c")).alias("held"))
-    prefix = F.col("n") - F.ceil(F.col("n") * s / t) + 1
-    return ranked.where(F.col("rank") <= prefix - (F.col("n") - F.col("held"))).select("e", "c", "n", "part")
+    ranked = ranked.withColumn("most", F.col("held") - F.col("rank") + 1)
+    return ranked.where(F.col("most") * t >= F.col("n") * s).select("e", "c", "n", "most", "part")  # the prefix: what can still reach the share
 
 
 def _groups(docs: DataFrame, words: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
@@ -322,7 +327,7 @@ def _groups(docs: DataFrame, words: int, share: tuple[int, int]) -> tuple[DataFr
 
     mine = kept.where("c <> lo").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").join(classes.select("c", "n"), "c").select("sig", "c", "n", F.coalesce("component", "c").alias("part"))
     mixed = written(_mixed(written(mine, "members"), "sig"), "mixed")
-    few = _crossing(mixed.where(F.col("size") <= FREQUENT), "sig", s, t)
+    few = _crossing(mixed.where(F.col("size") <= FREQUENT).withColumn("most", F.col("n")), "sig", s, t)
     rare = written(_rare_elements(sets, mixed.where(F.col("size") > FREQUENT).select("c", "part").distinct(), s, t), "rare")
     crossing = written(few.union(_crossing(_mixed(rare, "e").drop("size"), "e", s, t)).distinct(), "crossing")
     parts = written(components(links.union(_verified(crossing, sets, s, t, rough=True))), "parts")
