@@ -141,13 +141,13 @@ def test_components(spark):
 
 def test_sets_that_are_never_safe_take_every_seed():
     plan = ngram_join.Plan(4, 5)
-    _, n, cuts = plan.cuts(plan.bands(12)[0])
+    groups, _, cuts = plan.cuts(plan.bands(12)[0])
     own = np.arange(12, dtype=np.uint64)  # all in one partition of the first seed
     found = plan.signatures(own)[0]
     assert len(found) > 2 and all(len(x) for x in found)
     empty = plan.cuts
-    plan.cuts = lambda band: (n, n, cuts)
-    every = plan.signatures(own)[0]  # with as many differences as partitions no seed is safe: the prefix filter's elements come last
+    plan.cuts = lambda band: (groups, 0, cuts)  # no signature is sure to be common
+    every = plan.signatures(own)[0]  # so no seed is safe, and the elements of the prefix filter come last
     plan.cuts = empty
     assert len(every) == (ngram_join.SEEDS + 1) * len(plan.bands(12))
 
@@ -305,26 +305,88 @@ def test_language_model(spark):
     assert none and all(x["train_tokens"] == 0 and x["base_score"] == 0 and x["score"] == 0 for x in none)
 
 
-def test_seatings_and_probabilities():
-    r = np.random.default_rng(1)
-    h = np.sort(r.integers(0, 1 << 60, 30).astype(np.uint64)).repeat(3)
-    w = lm_score.Words(h, np.tile(np.array([0, 1, 7], np.uint8), 30), r.integers(1, 200, 90))
-    t2, t1, t0 = np.ones(90), np.ones(len(w.middle)), np.ones(30)
-    for _ in range(3):
-        g = lm_score.Totals(w.totals(t2, t1, t0), 30, (0.5, 0.6, 0.7))
-        t2, t1, t0 = lm_score.sweep(w, t2, t1, t0, g, r)
-        c1, c0 = w.counts(t2, t1)
-        assert (t2 >= 1).all() and (t2 <= w.n).all() and (t1 <= c1).all() and (t0 <= c0).all()
-    g = lm_score.Totals(w.totals(t2, t1, t0), 30, (0.5, 0.6, 0.7))
-    p0 = g.root(c0, t0)
-    unknown = g.root(np.zeros(1), np.zeros(1))
-    assert abs(p0.sum() + unknown[0] - 1) < 1e-9  # known words and the unknown one
-    p1 = g.middle(w.script, c1, t1, p0[w.middle_word])
-    for context in (0, 1, 7):
-        at = w.contexts == context
-        total = g.leaf(w.contexts[at].astype(int), w.n[at], t2[at], p1[w.middle_of[at]]).sum()
-        rest = g.leaf(np.array([context]), np.zeros(1), np.zeros(1), g.middle(np.array([context // 3]), np.zeros(1), np.zeros(1), unknown))
-        assert abs(total + rest[0] - 1) < 1e-9
+def test_tables_are_drawn_as_single_customers_would_sit():
+    """draw_tables() against a sampler that moves one customer at a time among tables that are there."""
+    r, n, d, others, mine, total = random.Random(1), 7, 0.4, 5.0, 0.6, 9.0
+    weight = lambda t, j: (lm_score.STRENGTH + d * (others + t)) * (mine + j) / (total + j)
+    tables, seen = [n], collections.Counter()
+    for step in range(60_000):
+        k = r.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+        t = len(tables)
+        k = r.choices(range(t + 1), [*(x - d for x in tables), weight(t, t)])[0]
+        if k == t:
+            tables.append(1)
+        else:
+            tables[k] += 1
+        seen[len(tables)] += 1
+    m = 60_000
+    full = np.ones(m)
+    got = collections.Counter(lm_score.draw_tables(np.full(m, n), lm_score.Others(d, others * full, mine * full, total * full), np.random.default_rng(2)).astype(int).tolist())
+    assert all(abs(got[t] / m - seen[t] / m) < 0.015 for t in range(1, n + 1))
+
+
+def test_many_customers_are_drawn_as_the_recursion_would():
+    r = np.random.default_rng(3)
+    for d, p, others in ((0.6, 0.01, 5000), (0.3, 0.001, 100), (0.7, 0.2, 20_000)):
+        n, full = np.full(4000, lm_score.EXACT), np.ones(4000)
+        o = lm_score.Others(d, others * full, p * full, full, grows=False)
+        exact, many = lm_score.draw_tables(n, o, r), lm_score._draw_many(n.astype(float), o, r)
+        assert abs(exact.mean() - many.mean()) < 0.03 * exact.mean() + 0.05 and abs(exact.std() - many.std()) < 0.1 * exact.std() + 0.05
+        huge = lm_score._draw_many(np.full(10, 5e9), o.of(np.arange(10)), r)
+        assert (huge >= 1).all() and huge.mean() > 0.8 * many.mean()
+
+
+def test_probabilities_of_a_small_model_against_plain_code(spark, monkeypatch):
+    """The scores of a small corpus from dictionaries of customers and tables, as the partitions hold them, summing to one over all words."""
+    monkeypatch.setattr(lm_score, "PART", 150)
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice("abcdefgh") + r.choice(["", "", "x"]) for _ in range(r.randint(1, 12)))) for i in range(120)]
+    docs = frame(spark, rows)
+    chunks = lm_score.written(lm_score._chunks(docs.select("doc_id", "text").withColumn("held", F.lit(False))), "c")
+    model, roots, d1, tokens, known = lm_score.fit_model(chunks, 7)
+    state = [[] for _ in roots]  # by sample: {pair: (n, t)}, {word: (c0, t0)}, {word: tables}
+    n, t, c0, t0, tables = {}, [{} for _ in roots], [{} for _ in roots], [{} for _ in roots], [{} for _ in roots]
+    for row in model.collect():
+        words = lm_score.unpack(row["words"], np.uint64).tolist()
+        word, before, count = lm_score._unpacked(row["pairs"])
+        samples = lm_score._unpacked(row["samples"])
+        for k in range(len(roots)):
+            held = iter(samples[4 * k].tolist())
+            for w, b, x in zip(word.tolist(), before.tolist(), count.tolist()):
+                n[words[b], words[w]] = x
+                t[k][words[b], words[w]] = next(held) if x > 1 else x
+            for i, w in enumerate(words):
+                for table, values in ((c0, samples[4 * k + 1]), (t0, samples[4 * k + 2]), (tables, samples[4 * k + 3])):
+                    assert table[k].setdefault(w, int(values[i])) == int(values[i])  # alike in all partitions
+    assert sum(n.values()) == tokens and len(c0[0]) == known and state
+    for k, root in enumerate(roots):
+        assert all(1 <= t[k][x] <= n[x] for x in n)
+        for w in c0[k]:
+            assert c0[k][w] == sum(v for (_, b), v in t[k].items() if b == w) and tables[k][w] == sum(v for (a, _), v in t[k].items() if a == w) and 1 <= t0[k][w] <= c0[k][w]
+        assert root.customers == sum(c0[k].values()) and root.tables == sum(t0[k].values())
+
+    def chance(a, w):
+        out = 0.0
+        for k in range(len(roots)):
+            p0 = (c0[k].get(w, 0) - roots[k].d * t0[k].get(w, 0) + (1 + roots[k].d * sum(t0[k].values())) / (known + 1)) / (1 + sum(c0[k].values()))
+            customers = sum(v for (b, _), v in n.items() if b == a)
+            out += (max(n.get((a, w), 0) - d1 * t[k].get((a, w), 0), 0) + (1 + d1 * tables[k].get(a, 0)) * p0) / (1 + customers) / len(roots)
+        return out
+
+    for a in [*list(c0[0])[:4], 12345]:
+        assert abs(sum(chance(a, w) for w in c0[0]) + chance(a, 777) - 1) < 1e-9
+    got = {x["doc_id"]: x["score"] for x in lm_score.score_texts(docs, folds=1, fold=5).collect()}
+    name = lambda w: int(lm_score.END) if w is None else lm_score.xxhash.xxh64_intdigest(w.encode())
+    model2 = [(i, sum(math.log10(chance(name(a), name(b))) for a, b in zip([None, *x.split()], [*x.split(), None]))) for i, x in rows]
+    assert len(got) == 120 and lm_score.PART == 150 and model2
+    parts = max(1, -(-tokens // 150))
+    if parts == 7:
+        assert all(abs(got[i] - want) < 1e-5 for i, want in model2)
+    else:  # other partitions, other draws: near, not equal
+        assert all(abs(got[i] - want) < 0.15 * abs(want) + 0.3 for i, want in model2)
 
 
 def test_words_before_change_scores(spark, monkeypatch):
@@ -343,20 +405,3 @@ def test_words_before_change_scores(spark, monkeypatch):
     for (i, _), (j, _) in zip(pairs[0::2], pairs[1::2]):
         assert got[i]["held_out"] and got[j]["held_out"] and abs(got[i]["base_score"] - got[j]["base_score"]) < 1e-9
         assert got[i]["score"] > got[j]["score"] + 10
-
-
-def test_active_entries_carry_the_whole_model():
-    r = np.random.default_rng(5)
-    a, h, g = (r.integers(0, k, 400).astype(np.uint64) for k in (5, 12, 9))
-    key, n = np.unique((a * np.uint64(12) + h) * np.uint64(9) + g, return_counts=True)
-    a, h, g = key // np.uint64(108), key // np.uint64(9) % np.uint64(12), key % np.uint64(9)
-    w = lm_score.Model(h, a, g, n).w
-    parts, many, pairs = w.active()
-    part = lm_score.Words.of_active(parts)
-    x2, x1 = r.integers(1, part.n + 1), np.ones(pairs.sum())
-    t2, t1 = np.ones(len(w.n)), np.ones(len(w.middle))
-    t2[many] = x2
-    whole, own = w.totals(t2, t1, np.zeros(1)), part.totals(x2, x1, np.zeros(1))
-    assert own[0].tolist() == whole[0][np.unique(w.contexts[many])].tolist() and own[1].tolist() == whole[1][np.unique(w.contexts[many])].tolist()
-    assert own[2].tolist() == whole[2][np.unique(w.script[pairs])].tolist() and own[3].tolist() == whole[3][np.unique(w.script[pairs])].tolist()
-    assert part.counts(x2, x1)[1].tolist() == w.counts(t2, t1)[1].tolist()

@@ -1,17 +1,19 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-Words are dishes. A word is drawn in the restaurant of the two words before it, whose parent is the restaurant of the one word
-before, whose parent is the root, whose base is uniform over the V known words and one unknown. Before a text stand ends of text.
-A restaurant's tables for a dish are the dish's customers in its parent. Seatings are drawn by Gibbs sweeps, a dish in a
-restaurant at a time given everything else, and predictive probabilities are averaged over the last sweeps.
-
-The restaurants of one word before sit in one partition with all their children, so both levels are seated there. Only the root
-gathers from all partitions: it is kept by word, partitions send their customers of each word and get back the root's. A dish with
-one customer has one table, so the sweeps pass over those and carry the rest.
+Words are dishes. A word is drawn in the restaurant of the word before it; all these restaurants share one parent, the root, whose base
+is uniform over the V known words and one unknown. Before a text stands an end of text. A restaurant's tables for a dish are
+the dish's customers in the root. What is sampled is the number of tables of each dish in each restaurant: how customers sit at so many
+tables is integrated out, which leaves the generalized Stirling numbers. Gibbs sweeps draw each number from its
+distribution given all others, and predictive probabilities are averaged over the last sweeps.
+
+Pairs (word before, word) are dealt over partitions by a hash of both, so no common word weighs on one of them. Tables and customers of
+restaurants and of words in the root are sums that partitions send by word and get back for their own words. A dish with one customer
+has one table, so the sweeps pass over those and carry the rest.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -28,14 +30,16 @@ from .common import by_doc, forget, slices, written
 from .text_units import list_sizes
 
 U = np.uint64
-#: Restaurants to a parent where parents aren't given.
-FAMILY = 3
-#: Entries (distinct word and two words before) of one partition, about.
-PART = 1_500_000
+#: Tokens of the corpus to a partition of pairs, about.
+PART = 3_000_000
 #: Sweeps before the first sample, and samples.
-BURN, SAMPLES = 2, 3
+BURN, SAMPLES = 3, 3
 STRENGTH = 1.0
+#: Customers up to which the Stirling numbers are those of the recursion; beyond, their ratios come from the saddle point.
+EXACT = 1024
 END = U(0x9D39247E33776D41)
+#: Logarithms travel as whole multiples of one in so many.
+FINE = 1 << 26
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -68,20 +72,14 @@ def chunk_of(texts: pa.Array) -> dict:
     return {"sizes": lengths, "hashes": hashes, "seq": place[token].astype(np.uint32)}
 
 
-def entries(hashes: np.ndarray, seq: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (one word before, word, two words before), sorted so, as hashes (word, one, two), and each token's entry."""
-    starts, k = np.cumsum(sizes) - sizes, len(hashes)
-    end = np.searchsorted(hashes, END)
+def entries(hashes: np.ndarray, seq: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs as (place of the word, place of the word before), sorted by the word before and the word, and each token's pair."""
+    starts, k = np.cumsum(sizes) - sizes, max(1, len(hashes))
     word = seq.astype(np.int64)
-    one = np.roll(word, 1)
-    one[starts] = end
-    two = np.roll(one, 1)
-    two[starts] = end
-    key = one * k + word
-    if k**3 >= 2**63:
-        key = np.unique(key, return_inverse=True)[1]
-    _, first, own = np.unique(key * k + two, return_index=True, return_inverse=True)
-    return hashes[word[first]], hashes[one[first]], hashes[two[first]], own
+    before = np.roll(word, 1)
+    before[starts] = np.searchsorted(hashes, END)
+    pairs, own = np.unique(before * k + word, return_inverse=True)
+    return pairs % k, pairs // k, own
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -97,19 +95,13 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, docs array<long>, held array<boolean>, sizes array<long>, n long, hashes binary, seq binary")
 
 
-def _home(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> U(32)) * U(parts) >> U(32)).astype(np.int64)
-
+def _spread(a: np.ndarray) -> np.ndarray:
+    a = (a ^ (a >> U(29))) * U(0xBF58476D1CE4E5B9)
+    return a ^ (a >> U(32))
 
-def _coded(h: np.ndarray, a: np.ndarray, g: np.ndarray) -> list[bytes]:
-    """Word hashes of entries as places in one list: a few bytes an entry instead of 24."""
-    names, at = np.unique(np.concatenate((h, a, g)), return_inverse=True)
-    return [pack(names), *(pack(x) for x in np.split(at.astype(np.uint32), 3))]
 
-
-def _decoded(row) -> list[np.ndarray]:
-    names = unpack(row["names"], U)
-    return [names[unpack(row[k], np.uint32)] for k in ("word", "one", "two")]
+def _home(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
 def _cut(p: np.ndarray) -> list[tuple[int, int, int]]:
@@ -118,281 +110,302 @@ def _cut(p: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(p[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(p)]))
 
 
-def _dealt(chunks: DataFrame, parts: int, counts: bool) -> DataFrame:
-    """A row per chunk and partition of the word before: (p, chunk, entries' names, word, one, two, counts of training)."""
-    names = ["names", "word", "one", "two", *(["counts"] if counts else [])]
+def _dealt(chunks: DataFrame, parts: int) -> DataFrame:
+    """A row per chunk and partition: (p, chunk, names, and by pair: word and word before as places among the names, count in training texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                sizes = np.asarray(row["sizes"], np.int64)
-                h, one, two, own = entries(unpack(row["hashes"], U), unpack(row["seq"], np.uint32), sizes)
-                if counts:
-                    train = ~np.asarray(row["held"], bool)
-                    n = np.bincount(own, np.repeat(train, sizes), len(h)).astype(np.uint32)
-                for p, a, b in _cut(_home(one, parts)):
-                    data = [*_coded(h[a:b], one[a:b], two[a:b]), *([pack(n[a:b])] if counts else [])]
-                    yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int64()), "chunk": pa.array([row["chunk"]], pa.int64())} | {k: pa.array([d], pa.binary()) for k, d in zip(names, data)})
+                sizes, hashes = np.asarray(row["sizes"], np.int64), unpack(row["hashes"], U)
+                word, before, own = entries(hashes, unpack(row["seq"], np.uint32), sizes)
+                n = np.bincount(own, np.repeat(~np.asarray(row["held"], bool), sizes), len(word)).astype(np.uint32)
+                home = pair_home(hashes[before], hashes[word], parts)
+                order = np.argsort(home, kind="stable")
+                for p, a, b in _cut(home[order]):
+                    at = order[a:b]
+                    names, places = np.unique(np.concatenate((word[at], before[at])), return_inverse=True)
+                    data = [pack(hashes[names]), *(pack(x.astype(np.uint32)) for x in np.split(places, 2)), pack(n[at])]
+                    yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int64()), "chunk": pa.array([row["chunk"]], pa.int64())} | {k: pa.array([d], pa.binary()) for k, d in zip(("names", "word", "before", "counts"), data)})
+
+    return chunks.select("chunk", "held", "sizes", "hashes", "seq").mapInArrow(run, "p long, chunk long, names binary, word binary, before binary, counts binary")
+
+
+def pair_home(before: np.ndarray, word: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of pairs: by both words, so that what follows or precedes a common word is spread."""
+    return _home(_spread(before * U(0x9E3779B97F4A7C15) + word), parts)
+
 
-    kinds = ", ".join(f"{k} binary" for k in names)
-    return chunks.select("chunk", "held", "sizes", "hashes", "seq").mapInArrow(run, f"p long, chunk long, {kinds}")
+# ---- seatings
 
 
-class Words:
-    """Entries of a partition by word and context, and by word and parent of the context.
+@functools.cache
+def stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """log S[n, t], generalized Stirling numbers: ways, weighed by the discount, for n customers to sit at t tables."""
+    s = np.full((most + 1, most + 1), -np.inf)
+    s[0, 0] = 0.0
+    t = np.arange(1, most + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for n in range(most):
+            s[n + 1, 1:] = np.logaddexp(s[n, :-1], np.log(np.maximum(n - discount * t, 0)) + s[n, 1:])
+    return s
 
-    Contexts and parents are numbers from 0. What stays as it is through all sweeps may be left out of the entries; it adds `rest` customers and
-    tables to contexts, to pairs of word and parent, to parents and to words.
+
+def stirling_ratio(n: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """log S[n, t + 1] - log S[n, t] by the saddle point of their generating function ((1 - (1 - x)^d) / d)^t, for many customers.
+
+    The saddle solves (t + 1/2) d x (1 - x)^(d - 1) / (1 - (1 - x)^d) = n, which falls in 1 - x. The factor before the exponential makes
+    t of the t + 1 below. Against the recursion at 1,024 customers the error is under 0.05 for discounts from 0.3 and 0.15 at worst.
     """
+    lo, hi = np.full(np.shape(n), -60.0), np.full(np.shape(n), -1e-12)  # log(1 - x)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        u = np.exp(mid)
+        f = (t + 0.5) * discount * (1 - u) * np.exp((discount - 1) * mid) / -np.expm1(discount * mid)
+        lo, hi = np.where(f > n, mid, lo), np.where(f > n, hi, mid)
+    return np.log(-np.expm1(discount * (lo + hi) / 2)) - np.log(discount * t)
+
 
-    def __init__(self, hashes: np.ndarray, contexts: np.ndarray, n: np.ndarray, parents: np.ndarray | None = None):
-        contexts = contexts.astype(np.int64)
-        self.hashes, self.contexts, self.n = hashes, contexts, n.astype(np.int64)
-        self.words, word_of = np.unique(hashes, return_inverse=True)
-        parents = contexts // FAMILY if parents is None else parents
-        self.middle, self.middle_of = np.unique(parents * max(1, len(self.words)) + word_of, return_inverse=True)
-        self.script, self.middle_word = self.middle // max(1, len(self.words)), self.middle % max(1, len(self.words))
-        self.rest = [np.zeros(k) for k in (int(contexts.max(initial=-1)) + 1, len(self.middle), int(parents.max(initial=-1)) + 1, len(self.words))]
-
-    def active(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """(what sweeps need of a model, which entries have more than one customer, which pairs can have more than one)."""
-        many = self.n > 1
-        pairs = np.bincount(self.middle_of, self.n, len(self.middle)) > 1
-        at = np.cumsum(pairs) - 1
-        leaves, leaf = np.unique(self.contexts[many], return_inverse=True)
-        mids, mid = np.unique(self.script[pairs], return_inverse=True)
-        singles = [np.bincount(x[~many], minlength=k) for x, k in ((self.contexts, len(self.rest[0])), (self.middle_of, len(self.middle)))]
-        still = [np.bincount(x[~pairs], minlength=k) for x, k in ((self.script, len(self.rest[2])), (self.middle_word, len(self.words)))]
-        return [leaf, self.n[many], at[self.middle_of[many]], mid, self.middle_word[pairs], singles[0][leaves], singles[1][pairs], still[0][mids], still[1]], many, pairs
-
-    @classmethod
-    def of_active(cls, a: list[np.ndarray]) -> Words:
-        w = cls.__new__(cls)
-        w.contexts, w.n, w.middle_of, w.script, w.middle_word = (x.astype(np.int64) for x in a[:5])
-        w.rest = [x.astype(np.float64) for x in a[5:]]
-        return w
-
-    def counts(self, t2: np.ndarray, t1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Customers in the parents' restaurants and in the root."""
-        return self.rest[1] + np.bincount(self.middle_of, t2, len(self.rest[1])), self.rest[3] + np.bincount(self.middle_word, t1, len(self.rest[3]))
-
-    def totals(self, t2: np.ndarray, t1: np.ndarray, t0: np.ndarray) -> tuple:
-        """Tables and customers of all restaurants, level by level."""
-        c1, c0 = self.counts(t2, t1)
-        sums = lambda i, at, x: self.rest[i] + np.bincount(at, x, len(self.rest[i]))
-        return sums(0, self.contexts, t2), sums(0, self.contexts, self.n), sums(2, self.script, t1), sums(2, self.script, c1), t0.sum(), c0.sum()
-
-
-class Totals:
-    def __init__(self, x: tuple, known: int, discounts: tuple[float, float, float]):
-        self.t2, self.c2, self.t1, self.c1, self.t0, self.c0 = x
-        self.base = 1 / (known + 1)
-        self.d0, self.d1, self.d2 = discounts
-
-    def root(self, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
-        return (c0 - self.d0 * t0 + (STRENGTH + self.d0 * self.t0) * self.base) / (STRENGTH + self.c0)
-
-    def middle(self, script: np.ndarray, c1: np.ndarray, t1: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        return (c1 - self.d1 * t1 + (STRENGTH + self.d1 * self.t1[script]) * parent) / (STRENGTH + self.c1[script])
-
-    def leaf(self, context: np.ndarray, c2: np.ndarray, t2: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        return (c2 - self.d2 * t2 + (STRENGTH + self.d2 * self.t2[context]) * parent) / (STRENGTH + self.c2[context])
-
-
-def seat(n: np.ndarray, weight: np.ndarray, d: float, random: np.random.Generator) -> np.ndarray:
-    """Tables of n customers of a dish who come one after another: a new table is taken with weight against (seated - d tables).
-
-    The first 16 come singly, then a sixteenth of those seated at a time, drawn as one binomial.
+class Others:
+    """What one dish's number of tables depends on: its restaurant's tables without it, and the parent's chance of the dish for each new table.
+
+    parent(j), the chance after j tables, is (mine + j) / (all + j): the parent's customers without the dish's own, discounted, and the parent's base.
     """
+
+    def __init__(self, discount: float, tables: np.ndarray, mine: np.ndarray, total: np.ndarray, grows: bool = True):
+        self.d, self.tables, self.mine, self.total, self.grows = discount, tables, mine, total, grows
+
+    def of(self, at: np.ndarray) -> Others:
+        return Others(self.d, self.tables[at], self.mine[at], self.total[at], self.grows)
+
+    def new(self, t) -> np.ndarray:
+        """log of the weight of a table more, when the dish has t."""
+        j = t if self.grows else 0
+        return np.log(STRENGTH + self.d * (self.tables + t)) + np.log(self.mine + j) - np.log(self.total + j)
+
+
+def draw_tables(n: np.ndarray, o: Others, random: np.random.Generator) -> np.ndarray:
+    """The number of tables of dishes with n customers, each drawn given all others."""
     t = np.minimum(n, 1).astype(np.float64)
-    live = np.flatnonzero(n > 1)
-    seated = 1
-    while len(live):
-        come = np.minimum(max(1, seated // 16), n[live] - seated).astype(np.int64)
-        t[live] += random.binomial(come, weight[live] / (weight[live] + np.maximum(seated - d * t[live], 1e-9)))
-        seated += max(1, seated // 16)
-        live = live[n[live] > seated]
+    order = np.argsort(n, kind="stable")
+    order = order[np.searchsorted(n[order], 2) :]
+    small, large = np.split(order, [np.searchsorted(n[order], EXACT + 1)])
+    logs = stirling(o.d)
+    for size, a, b in _cut(n[small].astype(np.int64)):
+        for c in range(a, b, max(1, 2_000_000 // size)):  # a bounded matrix at once
+            at = small[c : min(b, c + max(1, 2_000_000 // size))]
+            own, steps = o.of(at), np.empty((len(at), size))
+            for j in range(size):
+                steps[:, j] = own.new(float(j))
+            t[at] = 1 + _pick(np.cumsum(steps, 1) + logs[size, 1 : size + 1], random)
+    if len(large):
+        t[large] = _draw_many(n[large].astype(np.float64), o.of(large), random)
     return t
 
 
-def seat_root(c0: np.ndarray, tables: float, d0: float, base: float, random: np.random.Generator) -> np.ndarray:
-    return seat(c0, np.full(len(c0), (STRENGTH + d0 * max(tables, 0)) * base), d0, random)
+def _pick(logs: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """A column of each row, with chances in proportion to exp(logs)."""
+    sums = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
+    return np.minimum((sums < random.random((len(logs), 1)) * sums[:, -1:]).sum(1), logs.shape[1] - 1)
 
 
-def seat_contexts(w: Words, t2: np.ndarray, t1: np.ndarray, p0: np.ndarray, g: Totals, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of both levels of contexts, given the root's probability of each pair's word."""
-    c1, _ = w.counts(t2, t1)
-    p1 = g.middle(w.script, c1, t1, p0)[w.middle_of]
-    t2 = seat(w.n, (STRENGTH + g.d2 * np.maximum(g.t2[w.contexts] - t2, 0)) * p1, g.d2, random)
-    c1, _ = w.counts(t2, t1)
-    return t2, seat(c1, (STRENGTH + g.d1 * np.maximum(g.t1[w.script] - t1, 0)) * p0, g.d1, random)
+#: Numbers of tables that a dish with many customers chooses among, spread over the bulk of its distribution.
+CHOICES = 128
 
 
-def sweep(w: Words, t2: np.ndarray, t1: np.ndarray, t0: np.ndarray, g: Totals, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A sweep of a model that is one partition."""
-    t2, t1 = seat_contexts(w, t2, t1, g.root(w.counts(t2, t1)[1], t0)[w.middle_word], g, random)
-    return t2, t1, seat_root(w.counts(t2, t1)[1], g.t0, g.d0, g.base, random)
+def _draw_many(n: np.ndarray, o: Others, random: np.random.Generator) -> np.ndarray:
+    """Dishes with many customers: the mode is where one table more weighs as much as not, and CHOICES values over eight deviations on each side are weighed."""
+    step = lambda t: o.new(t) + stirling_ratio(n, t, o.d)
+    lo, hi = np.zeros(len(n)), n - 1
+    for _ in range(64):
+        mid = np.floor((lo + hi) / 2)
+        up = step(np.maximum(mid, 1)) > 0
+        lo, hi = np.where(up & (lo < hi), mid + 1, lo), np.where(up, hi, np.minimum(mid, hi))
+    mode = np.maximum(lo, 1)
+    wide = np.maximum(1.0, np.sqrt(mode) / 8)
+    bend = (step(np.maximum(mode - wide, 1)) - step(np.minimum(mode + wide, n - 1))) / (2 * wide)
+    deviation = 1 / np.sqrt(np.maximum(bend, 1e-12))
+    gap = np.maximum(1, np.ceil(16 * np.minimum(deviation, n) / CHOICES))
+    first = np.maximum(1, np.floor(mode - gap * (CHOICES // 2)))
+    logs = np.zeros((len(n), CHOICES))
+    for k in range(1, CHOICES):
+        at = first + gap * k
+        logs[:, k] = np.where(at <= n, logs[:, k - 1] + gap * step(np.minimum(at - gap + (gap - 1) / 2, n - 1)), -np.inf)
+    return np.minimum(first + gap * (_pick(logs, random) + random.random(len(n))) // 1, n) if (gap > 1).any() else first + _pick(logs, random)
 
 
-def _model(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Training entries (word, one, two, n), sorted by one, word and two, and all words that come up, in training or not."""
-    h, a, g = (np.concatenate(x) for x in zip(*(_decoded(row) for _, row in frame.iterrows())))
-    n = np.concatenate([unpack(x, np.uint32) for x in frame["counts"]]).astype(np.int64)
-    words = np.unique(h)
-    h, a, g, n = (x[n > 0] for x in (h, a, g, n))
-    order = np.lexsort((g, h, a))
-    h, a, g, n = (x[order] for x in (h, a, g, n))
-    if len(h):
-        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (g[1:] != g[:-1])))
-        h, a, g, n = h[new], a[new], g[new], np.add.reduceat(n, new)
-    return h, a, g, n, words
+class Root:
+    """The root's customers, tables and their sums; base is the chance of one known word or the unknown one."""
 
+    def __init__(self, tables: float, customers: float, known: int, discount: float):
+        self.tables, self.customers, self.base, self.d = tables, customers, 1 / (known + 1), discount
 
-class Model:
-    """Entries with their contexts numbered: parents by the word before, contexts by the two words before."""
+    def mass(self, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
+        """What a word has of STRENGTH + customers."""
+        return np.maximum(c0 - self.d * np.minimum(t0, c0), 0) + (STRENGTH + self.d * self.tables) * self.base
 
-    def __init__(self, h: np.ndarray, a: np.ndarray, g: np.ndarray, n: np.ndarray):
-        self.ones, parents = np.unique(a, return_inverse=True)
-        self.twos, second = np.unique(g, return_inverse=True)
-        self.leaves, contexts = np.unique(parents * max(1, len(self.twos)) + second, return_inverse=True)
-        self.w = Words(h, contexts, n, parents)
-        self.by_entry = self.w.middle_of * max(1, len(self.twos)) + second
+    def chance(self, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
+        return self.mass(c0, t0) / (STRENGTH + self.customers)
 
-    def find(self, h: np.ndarray, a: np.ndarray, g: np.ndarray) -> tuple:
-        """(parent, context) of each asked entry, one past the last where there is none, and (place, found) of its pair and entry."""
-        one, has_one = _find(self.ones, a)
-        two, has_two = _find(self.twos, g)
-        word, has_word = _find(self.w.words, h)
-        pair = _find(self.w.middle, one * len(self.w.words) + word, has_one & has_word)
-        leaf, has_leaf = _find(self.leaves, one * len(self.twos) + two, has_one & has_two)
-        entry = _find(self.by_entry, pair[0] * len(self.twos) + two, pair[1] & has_two)
-        return np.where(has_one, one, len(self.ones)), np.where(has_leaf, leaf, len(self.leaves)), pair, entry
 
+def sweep_pairs(n: np.ndarray, t: np.ndarray, tables: np.ndarray, c0: np.ndarray, t0: np.ndarray, root: Root, discount: float, random: np.random.Generator) -> np.ndarray:
+    """New numbers of tables of pairs, given the tables of their restaurants and their words' customers and tables in the root, their own t in all of these."""
+    return draw_tables(n, Others(discount, np.maximum(tables - t, 0), root.mass(np.maximum(c0 - t, 0), t0), STRENGTH + np.maximum(root.customers - t, 0)), random)
 
-def _packed(arrays: list[np.ndarray]) -> list[bytes]:
-    return [pack(x.astype(np.uint32)) for x in arrays]
 
+def sweep_root(c0: np.ndarray, t0: np.ndarray, tables: float, base: float, discount: float, random: np.random.Generator) -> np.ndarray:
+    full = np.ones(len(c0))
+    return draw_tables(c0, Others(discount, np.maximum(tables - t0, 0), base * full, full, grows=False), random)
 
-def _unpacked(data, kind=np.uint32) -> list[np.ndarray]:
-    return [unpack(x, kind) for x in data]
 
+def predictive(n: np.ndarray, t: np.ndarray, tables: np.ndarray, customers: np.ndarray, parent: np.ndarray, discount: float) -> np.ndarray:
+    """The chance of a word after another: customers and tables of the pair, and of the restaurant."""
+    return (np.maximum(n - discount * t, 0) + (STRENGTH + discount * tables) * parent) / (STRENGTH + customers)
 
-STATE = "p long, words binary, at binary, active array<binary>, tables array<binary>, roots array<binary>"
 
+# ---- the distributed model
 
-def _root(state: DataFrame, roots: int, what: str, given: tuple[float, float, float, int] | None) -> DataFrame:
-    """(p, q, root) by partition and partition of the root: customers and tables of p's words in the root; sums on one row of each q.
 
-    Without `given` (discount, tables, known words' base, round), the training tokens of the words and their pairs instead.
+def _packed(arrays: list[np.ndarray]) -> list[bytes]:
+    return [pack(np.asarray(x).astype(np.uint32)) for x in arrays]
+
+
+def _unpacked(data) -> list[np.ndarray]:
+    return [unpack(x, np.uint32).astype(np.int64) for x in data]
+
+
+def gathered(frame: pd.DataFrame) -> pd.DataFrame:
+    """One partition's pairs, sorted: words, places of word and word before among them, training counts; and the pairs of each chunk as places among these."""
+    names = [unpack(x, U) for x in frame["names"]]
+    words, at = np.unique(np.concatenate(names), return_inverse=True)
+    cuts, keys, counts = np.cumsum([0, *map(len, names)]), [], []
+    for i, (w, b, n) in enumerate(zip(frame["word"], frame["before"], frame["counts"])):
+        own = at[cuts[i] : cuts[i + 1]].astype(np.int64)
+        keys.append(own[unpack(b, np.uint32)] * len(words) + own[unpack(w, np.uint32)])
+        counts.append(unpack(n, np.uint32))
+    pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(place, np.concatenate(counts), len(pairs)).astype(np.int64)
+    asked = np.split(place.astype(np.uint32), np.cumsum([len(k) for k in keys])[:-1])
+    word, before, many = pairs % len(words), pairs // len(words), n > 1
+    single = lambda x: np.bincount(x[n == 1], minlength=len(words))
+    return pd.DataFrame({
+        "p": [frame["p"].iloc[0]], "words": [pack(words)], "pairs": [_packed([word, before, n])], "chunks": [[int(x) for x in frame["chunk"]]], "asked": [[pack(x) for x in asked]],
+        "active": [_packed([word[many], before[many], n[many], single(word), single(before)])], "seated": [_packed([np.ones(int(many.sum())), np.zeros(len(words))])],
+        "fixed": [_packed([np.bincount(word, n, len(words)), np.bincount(before, n, len(words)), np.bincount(word[n > 0], minlength=len(words))])], "few": [[float((n == 1).sum()), float((n == 2).sum())]],
+    })
+
+
+def _by_word(state: DataFrame, roots: int, what: str, values, add, largest: int, sums: int) -> DataFrame:
+    """(p, q, got, total): numbers of p's words, put together over all partitions by the words' home q and sent back.
+
+    values(row) gives arrays by p's words, of which the first ones are added up and the last `largest` ones alike in all partitions;
+    add(q, arrays) gives all arrays to send back, and `sums` numbers of which each home has its part.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words, at = unpack(row["words"], U), unpack(row["at"], np.uint32)
-                if given:
-                    _, own = Words.of_active(_unpacked(row["active"])).counts(*(x.astype(np.float64) for x in _unpacked(row["tables"][-2:])))
-                    values = [np.zeros(len(words))]
-                    values[0][at] = own
-                else:
-                    values = [np.zeros(len(words)), np.zeros(len(words))]
-                    for v, x in zip(values, _unpacked(row["roots"])):
-                        v[at] = x
+                words, own = unpack(row["words"], U), values(row)
                 for q, a, b in _cut(_home(words, roots)):
-                    yield pa.RecordBatch.from_pydict({"q": pa.array([q], pa.int64()), "p": pa.array([row["p"]], pa.int64()), "words": pa.array([pack(words[a:b])], pa.binary()), "sent": pa.array([_packed([v[a:b] for v in values])], pa.list_(pa.binary()))})
+                    yield pa.RecordBatch.from_pydict({"q": pa.array([q], pa.int64()), "p": pa.array([row["p"]], pa.int64()), "words": pa.array([pack(words[a:b])], pa.binary()), "sent": pa.array([_packed([v[a:b] for v in own])], pa.list_(pa.binary()))})
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
+    def home(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("p")
         lists = [unpack(x, U) for x in frame["words"]]
         words, at = np.unique(np.concatenate(lists), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([unpack(x[i], np.uint32) for x in frame["sent"]]), len(words)) for i in range(len(frame["sent"].iloc[0]))]
-        if given:
-            d0, tables, base, round_ = given
-            t0 = np.zeros(len(words))
-            real = np.flatnonzero(sums[0])
-            t0[real] = seat_root(sums[0][real], tables, d0, base, np.random.default_rng((int(frame["q"].iloc[0]), round_, 1)))
-            sums.append(t0)
-            total = [float(t0.sum()), float(sums[0].sum())]
-        else:
-            total = [float((sums[0] > 0).sum()), float(sums[0].sum()), *(float((sums[1] == k).sum()) for k in (1, 2))]
+        own = []
+        width = len(frame["sent"].iloc[0])
+        for i in range(width):
+            x = np.concatenate([unpack(s[i], np.uint32) for s in frame["sent"]]).astype(np.float64)
+            own.append(np.bincount(at, x, len(words)))
+            if i >= width - largest:
+                own[-1][at] = x
+        out, total = add(int(frame["q"].iloc[0]), own)
         ends = np.cumsum([len(x) for x in lists])
-        rows = [_packed([s[at[e - len(x) : e]] for s in sums]) for x, e in zip(lists, ends)]
-        return pd.DataFrame({"p": frame["p"], "q": frame["q"], "root": rows, "total": [total, *[[]] * (len(rows) - 1)]})
+        rows = [_packed([s[at[e - len(x) : e]] for s in out]) for x, e in zip(lists, ends)]
+        return pd.DataFrame({"p": frame["p"], "q": frame["q"], "got": rows, "total": [total, *[[]] * (len(rows) - 1)]})
 
     sent = state.mapInArrow(send, "q long, p long, words binary, sent array<binary>")
-    return written(sent.groupBy("q").applyInPandas(add, "p long, q long, root array<binary>, total array<double>"), what)
+    return written(sent.groupBy("q").applyInPandas(home, "p long, q long, got array<binary>, total array<double>"), what)
 
 
-def _sums(root: DataFrame, n: int) -> list[float]:
-    row = root.agg(*(F.sum(F.get("total", F.lit(i))).alias(f"x{i}") for i in range(n))).first()
+def _sums(got: DataFrame, n: int) -> list[float]:
+    row = got.agg(*(F.sum(F.get("total", F.lit(i))).alias(f"x{i}") for i in range(n))).first()
     return [row[f"x{i}"] or 0.0 for i in range(n)]
 
 
-def _joined(root: pd.DataFrame) -> list[np.ndarray]:
-    """The root's numbers for all words of a partition."""
-    rows = [_unpacked(x) for x in root.sort_values("q")["root"]]
-    return [np.concatenate(x).astype(np.float64) for x in zip(*rows)]
+def _joined(got: pd.DataFrame) -> list[np.ndarray]:
+    """The homes' numbers for all words of a partition, whose words are sorted as their homes are."""
+    rows = [_unpacked(x) for x in got.sort_values("q")["got"]]
+    return [np.concatenate(x) for x in zip(*rows)]
+
+
+def _moving(row) -> list[np.ndarray]:
+    """By p's words: customers in the root and tables of restaurants as its pairs' tables stand, and the root's last tables."""
+    word, before, _, single_w, single_b = _unpacked(row["active"])
+    t, t0 = _unpacked(row["seated"])
+    return [single_w + np.bincount(word, t, len(single_w)), single_b + np.bincount(before, t, len(single_b)), t0]
+
 
+def _seat_pairs(root: Root, discount: float, round_: int, keep: bool, go_on: bool):
+    """A partition's step of a sweep: keep the seatings as they stand as a sample, and draw its pairs' tables anew."""
 
-def fit_model(chunks: DataFrame, parts: int) -> tuple[DataFrame, list[tuple], int, int]:
-    """(entries and seatings by partition, tables and customers of each sample's root with the discounts, training tokens, known words)."""
+    def run(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        row, (c0, tables, t0) = own.iloc[0], _joined(got)
+        samples, seated = list(row["samples"]), []
+        word, before, n, _, _ = _unpacked(row["active"])
+        t = _unpacked(row["seated"])[0]
+        if keep:
+            samples += _packed([t, c0, t0, tables])
+        if go_on:
+            t = sweep_pairs(n, t, tables[before], c0[word], t0[word], root, discount, np.random.default_rng((int(row["p"]), round_)))
+            seated = _packed([t, t0])
+        return pd.DataFrame({"p": [row["p"]], "words": [row["words"]], "active": [list(row["active"])], "seated": [seated], "samples": [samples]})
 
-    def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        h, a, g, n, words = _model(frame)
-        w = Model(h, a, g, n).w
-        active, _, _ = w.active()
-        pairs = np.bincount(w.middle_of, minlength=len(w.middle))
-        few = [float((x == k).sum()) for x in (n, pairs) for k in (1, 2)]
-        tables = [np.ones(len(active[0])), np.ones(len(active[3]))]
-        first = [np.bincount(w.middle_word[w.middle_of], n, len(w.words)), np.bincount(w.middle_word, minlength=len(w.words))]
-        coded = {k: [x] for k, x in zip(("names", "word", "one", "two"), _coded(h, a, g))}
-        return pd.DataFrame({"p": [frame["p"].iloc[0]], "words": [pack(words)], "at": [pack(np.searchsorted(words, w.words).astype(np.uint32))], "active": [_packed(active)], "tables": [_packed(tables)], "roots": [_packed(first)], **coded, "n": [pack(n.astype(np.uint32))], "few": [few]})
+    return run
 
-    model = written(_dealt(chunks, parts, counts=True).groupBy("p").applyInPandas(gather, f"{STATE}, names binary, word binary, one binary, two binary, n binary, few array<double>"), "model")
-    few = model.agg(*(F.sum(F.col("few")[i]).alias(f"f{i}") for i in range(4))).first()
+
+def fit_model(chunks: DataFrame, parts: int) -> tuple[DataFrame, list[Root], float, int, int]:
+    """(p, words, pairs, chunks, asked, fixed, samples), the root of each sample, the restaurants' discount, training tokens, known words.
+
+    fixed: training tokens of p's words, and customers of their restaurants; samples: for each one the active pairs' tables, and by p's words
+    their customers and tables in the root and the tables of their restaurants.
+    """
+    model = written(_dealt(chunks, parts).groupBy("p").applyInPandas(gathered, "p long, words binary, pairs array<binary>, chunks array<long>, asked array<binary>, active array<binary>, seated array<binary>, fixed array<binary>, few array<double>"), "model")
     roots = max(1, parts // 8)
-    names = [x.split()[0] for x in STATE.split(", ")]
-    state = model.select(*names)
-    counts = _root(state, roots, "counts", None)
-    known, tokens, one, two = _sums(counts, 4)
-    # discounts by the counts of dishes with one and two customers, level by level, as the seatings start
-    share = lambda a, b: min(0.95, max(0.05, a / max(1.0, a + 2 * b)))
-    discounts = share(one, two), share(few["f2"] or 0, few["f3"] or 0), share(few["f0"] or 0, few["f1"] or 0)
-    base = 1 / (known + 1)
-
-    def seated(round_: int, sums: tuple):
-        def run(own: pd.DataFrame, root: pd.DataFrame) -> pd.DataFrame:
-            row, (c0, t0) = own.iloc[0], _joined(root)
-            w = Words.of_active(_unpacked(row["active"]))
-            t2, t1 = (x.astype(np.float64) for x in _unpacked(row["tables"][-2:]))
-            g = Totals((*w.totals(t2, t1, np.zeros(1))[:4], *sums), known, discounts)
-            at = unpack(row["at"], np.uint32)
-            new = seat_contexts(w, t2, t1, g.root(c0, t0)[at][w.middle_word], g, np.random.default_rng((int(row["p"]), round_)))
-            kept, roots_ = (list(row["tables"]), [*row["roots"], *_packed([c0, t0])]) if round_ > BURN + 1 else ([], [])
-            return pd.DataFrame({"p": [row["p"]], "words": [row["words"]], "at": [row["at"]], "active": [list(row["active"])], "tables": [[*kept, *_packed(list(new))]], "roots": [roots_]})
-
-        return run
-
-    samples, old, tables = [], [], known
+    count = lambda q, own: (own[:2], [float((own[0] > 0).sum()), float(own[0].sum()), *(float((own[2] == k).sum()) for k in (1, 2))])
+    fixed = _by_word(model.select("p", "words", "fixed"), roots, "fixed", lambda row: _unpacked(row["fixed"]), count, 0, 4)
+    known, tokens, one, two = _sums(fixed, 4)
+    few = model.agg(*(F.sum(F.col("few")[i]).alias(f"f{i}") for i in range(2))).first()
+    # discounts by the numbers of dishes with one and two customers, as the seatings start
+    share = lambda a, b: round(min(0.95, max(0.05, a / max(1.0, a + 2 * b))), 3)
+    d0, d1 = share(one, two), share(few["f0"] or 0, few["f1"] or 0)
+    kinds = "p long, words binary, active array<binary>, seated array<binary>, samples array<binary>"
+    state = model.select("p", "words", "active", "seated", F.expr("cast(array() as array<binary>)").alias("samples"))
+    total, drawn, old = known, [], []
     for round_ in range(1, BURN + SAMPLES + 2):
-        root = _root(state, roots, "root", (discounts[0], tables, base, round_))
-        tables, customers = sums = tuple(_sums(root, 2))
+
+        def seat_root(q: int, own: list[np.ndarray], round_=round_, total=total) -> tuple:
+            c0, tables, last = own
+            t0 = sweep_root(c0, np.minimum(last, c0), total, 1 / (known + 1), d0, np.random.default_rng((q, round_, 1)))
+            return [c0, tables, t0], [float(t0.sum()), float(c0.sum())]
+
+        got = _by_word(state, roots, "root", _moving, seat_root, 1, 2)
+        root = Root(*_sums(got, 2), int(known), d0)
+        total = root.tables
         if round_ > BURN + 1:
-            samples.append(sums)
-        if round_ == BURN + SAMPLES + 1:
-            break
-        state = written(state.groupBy("p").cogroup(root.groupBy("p")).applyInPandas(seated(round_, sums), STATE), "seating")
-        forget(root, *old)
+            drawn.append(root)
+
+        seat = _seat_pairs(root, d1, round_, round_ > BURN + 1, round_ <= BURN + SAMPLES)
+        state = written(state.groupBy("p").cogroup(got.groupBy("p")).applyInPandas(seat, kinds), "seating")
+        forget(got, *old)
         old = [state]
 
     def seal(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        row = own.iloc[0]
-        ends = [*_joined(got[got["kind"] == 0]), _joined(got[got["kind"] == 1])[0]]
-        return pd.DataFrame({"p": [row["p"]], "tables": [list(row["tables"])], "roots": [[*row["roots"], *_packed(ends)]]})
+        return pd.DataFrame({"p": [own["p"].iloc[0]], "samples": [list(own["samples"].iloc[0])], "fixed": [_packed(_joined(got))]})
 
-    got = root.select("p", "q", "root", F.lit(0).alias("kind")).union(counts.select("p", "q", "root", F.lit(1).alias("kind")))
-    sealed = written(state.groupBy("p").cogroup(got.groupBy("p")).applyInPandas(seal, "p long, tables array<binary>, roots array<binary>"), "sealed")
-    forget(state, root, counts)
-    return model.select("p", "words", "names", "word", "one", "two", "n").join(sealed, "p"), [(x, discounts) for x in samples], int(tokens), int(known)
+    sealed = written(state.groupBy("p").cogroup(fixed.groupBy("p")).applyInPandas(seal, "p long, samples array<binary>, fixed array<binary>"), "sealed")
+    forget(state, fixed)
+    return model.select("p", "words", "pairs", "chunks", "asked").join(sealed, "p"), drawn, d1, int(tokens), int(known)
 
 
 def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -400,56 +413,47 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
 
     Training texts are those whose crc32(doc_id as text) modulo folds isn't fold; a null id trains. Words are cut at ASCII white space
     after A-Z are lower-cased; each text ends in one end token. Null and empty texts are the end token alone. Without training texts every
-    word is unknown and has probability 1. Repeated rows count again; an empty table gives no rows; other columns play no part.
+    word is unknown and has probability 1. Repeated rows count again; an empty table gives no rows; other columns play no part. Very long texts
+    are one row of a chunk as any other. The result depends on the texts and PART alone, not on how the scan is split.
 
-    Scale: texts are read once into chunks of about 8 MB. Each chunk's distinct (word, two words before) meet the model by partitions
-    of the word before, each row of a shuffle one chunk's share of one partition. The model grows with the corpus and is never in one
-    place; what follows one word, with all words before that, is in one.
+    Scale: texts are read once into chunks of about 8 MB. Each chunk's distinct pairs of words are dealt over partitions by both words, each
+    row of that only large shuffle one chunk's share of one partition; partitions keep which pairs each chunk asked for and answer
+    from the model, so texts and pairs move once. The model grows with the corpus and is never in one place.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
     chunks = written(_chunks(by_doc(docs).withColumn("held", held)), "chunks")
     parts = max(1, -(-int(chunks.agg(F.sum("n")).first()[0] or 0) // PART))
-    model, samples, tokens, known = fit_model(chunks, parts)
-
-    def reply(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(asked):
-            row = model.iloc[0]
-            words, roots = unpack(row["words"], U), [x.astype(np.float64) for x in _unpacked(row["roots"])]
-            m = Model(*_decoded(row), unpack(row["n"], np.uint32))
-            w, tables = m.w, _unpacked(row["tables"])
-            _, many, pairs = w.active()
-            count, drawn = roots[-1], []
-            for (sums, discounts), x2, x1, c0, t0 in zip(samples, tables[0::2], tables[1::2], roots[0:-1:2], roots[1:-1:2]):
-                t2, t1 = np.ones(len(w.n)), np.ones(len(w.middle))
-                t2[many], t1[pairs] = x2, x1
-                totals = w.totals(t2, t1, np.zeros(1))[:4]
-                g = Totals((*(np.append(x, 0.0) for x in totals), *sums), known, discounts)  # the last restaurant is an empty one
-                drawn.append((g, t2, t1, w.counts(t2, t1)[0], g.root(c0, t0)))
-            for _, ask in asked.iterrows():
-                h, a, b = _decoded(ask)
-                parent, context, pair, entry = m.find(h, a, b)
-                at, n, p = np.searchsorted(words, h), _at(w.n, *entry), np.zeros(len(h))
-                for g, t2, t1, c1, p0 in drawn:
-                    p1 = g.middle(parent, _at(c1, *pair), _at(t1, *pair), p0[at])
-                    p += g.leaf(context, n, _at(t2, *entry), p1) / len(samples)
-                rows.append((ask["chunk"], row["p"], pack(np.log10(np.minimum(p, 1)).astype(np.float32)), pack(count[at].astype(np.uint32))))
-        return pd.DataFrame(rows, columns=["chunk", "p", "logs", "counts"])
-
-    asked = _dealt(chunks, parts, counts=False)
-    replies = asked.groupBy("p").cogroup(model.groupBy("p")).applyInPandas(reply, "chunk long, p long, logs binary, counts binary")
+    model, roots, d1, tokens, known = fit_model(chunks, parts)
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                word, before, n = _unpacked(row["pairs"])
+                count, customers = _unpacked(row["fixed"])
+                many, samples = n > 1, _unpacked(row["samples"])
+                t, p = np.minimum(n, 1), np.zeros(len(n))
+                for root, x, c0, t0, tables in zip(roots, samples[0::4], samples[1::4], samples[2::4], samples[3::4]):
+                    t[many] = x
+                    p += predictive(n, t, tables[before], customers[before], root.chance(c0, t0)[word], d1) / len(roots)
+                logs = np.round(-np.log10(np.minimum(p, 1)) * FINE).astype(np.uint32)
+                for chunk, asked in zip(row["chunks"], row["asked"]):
+                    at = unpack(asked, np.uint32)
+                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "p": pa.array([row["p"]], pa.int64()), "logs": pa.array([pack(logs[at])], pa.binary()), "counts": pa.array([pack(count[word[at]].astype(np.uint32))], pa.binary())})
+
+    replies = model.mapInArrow(reply, "chunk long, p long, logs binary, counts binary")
 
     def add(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        got = got.sort_values("p")
-        logs = np.concatenate([unpack(x, np.float32) for x in got["logs"]]).astype(np.float64)
-        counts = np.concatenate([unpack(x, np.uint32) for x in got["counts"]]).astype(np.int64)
+        row, got = own.iloc[0], got.sort_values("p")
+        sizes, hashes = np.asarray(row["sizes"], np.int64), unpack(row["hashes"], U)
+        word, before, seq = entries(hashes, unpack(row["seq"], np.uint32), sizes)
+        order = np.argsort(pair_home(hashes[before], hashes[word], parts), kind="stable")  # as they were dealt
+        logs, counts = np.empty(len(word)), np.empty(len(word), np.int64)
+        logs[order] = np.concatenate([unpack(x, np.uint32) for x in got["logs"]]) / -FINE
+        counts[order] = np.concatenate([unpack(x, np.uint32) for x in got["counts"]])
         base = np.log10((counts + 1) / (tokens + known + 1))
-        row = own.iloc[0]
-        sizes = np.asarray(row["sizes"], np.int64)
-        seq = entries(unpack(row["hashes"], U), unpack(row["seq"], np.uint32), sizes)[3]
         starts = np.cumsum(sizes) - sizes
         sums = lambda x: np.add.reduceat(x[seq], starts)
-        return pd.DataFrame({"doc_id": pd.array(_ids(row["docs"]), "Int64"), "held_out": row["held"], "n_tokens": sizes, "n_known": sums((counts > 0).astype(np.int64)), "train_tokens": tokens, "base_score": sums(base), "score": sums(logs)})
+        return pd.DataFrame({"doc_id": pd.array(_ids(row["docs"]), "Int64"), "held_out": row["held"], "n_tokens": sizes, "n_known": sums((counts > 0).astype(np.int64)), "train_tokens": tokens, "base_score": sums(base), "score": sums(logs) + 0.0})
 
     mine = chunks.select("chunk", "docs", "held", "sizes", "hashes", "seq")
     return mine.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -457,16 +461,3 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
 
 def _ids(ids) -> list[int | None]:
     return [None if x is None or x != x else int(x) for x in ids]
-
-
-def _find(sorted_: np.ndarray, keys: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(place, found) of keys in a sorted array."""
-    if not len(sorted_):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
-    found = sorted_[at] == keys
-    return at, found if among is None else found & among
-
-
-def _at(values: np.ndarray, at: np.ndarray, found: np.ndarray) -> np.ndarray:
-    return np.where(found, values[at], 0) if len(values) else np.zeros(len(at))
