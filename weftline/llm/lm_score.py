@@ -177,6 +177,9 @@ class Others:
     def of(self, at: np.ndarray) -> Others:
         return Others(self.d, self.tables[at], self.mine[at], self.total[at], self.grows)
 
+    def column(self) -> Others:
+        return Others(self.d, self.tables[:, None], self.mine[:, None], self.total[:, None], self.grows)
+
     def new(self, t) -> np.ndarray:
         """log of the weight of a table more, when the dish has t."""
         j = t if self.grows else 0
@@ -189,14 +192,13 @@ def draw_tables(n: np.ndarray, o: Others, random: np.random.Generator) -> np.nda
     order = np.argsort(n, kind="stable")
     order = order[np.searchsorted(n[order], 2) :]
     small, large = np.split(order, [np.searchsorted(n[order], EXACT + 1)])
-    logs = stirling(o.d)
-    for size, a, b in _cut(n[small].astype(np.int64)):
-        for c in range(a, b, max(1, 2_000_000 // size)):  # a bounded matrix at once
-            at = small[c : min(b, c + max(1, 2_000_000 // size))]
-            own, steps = o.of(at), np.empty((len(at), size))
-            for j in range(size):
-                steps[:, j] = own.new(float(j))
-            t[at] = 1 + _pick(np.cumsum(steps, 1) + logs[size, 1 : size + 1], random)
+    logs, sizes, a = stirling(o.d), n[small].astype(np.int64), 0
+    while a < len(small):
+        most = int(sizes[a]) * 5 // 4  # sizes that are not far apart share a matrix of bounded size; what is beyond a size has no chance
+        b = min(int(np.searchsorted(sizes, most, side="right")), a + max(1, 1_000_000 // most))
+        at, most = small[a:b], int(sizes[b - 1])
+        t[at] = 1 + _pick(np.cumsum(o.of(at).column().new(np.arange(most, dtype=np.float64)), 1) + logs[sizes[a:b], 1 : most + 1], random)
+        a = b
     if len(large):
         t[large] = _draw_many(n[large].astype(np.float64), o.of(large), random)
     return t
