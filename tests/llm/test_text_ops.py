@@ -2,6 +2,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -222,9 +223,18 @@ def test_nearest(spark):
 
 def test_blocks():
     page = '<html><head><title>t</title><style>p{}</style></head><body><header>h</header><nav><a href="/x">n</a></nav><div class="ad">a</div><article><h1>A &amp; B</h1><p>one<br>two\n three<p>four <b>five</b><script>var x="</p>";</script><aside>s</aside><div class="comments"><p>c</p></div></article><footer>&copy; f</footer>'
-    assert html_text.page_blocks(page) == [(2, "A & B"), (2, "one two three"), (2, "four five")]
+    assert html_text.page_blocks(page) == [(-1, "h"), (-1, "n"), (-1, "a"), (2, "A & B"), (2, "one two three"), (2, "four five"), (-1, "s"), (-1, "c"), (-1, "© f")]
     assert html_text.page_blocks("") == [] and html_text.page_blocks("plain < text") == [(0, "plain < text")]
-    assert html_text.page_blocks("<p>a<!-- x -->b</p><form>f</form><p hidden>h</p><p>c &nbsp; d &#233;") == [(0, "ab"), (0, "c d é")]
+    assert html_text.page_blocks("<p>a<!-- x -->b</p><form>f</form><p hidden>h</p><p>c &nbsp; d &#233;") == [(0, "ab"), (-1, "f"), (-1, "h"), (0, "c d é")]
+    assert html_text.page_blocks("<p>a <button>x</button>b</p>") == [(-1, "x"), (0, "a b")]
+
+
+def test_nesting_takes_time_in_proportion():
+    began = time.perf_counter()
+    for n in (50_000, 100_000):
+        assert html_text.page_blocks("<div>" * n + "t" + "</b>" * n) == [(0, "t")]
+        assert len(html_text.page_blocks("<b>" * n + "<p>t</p>" * n)) == n
+    assert time.perf_counter() - began < 20
 
 
 def test_suffix_array_against_brute_force():
@@ -248,6 +258,13 @@ def test_extract(spark):
     df = spark.createDataFrame([(*x, "c", 1) for x in rows], "page_id long, url string, html string, text string, host int")
     got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_text(df).collect()), key=str)
     want = [(i, t := f"{i} is the text of page {i}", len(t)) for i in range(5)] + [(9, "", 0), (9, "", 0), (7, "kept", 4)]
+    # what marked pages have outside of their articles tells the boilerplate of unmarked ones; lines inside of articles stay
+    line = "this very line of more than eight words stands everywhere"
+    rows += [(100 + i, "http://k.org/", f"<nav>{line}</nav><article><p>{line}</p><p>article {i}</p></article><div>{i}</div>") for i in range(3)]
+    rows += [(110, "http://k.org/", f"<p>{line}</p><p>own words {'very ' * 200_000}long</p>")]
+    want += [(100 + i, t := f"{line}\n\narticle {i}", len(t)) for i in range(3)] + [(110, t := f"own words {'very ' * 200_000}long", len(t))]
+    df = spark.createDataFrame([(*x, "c", 1) for x in rows], "page_id long, url string, html string, text string, host int")
+    got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_text(df).collect()), key=str)
     assert got == sorted(want, key=str)
     assert html_text.extract_text(df.limit(0)).count() == 0
 
