@@ -29,7 +29,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_decode(docs, tokenizer_path("word_bpe_49k.json"))
+    return encode_decode(docs, tokenizer_path("word_bpe_49k.json"), keep=("ids",))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("tokenize", tokenize)]

@@ -180,6 +180,39 @@ def test_myers_and_pieces():
         assert decontaminate.Matcher([(5, item)]).matches(text)
 
 
+def test_distance_and_end_against_brute_force():
+    r = random.Random(5)
+
+    def slow(item, text):
+        """(distance, end) of the first substring that is nearest to the item."""
+        row = [0] * (len(text) + 1)
+        for i, a in enumerate(item, 1):
+            row, up = [i] + row[1:], row
+            for j, b in enumerate(text, 1):
+                row[j] = min(up[j] + 1, row[j - 1] + 1, up[j - 1] + (a != b))
+        return min((d, j) for j, d in enumerate(row))
+
+    for _ in range(40):
+        items = [(k, vocabulary(r, 12, 40)) for k in range(3)]
+        text = vocabulary(r, 5, 40)
+        for _ in range(r.randint(0, 4)):
+            copy = list(r.choice(items)[1])
+            for _ in range(r.randint(0, 7)):
+                copy[r.randrange(len(copy))] = r.choice("xyz ")
+            text += " " + "".join(copy) + " " + vocabulary(r, r.randint(1, 8), 40)
+        text = decontaminate.normalized(text)
+        want = [(k, *slow(t, text), len(t)) for k, t in items]
+        assert decontaminate.Matcher(items).matches(text) == [w for w in want if w[1] <= w[3] // decontaminate.PER_EDIT]
+
+
+def test_texts_that_repeat_themselves_are_searched_once():
+    item = "the quick brown fox jumps over the lazy dog and runs away from all of it"
+    began = time.perf_counter()
+    for n in (2_000, 8_000):
+        assert decontaminate.Matcher([(1, item)]).matches("the quick brown fox jumps over a dog " * n) == []
+    assert time.perf_counter() - began < 20
+
+
 def test_find_and_drop(spark):
     item = "This is a test item, of quite some words and length."
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "", "x"), (1, item, "x")], "item_id long, text string, doc_id string")
@@ -301,6 +334,49 @@ def test_quality(spark):
     assert quality.score_quality(df.limit(0), labels).count() == 0
 
 
+def test_dual_coordinate_descent_against_a_slow_solver():
+    """The model's margin loss is that of projected gradient ascent on the same dual."""
+    r = np.random.default_rng(2)
+    labels = np.array([1, 0] * 15)
+    samples = [np.unique(r.integers(0, 40, 12) + (8 if y else 0)) for y in labels]
+    model = quality.fit(samples, labels, epochs=2000)
+    x = np.zeros((30, 48))
+    for i, bins in enumerate(samples):
+        ratio = model.ratio[bins].astype(float)
+        x[i, bins] = ratio / np.sqrt((ratio**2).sum())
+    y = np.where(labels == 1, 1.0, -1.0)
+    p, q = (1 + np.array([[b in s for b in range(48)] for s, k in zip(samples, labels) if k == c]).sum(0) for c in (1, 0))
+    rest = (1 << quality.BITS) - 48
+    want = np.log(p / (p.sum() + rest)) - np.log(q / (q.sum() + rest))
+    seen = (p > 1) | (q > 1)
+    assert np.allclose(model.ratio[:48][seen], want[seen], atol=1e-5)
+    gram, alpha = (x * y[:, None]) @ (x * y[:, None]).T, np.zeros(30)
+    for _ in range(200_000):
+        alpha = np.clip(alpha + 0.02 * (1 - gram @ alpha), 0, 1)
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
+    assert abs(loss(model.weights[:48].astype(float)) - loss((alpha * y) @ x)) < 1e-2
+
+
+def test_whole_words_make_shapes_and_repeated_ids_are_fixed(spark):
+    assert quality._shape("a" * 50 + "1") != quality._shape("a" * 50)
+    rows = [(i, f"good text number {i} of many" if i % 2 else "BUY!! NOW!!") for i in range(60)]
+    twice = rows + [(3, "BUY!! other"), (4, "good other text")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    one = {r["doc_id"]: r["score"] for r in quality.score_quality(frame(spark, twice), labels).where("doc_id > 10").collect()}
+    two = {r["doc_id"]: r["score"] for r in quality.score_quality(frame(spark, twice[::-1]).repartition(3), labels).where("doc_id > 10").collect()}
+    assert one == two
+
+
+def test_keep_quality_of_null_empty_and_nothing(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = [(i, f"good text number {i}" if i % 2 else "BUY!! NOW!!") for i in range(40)] + [(50, None), (51, ""), (None, "good text"), (52, "good text " * 100_000)]
+    df = frame(spark, rows)
+    by = {r["doc_id"]: r["predicted"] for r in quality.score_quality(df, labels).collect()}
+    kept = quality.keep_quality(df, labels)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, p in by.items() if p}
+    assert by[50] == by[51] and quality.keep_quality(df.limit(0), labels).count() == 0 and quality.keep_quality(df, labels.limit(0)).count() == len(rows)
+
+
 # ---- language model
 
 

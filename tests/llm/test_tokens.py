@@ -51,7 +51,7 @@ def test_codec_equals_library(spark):
     lib = Tokenizer.from_file(WORDS)
     sha = lambda b: hashlib.sha256(b).hexdigest()
     for size in (5, 1000):
-        got = bpe_codec.encode_decode(df, WORDS, size, keep=True).collect()
+        got = bpe_codec.encode_decode(df, WORDS, size, keep=("ids", "decoded")).collect()
         want = {}
         for t, i in rows:
             ids = lib.encode(t or "", add_special_tokens=False).ids
@@ -92,18 +92,39 @@ def test_token_records(spark, tmp_path):
     df, rows = docs(spark)
     lib = Tokenizer.from_file(WORDS)
     files = token_output.write_token_records(df, WORDS, 2, f"file://{tmp_path}")
-    got = sorted(tuple(r) for r in token_output.read_token_records(files).collect())
+    got = sorted((tuple(r) for r in token_output.read_token_records(files).collect()), key=lambda x: x[1])
     start, want = 0, []
-    for t, i in sorted(((t, i) for t, i in rows if i is not None), key=lambda x: x[1]):
+    for t, i in sorted(rows, key=lambda x: -1 if x[1] is None else x[1]):  # null ids come first
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
         start += len(ids)
     assert got == want
     offsets = token_output.shuffled_offsets(spark, files, 1).collect()
-    assert sorted(r["doc_id"] for r in offsets) == [w[0] for w in want] and [r["doc_id"] for r in offsets] != [w[0] for w in want]
+    assert sorted((r["doc_id"] for r in offsets), key=lambda x: -1 if x is None else x) == [w[0] for w in want] != [r["doc_id"] for r in offsets]
     assert token_output.read_token_records(token_output.write_token_records(df.limit(0), WORDS, 2, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_one_id_of_many_rows_is_split_over_files(spark, tmp_path):
+    df = spark.createDataFrame([(f"text {i % 40}", 7 if i % 3 else None) for i in range(600)], "text string, doc_id long").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a table this small would be one file
+    try:
+        files = token_output.write_token_records(df, WORDS, 2, f"file://{tmp_path}")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted((tuple(r) for r in token_output.read_token_records(files).collect()), key=lambda x: x[1])
+    assert files.count() > 2 and len(got) == 600 and [x[0] for x in got] == [None] * 200 + [7] * 400
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+
+
+def test_lexicon_takes_the_most_frequent_pieces(spark):
+    df = spark.createDataFrame([("a " * 50 + "b " * 40 + "c " * 3 + "d " * 3 + "e", i) for i in range(4)], "text string, doc_id long")
+    name = bpe_codec.compile_lexicon(df, WORDS, 3)
+    from pyspark import SparkFiles
+
+    lexicon = bpe_codec.Lexicon(SparkFiles.get(name))
+    assert (lexicon.find([b"a", b"b"]) >= 0).all() and (lexicon.find([b"c", b"d", b"e"]) == -1).all()  # c and d are as frequent: there is room for one
+
+
 def test_broken_records_are_found(tmp_path):
     import io
 

@@ -10,8 +10,6 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols, vocabulary
-from .common import by_doc, only, slices
+from .common import by_doc, forget, fresh_path, only, slices, write_bytes, written
 from .text_units import ODD, WordEncoder, library, word_pieces, word_units
 
 MAGIC = b"LEXICON1"
@@ -165,7 +163,7 @@ def piece_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = vocabulary(tokenizer).special
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text"):
                 counts = word_units(part.column("text"), tokenizer, special).flatten().value_counts()
                 words, n = counts.field("values").to_pylist(), counts.field("counts").to_pylist()
                 lists = [[] if ODD.search(w) else word_pieces(w) for w in words]
@@ -176,31 +174,43 @@ def piece_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     return by_doc(docs).select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
-    """Compile the `size` most frequent pieces of all texts (ties: the smaller piece) and send the file to all executors; return its name."""
-    vocab = vocabulary(tokenizer)
-    top = piece_counts(docs, tokenizer).orderBy(F.desc("n"), "piece").limit(size).select("piece").collect()  # `size` rows at most
-    data = build_lexicon((r["piece"].encode() for r in top), vocab.encode_piece)
-    folder = tempfile.mkdtemp(prefix="weftline-lexicon-")
-    name = f"lexicon-{uuid.uuid4().hex}.bin"  # a session keeps one path per name
-    with open(f"{folder}/{name}", "wb") as f:
-        f.write(data)
-    docs.sparkSession.sparkContext.addFile(f"{folder}/{name}")
-    return name
+#: Steps of a doubling by which counts are told apart where the lexicon ends.
+STEPS = 16
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 15, keep: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 per input row; with `keep` also ids (array<int>) and decoded (string).
+def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
+    """Compile the most frequent pieces of all texts, `size` at most, and send the file to all executors; return its name.
+
+    How many pieces have about which count is one small aggregate (a row for each step of a STEPS-th of a doubling). It tells from which step on
+    the pieces are no more than `size`, and only these come to the driver.
+    """
+    spark, vocab = docs.sparkSession, vocabulary(tokenizer)
+    counts = written(piece_counts(docs, tokenizer).where("n > 1").select("piece", F.floor(F.log2("n") * STEPS).alias("step")), "pieces")
+    room, least = size, None
+    for row in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # 64 * STEPS rows at most
+        if row["count"] > room:
+            break
+        room, least = room - row["count"], row["step"]
+    top = counts.where(F.col("step") >= least).select("piece").collect() if least is not None else []  # `size` rows at most
+    forget(counts)
+    path = fresh_path(spark, "lexicon") + ".bin"  # a session keeps one path per name
+    write_bytes(spark, path, build_lexicon((r["piece"].encode() for r in top), vocab.encode_piece))
+    spark.sparkContext.addFile(path)
+    return path.rpartition("/")[2]
+
+
+def encode_decode(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 15, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 per input row; `keep` adds "ids" (array<int>), "decoded" (string) or both.
 
     Ids are those of the tokenizer file for the whole text, special strings in it included, without added ones; the decoded
     text is the tokens put together with spaces, as the file names no decoder. Null texts are empty: no ids, an empty decoded
     text. Repeated rows give repeated results; an empty table gives no rows (and an empty lexicon); other columns play no part.
 
     Scale: pass one counts pieces (partial sums before the only shuffle); the lexicon is bounded by `lexicon_size`, a matter of
-    speed alone, as other pieces are merged exactly. Pass two is a map over the scan, 8 MB of text at a time.
+    speed alone, as other pieces are merged exactly. Pass two is a map over the scan, 4 MB of text at a time.
     """
     name = compile_lexicon(docs, tokenizer, lexicon_size)
-    more = ", ids array<int>, decoded string" if keep else ""
+    more = "".join(f", {x} {kind}" for x, kind in (("ids", "array<int>"), ("decoded", "string")) if x in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = codec_encoder(tokenizer, SparkFiles.get(name))
@@ -215,14 +225,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 15,
                     shas.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     text = " ".join(map(token, ids.tolist()))
                     texts.append(hashlib.sha256(text.encode()).hexdigest())
-                    if keep:
-                        lists.append(ids)
-                        decoded.append(text)
+                    lists += [ids] if "ids" in keep else []
+                    decoded += [text] if "decoded" in keep else []
                 columns = [part.column("doc_id"), pa.array(sizes), pa.array(shas), pa.array(texts)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep:
-                    columns += [pa.array(lists, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                    names += ["ids", "decoded"]
+                for name_, kept in (("ids", pa.array(lists, pa.list_(pa.int32()))), ("decoded", pa.array(decoded, pa.string()))):
+                    if name_ in keep:
+                        columns, names = [*columns, kept], [*names, name_]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return by_doc(docs).mapInArrow(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -44,6 +44,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file in the shared folder, by Spark's own file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    try:
+        for i in range(0, len(data), 1 << 20):
+            stream.write(data[i : i + (1 << 20)])
+    finally:
+        stream.close()
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete written tables that no later step reads, and let the session drop the shuffle files of finished steps."""
     for df in tables:
@@ -59,7 +70,7 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Parts of a batch whose texts hold about `most` bytes, one row at least: bounds a worker's memory."""
     import numpy as np
     import pyarrow.compute as pc

@@ -83,27 +83,47 @@ class Matcher:
         self.any = bool(found)
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start window, end) of the best match of each item that the normalized text holds within its budget."""
+        """(item_id, distance, end, characters) of the best match of each item that the normalized text holds within its budget.
+
+        Windows around the hits of an item's pieces are merged before any is verified, so a text that repeats itself is searched once for each item.
+        """
         if not self.any or not text:
             return []
-        best: dict[int, tuple[int, int]] = {}
-        tried: dict[int, list[tuple[int, int]]] = {}
+        windows: dict[int, list[list[int]]] = {}
         for end, (size, where) in self.automaton.iter(text):
             for n, offset in where:
-                _, item, budget, item_masks = self.items[n]
+                _, item, budget, _ = self.items[n]
                 start = end + 1 - size - offset  # where the item would begin
-                if n in best and best[n][0] == 0:
-                    continue
-                lo, hi = max(0, start - budget), start + len(item) + budget
-                if any(a <= lo and min(hi, len(text)) <= b for a, b in tried.get(n, ())):
-                    continue
-                # a little wider, so that the next pieces of the same copy fall into what was tried
-                lo, hi = max(0, lo - budget), min(len(text), hi + budget)
-                tried.setdefault(n, []).append((lo, hi))
+                lo, hi = max(0, start - 2 * budget), min(len(text), start + len(item) + 2 * budget)
+                known = windows.setdefault(n, [])
+                if known and known[-1][0] <= hi and lo <= known[-1][1]:  # hits come by their ends, so most windows meet the last one
+                    known[-1][0], known[-1][1] = min(lo, known[-1][0]), max(hi, known[-1][1])
+                else:
+                    known.append([lo, hi])
+        found = []
+        for n, known in windows.items():
+            item_id, item, budget, item_masks = self.items[n]
+            best = None
+            for lo, hi in merged(known):
                 distance, at = best_match(item_masks, len(item), text[lo:hi])
-                if distance <= budget and (n not in best or (distance, lo + at) < best[n]):
-                    best[n] = (distance, lo + at)
-        return sorted((self.items[n][0], d, e, len(self.items[n][1])) for n, (d, e) in best.items())
+                if distance <= budget and (best is None or (distance, lo + at) < best):
+                    best = (distance, lo + at)
+                if best and best[0] == 0:
+                    break
+            if best:
+                found.append((item_id, *best, len(item)))
+        return sorted(found, key=lambda x: (x[0] is None, x))
+
+
+def merged(windows: list[list[int]]) -> list[tuple[int, int]]:
+    """The windows in order, those that meet put together: each place of a text is searched once for an item."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(windows):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(hi, out[-1][1])
+        else:
+            out.append([lo, hi])
+    return [(lo, hi) for lo, hi in out]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -127,8 +147,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_ED
     """doc_id, item_id, distance, match_end, item_chars: each document and test item of which it holds a copy within the edit budget.
 
     distance is the least one over the whole text; match_end is where the match ends in the normalized text (lower case, white
-    space as single spaces). Null and empty texts and items match nothing; repeated rows give repeated matches; empty tables give
-    no rows; other columns play no part.
+    space as single spaces). Null and empty texts and items match nothing; very long texts are searched whole; repeated rows give repeated
+    matches; a null item_id is reported as null; empty tables give no rows; other columns play no part.
 
     Scale: a map over the scan, once for each BLOCK bytes of items, so that what is sent to workers has a fixed bound.
     """
@@ -152,7 +172,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_ED
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT) -> DataFrame:
-    """The rows of docs, all columns as they are, that hold no test item within its edit budget."""
+    """The rows of docs, all columns as they are, that hold no test item within its edit budget.
+
+    Null and empty texts stay; repeated rows stay or go together; with an empty benchmark all stay; an empty table gives an empty one; only the
+    column text is read, whatever other columns there are.
+    """
     for block in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 

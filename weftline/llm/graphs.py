@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,13 +59,13 @@ def bloom(keys: DataFrame, column: str, most_bits: int = 1 << 27) -> tuple[np.nd
             if block.any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int64()), "bitmap": pa.array([np.packbits(block).tobytes()], pa.binary())})
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        out = np.frombuffer(frame["bitmap"].iloc[0], np.uint8).copy()
-        for x in frame["bitmap"].iloc[1:]:
-            out |= np.frombuffer(x, np.uint8)
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "bitmap": [out.tobytes()]})
+    def merge(rows: pa.Table) -> pa.Table:
+        out = np.frombuffer(rows.column("bitmap")[0].as_buffer(), np.uint8).copy()
+        for x in rows.column("bitmap").slice(1):
+            out |= np.frombuffer(x.as_buffer(), np.uint8)
+        return pa.table({"block": rows.column("block").slice(0, 1), "bitmap": pa.array([out.tobytes()], pa.binary())})
 
-    parts = keys.select(F.col(column).cast("long")).mapInArrow(fill, "block long, bitmap binary").groupBy("block").applyInPandas(merge, "block long, bitmap binary").collect()  # most_bits / 8 bytes at most
+    parts = keys.select(F.col(column).cast("long")).mapInArrow(fill, "block long, bitmap binary").groupBy("block").applyInArrow(merge, "block long, bitmap binary").collect()  # most_bits / 8 bytes at most
     out = np.zeros(bits // 8, np.uint8)
     for p in parts:
         at = p["block"] * (BLOCK_BITS // 8)

@@ -32,7 +32,7 @@ SAMPLE = 8_000
 def _shape(word: str) -> str:
     """Upper case, lower case and digits as one letter each, other characters as they are; runs of one kind keep two."""
     out: list[str] = []
-    for c in word[:40]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if out[-2:] != [k, k]:
             out.append(k)
@@ -165,7 +165,10 @@ def held_out(key: Column, folds: int = 5, fold: int = 0) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled documents that are not held out. Labels other than 0 and 1, null ones, and ids with both labels are left out."""
+    """Fit on at most `sample` labelled documents that are not held out.
+
+    Labels other than 0 and 1, null ones, and ids with both labels are left out; of an id's several texts the one of the smallest hash counts.
+    """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     known = known.where((F.col("quality") == F.col("other")) & ~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("label_id"), "quality")
@@ -176,9 +179,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for part in slices(batch, "text", STEP):
                 row, bins = features(part.column("text"))
                 lists = np.split(bins.astype(np.int32), np.searchsorted(row, np.arange(1, part.num_rows)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality").cast(pa.int32()), pa.array([x.tobytes() for x in lists], pa.binary())], names=["doc_id", "quality", "bins"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), part.column("quality").cast(pa.int32()), pa.array([x.tobytes() for x in lists], pa.binary())], names=["doc_id", "hash", "quality", "bins"])
 
-    rows = texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, bins binary").dropDuplicates(["doc_id"]).collect()
+    found = texts.select("doc_id", "text", F.xxhash64("text").alias("hash"), "quality").mapInArrow(run, "doc_id long, hash long, quality int, bins binary")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("hash", "quality", "bins")).alias("x")).select("doc_id", "x.quality", "x.bins").collect()  # `sample` rows at most
     rows.sort(key=lambda r: r["doc_id"])
     return fit([np.frombuffer(r["bins"], np.int32).astype(np.int64) for r in rows], np.array([r["quality"] for r in rows]))
 
@@ -186,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted per input row; 1 is predicted from the threshold on.
 
-    Nulls and empty texts get the score of a text without words; repeated rows get equal scores; an empty table gives no rows; without
+    Null and empty texts get the score of a text without words; very long ones are read whole; repeated rows get equal scores; an empty table gives no rows; without
     usable labels all scores are 0.5; columns beyond doc_id and text play no part in a score.
 
     Scale: the model is fitted on a bounded sample (SAMPLE) and has a fixed size; scoring is a map over the scan, STEP bytes at a time.
@@ -204,7 +208,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text scores the threshold or more."""
+    """The rows of docs, all columns as they are, whose text scores the threshold or more.
+
+    Null and empty texts have the score of a text without words; repeated rows stay or go together; without usable labels all stay (0.5) at
+    thresholds up to 0.5; an empty table gives an empty one; columns beyond doc_id and text play no part and may have any names.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(by_doc(docs), labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

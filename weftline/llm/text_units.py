@@ -114,7 +114,7 @@ class Slots:
     Beyond `most` units the table keeps only those that came back, so that memory stays bounded whatever the corpus holds.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 200_000, dtype=np.int32):
+    def __init__(self, resolve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 100_000, dtype=np.int32):
         self.resolve, self.most, self.dtype = resolve, most, dtype
         self.clear()
 
@@ -184,7 +184,7 @@ def per_text(sizes: np.ndarray, counts) -> np.ndarray:
 class WordEncoder:
     """Ids of the word tokenizer for whole texts: units from the table, pieces resolved by `piece_ids`."""
 
-    def __init__(self, path: str, special: dict[str, int], piece_ids: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], odd_ids: Callable[[str], list[int]], most: int = 200_000):
+    def __init__(self, path: str, special: dict[str, int], piece_ids: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], odd_ids: Callable[[str], list[int]], most: int = 100_000):
         self.path, self.special, self.odd_ids = path, special, odd_ids
         self.pieces = Slots(piece_ids, most)
         self.words = Slots(self._resolve, most)
