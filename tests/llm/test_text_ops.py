@@ -434,27 +434,34 @@ def test_many_customers_are_drawn_as_the_recursion_would():
 
 def test_probabilities_of_a_small_model_against_plain_code(spark, monkeypatch):
     """The scores of a small corpus from dictionaries of customers and tables, as the partitions hold them, summing to one over all words."""
-    monkeypatch.setattr(lm_score, "PART", 150)
     r = random.Random(4)
     rows = [(i, " ".join(r.choice("abcdefgh") + r.choice(["", "", "x"]) for _ in range(r.randint(1, 12)))) for i in range(120)]
+    size = sum(len(x.split()) + 1 for _, x in rows)
+    monkeypatch.setattr(lm_score, "PART", size // 6)
+    parts = -(-size // (size // 6))
     docs = frame(spark, rows)
     chunks = lm_score.written(lm_score._chunks(docs.select("doc_id", "text").withColumn("held", F.lit(False))), "c")
-    model, roots, d1, tokens, known = lm_score.fit_model(chunks, 7)
-    state = [[] for _ in roots]  # by sample: {pair: (n, t)}, {word: (c0, t0)}, {word: tables}
+    folder = lm_score.fresh_path(spark, "model")
+    got, roots, d1, tokens, known = lm_score.fit_model(chunks, parts, folder)
+    names = {}  # the words of each partition, from the chunks alone
+    for row in chunks.collect():
+        hashes = lm_score.unpack(row["hashes"], np.uint64)
+        word, before, _ = lm_score.entries(hashes, lm_score.unpack(row["seq"], np.uint32), np.asarray(row["sizes"]))
+        for p, a, b in zip(lm_score.pair_home(hashes[before], hashes[word], parts), hashes[before], hashes[word]):
+            names.setdefault(int(p), set()).update((int(a), int(b)))
     n, t, c0, t0, tables = {}, [{} for _ in roots], [{} for _ in roots], [{} for _ in roots], [{} for _ in roots]
-    for row in model.collect():
-        words = lm_score.unpack(row["words"], np.uint64).tolist()
-        word, before, count = lm_score._unpacked(row["pairs"])
-        samples = lm_score._unpacked(row["samples"])
-        for k in range(len(roots)):
-            held = iter(samples[4 * k].tolist())
-            for w, b, x in zip(word.tolist(), before.tolist(), count.tolist()):
-                n[words[b], words[w]] = x
-                t[k][words[b], words[w]] = next(held) if x > 1 else x
+    for p, rows_ in got.toPandas().groupby("p"):
+        words, pairs = sorted(names[p]), lm_score.Pairs(folder, p)
+        for k, (x, a, b, c) in enumerate(lm_score.samples_of(folder, p, lm_score._joined(rows_))):
+            held = iter(x.tolist())
+            for w, v, m in zip(pairs.word.tolist(), pairs.before.tolist(), pairs.n.tolist()):
+                n[words[v], words[w]] = m
+                t[k][words[v], words[w]] = next(held) if m > 1 else m
             for i, w in enumerate(words):
-                for table, values in ((c0, samples[4 * k + 1]), (t0, samples[4 * k + 2]), (tables, samples[4 * k + 3])):
+                for table, values in ((c0, a), (t0, b), (tables, c)):
                     assert table[k].setdefault(w, int(values[i])) == int(values[i])  # alike in all partitions
-    assert sum(n.values()) == tokens and len(c0[0]) == known and state
+    assert len(roots) == lm_score.SAMPLES
+    assert sum(n.values()) == tokens and len(c0[0]) == known
     for k, root in enumerate(roots):
         assert all(1 <= t[k][x] <= n[x] for x in n)
         for w in c0[k]:
@@ -473,13 +480,8 @@ def test_probabilities_of_a_small_model_against_plain_code(spark, monkeypatch):
         assert abs(sum(chance(a, w) for w in c0[0]) + chance(a, 777) - 1) < 1e-9
     got = {x["doc_id"]: x["score"] for x in lm_score.score_texts(docs, folds=1, fold=5).collect()}
     name = lambda w: int(lm_score.END) if w is None else lm_score.xxhash.xxh64_intdigest(w.encode())
-    model2 = [(i, sum(math.log10(chance(name(a), name(b))) for a, b in zip([None, *x.split()], [*x.split(), None]))) for i, x in rows]
-    assert len(got) == 120 and lm_score.PART == 150 and model2
-    parts = max(1, -(-tokens // 150))
-    if parts == 7:
-        assert all(abs(got[i] - want) < 1e-5 for i, want in model2)
-    else:  # other partitions, other draws: near, not equal
-        assert all(abs(got[i] - want) < 0.15 * abs(want) + 0.3 for i, want in model2)
+    want = {i: sum(math.log10(chance(name(a), name(b))) for a, b in zip([None, *x.split()], [*x.split(), None])) for i, x in rows}
+    assert len(got) == 120 and all(abs(got[i] - want[i]) < 1e-4 for i in want)
 
 
 def test_words_before_change_scores(spark, monkeypatch):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import pickle
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -55,12 +56,39 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         stream.close()
 
 
-def forget(*tables: DataFrame) -> None:
-    """Delete written tables that no later step reads, and let the session drop the shuffle files of finished steps."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.written_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def filesystem(uri: str):
+    """A pyarrow file system and the path in it, for any store that pyarrow knows (file, hdfs, s3, gs)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else uri if uri.startswith("file:") else f"file://{uri}")
+
+
+def put(folder: str, name: str, data: Any) -> None:
+    """Keep data under a name in a shared folder. Tasks that run twice put the same, so the first one whole is as good as any."""
+    store, root = filesystem(folder)
+    store.create_dir(root, recursive=True)
+    draft = f"{root}/{name}-{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(draft) as f:
+        f.write(pickle.dumps(data, protocol=5))
+    if store.get_file_info(f"{root}/{name}").type.name == "NotFound":
+        store.move(draft, f"{root}/{name}")
+    else:
+        store.delete_file(draft)
+
+
+def take(folder: str, name: str) -> Any:
+    store, root = filesystem(folder)
+    with store.open_input_stream(f"{root}/{name}") as f:
+        return pickle.loads(f.read())
+
+
+def forget(*tables: DataFrame, folders: tuple[str, ...] = ()) -> None:
+    """Delete written tables and folders that no later step reads, and let the session drop the shuffle files of finished steps."""
+    spark = SparkSession.active()
+    jvm = spark.sparkContext._jvm
+    for written_path in (*(df.written_path for df in tables), *folders):
+        path = jvm.org.apache.hadoop.fs.Path(written_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     jvm.System.gc()  # shuffle files go with the plans that made them, when these are collected
 

@@ -7,7 +7,8 @@ tables is integrated out, which leaves the generalized Stirling numbers. Gibbs s
 distribution given all others, and predictive probabilities are averaged over the last sweeps.
 
 Pairs (word before, word) are dealt over partitions by a hash of both, so no common word weighs on one of them. Tables and customers of
-restaurants and of words in the root are sums that partitions send by word and get back for their own words. A dish with one customer
+restaurants and of words in the root are sums: partitions send theirs to the homes of their words, and homes send the sums back. What a
+partition or a home holds stays in files of the shared folder, so only sums move. A dish with one customer
 has one table, so the sweeps pass over those and carry the rest.
 """
 
@@ -26,12 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_doc, forget, slices, written
+from .common import by_doc, forget, fresh_path, put, slices, take, written
 from .text_units import list_sizes
 
 U = np.uint64
 #: Tokens of the corpus to a partition of pairs, about.
-PART = 3_000_000
+PART = 6_000_000
 #: Sweeps before the first sample, and samples.
 BURN, SAMPLES = 3, 3
 STRENGTH = 1.0
@@ -39,7 +40,7 @@ STRENGTH = 1.0
 EXACT = 1024
 END = U(0x9D39247E33776D41)
 #: Logarithms travel as whole multiples of one in so many.
-FINE = 1 << 26
+FINE = 1 << 21
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -95,6 +96,15 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, docs array<long>, held array<boolean>, sizes array<long>, n long, hashes binary, seq binary")
 
 
+def steps(rising: np.ndarray) -> np.ndarray:
+    """Rising numbers as differences, which are small."""
+    return np.diff(rising, prepend=0).astype(np.uint32)
+
+
+def risen(differences: np.ndarray) -> np.ndarray:
+    return np.cumsum(differences, dtype=np.int64)
+
+
 def _spread(a: np.ndarray) -> np.ndarray:
     a = (a ^ (a >> U(29))) * U(0xBF58476D1CE4E5B9)
     return a ^ (a >> U(32))
@@ -121,10 +131,11 @@ def _dealt(chunks: DataFrame, parts: int) -> DataFrame:
                 n = np.bincount(own, np.repeat(~np.asarray(row["held"], bool), sizes), len(word)).astype(np.uint32)
                 home = pair_home(hashes[before], hashes[word], parts)
                 order = np.argsort(home, kind="stable")
-                for p, a, b in _cut(home[order]):
-                    at = order[a:b]
+                for p, first, last in _cut(home[order]):
+                    at = order[first:last]
                     names, places = np.unique(np.concatenate((word[at], before[at])), return_inverse=True)
-                    data = [pack(hashes[names]), *(pack(x.astype(np.uint32)) for x in np.split(places, 2)), pack(n[at])]
+                    w, b = np.split(places, 2)
+                    data = [pack(hashes[names]), pack(w.astype(np.uint32)), pack(steps(b)), pack(n[at])]
                     yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int64()), "chunk": pa.array([row["chunk"]], pa.int64())} | {k: pa.array([d], pa.binary()) for k, d in zip(("names", "word", "before", "counts"), data)})
 
     return chunks.select("chunk", "held", "sizes", "hashes", "seq").mapInArrow(run, "p long, chunk long, names binary, word binary, before binary, counts binary")
@@ -275,139 +286,182 @@ def _unpacked(data) -> list[np.ndarray]:
     return [unpack(x, np.uint32).astype(np.int64) for x in data]
 
 
-def gathered(frame: pd.DataFrame) -> pd.DataFrame:
-    """One partition's pairs, sorted: words, places of word and word before among them, training counts; and the pairs of each chunk as places among these."""
-    names = [unpack(x, U) for x in frame["names"]]
-    words, at = np.unique(np.concatenate(names), return_inverse=True)
-    cuts, keys, counts = np.cumsum([0, *map(len, names)]), [], []
-    for i, (w, b, n) in enumerate(zip(frame["word"], frame["before"], frame["counts"])):
-        own = at[cuts[i] : cuts[i + 1]].astype(np.int64)
-        keys.append(own[unpack(b, np.uint32)] * len(words) + own[unpack(w, np.uint32)])
-        counts.append(unpack(n, np.uint32))
-    pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(place, np.concatenate(counts), len(pairs)).astype(np.int64)
-    asked = np.split(place.astype(np.uint32), np.cumsum([len(k) for k in keys])[:-1])
-    word, before, many = pairs % len(words), pairs // len(words), n > 1
-    single = lambda x: np.bincount(x[n == 1], minlength=len(words))
-    return pd.DataFrame({
-        "p": [frame["p"].iloc[0]], "words": [pack(words)], "pairs": [_packed([word, before, n])], "chunks": [[int(x) for x in frame["chunk"]]], "asked": [[pack(x) for x in asked]],
-        "active": [_packed([word[many], before[many], n[many], single(word), single(before)])], "seated": [_packed([np.ones(int(many.sum())), np.zeros(len(words))])],
-        "fixed": [_packed([np.bincount(word, n, len(words)), np.bincount(before, n, len(words)), np.bincount(word[n > 0], minlength=len(words))])], "few": [[float((n == 1).sum()), float((n == 2).sum())]],
-    })
-
-
-def _by_word(state: DataFrame, roots: int, what: str, values, add, largest: int, sums: int) -> DataFrame:
-    """(p, q, got, total): numbers of p's words, put together over all partitions by the words' home q and sent back.
-
-    values(row) gives arrays by p's words, of which the first ones are added up and the last `largest` ones alike in all partitions;
-    add(q, arrays) gives all arrays to send back, and `sums` numbers of which each home has its part.
-    """
+SENT = "q long, p long, words binary, sent array<binary>, total array<double>"
+GOT = "p long, q long, got array<binary>, total array<double>"
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, own = unpack(row["words"], U), values(row)
-                for q, a, b in _cut(_home(words, roots)):
-                    yield pa.RecordBatch.from_pydict({"q": pa.array([q], pa.int64()), "p": pa.array([row["p"]], pa.int64()), "words": pa.array([pack(words[a:b])], pa.binary()), "sent": pa.array([_packed([v[a:b] for v in own])], pa.list_(pa.binary()))})
 
-    def home(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("p")
+def _sent(p: int, q_of: list[tuple[int, int, int]], arrays: list[np.ndarray], words: np.ndarray | None = None, total: list[float] | None = None) -> pd.DataFrame:
+    """Rows of numbers by p's words, a row for each home; the words themselves the first time only."""
+    rows = [(q, p, None if words is None else pack(words[a:b]), _packed([v[a:b] for v in arrays]), (total or []) if i == 0 else []) for i, (q, a, b) in enumerate(q_of)]
+    return pd.DataFrame(rows, columns=["q", "p", "words", "sent", "total"])
+
+
+def gather(folder: str, roots: int):
+    """A partition's pairs from all chunks, kept in its file; sends its words' training tokens, its restaurants' customers, and pairs of each word."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, p = frame.sort_values("chunk"), int(frame["p"].iloc[0])
+        names = [unpack(x, U) for x in frame["names"]]
+        words, at = np.unique(np.concatenate(names), return_inverse=True)
+        cuts, keys, counts = np.cumsum([0, *map(len, names)]), [], []
+        for i, (w, b, n) in enumerate(zip(frame["word"], frame["before"], frame["counts"])):
+            own = at[cuts[i] : cuts[i + 1]].astype(np.int64)
+            keys.append(own[risen(unpack(b, np.uint32))] * len(words) + own[unpack(w, np.uint32)])
+            counts.append(unpack(n, np.uint32))
+        pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(place, np.concatenate(counts), len(pairs)).astype(np.int64)
+        asked = [pack(steps(x)) for x in np.split(place, np.cumsum([len(k) for k in keys])[:-1])]  # a chunk's pairs rise as p's do
+        word, before = pairs % len(words), pairs // len(words)
+        q_of = _cut(_home(words, roots))
+        put(folder, f"pairs-{p}", {"word": pack(word.astype(np.uint32)), "before": pack(steps(before)), "n": pack(n.astype(np.uint32)), "words": len(words), "homes": q_of, "chunks": [int(x) for x in frame["chunk"]], "asked": asked})
+        put(folder, f"state-{p}-0", {"t": pack(np.ones(int((n > 1).sum()), np.uint32)), "t0": None})
+        own = [np.bincount(word, n, len(words)), np.bincount(before, n, len(words)), np.bincount(word[n > 0], minlength=len(words))]
+        return _sent(p, q_of, own, words, [float((n == 1).sum()), float((n == 2).sum())])
+
+    return run
+
+
+class Pairs:
+    """A partition's pairs, from its file: those with more than one customer are active."""
+
+    def __init__(self, folder: str, p: int):
+        held = take(folder, f"pairs-{p}")
+        self.word, self.before, self.n = unpack(held["word"], np.uint32).astype(np.int64), risen(unpack(held["before"], np.uint32)), unpack(held["n"], np.uint32).astype(np.int64)
+        self.words, self.homes, self.chunks, self.asked = held["words"], held["homes"], held["chunks"], held["asked"]
+        self.many = self.n > 1
+
+    def sums(self, t: np.ndarray) -> list[np.ndarray]:
+        """By words: customers in the root and tables of restaurants when the active pairs have t tables."""
+        full = np.minimum(self.n, 1)
+        full[self.many] = t
+        return [np.bincount(x, full, self.words) for x in (self.word, self.before)]
+
+
+def first_home(folder: str):
+    """A home's words from all partitions, kept in its file; sends sums of training tokens and of customers."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, q = frame.sort_values("p"), int(frame["q"].iloc[0])
         lists = [unpack(x, U) for x in frame["words"]]
         words, at = np.unique(np.concatenate(lists), return_inverse=True)
-        own = []
-        width = len(frame["sent"].iloc[0])
-        for i in range(width):
-            x = np.concatenate([unpack(s[i], np.uint32) for s in frame["sent"]]).astype(np.float64)
-            own.append(np.bincount(at, x, len(words)))
-            if i >= width - largest:
-                own[-1][at] = x
-        out, total = add(int(frame["q"].iloc[0]), own)
-        ends = np.cumsum([len(x) for x in lists])
-        rows = [_packed([s[at[e - len(x) : e]] for s in out]) for x, e in zip(lists, ends)]
-        return pd.DataFrame({"p": frame["p"], "q": frame["q"], "got": rows, "total": [total, *[[]] * (len(rows) - 1)]})
-
-    sent = state.mapInArrow(send, "q long, p long, words binary, sent array<binary>")
-    return written(sent.groupBy("q").applyInPandas(home, "p long, q long, got array<binary>, total array<double>"), what)
-
-
-def _sums(got: DataFrame, n: int) -> list[float]:
-    row = got.agg(*(F.sum(F.get("total", F.lit(i))).alias(f"x{i}") for i in range(n))).first()
-    return [row[f"x{i}"] or 0.0 for i in range(n)]
+        cuts = np.cumsum([0, *map(len, lists)])
+        put(folder, f"home-{q}", {"words": len(words), "places": {int(p): pack(steps(at[a:b])) for p, a, b in zip(frame["p"], cuts, cuts[1:])}})
+        own = [np.bincount(at, np.concatenate([unpack(s[i], np.uint32) for s in frame["sent"]]), len(words)) for i in range(3)]
+        total = [float((own[0] > 0).sum()), float(own[0].sum()), *(float((own[2] == k).sum()) for k in (1, 2))]
+        rows = [(p, q, _packed([x[at[a:b]] for x in own[:2]]), total if a == 0 else []) for p, a, b in zip(frame["p"], cuts, cuts[1:])]
+        return pd.DataFrame(rows, columns=["p", "q", "got", "total"])
+
+    return run
+
+
+def next_home(folder: str, round_: int, tables: float, base: float, discount: float):
+    """A home's sums of customers and tables, and its draw of the root's tables; the last ones are in the home's file of the round before."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, q = frame.sort_values("p"), int(frame["q"].iloc[0])
+        held = take(folder, f"home-{q}")
+        places = [risen(unpack(held["places"][int(p)], np.uint32)) for p in frame["p"]]
+        at = np.concatenate(places)
+        c0, own = (np.bincount(at, np.concatenate([unpack(s[i], np.uint32) for s in frame["sent"]]), held["words"]) for i in range(2))
+        last = unpack(take(folder, f"root-{q}-{round_ - 1}"), np.uint32).astype(np.float64) if round_ > 1 else np.minimum(c0, 1)
+        t0 = sweep_root(c0, np.minimum(last, c0), tables, base, discount, np.random.default_rng((q, round_, 1)))
+        put(folder, f"root-{q}-{round_}", pack(t0.astype(np.uint32)))
+        total = [float(t0.sum()), float(c0.sum())]
+        rows = [(p, q, _packed([x[at_p] for x in (c0, own, t0)]), total if i == 0 else []) for i, (p, at_p) in enumerate(zip(frame["p"], places))]
+        return pd.DataFrame(rows, columns=["p", "q", "got", "total"])
+
+    return run
 
 
 def _joined(got: pd.DataFrame) -> list[np.ndarray]:
     """The homes' numbers for all words of a partition, whose words are sorted as their homes are."""
-    rows = [_unpacked(x) for x in got.sort_values("q")["got"]]
-    return [np.concatenate(x) for x in zip(*rows)]
+    return [np.concatenate(x) for x in zip(*(_unpacked(x) for x in got.sort_values("q")["got"]))]
+
 
+def start(folder: str):
+    """Keep the sums of training tokens and customers, and send the first seating: a table for each pair."""
 
-def _moving(row) -> list[np.ndarray]:
-    """By p's words: customers in the root and tables of restaurants as its pairs' tables stand, and the root's last tables."""
-    word, before, _, single_w, single_b = _unpacked(row["active"])
-    t, t0 = _unpacked(row["seated"])
-    return [single_w + np.bincount(word, t, len(single_w)), single_b + np.bincount(before, t, len(single_b)), t0]
+    def run(got: pd.DataFrame) -> pd.DataFrame:
+        p = int(got["p"].iloc[0])
+        put(folder, f"fixed-{p}", _packed(_joined(got)))
+        pairs = Pairs(folder, p)
+        return _sent(p, pairs.homes, pairs.sums(np.ones(int(pairs.many.sum()))))
+
+    return run
 
 
-def _seat_pairs(root: Root, discount: float, round_: int, keep: bool, go_on: bool):
-    """A partition's step of a sweep: keep the seatings as they stand as a sample, and draw its pairs' tables anew."""
+def seat(folder: str, round_: int, root: Root, discount: float):
+    """A partition's step of a sweep: its seatings and what came back are a sample from BURN on; its active pairs' tables are drawn anew and sent."""
 
-    def run(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        row, (c0, tables, t0) = own.iloc[0], _joined(got)
-        samples, seated = list(row["samples"]), []
-        word, before, n, _, _ = _unpacked(row["active"])
-        t = _unpacked(row["seated"])[0]
-        if keep:
-            samples += _packed([t, c0, t0, tables])
-        if go_on:
-            t = sweep_pairs(n, t, tables[before], c0[word], t0[word], root, discount, np.random.default_rng((int(row["p"]), round_)))
-            seated = _packed([t, t0])
-        return pd.DataFrame({"p": [row["p"]], "words": [row["words"]], "active": [list(row["active"])], "seated": [seated], "samples": [samples]})
+    def run(got: pd.DataFrame) -> pd.DataFrame:
+        p, (c0, tables, t0) = int(got["p"].iloc[0]), _joined(got)
+        pairs, state = Pairs(folder, p), take(folder, f"state-{p}-{round_ - 1}")
+        t = unpack(state["t"], np.uint32).astype(np.int64)
+        if round_ > BURN + 1:
+            put(folder, f"sample-{p}-{round_}", [state["t"], *_packed([c0, t0, tables])])
+        word, before, n = pairs.word[pairs.many], pairs.before[pairs.many], pairs.n[pairs.many]
+        t = sweep_pairs(n, t, tables[before], c0[word], t0[word], root, discount, np.random.default_rng((p, round_)))
+        put(folder, f"state-{p}-{round_}", {"t": pack(t.astype(np.uint32))})
+        return _sent(p, pairs.homes, pairs.sums(t))
 
     return run
 
 
-def fit_model(chunks: DataFrame, parts: int) -> tuple[DataFrame, list[Root], float, int, int]:
-    """(p, words, pairs, chunks, asked, fixed, samples), the root of each sample, the restaurants' discount, training tokens, known words.
+def samples_of(folder: str, p: int, last: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """For each sample the active pairs' tables, and by words their customers and tables in the root and the tables of their restaurants."""
+    found = [_unpacked(take(folder, f"sample-{p}-{r}")) for r in range(BURN + 2, BURN + SAMPLES + 1)]
+    c0, tables, t0 = last
+    return [*found, [unpack(take(folder, f"state-{p}-{BURN + SAMPLES}")["t"], np.uint32).astype(np.int64), c0, t0, tables]]
 
-    fixed: training tokens of p's words, and customers of their restaurants; samples: for each one the active pairs' tables, and by p's words
-    their customers and tables in the root and the tables of their restaurants.
-    """
-    model = written(_dealt(chunks, parts).groupBy("p").applyInPandas(gathered, "p long, words binary, pairs array<binary>, chunks array<long>, asked array<binary>, active array<binary>, seated array<binary>, fixed array<binary>, few array<double>"), "model")
-    roots = max(1, parts // 8)
-    count = lambda q, own: (own[:2], [float((own[0] > 0).sum()), float(own[0].sum()), *(float((own[2] == k).sum()) for k in (1, 2))])
-    fixed = _by_word(model.select("p", "words", "fixed"), roots, "fixed", lambda row: _unpacked(row["fixed"]), count, 0, 4)
-    known, tokens, one, two = _sums(fixed, 4)
-    few = model.agg(*(F.sum(F.col("few")[i]).alias(f"f{i}") for i in range(2))).first()
+
+def reply(folder: str, roots: list[Root], discount: float):
+    """Rows (chunk, p, logs, counts): for the pairs that each chunk asked for, -log10 of the averaged chance in FINE parts, and the word's training tokens."""
+
+    def run(got: pd.DataFrame) -> pd.DataFrame:
+        p = int(got["p"].iloc[0])
+        pairs, (count, customers) = Pairs(folder, p), _unpacked(take(folder, f"fixed-{p}"))
+        t, chance = np.minimum(pairs.n, 1), np.zeros(len(pairs.n))
+        for root, (x, c0, t0, tables) in zip(roots, samples_of(folder, p, _joined(got))):
+            t[pairs.many] = x
+            chance += predictive(pairs.n, t, tables[pairs.before], customers[pairs.before], root.chance(c0, t0)[pairs.word], discount) / len(roots)
+        logs, seen = np.round(-np.log10(np.minimum(chance, 1)) * FINE).astype(np.uint32), count[pairs.word].astype(np.uint32)
+        rows = []
+        for chunk, asked in zip(pairs.chunks, pairs.asked):
+            at = risen(unpack(asked, np.uint32))
+            rows.append((chunk, p, pack(logs[at]), pack(seen[at])))
+        return pd.DataFrame(rows, columns=["chunk", "p", "logs", "counts"])
+
+    return run
+
+
+def _totals(rows: DataFrame, n: int) -> list[float]:
+    row = rows.agg(*(F.sum(F.get("total", F.lit(i))).alias(f"x{i}") for i in range(n))).first()
+    return [row[f"x{i}"] or 0.0 for i in range(n)]
+
+
+def fit_model(chunks: DataFrame, parts: int, folder: str) -> tuple[DataFrame, list[Root], float, int, int]:
+    """(what the last round sent back to the partitions, the root of each sample, the restaurants' discount, training tokens, known words)."""
+    homes = max(1, parts // 4)
+    sent = written(_dealt(chunks, parts).groupBy("p").applyInPandas(gather(folder, homes), SENT), "sent")
+    one_pair, two_pair = _totals(sent, 2)
+    got = written(sent.groupBy("q").applyInPandas(first_home(folder), GOT), "got")
+    forget(sent)
+    known, tokens, one, two = _totals(got, 4)
     # discounts by the numbers of dishes with one and two customers, as the seatings start
     share = lambda a, b: round(min(0.95, max(0.05, a / max(1.0, a + 2 * b))), 3)
-    d0, d1 = share(one, two), share(few["f0"] or 0, few["f1"] or 0)
-    kinds = "p long, words binary, active array<binary>, seated array<binary>, samples array<binary>"
-    state = model.select("p", "words", "active", "seated", F.expr("cast(array() as array<binary>)").alias("samples"))
-    total, drawn, old = known, [], []
+    d0, d1 = share(one, two), share(one_pair, two_pair)
+    total, drawn, step = known, [], start(folder)
     for round_ in range(1, BURN + SAMPLES + 2):
-
-        def seat_root(q: int, own: list[np.ndarray], round_=round_, total=total) -> tuple:
-            c0, tables, last = own
-            t0 = sweep_root(c0, np.minimum(last, c0), total, 1 / (known + 1), d0, np.random.default_rng((q, round_, 1)))
-            return [c0, tables, t0], [float(t0.sum()), float(c0.sum())]
-
-        got = _by_word(state, roots, "root", _moving, seat_root, 1, 2)
-        root = Root(*_sums(got, 2), int(known), d0)
+        sent = written(got.groupBy("p").applyInPandas(step, SENT), "sent")
+        forget(got)
+        got = written(sent.groupBy("q").applyInPandas(next_home(folder, round_, total, 1 / (known + 1), d0), GOT), "got")
+        forget(sent)
+        root = Root(*_totals(got, 2), int(known), d0)
         total = root.tables
         if round_ > BURN + 1:
             drawn.append(root)
-
-        seat = _seat_pairs(root, d1, round_, round_ > BURN + 1, round_ <= BURN + SAMPLES)
-        state = written(state.groupBy("p").cogroup(got.groupBy("p")).applyInPandas(seat, kinds), "seating")
-        forget(got, *old)
-        old = [state]
-
-    def seal(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"p": [own["p"].iloc[0]], "samples": [list(own["samples"].iloc[0])], "fixed": [_packed(_joined(got))]})
-
-    sealed = written(state.groupBy("p").cogroup(fixed.groupBy("p")).applyInPandas(seal, "p long, samples array<binary>, fixed array<binary>"), "sealed")
-    forget(state, fixed)
-    return model.select("p", "words", "pairs", "chunks", "asked").join(sealed, "p"), drawn, d1, int(tokens), int(known)
+        step = seat(folder, round_, root, d1)
+    return got, drawn, d1, int(tokens), int(known)
 
 
 def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -418,31 +472,17 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     word is unknown and has probability 1. Repeated rows count again; an empty table gives no rows; other columns play no part. Very long texts
     are one row of a chunk as any other. The result depends on the texts and PART alone, not on how the scan is split.
 
-    Scale: texts are read once into chunks of about 8 MB. Each chunk's distinct pairs of words are dealt over partitions by both words, each
+    Scale: texts are read once into chunks of about 4 MB. Each chunk's distinct pairs of words are dealt over partitions by both words, each
     row of that only large shuffle one chunk's share of one partition; partitions keep which pairs each chunk asked for and answer
     from the model, so texts and pairs move once. The model grows with the corpus and is never in one place.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
     chunks = written(_chunks(by_doc(docs).withColumn("held", held)), "chunks")
     parts = max(1, -(-int(chunks.agg(F.sum("n")).first()[0] or 0) // PART))
-    model, roots, d1, tokens, known = fit_model(chunks, parts)
-
-    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                word, before, n = _unpacked(row["pairs"])
-                count, customers = _unpacked(row["fixed"])
-                many, samples = n > 1, _unpacked(row["samples"])
-                t, p = np.minimum(n, 1), np.zeros(len(n))
-                for root, x, c0, t0, tables in zip(roots, samples[0::4], samples[1::4], samples[2::4], samples[3::4]):
-                    t[many] = x
-                    p += predictive(n, t, tables[before], customers[before], root.chance(c0, t0)[word], d1) / len(roots)
-                logs = np.round(-np.log10(np.minimum(p, 1)) * FINE).astype(np.uint32)
-                for chunk, asked in zip(row["chunks"], row["asked"]):
-                    at = unpack(asked, np.uint32)
-                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "p": pa.array([row["p"]], pa.int64()), "logs": pa.array([pack(logs[at])], pa.binary()), "counts": pa.array([pack(count[word[at]].astype(np.uint32))], pa.binary())})
-
-    replies = model.mapInArrow(reply, "chunk long, p long, logs binary, counts binary")
+    folder = fresh_path(docs.sparkSession, "model")
+    got, roots, d1, tokens, known = fit_model(chunks, parts, folder)
+    replies = written(got.groupBy("p").applyInPandas(reply(folder, roots, d1), "chunk long, p long, logs binary, counts binary"), "replies")
+    forget(got, folders=(folder,))
 
     def add(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         row, got = own.iloc[0], got.sort_values("p")

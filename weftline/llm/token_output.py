@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_doc, fresh_path, only, slices
+from .common import by_doc, filesystem, fresh_path, only, slices
 from .text_units import WordEncoder, library
 
 #: Added to a rotated checksum; the constant of the common record format.
@@ -60,13 +60,6 @@ def read_records(stream) -> Iterator[tuple[int | None, np.ndarray]]:
         yield doc_id if has_id else None, np.frombuffer(body, "<u2" if width == 2 else "<u4", offset=BODY.size, count=(size - BODY.size) // width).astype(np.uint32)
 
 
-def filesystem(uri: str):
-    """A pyarrow file system and the path in it, for any store that pyarrow knows (file, hdfs, s3, gs)."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else uri if uri.startswith("file:") else f"file://{uri}")
-
-
 def library_encoder(path: str) -> WordEncoder:
     return only(("library", path), lambda: _library_encoder(path))
 
