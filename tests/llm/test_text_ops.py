@@ -251,6 +251,28 @@ def test_nearest(spark):
     assert [(x["query_id"], x["vec_id"]) for x in ann.nearest(few).collect()] == [(0, 1)]
 
 
+def test_huge_tiny_and_collinear_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 2e200]), (2, [1e-200, 0.0]), (3, [2.0, 2.0]), (4, [4.0, 4.0]), (5, [0.0, 1e-320])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(x["vec_id"], x["score"]) for x in sorted(ann.nearest(df).collect(), key=lambda x: x["rank"])]
+    assert [i for i, _ in got] == [3, 4, 1, 2, 5] and got[0][1] == got[1][1] and abs(got[0][1] - 1) < 1e-15
+    assert abs(got[2][1] - 3 / math.sqrt(10)) < 1e-15 and all(abs(s - math.sqrt(0.5)) < 1e-15 for _, s in got[3:])
+
+
+def test_recall_where_queries_visit_few_of_many_cells(spark):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 24))
+    v = centres[r.integers(0, 40, 6000)] + 0.6 * r.normal(size=(6000, 24))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.sqrt((v * v).sum(1))[:, None]
+    got = collections.defaultdict(set)
+    for x in ann.nearest(df, shard_size=100).collect():  # 60 cells, of which a query visits 8
+        got[x["query_id"]].add(x["vec_id"])
+    queries = range(0, 6000, 50)
+    hits = sum(len(got[q] & set(np.argsort(-np.where(np.arange(6000) == q, -9, unit @ unit[q]))[:5].tolist())) for q in queries)
+    assert hits / (5 * len(queries)) >= 0.9
+
+
 # ---- HTML
 
 

@@ -1,17 +1,26 @@
-"""Approximate nearest neighbours: one hierarchical navigable small-world graph per shard, kept as flat neighbour arrays."""
+"""Approximate nearest neighbours: one hierarchical navigable small-world graph per shard, kept as flat neighbour arrays.
+
+Vectors fall into cells by their nearest centroid, cells of many vectors into several shards; a query visits the shards of its
+PROBES nearest cells, and their results are merged. Each graph is a file in the shared folder that searching tasks read.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import written
+from .common import fresh_path, only, put, take, written
 
 #: Links of a node above the ground level (twice as many there), candidates kept while building and searching, vectors of a shard, queries of a block.
 LINKS, BUILD_WIDTH, SEARCH_WIDTH, SHARD, BLOCK = 16, 64, 96, 16_384, 1024
+#: Cells at most, cells that a query visits, vectors that centroids are fitted on at most (those of the smallest hashes), vector lengths that get centroids.
+CELLS, PROBES, FITTED, LENGTHS = 1024, 8, 32_768, 64
 #: Nodes inserted at once, and candidates expanded at once.
 BATCH, EXPAND = 256, 4
 
@@ -179,54 +188,129 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).where("v IS NOT NULL AND vec_id IS NOT NULL").where(clean)
 
 
+def scaled(rows: DataFrame) -> DataFrame:
+    """Vectors by the power of two that brings their largest component to [1/2, 1): no square overflows or vanishes, and no cosine changes by a bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v")
+            sizes, flat = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(zero_copy_only=False)
+            if len(flat):
+                most = np.maximum.reduceat(np.abs(flat), np.cumsum(sizes) - sizes)
+                flat = np.ldexp(flat, -np.repeat(np.frexp(most)[1], sizes)) + 0.0
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))], names=["vec_id", "v"])
+
+    return rows.mapInArrow(run, "vec_id long, v array<double>")
+
+
+def centroids(unit: np.ndarray, k: int, rounds: int = 10, seed: int = 0) -> np.ndarray:
+    """k directions at most, by k-means on the sphere."""
+    random = np.random.default_rng(seed)
+    c = unit[random.choice(len(unit), min(k, len(unit)), replace=False)].astype(np.float32)
+    for _ in range(rounds if len(c) > 1 else 0):
+        own = np.concatenate([(unit[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(unit), 4096)])
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, unit)
+        norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+        c = np.where(norm > 0, sums / np.maximum(norm, 1e-30), c)
+    return c
+
+
+def _quantizer(nodes: DataFrame, shard_size: int) -> dict[int, np.ndarray]:
+    """Centroids by vector length: of the most frequent LENGTHS ones, fitted on FITTED vectors in all; other lengths are one cell."""
+    counts = nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(LENGTHS).collect()
+    sample = nodes.orderBy(F.xxhash64("v"), F.element_at("ids", 1)).limit(FITTED).select("dim", "v").toArrow()  # FITTED rows at most
+    dims, vectors, out = sample.column("dim").to_numpy(), sample.column("v").combine_chunks(), {}
+    for row in counts:
+        own = vectors.filter(pa.array(dims == row["dim"]))
+        k = min(CELLS, -(-row["count"] // shard_size), len(own) // 16)
+        if k > 1:
+            v = own.flatten().to_numpy().reshape(len(own), -1)
+            out[row["dim"]] = centroids((v / _norm(v)[:, None]).astype(np.float32), k)
+    return out
+
+
+def _cells(rows: DataFrame, quantizer: dict[int, np.ndarray], most: int) -> DataFrame:
+    """The rows with `cells`, the `most` nearest cells of v."""
+    shared = rows.sparkSession.sparkContext.broadcast(quantizer)  # CELLS centroids of each of LENGTHS lengths at most
+    at, names = rows.columns.index("v"), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, cells = batch.column(at), [[0]] * batch.num_rows
+            sizes, flat = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            for dim, c in shared.value.items():
+                own = np.flatnonzero(sizes == dim)
+                for a in range(0, len(own), 1024):
+                    x = flat[starts[own[a : a + 1024], None] + np.arange(dim)].astype(np.float32)
+                    near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :most]
+                    for i, found in zip(own[a : a + 1024].tolist(), near.tolist()):
+                        cells[i] = found
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], names=[*names, "cells"])
+
+    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in rows.dtypes) + ", cells array<long>")
+
+
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vector: str = "embedding", shard_size: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest other rows by cosine, ties to the smaller id.
 
     Null, zero and non-finite vectors and null ids take no part; vectors meet only those of equal length; an id's repeated rows are
-    candidates once per distinct vector, never for a query of their own id; fewer than k candidates give fewer rows; empty tables give none.
-    Scores are computed in double precision from the original vectors.
+    candidates once per distinct vector, never for a query of their own id; fewer than k candidates give fewer rows; empty tables give none;
+    other columns play no part. Scores are computed in double precision from the original vectors, scaled by powers of two, which changes no
+    bit of them and keeps very large and very small components from overflowing or vanishing.
 
-    Scale: equal vectors are one node with its k + 1 smallest ids (cut to these on the map side, so a very common vector neither
-    gathers nor bends the graph). Nodes are dealt into shards of about shard_size by a hash; a shard's graph is one row of flat
-    arrays in the shared folder. Queries visit each shard in blocks, and only k + 1 nodes a query and shard come back.
+    Scale: vectors that are equal up to a power of two are one node with its k + 1 smallest ids (cut to these on the map side, so a very common vector neither
+    gathers nor bends the graph). Nodes fall into cells, cells into shards of about shard_size; a shard's graph is one file of flat
+    arrays in the shared folder, which tasks read by its name. A query visits the shards of its PROBES nearest cells, in blocks, and
+    only k nodes a query and shard come back.
     """
-    rows = usable(vectors, key, vector)
-    per = Window.partitionBy("v")
-    members = rows.distinct().withColumn("rn", F.row_number().over(per.orderBy("vec_id"))).where(F.col("rn") <= k + 1)
-    nodes = written(members.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "nodes")
-    shards = max(1, -(-nodes.count() // shard_size))
-    dealt = nodes.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64(F.element_at("ids", 1), "v"), F.lit(shards)))
+    spark = vectors.sparkSession
+    rows = written(scaled(usable(vectors, key, vector)).distinct(), "vectors")
+    members = rows.withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("rn") <= k + 1)
+    nodes = written(members.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("v")), "nodes")
+    quantizer = _quantizer(nodes, shard_size)
+    placed = written(_cells(nodes, quantizer, 1).select("dim", F.col("cells")[0].alias("cell"), "v", "ids"), "placed")
+    shards = placed.groupBy("dim", "cell").count().select("dim", "cell", F.ceil(F.col("count") / shard_size).alias("shards"))
+    # LENGTHS * CELLS cells of lengths with centroids, and one cell for each other length: joined without a hint
+    dealt = placed.join(shards, ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64(F.element_at("ids", 1), "v"), "shards"))
+    folder = fresh_path(spark, "graphs")
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.assign(first=[x[0] for x in frame["ids"]]).sort_values("first")
         v = np.array(frame["v"].tolist(), np.float64)
         graph = Graph.build(v / _norm(v)[:, None])
-        return pd.DataFrame({"dim": [frame["dim"].iloc[0]], "shard": [frame["shard"].iloc[0]], "vectors": [v.tobytes()], "ids": [[list(map(int, x)) for x in frame["ids"]]], "levels": [graph.pack()], "top": [graph.top.tolist()]})
+        name = "-".join(str(int(frame[x].iloc[0])) for x in ("dim", "cell", "shard"))
+        put(folder, name, {"vectors": v, "ids": [list(map(int, x)) for x in frame["ids"]], "levels": graph.pack(), "top": graph.top})
+        return pd.DataFrame({"dim": frame["dim"].iloc[:1], "cell": frame["cell"].iloc[:1], "shard": frame["shard"].iloc[:1]})
 
-    index = written(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, vectors binary, ids array<array<long>>, levels array<binary>, top array<long>"), "graphs")
-    asked = rows.where(F.col("vec_id") % every == 0).distinct().select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim"))
+    index = written(dealt.groupBy("dim", "cell", "shard").applyInPandas(build, "dim int, cell long, shard long"), "index")
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim"))
     blocks = max(1, -(-asked.count() // BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    spread = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    visits = _cells(asked, quantizer, PROBES).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("cell", F.explode("cells")).drop("cells").join(index, ["dim", "cell"])
+
+    def load(name: str) -> tuple:
+        held = take(folder, name)
+        v = held["vectors"]
+        norms = _norm(v)
+        return Graph.unpack(v / norms[:, None], held["levels"], held["top"]), v, norms, held["ids"]
 
-    def search(queries: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
+    def search(queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, float]] = []
-        if len(queries) and len(graphs):
-            g, q = graphs.iloc[0], np.array(queries["v"].tolist(), np.float64)
-            v = np.frombuffer(g["vectors"], np.float64).reshape(-1, q.shape[1])
-            graph = Graph.unpack(v / _norm(v)[:, None], list(g["levels"]), np.asarray(g["top"], np.int64))
-            norms, members = _norm(v), g["ids"]
-            for a in range(0, len(q), BATCH):
-                part = q[a : a + BATCH]
-                found = graph.search((part / _norm(part)[:, None]).astype(np.float32))[:, : 4 * (k + 1)]
-                for i, near in enumerate(found):
-                    near = near[near >= 0]
-                    scores = (v[near] @ part[i]) / (norms[near] * _norm(part[i : i + 1])[0])
-                    own = int(queries["query_id"].iloc[a + i])
-                    hits = [(own, int(x), float(s)) for n, s in zip(near, scores) for x in members[n] if int(x) != own]
-                    out += sorted(hits, key=lambda h: (-h[2], h[1]))[:k]
+        name, q = "-".join(str(int(queries[x].iloc[0])) for x in ("dim", "cell", "shard")), np.array(queries["v"].tolist(), np.float64)
+        graph, v, norms, ids = only(("graph", folder, name), lambda: load(name))
+        for a in range(0, len(q), BATCH):
+            part = q[a : a + BATCH]
+            found = graph.search((part / _norm(part)[:, None]).astype(np.float32))[:, : 4 * (k + 1)]
+            for i, near in enumerate(found):
+                near = near[near >= 0]
+                scores = (v[near] @ part[i]) / (norms[near] * _norm(part[i : i + 1])[0])
+                own = int(queries["query_id"].iloc[a + i])
+                hits = [(own, int(x), float(s)) for n, s in zip(near, scores) for x in ids[n] if int(x) != own]
+                out += sorted(hits, key=lambda h: (-h[2], h[1]))[:k]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = asked.groupBy("dim", "shard", "block").cogroup(spread.groupBy("dim", "shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = visits.groupBy("dim", "cell", "shard", "block").applyInPandas(search, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
