@@ -60,13 +60,12 @@ def normalize_unicode(c: Column | str, assume_nfc: bool = False) -> Column:
 
 
 def normalize_tone(c: Column | str) -> Column:
-    """The tone mark of oa, oe and uy on the second vowel, in lower, upper and title case."""
-    s = text(c)
-    for pair in V.TONES.split("|"):
-        a, b = pair.split(" ")
+    """The tone mark of oa, oe and uy on the second vowel, in lower, upper and title case; texts without such a pair are left alone."""
+    s = moved = text(c)
+    for a, b in V.TONES:
         for f in (str, str.upper, str.capitalize):
-            s = F.replace(s, F.lit(f(a)), F.lit(f(b)))
-    return s
+            moved = F.replace(moved, F.lit(f(a)), F.lit(f(b)))
+    return F.when(s.rlike("(?iu)" + "|".join(a for a, _ in V.TONES)), moved).otherwise(s)
 
 
 def expand_abbreviations(c: Column | str) -> Column:
@@ -106,7 +105,7 @@ def province_table() -> dict[str, str]:
     fold = lambda s: " ".join("".join(_base(ch) if ch not in "đĐ" else "d" for ch in s.lower()).split())
     out = {}
     for name, places in V.PROVINCES.items():
-        for place in (name, *places.split(", ")):
+        for place in (name, *places):
             out[fold(place)] = name
     return out
 
@@ -131,24 +130,35 @@ def normalize_province(c: Column | str, assume_nfc: bool = False) -> Column:
 
 
 def _pay_words(most: int) -> list[str]:
-    fixed = [w for w in V.PAY_WORDS.split("|")]
-    return [rf".{{0,{most - len(w)}}}?{w}" for w in fixed] + [rf".{{0,{most - len(m) - 1}}}?/\s{{0,3}}{m}" for m in V.PER_MONTH]
+    return [rf".{{0,{most - len(w)}}}?{w}" for w in V.PAY_WORDS] + [rf".{{0,{most - len(m) - 1}}}?/\s{{0,3}}{m}" for m in V.MONTHS]
+
+
+def _any(values: list[str]) -> str:
+    return "|".join(values)
 
 
 def _is_pay(amount: str) -> str:
     """The amount, unless it counts something else (a counting noun follows) without a word of pay within 40 characters."""
-    counted = rf"(?!\s*(?:(?:đồng|đ|vnd|vnđ)\s+)?(?:{V.COUNTED}))"
+    counted = rf"(?!\s*(?:(?:{_any(V.DONG_BEFORE_COUNTED)})\s+)?(?:{_any(V.COUNTED)}))"
     after = "(?=" + "|".join(_pay_words(40)) + ")"
-    before = "(?<=" + "|".join(rf"{w}.{{0,{40 - len(w)}}}" for w in V.PAY_WORDS.split("|")) + "|" + "|".join(rf"/\s{{0,3}}{m}.{{0,30}}" for m in V.PER_MONTH) + ")"
+    before = "(?<=" + "|".join(rf"{w}.{{0,{40 - len(w)}}}" for w in V.PAY_WORDS) + "|" + "|".join(rf"/\s{{0,3}}{m}.{{0,30}}" for m in V.MONTHS) + ")"
     return rf"(?={amount})(?:{before}(?>{amount})|(?>{amount})(?:{counted}|{after}))"
 
 
 def mask_salary(c: Column | str) -> Column:
-    """Amounts of pay become <SALARY>: dong first, then millions, then dollars; quantities of other things stay."""
-    span = rf"{V.NUMBER}(?:\s*(?:{V.TO})\s*{V.NUMBER})?"
-    amounts = (rf"\b{span}\s*(?:{V.DONG})\b", rf"\b{span}\s*(?:{V.MILLIONS})\b", rf"(?:(?:{V.DOLLARS})\s*{span}\b|\b{span}\s*(?:{V.DOLLARS}))")
-    masked = reduce(lambda s, a: F.regexp_replace(s, "(?siuU)(?=[0-9$uU])" + _is_pay(a), " <SALARY> "), amounts, text(c))
-    return F.when(text(c).rlike("[0-9]"), collapse(masked)).otherwise(collapse(text(c)))
+    """Amounts of pay become <SALARY>: dong first, then millions, then dollars; quantities of other things stay.
+
+    Each kind of amount is looked for with its look-arounds only in texts that have a digit next to one of its units.
+    """
+    span = rf"{V.NUMBER}(?:\s*(?:{_any(V.RANGE_SIGNS)})\s*{V.NUMBER})?"
+    dong, millions, dollars = _any(V.DONG), _any(V.MILLIONS), _any(V.DOLLARS)
+    amounts = (
+        (rf"\b{span}\s*(?:{dong})\b", rf"[0-9]\s*(?:{dong})"),
+        (rf"\b{span}\s*(?:{millions})\b", rf"[0-9]\s*(?:{millions})"),
+        (rf"(?:(?:{dollars})\s*{span}\b|\b{span}\s*(?:{dollars}))", rf"[0-9]\s*(?:{dollars})|(?:{dollars})\s*[0-9]"),
+    )
+    step = lambda s, a: let(s, lambda x: F.when(x.rlike(f"(?iuU){a[1]}"), F.regexp_replace(x, "(?siuU)(?=[0-9$uU])" + _is_pay(a[0]), " <SALARY> ")).otherwise(x))
+    return collapse(reduce(step, amounts, text(c)))
 
 
 def experience_months(c: Column | str, assume_nfc: bool = False) -> Column:

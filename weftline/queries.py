@@ -1095,7 +1095,7 @@ def src_proj_csv(s, d):
 
 @query("SELECT * FROM (VALUES (39, 42, 183)) t(abbreviations, provinces, places)")
 def src_json_res(s, d):
-    return s.createDataFrame([(len(V.ABBREVIATIONS), len(V.PROVINCES), sum(len(p.split(", ")) for p in V.PROVINCES.values()))], "abbreviations int, provinces int, places int")
+    return s.createDataFrame([(len(V.ABBREVIATIONS), len(V.PROVINCES), sum(map(len, V.PROVINCES.values())))], "abbreviations int, provinces int, places int")
 
 
 @query("SELECT * FROM (VALUES ('a b'), ('a_b'), ('c')) t(word)")
