@@ -306,18 +306,21 @@ def _groups(docs: DataFrame, words: int, share: tuple[int, int]) -> tuple[DataFr
     documents = written(profile.select("doc_id", "n", "c"), "documents")
 
     rows = profile.where("signatures IS NOT NULL").select("c", F.explode("signatures").alias("sig"))
-    groups = written(rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("freq")).where("lo < hi").select("sig", "lo", "freq"), "signatures")
+    groups = written(rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("freq")).where("lo < hi").select("sig", "freq"), "signatures")
     shared = written(_rows_of(profile, groups).distinct().join(groups, "sig"), "shared")
     forget(profile, groups)
     ranked = shared.where(F.col("freq") > FREQUENT).join(classes.select("c", "even", "odd"), "c").withColumn("rank", F.row_number().over(Window.partitionBy("c", F.col("sig").bitwiseAND(1)).orderBy(F.desc("freq"), "sig")))
-    frequent = written(ranked.where(F.col("rank") > F.when(F.col("sig").bitwiseAND(1) == 0, F.col("even")).otherwise(F.col("odd"))).select("sig", "c"), "frequent")
-    lows = frequent.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", "lo")
-    kept = written(shared.where(F.col("freq") <= FREQUENT).select("sig", "c", "lo").union(frequent.join(lows, "sig").select("sig", "c", "lo")), "kept")
-    forget(shared, frequent)
-    star = written(kept.where("c <> lo").select(F.col("lo").alias("a"), F.col("c").alias("b")).distinct(), "star")
+    frequent = ranked.where(F.col("rank") > F.when(F.col("sig").bitwiseAND(1) == 0, F.col("even")).otherwise(F.col("odd"))).select("sig", "c")
+    needed = written(shared.where(F.col("freq") <= FREQUENT).select("sig", "c").union(frequent), "needed")
+    # a signature's hub is the set that meets most others: of near copies, one that most of them are linked with
+    central = shared.groupBy("c").agg(F.sum("freq").alias("score"))
+    hubs = needed.join(central, "c").groupBy("sig").agg(F.max(F.struct("score", "c")).alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", F.col("hub.c").alias("hub"), F.col("hub.score").alias("score"))
+    kept = written(needed.join(hubs, "sig"), "kept")
+    forget(shared, needed)
+    star = written(kept.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"), "score").distinct(), "star")
 
     sets = written(_sets(texts, classes, kept.select("c").distinct(), words), "sets")
-    first = written(_verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, s, t, rough=True), "links")
+    first = written(_verified(star.groupBy("b").agg(F.max_by("a", F.struct("score", "a")).alias("a")).select("a", "b"), sets, s, t, rough=True), "links")
     parts = components(first)
     of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
     open_ = star.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
@@ -325,7 +328,7 @@ def _groups(docs: DataFrame, words: int, share: tuple[int, int]) -> tuple[DataFr
     parts = components(links)
     forget(first, star)
 
-    mine = kept.where("c <> lo").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").join(classes.select("c", "n"), "c").select("sig", "c", "n", F.coalesce("component", "c").alias("part"))
+    mine = kept.where("c <> hub").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").join(classes.select("c", "n"), "c").select("sig", "c", "n", F.coalesce("component", "c").alias("part"))
     mixed = written(_mixed(written(mine, "members"), "sig"), "mixed")
     few = _crossing(mixed.where(F.col("size") <= FREQUENT).withColumn("most", F.col("n")), "sig", s, t)
     rare = written(_rare_elements(sets, mixed.where(F.col("size") > FREQUENT).select("c", "part").distinct(), s, t), "rare")
@@ -344,7 +347,7 @@ def ngram_join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5))
     empty table gives no rows; other columns play no part. The words are cut at ASCII white space after A-Z are lower-cased.
 
     Scale: copies collapse in each task before anything is shuffled. Signatures grow with the shingles, and never with pairs:
-    each signature's sets are compared with its smallest set only (round one: one of these per set), components are formed,
+    each signature's sets are compared with its hub only, the set that meets most others (round one: one hub per set), components are formed,
     and only sets of a signature that are still in different components are compared with each other: those of at most FREQUENT
     sets directly, the others where they share an element of their prefixes, rarest first. Very frequent
     signatures (of shared passages) are left out as far as the bound on differences lets a set spare them, which loses no link.
