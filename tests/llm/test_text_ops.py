@@ -462,15 +462,15 @@ def test_probabilities_of_a_small_model_against_plain_code(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "PART", size // 6)
     parts = -(-size // (size // 6))
     docs = frame(spark, rows)
-    chunks = lm_score.written(lm_score._chunks(docs.select("doc_id", "text").withColumn("held", F.lit(False))), "c")
-    folder = lm_score.fresh_path(spark, "model")
-    got, roots, d1, tokens, known = lm_score.fit_model(chunks, parts, folder)
+    texts, folder = (lm_score.fresh_path(spark, x) for x in ("texts", "model"))
+    chunks = lm_score.written(lm_score._chunks(docs.select("doc_id", "text").withColumn("held", F.lit(False)), texts), "c")
+    got, roots, d1, tokens, known = lm_score.fit_model(chunks, parts, folder, texts)
     names = {}  # the words of each partition, from the chunks alone
     for row in chunks.collect():
-        hashes = lm_score.unpack(row["hashes"], np.uint64)
-        word, before, _ = lm_score.entries(hashes, lm_score.unpack(row["seq"], np.uint32), np.asarray(row["sizes"]))
-        for p, a, b in zip(lm_score.pair_home(hashes[before], hashes[word], parts), hashes[before], hashes[word]):
-            names.setdefault(int(p), set()).update((int(a), int(b)))
+        c = lm_score.Chunk(texts, row["chunk"])
+        a, b = c.hashes[c.before], c.hashes[c.word]
+        for p, x, y in zip(lm_score.pair_home(a, b, parts), a, b):
+            names.setdefault(int(p), set()).update((int(x), int(y)))
     n, t, c0, t0, tables = {}, [{} for _ in roots], [{} for _ in roots], [{} for _ in roots], [{} for _ in roots]
     for p, rows_ in got.toPandas().groupby("p"):
         words, pairs = sorted(names[p]), lm_score.Pairs(folder, p)

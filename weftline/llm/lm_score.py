@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_doc, forget, fresh_path, put, slices, take, written
+from .common import by_doc, forget, fresh_path, put, slices, take, trim, written
 from .text_units import list_sizes
 
 U = np.uint64
@@ -83,17 +83,30 @@ def entries(hashes: np.ndarray, seq: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return pairs % k, pairs // k, own
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
+#: Bytes of text to a chunk, about.
+CHUNK = 8 << 20
+
+
+def _chunks(docs: DataFrame, folder: str) -> DataFrame:
+    """(chunk, n): names and tokens of the chunks that the texts are cut into, each kept in a file of the folder."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                c = chunk_of(part.column("text"))
-                yield pa.RecordBatch.from_pydict(
-                    {"chunk": pa.array([uuid.uuid4().int >> 65], pa.int64()), "docs": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), "held": pa.array([part.column("held").to_pylist()], pa.list_(pa.bool_())), "sizes": pa.array([c["sizes"].tolist()], pa.list_(pa.int64())), "n": pa.array([len(c["seq"])], pa.int64())}
-                    | {k: pa.array([pack(c[k])], pa.binary()) for k in ("hashes", "seq")}
-                )
+            for part in slices(batch, "text", CHUNK):
+                c, name = chunk_of(part.column("text")), uuid.uuid4().int >> 65
+                put(folder, f"chunk-{name}", {"docs": part.column("doc_id").to_pylist(), "held": np.array(part.column("held").to_pylist(), bool), "sizes": pack(c["sizes"]), "hashes": pack(c["hashes"]), "seq": pack(c["seq"])})
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([name], pa.int64()), "n": pa.array([len(c["seq"])], pa.int64())})
+
+    return docs.mapInArrow(run, "chunk long, n long")
+
 
-    return docs.mapInArrow(run, "chunk long, docs array<long>, held array<boolean>, sizes array<long>, n long, hashes binary, seq binary")
+class Chunk:
+    """A chunk, from its file: documents, whether each is held out, its tokens, and the distinct pairs of words."""
+
+    def __init__(self, folder: str, name: int):
+        held = take(folder, f"chunk-{name}")
+        self.docs, self.held, self.sizes, self.hashes = held["docs"], held["held"], unpack(held["sizes"], np.int64), unpack(held["hashes"], U)
+        self.word, self.before, self.own = entries(self.hashes, unpack(held["seq"], np.uint32), self.sizes)
 
 
 def steps(rising: np.ndarray) -> np.ndarray:
@@ -120,25 +133,26 @@ def _cut(p: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(p[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(p)]))
 
 
-def _dealt(chunks: DataFrame, parts: int) -> DataFrame:
+def _dealt(chunks: DataFrame, parts: int, folder: str) -> DataFrame:
     """A row per chunk and partition: (p, chunk, names, and by pair: word and word before as places among the names, count in training texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                sizes, hashes = np.asarray(row["sizes"], np.int64), unpack(row["hashes"], U)
-                word, before, own = entries(hashes, unpack(row["seq"], np.uint32), sizes)
-                n = np.bincount(own, np.repeat(~np.asarray(row["held"], bool), sizes), len(word)).astype(np.uint32)
-                home = pair_home(hashes[before], hashes[word], parts)
+            for name in batch.column(0).to_pylist():
+                c = Chunk(folder, name)
+                n = np.bincount(c.own, np.repeat(~c.held, c.sizes), len(c.word)).astype(np.uint32)
+                home = pair_home(c.hashes[c.before], c.hashes[c.word], parts)
                 order = np.argsort(home, kind="stable")
                 for p, first, last in _cut(home[order]):
                     at = order[first:last]
-                    names, places = np.unique(np.concatenate((word[at], before[at])), return_inverse=True)
+                    names, places = np.unique(np.concatenate((c.word[at], c.before[at])), return_inverse=True)
                     w, b = np.split(places, 2)
-                    data = [pack(hashes[names]), pack(w.astype(np.uint32)), pack(steps(b)), pack(n[at])]
-                    yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int64()), "chunk": pa.array([row["chunk"]], pa.int64())} | {k: pa.array([d], pa.binary()) for k, d in zip(("names", "word", "before", "counts"), data)})
+                    data = [pack(c.hashes[names]), pack(w.astype(np.uint32)), pack(steps(b)), pack(n[at])]
+                    yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int64()), "chunk": pa.array([name], pa.int64())} | {k: pa.array([d], pa.binary()) for k, d in zip(("names", "word", "before", "counts"), data)})
+                del c
+                trim()
 
-    return chunks.select("chunk", "held", "sizes", "hashes", "seq").mapInArrow(run, "p long, chunk long, names binary, word binary, before binary, counts binary")
+    return chunks.select("chunk").mapInArrow(run, "p long, chunk long, names binary, word binary, before binary, counts binary")
 
 
 def pair_home(before: np.ndarray, word: np.ndarray, parts: int) -> np.ndarray:
@@ -316,6 +330,8 @@ def gather(folder: str, roots: int):
         put(folder, f"pairs-{p}", {"word": pack(word.astype(np.uint32)), "before": pack(steps(before)), "n": pack(n.astype(np.uint32)), "words": len(words), "homes": q_of, "chunks": [int(x) for x in frame["chunk"]], "asked": asked})
         put(folder, f"state-{p}-0", {"t": pack(np.ones(int((n > 1).sum()), np.uint32)), "t0": None})
         own = [np.bincount(word, n, len(words)), np.bincount(before, n, len(words)), np.bincount(word[n > 0], minlength=len(words))]
+        del at, keys, counts, place, pairs, names
+        trim()
         return _sent(p, q_of, own, words, [float((n == 1).sum()), float((n == 2).sum())])
 
     return run
@@ -429,6 +445,7 @@ def reply(folder: str, roots: list[Root], discount: float):
         for chunk, asked in zip(pairs.chunks, pairs.asked):
             at = risen(unpack(asked, np.uint32))
             rows.append((chunk, p, pack(logs[at]), pack(seen[at])))
+        trim()
         return pd.DataFrame(rows, columns=["chunk", "p", "logs", "counts"])
 
     return run
@@ -439,10 +456,10 @@ def _totals(rows: DataFrame, n: int) -> list[float]:
     return [row[f"x{i}"] or 0.0 for i in range(n)]
 
 
-def fit_model(chunks: DataFrame, parts: int, folder: str) -> tuple[DataFrame, list[Root], float, int, int]:
+def fit_model(chunks: DataFrame, parts: int, folder: str, texts: str) -> tuple[DataFrame, list[Root], float, int, int]:
     """(what the last round sent back to the partitions, the root of each sample, the restaurants' discount, training tokens, known words)."""
     homes = max(1, parts // 4)
-    sent = written(_dealt(chunks, parts).groupBy("p").applyInPandas(gather(folder, homes), SENT), "sent")
+    sent = written(_dealt(chunks, parts, texts).groupBy("p").applyInPandas(gather(folder, homes), SENT), "sent")
     one_pair, two_pair = _totals(sent, 2)
     got = written(sent.groupBy("q").applyInPandas(first_home(folder), GOT), "got")
     forget(sent)
@@ -472,34 +489,30 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     word is unknown and has probability 1. Repeated rows count again; an empty table gives no rows; other columns play no part. Very long texts
     are one row of a chunk as any other. The result depends on the texts and PART alone, not on how the scan is split.
 
-    Scale: texts are read once into chunks of about 4 MB. Each chunk's distinct pairs of words are dealt over partitions by both words, each
+    Scale: texts are read once into chunks of about 8 MB, files of the shared folder that are taken up again where documents are put together. Each chunk's distinct pairs of words are dealt over partitions by both words, each
     row of that only large shuffle one chunk's share of one partition; partitions keep which pairs each chunk asked for and answer
     from the model, so texts and pairs move once. The model grows with the corpus and is never in one place.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
-    chunks = written(_chunks(by_doc(docs).withColumn("held", held)), "chunks")
+    spark = docs.sparkSession
+    texts, folder = fresh_path(spark, "texts"), fresh_path(spark, "model")
+    chunks = written(_chunks(by_doc(docs).withColumn("held", held), texts), "chunks")
     parts = max(1, -(-int(chunks.agg(F.sum("n")).first()[0] or 0) // PART))
-    folder = fresh_path(docs.sparkSession, "model")
-    got, roots, d1, tokens, known = fit_model(chunks, parts, folder)
+    got, roots, d1, tokens, known = fit_model(chunks, parts, folder, texts)
     replies = written(got.groupBy("p").applyInPandas(reply(folder, roots, d1), "chunk long, p long, logs binary, counts binary"), "replies")
-    forget(got, folders=(folder,))
-
-    def add(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        row, got = own.iloc[0], got.sort_values("p")
-        sizes, hashes = np.asarray(row["sizes"], np.int64), unpack(row["hashes"], U)
-        word, before, seq = entries(hashes, unpack(row["seq"], np.uint32), sizes)
-        order = np.argsort(pair_home(hashes[before], hashes[word], parts), kind="stable")  # as they were dealt
-        logs, counts = np.empty(len(word)), np.empty(len(word), np.int64)
+    forget(got, chunks, folders=(folder,))
+
+    def add(got: pd.DataFrame) -> pd.DataFrame:
+        c, got = Chunk(texts, int(got["chunk"].iloc[0])), got.sort_values("p")
+        order = np.argsort(pair_home(c.hashes[c.before], c.hashes[c.word], parts), kind="stable")  # as they were dealt
+        logs, counts = np.empty(len(c.word)), np.empty(len(c.word), np.int64)
         logs[order] = np.concatenate([unpack(x, np.uint32) for x in got["logs"]]) / -FINE
         counts[order] = np.concatenate([unpack(x, np.uint32) for x in got["counts"]])
         base = np.log10((counts + 1) / (tokens + known + 1))
-        starts = np.cumsum(sizes) - sizes
-        sums = lambda x: np.add.reduceat(x[seq], starts)
-        return pd.DataFrame({"doc_id": pd.array(_ids(row["docs"]), "Int64"), "held_out": row["held"], "n_tokens": sizes, "n_known": sums((counts > 0).astype(np.int64)), "train_tokens": tokens, "base_score": sums(base), "score": sums(logs) + 0.0})
-
-    mine = chunks.select("chunk", "docs", "held", "sizes", "hashes", "seq")
-    return mine.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
+        starts = np.cumsum(c.sizes) - c.sizes
+        sums = lambda x: np.add.reduceat(x[c.own], starts)
+        out = pd.DataFrame({"doc_id": pd.array(c.docs, "Int64"), "held_out": c.held, "n_tokens": c.sizes, "n_known": sums((counts > 0).astype(np.int64)), "train_tokens": tokens, "base_score": sums(base), "score": sums(logs) + 0.0})
+        trim()
+        return out
 
-def _ids(ids) -> list[int | None]:
-    return [None if x is None or x != x else int(x) for x in ids]
+    return replies.groupBy("chunk").applyInPandas(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
