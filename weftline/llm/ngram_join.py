@@ -37,6 +37,10 @@ PARTS = 3
 FREQUENT = 24
 
 
+#: Shares of the signatures that are counted one after another, which bounds what their shuffle holds on disk.
+TURNS = 3
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
@@ -305,10 +309,14 @@ def _groups(docs: DataFrame, words: int, share: tuple[int, int]) -> tuple[DataFr
     classes = written(profile.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("even").alias("even"), F.max("odd").alias("odd")), "classes")
     documents = written(profile.select("doc_id", "n", "c"), "documents")
 
-    rows = profile.where("signatures IS NOT NULL").select("c", F.explode("signatures").alias("sig"))
-    groups = written(rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("freq")).where("lo < hi").select("sig", "freq"), "signatures")
+    rows, parts_of = profile.where("signatures IS NOT NULL").select("c", F.explode("signatures").alias("sig")), []
+    for turn in range(TURNS):  # a share of the signatures at a time is shuffled and dropped again
+        own = rows.where(F.pmod(F.shiftright("sig", 1), F.lit(TURNS)) == turn)
+        parts_of.append(written(own.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("freq")).where("lo < hi").select("sig", "freq"), "signatures"))
+        forget()
+    groups = functools.reduce(DataFrame.union, parts_of)
     shared = written(_rows_of(profile, groups).distinct().join(groups, "sig"), "shared")
-    forget(profile, groups)
+    forget(profile, *parts_of)
     ranked = shared.where(F.col("freq") > FREQUENT).join(classes.select("c", "even", "odd"), "c").withColumn("rank", F.row_number().over(Window.partitionBy("c", F.col("sig").bitwiseAND(1)).orderBy(F.desc("freq"), "sig")))
     frequent = ranked.where(F.col("rank") > F.when(F.col("sig").bitwiseAND(1) == 0, F.col("even")).otherwise(F.col("odd"))).select("sig", "c")
     needed = written(shared.where(F.col("freq") <= FREQUENT).select("sig", "c").union(frequent), "needed")
