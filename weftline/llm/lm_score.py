@@ -32,7 +32,7 @@ from .text_units import list_sizes
 
 U = np.uint64
 #: Tokens of the corpus to a partition of pairs, about.
-PART = 6_000_000
+PART = 3_000_000
 #: Sweeps before the first sample, and samples.
 BURN, SAMPLES = 3, 3
 STRENGTH = 1.0
