@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.feature import CountVectorizer, MaxAbsScaler, NGram, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, MaxAbsScaler, NGram, OneHotEncoder, RegexTokenizer, StringIndexer, StringIndexerModel, VectorAssembler, VectorSizeHint
 from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,17 +85,22 @@ def tfidf(df: DataFrame, key: str, terms: Column, min_df: int = 3, max_df: float
     return raw.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
-class SublinearIdf(Transformer):
-    """Counts -> TF-IDF with sublinear counts, smooth idf and unit length, given the idf of each slot."""
+class SublinearIdf(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Counts -> TF-IDF with sublinear counts, smooth idf and unit length, given the idf of each slot; saved and loaded with its pipeline."""
 
-    def __init__(self, source: str, target: str, idf: list[float]):
+    source = Param(Params._dummy(), "source", "column of counts", TypeConverters.toString)
+    target = Param(Params._dummy(), "target", "column of weights", TypeConverters.toString)
+    idf = Param(Params._dummy(), "idf", "idf of each slot", TypeConverters.toListFloat)
+
+    def __init__(self, source: str | None = None, target: str | None = None, idf: list[float] | None = None):
         super().__init__()
-        self.source, self.target, self.idf = source, target, idf
+        if source is not None:
+            self._set(source=source, target=target, idf=idf)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         import numpy as np
 
-        idf = np.asarray(self.idf)
+        idf = np.asarray(self.getOrDefault("idf"))
 
         @F.udf(VectorUDT())
         def weigh(v):
@@ -101,30 +108,95 @@ class SublinearIdf(Transformer):
             n = np.sqrt((w * w).sum())
             return SparseVector(v.size, v.indices, w / n if n else w)
 
-        return df.withColumn(self.target, weigh(self.source))
+        # kept as a step of its own: merged into the assembler's function it could not run
+        return df.withColumn(self.getOrDefault("target"), weigh.asNondeterministic()(self.getOrDefault("source")))
 
 
-def text_block(df: DataFrame, column: str, most: int, min_df: int = 3, max_df: float = 0.6, grams: int = 2) -> tuple[PipelineModel, SublinearIdf]:
-    """Vocabulary and weights of one field, fitted on the training rows only."""
-    base = df.withColumn(f"{column}_terms", word_terms(column, grams))
+def text_block(df: DataFrame, column: str, most: int, min_df: int = 3, max_df: float = 0.6, grams: int = 2, terms: Column | None = None) -> tuple[PipelineModel, SublinearIdf]:
+    """Vocabulary and weights of one field, fitted on the training rows only; terms are words and pairs of words unless given."""
+    base = df.withColumn(f"{column}_terms", word_terms(column, grams) if terms is None else terms)
     model = CountVectorizer(inputCol=f"{column}_terms", outputCol=f"{column}_tf", vocabSize=most, minDF=min_df, maxDF=max_df).fit(base)
     n = df.count()
     counts = model.setBinary(True).transform(base).select(f"{column}_tf")
     from pyspark.ml.stat import Summarizer
 
-    freq = counts.select(Summarizer.sum(F.col(f"{column}_tf")).alias("s")).first()["s"].toArray()
     import numpy as np
 
+    freq = counts.select(Summarizer.sum(F.col(f"{column}_tf")).alias("s")).first()["s"].toArray() if model.vocabulary else np.zeros(0)
+
     model.setBinary(False)
     return model, SublinearIdf(f"{column}_tf", f"{column}_w", (np.log((1 + n) / (1 + freq)) + 1).tolist())
 
 
+def _sized(block: tuple) -> list:
+    """A text block and the size of its vectors, which the assembler would else look up in a row."""
+    model, weigh = block
+    return [model, weigh, VectorSizeHint(inputCol=weigh.getOrDefault("target"), size=max(1, len(model.vocabulary)), handleInvalid="optimistic")]
+
+
+#: Character n-grams of the titles: terms at most.
+CHARS = 120_000
+
+
+@dataclass(frozen=True)
+class FeaturePlan:
+    """What the assembled feature vector is made of: a block of words for each text column, one of character n-grams, one-hot values, numbers."""
+
+    texts: tuple[str, ...]
+    chars: str | None = None
+    categorical: tuple[str, ...] = ()
+    numeric: tuple[str, ...] = ()
+    floor: int = 20
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        """Rows with the columns that the fitted stages read: term lists and log1p of numbers. It needs nothing fitted."""
+        terms = {f"{c}_terms": word_terms(c) for c in self.texts}
+        if self.chars:
+            terms["chars_terms"] = char_terms(self.chars)
+        logs = {f"{c}_log": F.log1p(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in self.numeric}
+        values = {f"{c}_value": F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("unknown")) for c in self.categorical}
+        return df.withColumns(terms | logs | values)
+
+    def fit(self, train: DataFrame, prepared: bool = False) -> PipelineModel:
+        """Stages that turn prepared rows into `features`, fitted on training rows; a value of fewer than `floor` rows encodes as an unknown one."""
+        rows, stages, parts = train if prepared else self.prepared(train), [], []
+
+        def add(name: str, block: tuple) -> None:
+            if block[0].vocabulary:  # a field without any frequent term has no block
+                stages.extend(_sized(block))
+                parts.append(f"{name}_w")
+
+        for c in self.texts:
+            most = BLOCKS.get(c.removesuffix("_seg").removesuffix("_text").removesuffix("_masked"), BLOCKS.get(c, 30_000))
+            add(c, text_block(rows, c, most, terms=F.col(f"{c}_terms")))
+        if self.chars:
+            add("chars", text_block(rows, "chars", CHARS, terms=F.col("chars_terms")))
+        if self.categorical:
+            known = [sorted(r[0] for r in rows.groupBy(f"{c}_value").count().where(F.col("count") >= self.floor).select(f"{c}_value").collect()) for c in self.categorical]  # a row in `floor` at most
+            at, out = [f"{c}_at" for c in self.categorical], [f"{c}_hot" for c in self.categorical]
+            index = PipelineModel([StringIndexerModel.from_labels(labels, f"{c}_value", i, "keep") for c, labels, i in zip(self.categorical, known, at)])
+            stages += [index, OneHotEncoder(inputCols=at, outputCols=out, dropLast=False).fit(index.transform(rows))]
+            parts += out
+        if self.numeric:
+            raw = VectorAssembler(inputCols=[f"{c}_log" for c in self.numeric], outputCol="numeric_raw")
+            stages += [raw, MaxAbsScaler(inputCol="numeric_raw", outputCol="numeric_scaled").fit(raw.transform(rows))]
+            parts.append("numeric_scaled")
+        return PipelineModel([*stages, VectorAssembler(inputCols=parts, outputCol="features")])
+
+
 def rare_to_other(df: DataFrame, c: str, floor: int = 20) -> DataFrame:
     """Values of fewer than `floor` rows pool in one."""
     counts = df.groupBy(c).agg(F.count("*").alias("_n"))
     return df.join(counts, c, "left").withColumn(c, F.when(F.col("_n") >= floor, F.col(c)).otherwise("infrequent")).drop("_n")
 
 
+def slots(values: DataFrame, group: str, value: str, floor: int = 20) -> DataFrame:
+    """Rows of (group, value) with `slot`, the value's place among the group's values of `floor` rows or more; other rows go."""
+    known = values.groupBy(group, value).agg(F.count("*").alias("_n")).where(F.col("_n") >= floor)
+    at = known.select(group, value, (F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1).alias("slot"))
+    return values.join(at, [group, value])
+
+
 def numeric_block(columns: list[str]) -> Pipeline:
     """Numbers by their largest absolute value; the caller takes log1p first."""
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="numeric_raw", handleInvalid="keep"), MaxAbsScaler(inputCol="numeric_raw", outputCol="numeric")])
@@ -136,11 +208,31 @@ def onehot_block(columns: list[str]) -> Pipeline:
 
 
 def truncated_svd(df: DataFrame, column: str, k: int):
-    """Uncentred singular values and right vectors of a vector column."""
-    from pyspark.mllib.linalg import Vectors as Old
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    """(singular values, right vectors) of an array column, uncentred: Gram matrices of Arrow batches, added up pairwise, and their eigenvectors.
 
-    return RowMatrix(df.select(column).rdd.map(lambda r: Old.fromML(r[0]))).computeSVD(k)
+    What tasks send is a matrix of the square of the columns' number, so this is for dense columns of a few thousand numbers at most.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def gram(batches):
+        total = None
+        for frame in batches:
+            if len(frame):
+                x = np.stack(frame[column].to_numpy()).astype(float)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
+
+    rows = df.select(F.col(column).cast("array<double>").alias(column)).mapInPandas(gram, "i int, row array<double>")
+    sums = rows.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()  # columns squared
+    m = max((r["i"] for r in sums), default=-1) + 1
+    g = np.zeros((m, m))
+    for r in sums:
+        g[r["i"], r["j"]] = r["x"]
+    values, vectors = np.linalg.eigh(g)
+    order = np.argsort(-values)[:k]
+    return np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
 
 
 def token_stages(source: str, target: str, grams: int = 1) -> list:

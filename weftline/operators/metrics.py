@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import back_transform, relative_error
+from ..functions.numeric import back_transform, hash32, relative_error
 
 
 def confusion(pred: DataFrame, grid: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -56,14 +58,38 @@ def top_k_hit(scores: DataFrame, k: int = 3) -> DataFrame:
     return best.groupBy("row_id").agg(F.max((F.col("label") == F.col("y_true")).cast("int")).alias("hit")).agg(F.round(F.avg("hit"), 6).alias(f"top{k}"))
 
 
-def binary(pred: DataFrame) -> DataFrame:
-    """ROC-AUC by Mann-Whitney ranks and average precision, exact, from distinct scores: windows run over score values, aggregated before."""
+#: Ranges of scores that cumulative counts are split into.
+RANGES = 1024
+
+
+def binary(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """ROC-AUC by Mann-Whitney ranks, average precision, F1 and accuracy at the threshold; all exact.
+
+    Counts run over distinct scores. They are cut into RANGES equal ranges between the least and the largest score: each range is cumulated by itself, and
+    what lies below and above it comes from the ranges' totals, so no task sees all scores.
+    """
     s = pred.groupBy("score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    up, down = Window.orderBy("score"), Window.orderBy(F.desc("score"))
-    c = s.withColumn("below", F.sum("n").over(up) - F.col("n")).withColumn("tp", F.sum("pos").over(down)).withColumn("above", F.sum("n").over(down))
+    ends = s.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    share = (F.col("score") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
+    s = s.join(F.broadcast(ends)).withColumn("range", F.least(F.floor(share * RANGES), F.lit(RANGES - 1)).cast("int"))  # one row
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
+    totals = s.groupBy("range").agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"))
+    starts = totals.select("range", F.coalesce(F.sum("all_n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("all_pos").over(before), F.lit(0)).alias("pos_before"))
+    grand = s.agg(F.sum("n").alias("all_rows"), F.sum("pos").alias("all_hits"))
+    up = Window.partitionBy("range").orderBy("score")
+    c = s.join(F.broadcast(starts), "range").join(F.broadcast(grand))  # RANGES rows, one row
+    below = F.col("n_before") + F.sum("n").over(up) - F.col("n")
+    below_pos = F.col("pos_before") + F.sum("pos").over(up) - F.col("pos")
+    c = c.select("score", "pos", "n", below.alias("below"), (F.col("all_hits") - below_pos).alias("tp"), (F.col("all_rows") - below).alias("above"))
     p, n = F.sum("pos"), F.sum("n")
     rank_sum = F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2))
-    return c.agg(F.round((rank_sum - p * (p + 1) / 2) / (p * (n - p)), 6).alias("roc_auc"), F.round(F.sum(F.col("pos") * F.col("tp") / F.col("above")) / p, 6).alias("average_precision"))
+    yes = F.col("score") >= threshold
+    hits, said = F.sum(F.when(yes, F.col("pos")).otherwise(0)), F.sum(F.when(yes, F.col("n")).otherwise(0))
+    out = c.agg(
+        ((rank_sum - p * (p + 1) / 2) / (p * (n - p))).alias("roc_auc"), (F.sum(F.col("pos") * F.col("tp") / F.col("above")) / p).alias("average_precision"),
+        (2 * hits / (said + p)).alias("f1"), ((n - p - said + 2 * hits) / n).alias("accuracy"),
+    )
+    return out.select(*(F.round(x, 6).alias(x) for x in out.columns))
 
 
 def regression(pred: DataFrame, keys: tuple[str, ...] = (), logged: bool = True, least: int = 0) -> DataFrame:
@@ -81,19 +107,30 @@ def tail_error(pred: DataFrame, threshold: float = 30.0) -> DataFrame:
     return pred.agg(F.round(F.avg(F.when(F.col("y") >= threshold, e)), 6).alias("mae_above"), F.round(F.avg(F.when(F.col("y") < threshold, e)), 6).alias("mae_below"))
 
 
+def poisson_steps(most: int = 11) -> list[float]:
+    """The Poisson(1) distribution function at 0, 1, 2, ..."""
+    out, total, term = [], 0.0, math.exp(-1)
+    for k in range(1, most + 1):
+        total += term
+        term /= k
+        out.append(round(total, 12))
+    return out
+
+
+def poisson_weight(key: Column) -> Column:
+    """A Poisson(1) draw from a hash of the key, the same in any SQL engine with SHA-1."""
+    u = (hash32(key) + 0.5) / float(1 << 32)
+    first, *rest = ((u > c).cast("int") for c in poisson_steps())
+    return sum(rest, first)
+
+
 def bootstrap_cells(pred: DataFrame, n_boot: int, seed: int) -> DataFrame:
     """Weighted confusion cells of n_boot resamples: (boot, true, pred, w). Each row draws a Poisson(1) weight per resample from a hash.
 
     The same weights serve every model of a paired comparison, as they depend on (row, boot, seed) only; the sample size varies as
     sqrt(n), which vanishes against n at scale, and no index matrix has to exist.
     """
-    u = (F.pmod(F.xxhash64("row_id", "boot", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    cuts, total, term = [], 0.0, 0.36787944117144233  # the Poisson(1) distribution function
-    for k in range(1, 12):
-        total += term
-        term /= k
-        cuts.append(total)
-    weight = sum(((u > c).cast("int") for c in cuts[1:]), (u > cuts[0]).cast("int"))
+    weight = poisson_weight(F.concat_ws(":", F.col("row_id").cast("string"), F.col("boot").cast("string"), F.lit(str(seed))))
     boots = pred.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     return boots.groupBy("boot", F.col("y_true").alias("true"), F.col("y_pred").alias("pred")).agg(F.sum(weight).alias("w")).where("w > 0")
 

@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,6 +144,26 @@ def build(name: str, regression: bool = False, **overrides: Any):
         raise KeyError(f"{name}: {e}") from None
 
 
+#: Models of the registry that weigh classes alike, by a column `weight` of the rows.
+BALANCED = ("logreg", "svm", "sgd", "rf", "rf100", "extra")
+
+
+def balanced(train: DataFrame, label: str = "label") -> DataFrame:
+    """Rows with `weight`: rows / (classes * rows of the class)."""
+    counts = train.groupBy(label).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
+    weights = counts.join(F.broadcast(total)).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))  # one row
+    return train.join(weights, label)
+
+
+def fit(name: str, train: DataFrame, regression: bool = False, **overrides: Any):
+    """A fitted model of the registry; those in BALANCED on rows with class weights."""
+    estimator = build(name, regression, **overrides)
+    if regression or name not in BALANCED:
+        return estimator.fit(train)
+    return estimator.setWeightCol("weight").fit(balanced(train))
+
+
 def parse_overrides(items: list[str]) -> dict[str, Any]:
     """KEY=VALUE pairs; values are literals where they parse as such, else text."""
     out: dict[str, Any] = {}
@@ -163,14 +184,14 @@ def model_label(name: str, overrides: dict[str, Any]) -> str:
 
 def calibrated(train: DataFrame, held: DataFrame, c: float = 1e-2):
     """Per-class sigmoid over the margins of a linear model on held-out rows."""
-    model = build("svm", regParam=c).fit(train)
+    model = fit("svm", train, regParam=c)
     scored = model.transform(held)
     curves = {}
     for i, _ in enumerate(model.models):
-        margin = F.udf(lambda v, i=i: float(v[i]), "double")("rawPrediction")
+        margin = vector_to_array("rawPrediction")[i]
         from pyspark.ml.feature import VectorAssembler
 
         rows = scored.select(margin.alias("m"), (F.col("label") == i).cast("double").alias("label"))
-        fit = Pipeline(stages=[VectorAssembler(inputCols=["m"], outputCol="features"), LogisticRegression(regParam=1e-6)]).fit(rows)
-        curves[i] = (float(fit.stages[-1].coefficients[0]), float(fit.stages[-1].intercept))
+        curve = Pipeline(stages=[VectorAssembler(inputCols=["m"], outputCol="features"), LogisticRegression(regParam=1e-6)]).fit(rows)
+        curves[i] = (float(curve.stages[-1].coefficients[0]), float(curve.stages[-1].intercept))
     return model, curves

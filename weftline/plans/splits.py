@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hash32
 
 
+def shuffled(df: DataFrame, key: str, within: str, seed: int, ranges: int = 256) -> DataFrame:
+    """Rows with `place`, from 1: a seeded order of the rows of each class, by a hash of the key, ties by the key.
+
+    Hashes are cut into ranges that are counted first and ordered each by itself, so a class of any size is spread over tasks.
+    """
+    h = hash32(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    rows = df.withColumn("_h", h).withColumn("_range", F.floor(F.col("_h") * ranges / float(1 << 32)).cast("int"))
+    counts = rows.groupBy(within, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # `ranges` rows of a class
+    starts = counts.select(within, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(within, "_range").orderBy("_h", key))
+    return rows.join(starts, [within, "_range"]).withColumn("place", (F.col("_start") + own).cast("int")).drop("_h", "_range", "_start")
+
+
 def group_stats(df: DataFrame, key: str = "group_id", stratum: str = "category") -> DataFrame:
     """Per group: rows and the most frequent stratum, ties to the smallest."""
     return df.groupBy(key).agg(F.count("*").alias("n"), F.mode(stratum, True).alias("stratum"))

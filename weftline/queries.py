@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,26 @@ H = "CAST('0x' || substring(sha1({}), 1, 8) AS BIGINT)"
 FOLD = "replace(replace(strip_accents({}), 'đ', 'd'), 'Đ', 'D')"
 KEY = "substring(sha1(trim(regexp_replace(regexp_replace(lower(" + FOLD.format("regexp_replace({}, '\\s+', ' ', 'g')") + "), '[^a-z0-9 ]+', '', 'g'), ' +', ' ', 'g'))), 1, 16)"
 
+TERMS = r"""w AS (SELECT doc_id, regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]{{2,}}') AS ws FROM titles),
+t AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w)"""
+TFIDF = """, n AS (SELECT count(*) AS n FROM titles), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.6 * (SELECT n FROM n)), w2 AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n)
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w2"""
+CHARS = "f AS (SELECT doc_id, unnest(list_filter(string_split(trim(regexp_replace(lower(" + FOLD.format("title") + "), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS word FROM titles), p AS (SELECT doc_id, ' ' || word || ' ' AS p FROM f), t AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, greatest(length(p) - 1, 1)), lambda i: substr(p, i, 3)), list_transform(range(1, greatest(length(p) - 2, 1)), lambda i: substr(p, i, 4)), list_transform(range(1, greatest(length(p) - 3, 1)), lambda i: substr(p, i, 5)))) AS term FROM p)"
+
+def _boot(n: int, seed: int) -> str:
+    """Weights of n resamples of the predictions: Poisson(1) by a hash of row, resample and seed."""
+    u = f"(CAST('0x' || substring(sha1(row_id || ':' || boot || ':{seed}'), 1, 8) AS BIGINT) + 0.5e0) / 4294967296.0e0"
+    weight = " + ".join(f"CAST(u > {c!r} AS INT)" for c in M.poisson_steps())
+    return f'{predictions_sql()}, u AS (SELECT row_id, y_true AS "true", y_pred AS pred, boot, {u} AS u FROM predictions, range({n}) b(boot)), bw AS (SELECT boot, "true", pred, CAST(sum({weight}) AS BIGINT) AS w FROM u GROUP BY ALL HAVING sum({weight}) > 0)'
+
+
+def _boot_scores(n: int, seed: int) -> str:
+    return f"""WITH {_boot(n, seed)}, sides AS (SELECT boot, "true" AS label, w AS t, 0 AS p, CASE WHEN "true" = pred THEN w ELSE 0 END AS tp FROM bw UNION ALL SELECT boot, pred, 0, w, 0 FROM bw),
+c AS (SELECT boot, label, sum(t) AS t, sum(p) AS p, sum(tp) AS tp FROM sides GROUP BY ALL), f AS (SELECT *, 2.0e0 * tp / (t + p) AS f1 FROM c)
+SELECT boot, round(sum(tp) / sum(t), 6) AS accuracy, round(avg(f1), 6) AS f1_macro, round(avg(CASE WHEN t > 0 THEN tp / t END), 6) AS balanced_accuracy, round(sum(f1 * t) / sum(t), 6) AS f1_weighted FROM f GROUP BY boot"""
+
+
 # ---- projections, filters, predicates -----------------------------------------------------------------
 
 
@@ -266,7 +287,7 @@ def jn_centroid(s, d):
     return L.nearest_centroid(v.where("vec_id % 5 <> 0"), v.where("vec_id % 5 = 0"), "vec_id", "embedding", "label")
 
 
-@query()
+@query(f"WITH {_boot(10, 7)} SELECT * FROM bw")
 def jn_boot(s, d):
     return M.bootstrap_cells(predictions(s, d), 10, 7)
 
@@ -454,15 +475,9 @@ def ag_maxabs(s, d):
     return postings(s, d).agg(F.round(F.max(F.abs(F.log1p("salary_min"))), 6).alias("a"), F.round(F.max(F.abs(F.log1p("salary_max"))), 6).alias("b"))
 
 
-@query("WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{2,}')) AS term FROM documents WHERE lang = 'en') SELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) >= 3")
+@query(doc(", " + TERMS.format("text") + " SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 3"))
 def ag_df(s, d):
-    t = table(s, d, "documents").where("lang = 'en'")
-    return A.document_frequency(t, F.regexp_extract_all(F.lower(X.text("text")), F.lit("([a-z]{2,})"), 1)).where("df >= 3")
-
-
-@query()
-def ag_df_terms(s, d):
-    """All documents and languages, words and pairs of words as the features cut them; ag_df is the part that SQL checks."""
+    """Words and pairs of words of all documents."""
     return A.document_frequency(titles(s, d), E.word_terms("text")).where("df >= 3")
 
 
@@ -560,12 +575,12 @@ def set_labels(s, d):
     return table(s, d, "orders").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("labels"))
 
 
-@query()
+@query(post(f" SELECT posting_id, category, row_number() OVER (PARTITION BY category ORDER BY {H.format("posting_id || ':42'")}, posting_id) AS place FROM postings"))
 def smp_shuffle(s, d):
-    return postings(s, d).select("posting_id", "category", F.row_number().over(Window.partitionBy("category").orderBy(F.xxhash64("posting_id", F.lit(42)), "posting_id")).alias("place"))
+    return splits.shuffled(postings(s, d), "posting_id", "category", 42).select("posting_id", "category", "place")
 
 
-@query()
+@query(f"WITH {_boot(5, 11)} SELECT boot, CAST(sum(w) AS BIGINT) AS n FROM bw GROUP BY boot")
 def smp_boot(s, d):
     return M.bootstrap_cells(predictions(s, d), 5, 11).groupBy("boot").agg(F.sum("w").alias("n"))
 
@@ -780,50 +795,49 @@ def fn_std(s, d):
 
 # ---- features ------------------------------------------------------------------------------------------
 
-TFIDF = """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents WHERE lang = 'en'), n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en'), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.6 * (SELECT n FROM n)), w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n)
-SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""
-
-
-@query(TFIDF)
+@query(doc(", " + TERMS.format("text") + TFIDF))
 def fe_tfidf_word(s, d):
-    t = table(s, d, "documents").where("lang = 'en'")
-    return E.tfidf(t, "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), 1)).select("doc_id", "term", F.round("weight", 6).alias("weight"))
-
-
-@query()
-def fe_tfidf_terms(s, d):
-    """All documents and languages, words and pairs of words as the features cut them; fe_tfidf_word is the part that SQL checks."""
+    """Words and pairs of words of all documents."""
     return E.tfidf(titles(s, d), "doc_id", E.word_terms("text")).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query()
+@query(doc(", " + CHARS + TFIDF))
 def fe_tfidf_char(s, d):
-    return E.tfidf(titles(s, d), "doc_id", E.char_terms("title"), most=120_000)
+    return E.tfidf(titles(s, d), "doc_id", E.char_terms("title"), most=120_000).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query()
 def fe_blocks(s, d):
-    t = titles(s, d)
-    blocks = [E.tfidf(t, "doc_id", E.word_terms(c), most=m).withColumn("block", F.lit(c)) for c, m in (("title", 60_000), ("text", 150_000))]
-    return blocks[0].union(blocks[1])
+    """All blocks of the assembled features over clean postings: eight of words, each with its own vocabulary, and one of character n-grams."""
+    path = S_path(s, "clean")
+    cleaning.clean(raw_postings(s, d), extra=("doc_id",)).write.parquet(path)
+    rows = s.read.parquet(path)
+    blocks = [E.tfidf(rows, "doc_id", E.word_terms(c if c in rows.columns else f"{c}_text"), most=m).withColumn("block", F.lit(c)) for c, m in E.BLOCKS.items()]
+    blocks.append(E.tfidf(rows, "doc_id", E.char_terms("job_title"), most=E.CHARS).withColumn("block", F.lit("chars")))
+    return functools.reduce(DataFrame.union, blocks)
 
 
-@query()
+@query(doc(", w AS (SELECT doc_id, unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS term FROM titles), n AS (SELECT count(*) AS n FROM titles), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.6 * (SELECT n FROM n) ORDER BY total DESC, term LIMIT 200), w2 AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w2"))
 def fe_freq_cap(s, d):
-    return E.tfidf(titles(s, d), "doc_id", E.word_terms("title", 1), most=200)
+    return E.tfidf(titles(s, d), "doc_id", E.word_terms("title", 1), most=200).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query(post(", c AS (SELECT location, count(*) AS n FROM postings GROUP BY location) SELECT posting_id, CASE WHEN n >= 620 THEN location ELSE 'infrequent' END AS location FROM postings JOIN c USING (location)"))
+@query(post(", v AS (SELECT posting_id, 'location' AS col, location AS value FROM postings UNION ALL SELECT posting_id, 'category', category FROM postings UNION ALL SELECT posting_id, 'group_id', group_id FROM postings), c AS (SELECT col, value, count(*) AS n FROM v GROUP BY ALL), k AS (SELECT col, value, row_number() OVER (PARTITION BY col ORDER BY value) - 1 AS slot FROM c WHERE n >= 20) SELECT posting_id, col, slot FROM v JOIN k USING (col, value)"))
 def fe_onehot(s, d):
-    return E.rare_to_other(postings(s, d), "location", 620).select("posting_id", "location")
+    """The slot of each row's value in each of three columns, in order of values; a value of fewer than 20 rows has none."""
+    v = postings(s, d).select("posting_id", F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in ("location", "category", "group_id")))).alias("v")).select("posting_id", "v.*")
+    return E.slots(v, "col", "value", 20).select("posting_id", "col", "slot")
+
 
+NUMBERS = ("salary_min", "salary_max", "salary_mid", "salary_disclosed", "salary_is_range", "salary_extreme")
 
-@query(post("SELECT posting_id, round(ln(1 + salary_min) / (SELECT max(ln(1 + salary_min)) FROM postings), 6) AS x FROM postings"))
+
+@query(post(" SELECT posting_id, " + ", ".join(f"round(ln(1 + {c}) / coalesce(nullif((SELECT max(abs(ln(1 + {c}))) FROM postings), 0), 1), 6) AS {c}" for c in NUMBERS) + " FROM postings"))
 def fe_numeric(s, d):
-    p = postings(s, d).withColumn("l", F.log1p("salary_min"))
-    m = p.agg(F.max(F.abs("l")).alias("m"))
-    return p.join(F.broadcast(m)).select("posting_id", F.round(F.col("l") / F.col("m"), 6).alias("x"))
+    """Every number of the postings: log1p by its largest absolute value, in one pass for all maxima."""
+    p = postings(s, d).select("posting_id", *(F.log1p(c).alias(c) for c in NUMBERS))
+    m = p.agg(*(F.max(F.abs(c)).alias(f"m_{c}") for c in NUMBERS))  # one row
+    return p.join(F.broadcast(m)).select("posting_id", *(F.round(F.col(c) / F.coalesce(F.nullif(F.col(f"m_{c}"), F.lit(0.0)), F.lit(1.0)), 6).alias(c) for c in NUMBERS))
 
 
 @query("SELECT * FROM (VALUES ('title', 1), ('structured', 17), ('full', 25)) t(scope, n)")
@@ -838,8 +852,8 @@ def fe_srccols(s, d):
 
 @query()
 def fe_svd(s, d):
-    v = table(s, d, "embeddings").select(array_to_vector("embedding").alias("v"))
-    return s.createDataFrame([(i, float(x)) for i, x in enumerate(E.truncated_svd(v, "v", 8).s.toArray())], "i int, singular double")
+    values, _ = E.truncated_svd(table(s, d, "embeddings"), "embedding", 8)
+    return s.createDataFrame([(i, float(x)) for i, x in enumerate(values)], "i int, singular double")
 
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
@@ -915,9 +929,9 @@ def _vectors(s, d):
 def _fit(s, d, name, **p):
     train, test = _vectors(s, d)
     if name == "nb":  # needs features of one sign
-        shift = F.udf(lambda v: v.__class__(v.toArray() + 10), __import__("pyspark.ml.linalg", fromlist=["VectorUDT"]).VectorUDT())
-        train, test = train.withColumn("features", shift("features")), test.withColumn("features", shift("features"))
-    return L.build(name, **p).fit(train).transform(test).select("vec_id", "label", "prediction")
+        shifted = array_to_vector(F.transform(vector_to_array("features"), lambda x: x + 10))
+        train, test = train.withColumn("features", shifted), test.withColumn("features", shifted)
+    return L.fit(name, train, **p).transform(test).select("vec_id", "label", "prediction")
 
 
 for _name in ("logreg", "svm", "nb", "sgd", "rf", "extra"):
@@ -980,7 +994,7 @@ def mt_top3(s, d):
     return M.top_k_hit(x)
 
 
-@query(f"WITH {BINARIES}, r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0e0 AS rk, sum(y) OVER (ORDER BY score DESC RANGE UNBOUNDED PRECEDING) AS tp, count(*) OVER (ORDER BY score DESC RANGE UNBOUNDED PRECEDING) AS above FROM binaries) SELECT round((sum(y * rk) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS roc_auc, round(sum(y * tp / above) / sum(y), 6) AS average_precision FROM r")
+@query(f"WITH {BINARIES}, r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0e0 AS rk, sum(y) OVER (ORDER BY score DESC RANGE UNBOUNDED PRECEDING) AS tp, count(*) OVER (ORDER BY score DESC RANGE UNBOUNDED PRECEDING) AS above FROM binaries) SELECT round((sum(y * rk) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS roc_auc, round(sum(y * tp / above) / sum(y), 6) AS average_precision, round(2.0e0 * sum(y) FILTER (score >= 0.5) / (count(*) FILTER (score >= 0.5) + sum(y)), 6) AS f1, round(avg(CAST((score >= 0.5) = (y = 1) AS INT)), 6) AS accuracy FROM r")
 def mt_bin(s, d):
     return M.binary(binaries(s, d))
 
@@ -1003,9 +1017,10 @@ def mt_tail(s, d):
     return M.tail_error(regressions(s, d).select(N.back_transform(F.col("y"), 0.0).alias("y"), N.back_transform(F.col("p")).alias("p")))
 
 
-@query()
+@query(_boot_scores(50, 7))
 def mt_boot(s, d):
-    return M.boot_scores(predictions(s, d), 50)
+    b = M.boot_scores(predictions(s, d), 50)
+    return b.select("boot", *(F.round(c, 6).alias(c) for c in b.columns if c != "boot"))
 
 
 @query("WITH b AS (SELECT (boot * 7 % 100) / 100.0e0 AS f1 FROM range(40) t(boot)) SELECT round(avg(f1), 6) AS mean, round(stddev_samp(f1), 6) AS sd, round(quantile_cont(f1, 0.025), 6) AS ci_lo, round(quantile_cont(f1, 0.975), 6) AS ci_hi FROM b")
@@ -1042,8 +1057,13 @@ def mt_decision(s, d):
 
 @query()
 def sv_predict(s, d):
-    top = serving.top_labels(_scores(s, d), "row_id", "labels", "scores", 1)
-    return top.select("row_id", "label", "score", serving.warnings(F.col("score"), F.lit("abc"), F.lit(""), F.col("score")).alias("warnings"), serving.salary(F.col("score") * 3).alias("salary"))
+    """Models of category, disclosure and pay fitted on the training split of clean postings, stored, loaded again, and applied to every raw posting."""
+    path = S_path(s, "served")
+    rows = splits.hash_split(cleaning.clean(raw_postings(s, d), extra=("doc_id",))).where("split = 'train'")
+    rows.write.parquet(f"{path}/rows")
+    few = {"maxIter": 20}
+    serving.fit_served(s.read.parquet(f"{path}/rows"), path, "title", {"category": few, "disclosed": few})
+    return serving.predict(cleaning.clean(raw_postings(s, d), targets=False, extra=("doc_id",)), "doc_id", path, "title")
 
 
 @query(f"WITH {RUNS} SELECT run_id FROM runs WHERE run_id LIKE 'cat-%' ORDER BY created DESC, run_id DESC LIMIT 1")
