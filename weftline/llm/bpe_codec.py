@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_symbols, vocabulary
 from .common import by_doc, forget, fresh_path, only, slices, write_bytes, written
-from .text_units import ODD, WordEncoder, library, word_pieces, word_units
+from .text_units import ODD, UNITS, WordEncoder, library, word_pieces, word_units
 
 MAGIC = b"LEXICON1"
 
@@ -163,7 +163,7 @@ def piece_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = vocabulary(tokenizer).special
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", UNITS):
                 counts = word_units(part.column("text"), tokenizer, special).flatten().value_counts()
                 words, n = counts.field("values").to_pylist(), counts.field("counts").to_pylist()
                 lists = [[] if ODD.search(w) else word_pieces(w) for w in words]
@@ -207,7 +207,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 15,
     text. Repeated rows give repeated results; an empty table gives no rows (and an empty lexicon); other columns play no part.
 
     Scale: pass one counts pieces (partial sums before the only shuffle); the lexicon is bounded by `lexicon_size`, a matter of
-    speed alone, as other pieces are merged exactly. Pass two is a map over the scan, 4 MB of text at a time.
+    speed alone, as other pieces are merged exactly. Pass two is a map over the scan, 8 MB of text at a time.
     """
     name = compile_lexicon(docs, tokenizer, lexicon_size)
     more = "".join(f", {x} {kind}" for x, kind in (("ids", "array<int>"), ("decoded", "string")) if x in keep)
@@ -216,7 +216,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 15,
         encoder = codec_encoder(tokenizer, SparkFiles.get(name))
         token = vocabulary(tokenizer).tokens.__getitem__
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", UNITS):
                 flat, sizes = encoder.encode(part.column("text"))
                 shas, texts, decoded, lists, at = [], [], [], [], 0
                 for n in sizes.tolist():

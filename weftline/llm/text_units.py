@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+#: Bytes of text that are cut into units at once: each distinct unit is looked up once in them.
+UNITS = 8 << 20
 #: Where Python and the tokenizers library may part: controls, what is beyond Latin Extended-A, and the one letter whose lower case is two.
 ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9fİ]|[^\x00-ſ]")
 #: What stands for a special token among words; no normal text has NUL at the start of a word of an even text.
@@ -114,7 +116,7 @@ class Slots:
     Beyond `most` units the table keeps only those that came back, so that memory stays bounded whatever the corpus holds.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 100_000, dtype=np.int32):
+    def __init__(self, resolve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 150_000, dtype=np.int32):
         self.resolve, self.most, self.dtype = resolve, most, dtype
         self.clear()
 
@@ -184,7 +186,7 @@ def per_text(sizes: np.ndarray, counts) -> np.ndarray:
 class WordEncoder:
     """Ids of the word tokenizer for whole texts: units from the table, pieces resolved by `piece_ids`."""
 
-    def __init__(self, path: str, special: dict[str, int], piece_ids: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], odd_ids: Callable[[str], list[int]], most: int = 100_000):
+    def __init__(self, path: str, special: dict[str, int], piece_ids: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], odd_ids: Callable[[str], list[int]], most: int = 150_000):
         self.path, self.special, self.odd_ids = path, special, odd_ids
         self.pieces = Slots(piece_ids, most)
         self.words = Slots(self._resolve, most)

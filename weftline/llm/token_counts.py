@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from .bpe import Vocabulary, byte_symbols, vocabulary
 from .common import by_doc, only, slices
-from .text_units import BYTE_PIECES, MARK, Slots, byte_units, list_sizes, per_text
+from .text_units import BYTE_PIECES, MARK, UNITS, Slots, byte_units, list_sizes, per_text
 
 
 _BLANK = regex.compile(r"\s+")
@@ -205,7 +205,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int, text: str = "text"
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", UNITS):
                 totals, fits = own.count(part.column("text"), limit)
                 sizes = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, pa.array(totals), pa.array(totals > limit), pa.array(fits)], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_doc, filesystem, fresh_path, only, slices
-from .text_units import WordEncoder, library
+from .text_units import UNITS, WordEncoder, library
 
 #: Added to a rotated checksum; the constant of the common record format.
 MASK = 0xA282EAD8
@@ -116,7 +116,7 @@ def write_token_records(docs: DataFrame, tokenizer: str, end_id: int, out: str |
         store, root = filesystem(out)
         name, stream, index, first, docs_, offset, start = f"{root}/{uuid.uuid4().hex}", None, None, None, 0, 0, 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", UNITS):
                 flat, sizes = encoder.encode(part.column("text"))
                 ids = part.column("doc_id").to_pylist()
                 if stream is None:
