@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, trim, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,10 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
 BLOCK_BITS = 1 << 21
 
 
-def bloom(keys: DataFrame, column: str, most_bits: int = 1 << 27) -> tuple[np.ndarray, int]:
+def bloom(keys: DataFrame, column: str, most_bits: int = 1 << 26) -> tuple[np.ndarray, int]:
     """A Bloom filter (bytes, bits) of a long column, of 16 bits a key and most_bits at most; beyond, it only lets more through.
 
-    Each task makes its own, and they are put together block by block on the executors; the driver gets the blocks, 16 MB at most.
+    Each task makes its own, and they are put together block by block on the executors; the driver gets the blocks, 8 MB at most.
     """
     n = keys.count()
     bits = 1 << int(np.clip(np.ceil(np.log2(16 * max(n, 64))), 10, np.log2(most_bits)))
@@ -58,6 +58,8 @@ def bloom(keys: DataFrame, column: str, most_bits: int = 1 << 27) -> tuple[np.nd
             block = own[a : a + BLOCK_BITS]
             if block.any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int64()), "bitmap": pa.array([np.packbits(block).tobytes()], pa.binary())})
+        del own
+        trim()
 
     def merge(rows: pa.Table) -> pa.Table:
         out = np.frombuffer(rows.column("bitmap")[0].as_buffer(), np.uint8).copy()
@@ -95,7 +97,7 @@ def maybe_in(rows: DataFrame, column: str, keys: DataFrame, key: str, inside: bo
     """The rows whose key may be (inside) or surely isn't (not inside) among the keys: a bounded filter before a shuffle, not a join."""
     spark = rows.sparkSession
     words, bits = bloom(keys, key)
-    shared = spark.sparkContext.broadcast(words)  # 16 MB at most
+    shared = spark.sparkContext.broadcast(words)  # 8 MB at most
     at = rows.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,8 @@ PARTS = 3
 FREQUENT = 24
 
 
+#: Signatures that are looked up in a filter at once.
+LOOKUPS = 200_000
 #: Shares of the signatures that are counted one after another, which bounds what their shuffle holds on disk.
 TURNS = 3
 
@@ -250,14 +252,18 @@ def _rows_of(profile: DataFrame, shared: DataFrame) -> DataFrame:
     """(sig, c) of the profile's signatures that may be among the shared ones: a bounded filter before the join."""
     spark = profile.sparkSession
     words, bits = bloom(shared, "sig")
-    held = spark.sparkContext.broadcast(words)  # 16 MB at most
+    held = spark.sparkContext.broadcast(words)  # 8 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            sizes, flat = list_sizes(lists), lists.flatten()
-            keep = bloom_has(held.value, bits, flat)
-            yield pa.RecordBatch.from_arrays([flat.filter(pa.array(keep)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)[keep], pa.int64())], names=["sig", "c"])
+            ends = np.cumsum(list_sizes(batch.column(1))) // LOOKUPS
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                lists = batch.column(1).slice(a, b - a)
+                flat, owner = lists.flatten(), np.repeat(batch.column(0).slice(a, b - a).to_numpy(), list_sizes(lists))
+                keep = bloom_has(held.value, bits, flat)
+                yield pa.RecordBatch.from_arrays([flat.filter(pa.array(keep)), pa.array(owner[keep], pa.int64())], names=["sig", "c"])
+        trim()
 
     return profile.where("signatures IS NOT NULL").select("c", "signatures").mapInArrow(run, "sig long, c long")
 
@@ -385,7 +391,7 @@ def one_of_each(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5)
     columns = docs.columns
     keyed = docs.select(*(F.col(f"`{x}`").alias(f"_{i}") for i, x in enumerate(columns)), F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"))
     words_, bits = bloom(ids, "doc_id")
-    held = docs.sparkSession.sparkContext.broadcast(words_)  # 16 MB at most
+    held = docs.sparkSession.sparkContext.broadcast(words_)  # 8 MB at most
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
