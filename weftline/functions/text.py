@@ -61,11 +61,14 @@ def normalize_unicode(c: Column | str, assume_nfc: bool = False) -> Column:
 
 def normalize_tone(c: Column | str) -> Column:
     """The tone mark of oa, oe and uy on the second vowel, in lower, upper and title case; texts without such a pair are left alone."""
-    s = moved = text(c)
-    for a, b in V.TONES:
-        for f in (str, str.upper, str.capitalize):
-            moved = F.replace(moved, F.lit(f(a)), F.lit(f(b)))
-    return F.when(s.rlike("(?iu)" + "|".join(a for a, _ in V.TONES)), moved).otherwise(s)
+    def moved(x: Column) -> Column:
+        out = x
+        for a, b in V.TONES:
+            for f in (str, str.upper, str.capitalize):
+                out = F.replace(out, F.lit(f(a)), F.lit(f(b)))
+        return F.when(x.rlike("(?iu)" + "|".join(a for a, _ in V.TONES)), out).otherwise(x)
+
+    return let(text(c), moved)
 
 
 def expand_abbreviations(c: Column | str) -> Column:
@@ -146,19 +149,15 @@ def _is_pay(amount: str) -> str:
 
 
 def mask_salary(c: Column | str) -> Column:
-    """Amounts of pay become <SALARY>: dong first, then millions, then dollars; quantities of other things stay.
-
-    Each kind of amount is looked for with its look-arounds only in texts that have a digit next to one of its units.
-    """
+    """Amounts of pay become <SALARY>: dong first, then millions, then dollars; quantities of other things stay. Texts without a digit are left alone."""
     span = rf"{V.NUMBER}(?:\s*(?:{_any(V.RANGE_SIGNS)})\s*{V.NUMBER})?"
     dong, millions, dollars = _any(V.DONG), _any(V.MILLIONS), _any(V.DOLLARS)
-    amounts = (
-        (rf"\b{span}\s*(?:{dong})\b", rf"[0-9]\s*(?:{dong})"),
-        (rf"\b{span}\s*(?:{millions})\b", rf"[0-9]\s*(?:{millions})"),
-        (rf"(?:(?:{dollars})\s*{span}\b|\b{span}\s*(?:{dollars}))", rf"[0-9]\s*(?:{dollars})|(?:{dollars})\s*[0-9]"),
-    )
-    step = lambda s, a: let(s, lambda x: F.when(x.rlike(f"(?iuU){a[1]}"), F.regexp_replace(x, "(?siuU)(?=[0-9$uU])" + _is_pay(a[0]), " <SALARY> ")).otherwise(x))
-    return collapse(reduce(step, amounts, text(c)))
+    amounts = (rf"\b{span}\s*(?:{dong})\b", rf"\b{span}\s*(?:{millions})\b", rf"(?:(?:{dollars})\s*{span}\b|\b{span}\s*(?:{dollars}))")
+
+    def masked(x: Column) -> Column:
+        return F.when(x.rlike("[0-9]"), reduce(lambda s, a: F.regexp_replace(s, "(?siuU)(?=[0-9$uU])" + _is_pay(a), " <SALARY> "), amounts, x)).otherwise(x)
+
+    return collapse(let(text(c), masked))
 
 
 def experience_months(c: Column | str, assume_nfc: bool = False) -> Column:
