@@ -84,7 +84,7 @@ def entries(hashes: np.ndarray, seq: np.ndarray, sizes: np.ndarray) -> tuple[np.
 
 
 #: Bytes of text to a chunk, about.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 def _chunks(docs: DataFrame, folder: str) -> DataFrame:
@@ -489,7 +489,7 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     word is unknown and has probability 1. Repeated rows count again; an empty table gives no rows; other columns play no part. Very long texts
     are one row of a chunk as any other. The result depends on the texts and PART alone, not on how the scan is split.
 
-    Scale: texts are read once into chunks of about 8 MB, files of the shared folder that are taken up again where documents are put together. Each chunk's distinct pairs of words are dealt over partitions by both words, each
+    Scale: texts are read once into chunks of about 4 MB, files of the shared folder that are taken up again where documents are put together. Each chunk's distinct pairs of words are dealt over partitions by both words, each
     row of that only large shuffle one chunk's share of one partition; partitions keep which pairs each chunk asked for and answer
     from the model, so texts and pairs move once. The model grows with the corpus and is never in one place.
     """
