@@ -266,7 +266,7 @@ def test_recall_where_queries_visit_few_of_many_cells(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     unit = v / np.sqrt((v * v).sum(1))[:, None]
     got = collections.defaultdict(set)
-    for x in ann.nearest(df, shard_size=100).collect():  # 60 cells, of which a query visits 8
+    for x in ann.nearest(df, shard_size=100, probes=8).collect():  # of 60 cells
         got[x["query_id"]].add(x["vec_id"])
     queries = range(0, 6000, 50)
     hits = sum(len(got[q] & set(np.argsort(-np.where(np.arange(6000) == q, -9, unit @ unit[q]))[:5].tolist())) for q in queries)

@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard, kept as flat neighbour arrays.
 
 Vectors fall into cells by their nearest centroid, cells of many vectors into several shards; a query visits the shards of its
-PROBES nearest cells, and their results are merged. Each graph is a file in the shared folder that searching tasks read.
+nearest cells, of all cells unless told otherwise, and their results are merged. Each graph is a file in the shared folder that searching tasks read.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from .common import fresh_path, only, put, take, written
 
 #: Links of a node above the ground level (twice as many there), candidates kept while building and searching, vectors of a shard, queries of a block.
 LINKS, BUILD_WIDTH, SEARCH_WIDTH, SHARD, BLOCK = 16, 64, 96, 16_384, 1024
-#: Cells at most, cells that a query visits, vectors that centroids are fitted on at most (those of the smallest hashes), vector lengths that get centroids.
-CELLS, PROBES, FITTED, LENGTHS = 1024, 8, 32_768, 64
+#: Cells at most, vectors that centroids are fitted on at most (those of the smallest hashes), vector lengths that get centroids.
+CELLS, FITTED, LENGTHS = 1024, 32_768, 64
 #: Nodes inserted at once, and candidates expanded at once.
 BATCH, EXPAND = 256, 4
 
@@ -252,7 +252,7 @@ def _cells(rows: DataFrame, quantizer: dict[int, np.ndarray], most: int) -> Data
     return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in rows.dtypes) + ", cells array<long>")
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vector: str = "embedding", shard_size: int = SHARD) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vector: str = "embedding", shard_size: int = SHARD, probes: int = CELLS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest other rows by cosine, ties to the smaller id.
 
     Null, zero and non-finite vectors and null ids take no part; vectors meet only those of equal length; an id's repeated rows are
@@ -262,8 +262,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id"
 
     Scale: vectors that are equal up to a power of two are one node with its k + 1 smallest ids (cut to these on the map side, so a very common vector neither
     gathers nor bends the graph). Nodes fall into cells, cells into shards of about shard_size; a shard's graph is one file of flat
-    arrays in the shared folder, which tasks read by its name. A query visits the shards of its PROBES nearest cells, in blocks, and
-    only k nodes a query and shard come back.
+    arrays in the shared folder, which tasks read by its name. A query visits the shards of its `probes` nearest cells, in blocks, and
+    only k nodes a query and shard come back. By default these are all cells, so search grows with queries times shards: where vectors
+    don't form clusters, fewer cells lose neighbours whatever the graphs do. Fewer are for clustered vectors only.
     """
     spark = vectors.sparkSession
     rows = written(scaled(usable(vectors, key, vector)).distinct(), "vectors")
@@ -287,7 +288,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id"
     index = written(dealt.groupBy("dim", "cell", "shard").applyInPandas(build, "dim int, cell long, shard long"), "index")
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim"))
     blocks = max(1, -(-asked.count() // BLOCK))
-    visits = _cells(asked, quantizer, PROBES).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("cell", F.explode("cells")).drop("cells").join(index, ["dim", "cell"])
+    visits = _cells(asked, quantizer, probes).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("cell", F.explode("cells")).drop("cells").join(index, ["dim", "cell"])
 
     def load(name: str) -> tuple:
         held = take(folder, name)
