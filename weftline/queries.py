@@ -887,7 +887,7 @@ def ml_majority(s, d):
     return L.majority(p.where("posting_id % 5 <> 0"), p.where("posting_id % 5 = 0")).select("posting_id", "y_pred")
 
 
-@query()
+@query(post(f", c AS (SELECT category, count(*) AS n FROM postings WHERE posting_id % 5 <> 0 GROUP BY category), cum AS (SELECT category, sum(n) OVER (ORDER BY category) / (sum(n) OVER ()) AS hi FROM c) SELECT posting_id, (SELECT min(category) FROM cum WHERE hi > {H.format("posting_id || ':42'")} / 4294967296.0e0) AS y_pred FROM postings WHERE posting_id % 5 = 0"))
 def ml_strat(s, d):
     p = postings(s, d)
     return L.stratified(p.where("posting_id % 5 <> 0"), p.where("posting_id % 5 = 0"), "posting_id").select("posting_id", "y_pred")
@@ -1145,7 +1145,7 @@ def snk_manifest(s, d):
     return s.createDataFrame([(k, v["rows"], v["groups"]) for k, v in m["splits"].items()], "split string, rows long, groups long")
 
 
-@query()
+@query(post(f", {SPLIT} SELECT split, count(*) AS n FROM sp GROUP BY split"))
 def snk_split(s, d):
     path = S_path(s, "snk-splits")
     S.write_splits(splits.hash_split(postings(s, d)), path)
