@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols, vocabulary
-from .common import by_doc, forget, fresh_path, only, slices, write_bytes, written
+from .common import by_doc, forget, fresh_path, only, slices, trim, write_bytes, written
 from .text_units import ODD, UNITS, WordEncoder, library, word_pieces, word_units
 
 MAGIC = b"LEXICON1"
@@ -38,6 +38,7 @@ def build_lexicon(words: Iterable[bytes], ids_of) -> bytes:
             key = (states[child][0], tuple(states[child][1].items()))
             if (same := register.setdefault(key, child)) != child:
                 states[parent][1][b] = same
+                states[child] = None  # nothing else leads there
 
     for word in sorted(set(words)):
         kept.append(word)
@@ -196,6 +197,8 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
     path = fresh_path(spark, "lexicon") + ".bin"  # a session keeps one path per name
     write_bytes(spark, path, build_lexicon((r["piece"].encode() for r in top), vocab.encode_piece))
     spark.sparkContext.addFile(path)
+    del top
+    trim()
     return path.rpartition("/")[2]
 
 

@@ -90,6 +90,7 @@ def forget(*tables: DataFrame, folders: tuple[str, ...] = ()) -> None:
         path = jvm.org.apache.hadoop.fs.Path(written_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
+    trim()
     jvm.System.gc()  # shuffle files go with the plans that made them, when these are collected
 
 

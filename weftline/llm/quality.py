@@ -6,7 +6,7 @@ fitted on the scaled, unit-length vectors by dual coordinate descent, and a logi
 
 from __future__ import annotations
 
-import functools
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_doc, only, slices
+from .common import by_doc, only, slices, trim
 from .text_units import Slots, list_sizes
 
 U = np.uint64
@@ -184,7 +184,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     found = texts.select("doc_id", "text", F.xxhash64("text").alias("hash"), "quality").mapInArrow(run, "doc_id long, hash long, quality int, bins binary")
     rows = found.groupBy("doc_id").agg(F.min(F.struct("hash", "quality", "bins")).alias("x")).select("doc_id", "x.quality", "x.bins").collect()  # `sample` rows at most
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([np.frombuffer(r["bins"], np.int32).astype(np.int64) for r in rows], np.array([r["quality"] for r in rows]))
+    bins, labels_ = [np.frombuffer(r["bins"], np.int32) for r in rows], np.array([r["quality"] for r in rows])
+    model = fit(bins, labels_)
+    del rows, bins
+    gc.collect()
+    trim()  # the driver goes on to other steps
+    return model
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
