@@ -76,6 +76,13 @@ def put(folder: str, name: str, data: Any) -> None:
         store.delete_file(draft)
 
 
+def drop(folder: str, name: str) -> None:
+    """Delete what was kept under a name, if it is still there."""
+    store, root = filesystem(folder)
+    if store.get_file_info(f"{root}/{name}").type.name == "File":
+        store.delete_file(f"{root}/{name}")
+
+
 def take(folder: str, name: str) -> Any:
     store, root = filesystem(folder)
     with store.open_input_stream(f"{root}/{name}") as f:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_doc, forget, fresh_path, put, slices, take, trim, written
+from .common import by_doc, drop, forget, fresh_path, put, slices, take, trim, written
 from .text_units import list_sizes
 
 U = np.uint64
@@ -418,6 +418,7 @@ def seat(folder: str, round_: int, root: Root, discount: float):
         word, before, n = pairs.word[pairs.many], pairs.before[pairs.many], pairs.n[pairs.many]
         t = sweep_pairs(n, t, tables[before], c0[word], t0[word], root, discount, np.random.default_rng((p, round_)))
         put(folder, f"state-{p}-{round_}", {"t": pack(t.astype(np.uint32))})
+        drop(folder, f"state-{p}-{round_ - 2}")  # the one before is kept for a task that runs again
         return _sent(p, pairs.homes, pairs.sums(t))
 
     return run
