@@ -196,7 +196,7 @@ def test_hard_negatives(spark):
     rows = [(i, r.randint(0, 9), [r.gauss(0, 1) for _ in range(6)]) for i in range(900)]
     common = [0.5, 0.25, -1.0, 0.75, 2.0, 1.0]
     rows += [(i, r.randint(0, 3), common) for i in range(900, 1400)]
-    rows += [(1500, 1, [0.0] * 6), (1600, None, common), (1601, 2, None), (1602, 2, [None] + common[1:]), (1603, 2, [float("nan")] * 6), (1604, 2, [float("inf")] * 6), (None, 1, common), (1700, 3, [1e305] * 6)]
+    rows += [(1500, 1, [0.0] * 6), (1600, None, common), (1601, 2, None), (1602, 2, [None] + common[1:]), (1603, 2, [float("nan")] * 6), (1604, 2, [float("inf")] * 6), (None, 1, common), (1700, 3, [1e307] * 6)]
     rows += [(2000 + i, i % 3, [float(i), 1.5, 2.5]) for i in range(0, 400)] + [(5000, 1, []), (5001, 2, []), (5002, 1, [])]
     got = hard_negatives.hard_negatives(vectors(spark, rows).repartition(5))
     assert sorted(tuple(x) for x in got.collect()) == brute_negatives(rows)

@@ -125,7 +125,8 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, neg
     between low and high hundredths of the positive's.
 
     A score is the inner product of the components floor(scale * x). Rows with a null id, label or vector, or with a null, non-finite
-    or (times scale) overflowing component take no part; vectors meet only those of equal length, empty ones score 0. Repeated rows
+    or (times scale) overflowing component take no part; vectors meet only those of equal length, empty ones score 0. A score
+    beyond a long counts as the nearest long. Repeated rows
     count each, and an anchor never meets a row of its own id; ties go to the smaller id. Fewer rows than asked for give fewer; a
     positive without a negative in its window, and an empty table, give none. Other columns play no part.
 

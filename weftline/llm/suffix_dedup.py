@@ -183,17 +183,24 @@ class Suffixes:
             place = b + mine // 2 * 2 * run + j % run + low - from_
             merged = order.copy()
             merged[place] = x
+            held = np.zeros(len(order), bool)
+            held[place] = True
+            for g in np.unique(self.group[order[own[~held[own]]]]).tolist():  # a collision has given two of them one place
+                at = np.flatnonzero(self.group[order] == g)
+                merged[at] = self._by_bytes(order[at])
             order, run = merged, 2 * run
         return order
 
+    def _by_bytes(self, own: np.ndarray) -> list[int]:
+        return sorted(own.tolist(), key=lambda i: self.data[self.start[i] : self.start[i] + self.length[i]].tobytes())
+
     def _common(self) -> np.ndarray:
         """Bytes that each substring in order has in common with the one before it in its group, 0 for a group's first; bytes are compared, and groups that a collision has misled are sorted again."""
         found = self._neighbours()
         if found is None:
             for g in np.unique(self.group[self.order[self._wrong]]).tolist():
                 at = np.flatnonzero(self.group[self.order] == g)
-                own = sorted(self.order[at].tolist(), key=lambda i: self.data[self.start[i] : self.start[i] + self.length[i]].tobytes())
-                self.order[at] = own
+                self.order[at] = self._by_bytes(self.order[at])
             found = self._neighbours()
         return found
 
