@@ -7,13 +7,14 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dot, hash32, norm
+from . import trees
 
 
 def majority(train: DataFrame, rows: DataFrame, y: str = "category") -> DataFrame:
@@ -113,6 +114,23 @@ def _svm(**p: Any):
     return OneVsRest(classifier=LinearSVC(**({"maxIter": 50, "regParam": 0.01} | p)))
 
 
+class TreeEstimator:
+    """Trees of operators.trees as an estimator of (features, label[, weight]); unknown parameters are errors."""
+
+    def __init__(self, grow: Callable, config: Any, weight: str | None = None):
+        self.grow, self.config, self.weight = grow, config, weight
+
+    def setWeightCol(self, name: str) -> TreeEstimator:
+        return TreeEstimator(self.grow, self.config, name)
+
+    def fit(self, train: DataFrame):
+        return self.grow(train, self.config, weight=self.weight)
+
+
+def _boost(**p: Any) -> TreeEstimator:
+    return TreeEstimator(trees.boost, trees.BoostConfig(**p))
+
+
 # Registry: name -> factory of an unfitted estimator over (features, label[, weight]).
 CLASSIFIERS: dict[str, Callable[..., Any]] = {
     "logreg": lambda **p: LogisticRegression(**({"maxIter": 100, "regParam": 1e-3, "family": "multinomial"} | p)),
@@ -122,14 +140,16 @@ CLASSIFIERS: dict[str, Callable[..., Any]] = {
     "sgd": lambda **p: LogisticRegression(**({"maxIter": 50, "regParam": 1e-4, "elasticNetParam": 0.15, "family": "multinomial"} | p)),
     "rf": lambda **p: RandomForestClassifier(**({"numTrees": 100, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 2, "maxDepth": 10, "seed": 42} | p)),
     "rf100": lambda **p: RandomForestClassifier(**({"numTrees": 100, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 2, "maxDepth": 8, "seed": 42} | p)),
-    "extra": lambda **p: RandomForestClassifier(**({"numTrees": 100, "featureSubsetStrategy": "sqrt", "bootstrap": False, "maxBins": 8, "seed": 42} | p)),
-    "gbt": lambda **p: OneVsRest(classifier=GBTClassifier(**({"maxIter": 20, "maxDepth": 4, "seed": 42} | p))),
+    "extra": lambda **p: TreeEstimator(trees.extra_trees, trees.ExtraConfig(**p)),
+    "gbt": lambda **p: _boost(**({"loss": "softmax", "rounds": 100, "rate": 0.3, "depth": 6, "columns": 0.3} | p)),
     "dense": lambda **p: MultilayerPerceptronClassifier(**({"layers": [64, 64, 32, 10], "maxIter": 60, "seed": 42} | p)),
 }
 REGRESSORS: dict[str, Callable[..., Any]] = {
     "linreg": lambda **p: LinearRegression(**({"regParam": 0.0} | p)),
     "ridge": lambda **p: LinearRegression(**({"regParam": 0.01, "elasticNetParam": 0.0} | p)),
-    "gbt": lambda **p: GBTRegressor(**({"lossType": "absolute", "maxIter": 20, "maxDepth": 4, "seed": 42} | p)),
+    "gbt": lambda **p: _boost(**({"loss": "l1", "rounds": 200, "rate": 0.1, "depth": 6, "columns": 0.6} | p)),
+    "gbt_q10": lambda **p: _boost(**({"loss": "quantile", "alpha": 0.1, "rounds": 200, "rate": 0.1, "depth": 6, "columns": 0.6} | p)),
+    "gbt_q90": lambda **p: _boost(**({"loss": "quantile", "alpha": 0.9, "rounds": 200, "rate": 0.1, "depth": 6, "columns": 0.6} | p)),
 }
 
 
@@ -145,7 +165,7 @@ def build(name: str, regression: bool = False, **overrides: Any):
 
 
 #: Models of the registry that weigh classes alike, by a column `weight` of the rows.
-BALANCED = ("logreg", "svm", "sgd", "rf", "rf100", "extra")
+BALANCED = ("logreg", "svm", "sgd", "rf", "rf100", "extra", "gbt")
 
 
 def balanced(train: DataFrame, label: str = "label") -> DataFrame:

@@ -935,7 +935,7 @@ def _fit(s, d, name, **p):
 
 
 for _name in ("logreg", "svm", "nb", "sgd", "rf", "extra"):
-    Q[f"ml_{_name}"] = (lambda s, d, n=_name: _fit(s, d, n, **({"numTrees": 20} if n in ("rf", "extra") else {})), None)
+    Q[f"ml_{_name}"] = (lambda s, d, n=_name: _fit(s, d, n, **({"rf": {"numTrees": 20}, "extra": {"trees": 20, "depth": 6}}.get(n, {}))), None)
 
 
 @query()
@@ -947,7 +947,7 @@ def ml_svm_cal(s, d):
 
 @query()
 def ml_gbm(s, d):
-    return _fit(s, d, "gbt")
+    return _fit(s, d, "gbt", rounds=8, depth=3)
 
 
 @query()
@@ -967,7 +967,17 @@ def _regression(s, d, name, **p):
 
 Q["ml_linreg"] = (lambda s, d: _regression(s, d, "linreg"), None)
 Q["ml_ridge"] = (lambda s, d: _regression(s, d, "ridge"), None)
-Q["ml_gbm_reg"] = (lambda s, d: _regression(s, d, "gbt"), None)
+
+
+@query()
+def ml_gbm_reg(s, d):
+    """Median, tenth and ninetieth hundredth of what a line item costs, by boosting on the lines of three quarters of the orders, for those of the others."""
+    line = table(s, d, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("line"), F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber"))).alias("features"), F.col("l_extendedprice").cast("double").alias("label"), (F.col("l_orderkey") % 4 == 0).alias("held"))
+    out = line.where("held")
+    for name, column in (("gbt", "prediction"), ("gbt_q10", "q10"), ("gbt_q90", "q90")):
+        model = L.build(name, True, rounds=8, depth=3, rate=0.5, bins=64, columns=1.0, least_rows=50).fit(line.where("NOT held"))
+        out = model.transform(out.drop("margins")).withColumnRenamed("prediction", f"_{column}")
+    return out.select("line", "label", F.col("_prediction").alias("prediction"), F.col("_q10").alias("q10"), F.col("_q90").alias("q90"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in sorted(L.CLASSIFIERS)) + ") t(name)")
