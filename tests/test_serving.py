@@ -48,15 +48,6 @@ def test_pay_tasks_read_masked_text_only():
     assert len(serving.feature_plan("category").texts) == 8 and len(serving.feature_plan("category").numeric) == 14 and len(serving.feature_plan("category").categorical) == 3
 
 
-def test_svd_against_numpy(spark):
-    import numpy as np
-
-    x = np.random.default_rng(1).normal(size=(50, 6))
-    values, vectors = E.truncated_svd(spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>"), "v", 3)
-    want = np.linalg.svd(x)
-    assert np.allclose(values, want[1][:3]) and np.allclose(np.abs(vectors.T @ want[2][:3].T), np.eye(3), atol=1e-6)
-
-
 def test_binary_metrics_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(M, "RANGES", 7)
     r = random.Random(2)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.feature import CountVectorizer, MaxAbsScaler, NGram, OneHotEncoder, RegexTokenizer, StringIndexer, StringIndexerModel, VectorAssembler, VectorSizeHint
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.feature import CountVectorizer, MaxAbsScaler, OneHotEncoder, StringIndexerModel, VectorAssembler, VectorSizeHint
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -184,58 +184,8 @@ class FeaturePlan:
         return PipelineModel([*stages, VectorAssembler(inputCols=parts, outputCol="features")])
 
 
-def rare_to_other(df: DataFrame, c: str, floor: int = 20) -> DataFrame:
-    """Values of fewer than `floor` rows pool in one."""
-    counts = df.groupBy(c).agg(F.count("*").alias("_n"))
-    return df.join(counts, c, "left").withColumn(c, F.when(F.col("_n") >= floor, F.col(c)).otherwise("infrequent")).drop("_n")
-
-
 def slots(values: DataFrame, group: str, value: str, floor: int = 20) -> DataFrame:
     """Rows of (group, value) with `slot`, the value's place among the group's values of `floor` rows or more; other rows go."""
     known = values.groupBy(group, value).agg(F.count("*").alias("_n")).where(F.col("_n") >= floor)
     at = known.select(group, value, (F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1).alias("slot"))
     return values.join(at, [group, value])
-
-
-def numeric_block(columns: list[str]) -> Pipeline:
-    """Numbers by their largest absolute value; the caller takes log1p first."""
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="numeric_raw", handleInvalid="keep"), MaxAbsScaler(inputCol="numeric_raw", outputCol="numeric")])
-
-
-def onehot_block(columns: list[str]) -> Pipeline:
-    """Unknown values encode as nothing."""
-    return Pipeline(stages=[StringIndexer(inputCols=columns, outputCols=[f"{c}_i" for c in columns], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in columns], outputCols=[f"{c}_o" for c in columns], dropLast=True)])
-
-
-def truncated_svd(df: DataFrame, column: str, k: int):
-    """(singular values, right vectors) of an array column, uncentred: Gram matrices of Arrow batches, added up pairwise, and their eigenvectors.
-
-    What tasks send is a matrix of the square of the columns' number, so this is for dense columns of a few thousand numbers at most.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def gram(batches):
-        total = None
-        for frame in batches:
-            if len(frame):
-                x = np.stack(frame[column].to_numpy()).astype(float)
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
-
-    rows = df.select(F.col(column).cast("array<double>").alias(column)).mapInPandas(gram, "i int, row array<double>")
-    sums = rows.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()  # columns squared
-    m = max((r["i"] for r in sums), default=-1) + 1
-    g = np.zeros((m, m))
-    for r in sums:
-        g[r["i"], r["j"]] = r["x"]
-    values, vectors = np.linalg.eigh(g)
-    order = np.argsort(-values)[:k]
-    return np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
-
-
-def token_stages(source: str, target: str, grams: int = 1) -> list:
-    """Tokenizer stages for ML pipelines that stay in the JVM."""
-    cut = RegexTokenizer(inputCol=source, outputCol=f"{target}_1", pattern=TOKEN, gaps=False, toLowercase=True)
-    return [cut] if grams == 1 else [cut, NGram(n=grams, inputCol=f"{target}_1", outputCol=target)]

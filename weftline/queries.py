@@ -16,9 +16,11 @@ from .operators import aggregates as A
 from .operators import features as E
 from .operators import metrics as M
 from .operators import models as L
+from .operators import svd
 from .plans import cleaning, serving, splits, training
 from .plans.views import BINARIES, POSTINGS, REGRESSIONS, TITLES, binaries, postings, predictions, predictions_sql, raw_postings, regressions, table, titles
 from .sources import tables as S
+from .sources.scratch import written
 from .streaming.rows import windowed_counts
 
 Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -852,8 +854,12 @@ def fe_srccols(s, d):
 
 @query()
 def fe_svd(s, d):
-    values, _ = E.truncated_svd(table(s, d, "embeddings"), "embedding", 8)
-    return s.createDataFrame([(i, float(x)) for i, x in enumerate(values)], "i int, singular double")
+    """Each posting's five components along the largest singular directions of its assembled title features."""
+    plan = serving.feature_plan("category", "title")
+    rows = written(plan.prepared(cleaning.clean(raw_postings(s, d), extra=("doc_id",)).select("doc_id", *plan.texts)), "svd-postings")
+    ready = written(plan.fit(rows, prepared=True).transform(rows).select("doc_id", "features"), "svd-features")
+    _, right = svd.truncated_svd(ready, "features", 5, extra=5, steps=2)
+    return svd.projected(ready, "features", right, 5).select("doc_id", "components")
 
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
