@@ -6,6 +6,7 @@ Only Unicode composition (NFC) has no built-in; it is one Arrow function, and sk
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -215,12 +216,14 @@ def decimal_comma(c: Column, digits: int = 4, signed: bool = False) -> Column:
     return F.translate(F.format_string(f"%{'+' if signed else ''}.{digits}f", c.cast("double")), ".", ",")
 
 
-def segment(c: Column | str, lexicon: list[str] | None = None) -> Column:
+def segment(c: Column | str, lexicon: list[str] | Callable[[Column], Column] | None = None) -> Column:
     """Words of several syllables from a lexicon joined by underscores, longest first; without a lexicon the text as it is.
 
-    The backend of the statistical segmenter is not part of this library; any Column function can stand in its place.
+    A Column function, such as one of operators.segmentation with costs learnt from a corpus, can stand in the list's place.
     """
     s = text(c)
+    if callable(lexicon):
+        return lexicon(s)
     for entry in sorted(lexicon or [], key=lambda w: (-len(w.split(" ")), w)):
         s = F.regexp_replace(s, rf"(?iuU)(?<![{_LETTER}_]){'( )'.join('(' + w + ')' for w in entry.split(' '))}(?![{_LETTER}_])", "_".join(f"${2 * i + 1}" for i in range(len(entry.split(" ")))))
     return s

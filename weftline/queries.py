@@ -16,7 +16,7 @@ from .operators import aggregates as A
 from .operators import features as E
 from .operators import metrics as M
 from .operators import models as L
-from .operators import svd
+from .operators import segmentation, svd
 from .plans import cleaning, serving, splits, training
 from .plans.views import BINARIES, POSTINGS, REGRESSIONS, TITLES, binaries, postings, predictions, predictions_sql, raw_postings, regressions, table, titles
 from .sources import tables as S
@@ -634,9 +634,12 @@ def fn_abbrev_simple(s, d):
     return _golden(s, [a for a, _ in SIMPLE], X.expand_abbreviations)
 
 
-@query(_values([("nhân viên kinh doanh", "nhân_viên kinh_doanh"), ("Bất động sản", "Bất_động_sản"), ("", "")]))
+@query()
 def fn_segment(s, d):
-    return _golden(s, ["nhân viên kinh doanh", "Bất động sản", ""], lambda c: X.segment(c, ["nhân viên", "kinh doanh", "bất động sản"]))
+    """Every document's text, cut by a lexicon that is learnt from all of them."""
+    t = titles(s, d)
+    cut = segmentation.segmenter(s, segmentation.learn(t, "text"))
+    return t.select("doc_id", cut("text").alias("segmented"))
 
 
 @query()
@@ -1231,8 +1234,11 @@ def or_sweep(s, d):
 
 @query()
 def or_segabl(s, d):
-    t = titles(s, d)
-    return training.segmenter_difference(t, "title", X.segment("title", ["of the", "de la"]), X.segment("title"))
+    """The language of documents from texts cut by the cheapest and by the greedy way of a lexicon learnt from the training rows."""
+    t = splits.hash_split(titles(s, d).withColumn("group_id", X.group_key("text")))
+    lexicon = segmentation.learn(t.where("split = 'train'"), "text", cohesion=1.0)
+    ways = {way: segmentation.segmenter(s, lexicon, way) for way in ("cheapest", "greedy")}
+    return training.compare_segmenters(t, "text", ways, training.TrainConfig(texts=("text",), overrides={"maxIter": 20}))
 
 
 @query("SELECT doc_id, nfc_normalize(coalesce(text, '')) AS text FROM documents")
