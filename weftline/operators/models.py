@@ -6,15 +6,13 @@ import ast
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dot, hash32, norm
-from . import trees
+from . import linear, trees
 
 
 def majority(train: DataFrame, rows: DataFrame, y: str = "category") -> DataFrame:
@@ -110,37 +108,43 @@ def knn(train: DataFrame, queries: DataFrame, key: str, vector: str, y: str, k:
     return sums.groupBy("query").agg(F.min_by("label", F.struct(-F.col("s"), "label")).alias("y_pred")).withColumnRenamed("query", key)
 
 
-def _svm(**p: Any):
-    return OneVsRest(classifier=LinearSVC(**({"maxIter": 50, "regParam": 0.01} | p)))
+def _linear(**p: Any) -> GrownEstimator:
+    return GrownEstimator(linear.fit_linear, linear.LinearConfig(**p))
 
 
-class TreeEstimator:
-    """Trees of operators.trees as an estimator of (features, label[, weight]); unknown parameters are errors."""
+class GrownEstimator:
+    """A model of operators.trees or operators.linear as an estimator of (features, label[, weight]); unknown parameters are errors."""
 
     def __init__(self, grow: Callable, config: Any, weight: str | None = None):
         self.grow, self.config, self.weight = grow, config, weight
 
-    def setWeightCol(self, name: str) -> TreeEstimator:
-        return TreeEstimator(self.grow, self.config, name)
+    def setWeightCol(self, name: str) -> GrownEstimator:
+        return GrownEstimator(self.grow, self.config, name)
 
     def fit(self, train: DataFrame):
         return self.grow(train, self.config, weight=self.weight)
 
 
-def _boost(**p: Any) -> TreeEstimator:
-    return TreeEstimator(trees.boost, trees.BoostConfig(**p))
+def _boost(**p: Any) -> GrownEstimator:
+    return GrownEstimator(trees.boost, trees.BoostConfig(**p))
+
+
+def _calibrated(train: DataFrame, config: linear.LinearConfig, weight: str | None = None):
+    """Folds by a hash of features and label, so that copies stay together."""
+    return linear.fit_calibrated(train.withColumn("_key", F.xxhash64(F.to_json(F.struct(F.col("label"), trees.stored(train, "features").alias("f"))))), config, "_key", weight=weight)
 
 
 # Registry: name -> factory of an unfitted estimator over (features, label[, weight]).
 CLASSIFIERS: dict[str, Callable[..., Any]] = {
     "logreg": lambda **p: LogisticRegression(**({"maxIter": 100, "regParam": 1e-3, "family": "multinomial"} | p)),
-    "svm": _svm,
-    "svm_plain": _svm,
+    "svm": lambda **p: _linear(**({"loss": "squared_hinge", "c": 1.0} | p)),
+    "svm_plain": lambda **p: _linear(**({"loss": "squared_hinge", "c": 1.0} | p)),
     "nb": lambda **p: NaiveBayes(**({"modelType": "complement", "smoothing": 1.0} | p)),
-    "sgd": lambda **p: LogisticRegression(**({"maxIter": 50, "regParam": 1e-4, "elasticNetParam": 0.15, "family": "multinomial"} | p)),
+    "sgd": lambda **p: _linear(**({"loss": "hinge", "alpha": 1e-4} | p)),
+    "svm_calibrated": lambda **p: GrownEstimator(_calibrated, linear.LinearConfig(**({"loss": "squared_hinge", "c": 0.5} | p))),
     "rf": lambda **p: RandomForestClassifier(**({"numTrees": 100, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 2, "maxDepth": 10, "seed": 42} | p)),
     "rf100": lambda **p: RandomForestClassifier(**({"numTrees": 100, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 2, "maxDepth": 8, "seed": 42} | p)),
-    "extra": lambda **p: TreeEstimator(trees.extra_trees, trees.ExtraConfig(**p)),
+    "extra": lambda **p: GrownEstimator(trees.extra_trees, trees.ExtraConfig(**p)),
     "gbt": lambda **p: _boost(**({"loss": "softmax", "rounds": 100, "rate": 0.3, "depth": 6, "columns": 0.3} | p)),
     "dense": lambda **p: MultilayerPerceptronClassifier(**({"layers": [64, 64, 32, 10], "maxIter": 60, "seed": 42} | p)),
 }
@@ -165,7 +169,7 @@ def build(name: str, regression: bool = False, **overrides: Any):
 
 
 #: Models of the registry that weigh classes alike, by a column `weight` of the rows.
-BALANCED = ("logreg", "svm", "sgd", "rf", "rf100", "extra", "gbt")
+BALANCED = ("logreg", "svm", "svm_calibrated", "sgd", "rf", "rf100", "extra", "gbt")
 
 
 def balanced(train: DataFrame, label: str = "label") -> DataFrame:
@@ -200,18 +204,3 @@ def parse_overrides(items: list[str]) -> dict[str, Any]:
 
 def model_label(name: str, overrides: dict[str, Any]) -> str:
     return f"{name}({', '.join(f'{k}={v}' for k, v in overrides.items())})" if overrides else name
-
-
-def calibrated(train: DataFrame, held: DataFrame, c: float = 1e-2):
-    """Per-class sigmoid over the margins of a linear model on held-out rows."""
-    model = fit("svm", train, regParam=c)
-    scored = model.transform(held)
-    curves = {}
-    for i, _ in enumerate(model.models):
-        margin = vector_to_array("rawPrediction")[i]
-        from pyspark.ml.feature import VectorAssembler
-
-        rows = scored.select(margin.alias("m"), (F.col("label") == i).cast("double").alias("label"))
-        curve = Pipeline(stages=[VectorAssembler(inputCols=["m"], outputCol="features"), LogisticRegression(regParam=1e-6)]).fit(rows)
-        curves[i] = (float(curve.stages[-1].coefficients[0]), float(curve.stages[-1].intercept))
-    return model, curves

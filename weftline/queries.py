@@ -944,14 +944,13 @@ def _fit(s, d, name, **p):
 
 
 for _name in ("logreg", "svm", "nb", "sgd", "rf", "extra"):
-    Q[f"ml_{_name}"] = (lambda s, d, n=_name: _fit(s, d, n, **({"rf": {"numTrees": 20}, "extra": {"trees": 20, "depth": 6}}.get(n, {}))), None)
+    Q[f"ml_{_name}"] = (lambda s, d, n=_name: _fit(s, d, n, **({"rf": {"numTrees": 20}, "extra": {"trees": 20, "depth": 6}, "sgd": {"alpha": 1e-3, "rounds": 30}, "svm": {"rounds": 60}}.get(n, {}))), None)
 
 
 @query()
 def ml_svm_cal(s, d):
     train, test = _vectors(s, d)
-    _, curves = L.calibrated(train.where("vec_id % 3 <> 0"), train.where("vec_id % 3 = 0"))
-    return s.createDataFrame([(i, *c) for i, c in curves.items()], "label int, slope double, shift double")
+    return L.fit("svm_calibrated", train, rounds=60).transform(test).select("vec_id", "label", "prediction", F.transform("probability", lambda p: F.round(p, 4)).alias("probability"))
 
 
 @query()
