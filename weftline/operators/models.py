@@ -6,13 +6,13 @@ import ast
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dot, hash32, norm
-from . import linear, trees
+from . import dense, linear, trees
 
 
 def majority(train: DataFrame, rows: DataFrame, y: str = "category") -> DataFrame:
@@ -134,6 +134,24 @@ def _calibrated(train: DataFrame, config: linear.LinearConfig, weight: str | Non
     return linear.fit_calibrated(train.withColumn("_key", F.xxhash64(F.to_json(F.struct(F.col("label"), trees.stored(train, "features").alias("f"))))), config, "_key", weight=weight)
 
 
+class DenseEstimator:
+    """The dense head as an estimator of (features, label[, weight]); a tenth of the rows, by a hash, stops it. Width and classes are read from the rows."""
+
+    def __init__(self, weight: str | None = None, **parameters: Any):
+        dense.DenseConfig(**({"width": 1, "outputs": 2} | parameters))  # unknown parameters are errors
+        self.weight, self.parameters = weight, parameters
+
+    def setWeightCol(self, name: str) -> DenseEstimator:
+        return DenseEstimator(name, **self.parameters)
+
+    def fit(self, train: DataFrame):
+        keyed = train.withColumn("_id", F.xxhash64(F.to_json(F.struct(F.col("label"), trees.stored(train, "features").alias("f")))))
+        held = keyed.withColumn("_held", F.pmod(F.col("_id"), F.lit(10)) == 0)
+        size = trees.entries(train, "features", "label").agg(F.max(F.array_max("index")).alias("f"), F.max("label").alias("y")).first()
+        found = {"width": (size["f"] or 0) + 1, "outputs": max(2, int(size["y"] or 0) + 1)} if self.parameters.get("loss") != "smooth_l1" else {"width": (size["f"] or 0) + 1, "outputs": 1}
+        return dense.train_dense(held, dense.DenseConfig(**(found | self.parameters)), key="_id", held="_held", weight=self.weight)
+
+
 # Registry: name -> factory of an unfitted estimator over (features, label[, weight]).
 CLASSIFIERS: dict[str, Callable[..., Any]] = {
     "logreg": lambda **p: LogisticRegression(**({"maxIter": 100, "regParam": 1e-3, "family": "multinomial"} | p)),
@@ -146,7 +164,7 @@ CLASSIFIERS: dict[str, Callable[..., Any]] = {
     "rf100": lambda **p: RandomForestClassifier(**({"numTrees": 100, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 2, "maxDepth": 8, "seed": 42} | p)),
     "extra": lambda **p: GrownEstimator(trees.extra_trees, trees.ExtraConfig(**p)),
     "gbt": lambda **p: _boost(**({"loss": "softmax", "rounds": 100, "rate": 0.3, "depth": 6, "columns": 0.3} | p)),
-    "dense": lambda **p: MultilayerPerceptronClassifier(**({"layers": [64, 64, 32, 10], "maxIter": 60, "seed": 42} | p)),
+    "dense": lambda **p: DenseEstimator(**p),
 }
 REGRESSORS: dict[str, Callable[..., Any]] = {
     "linreg": lambda **p: LinearRegression(**({"regParam": 0.0} | p)),
@@ -169,7 +187,7 @@ def build(name: str, regression: bool = False, **overrides: Any):
 
 
 #: Models of the registry that weigh classes alike, by a column `weight` of the rows.
-BALANCED = ("logreg", "svm", "svm_calibrated", "sgd", "rf", "rf100", "extra", "gbt")
+BALANCED = ("logreg", "svm", "svm_calibrated", "sgd", "rf", "rf100", "extra", "gbt", "dense")
 
 
 def balanced(train: DataFrame, label: str = "label") -> DataFrame:

@@ -960,7 +960,7 @@ def ml_gbm(s, d):
 
 @query()
 def ml_dense(s, d):
-    return _fit(s, d, "dense", maxIter=20)
+    return _fit(s, d, "dense", epochs=8, hidden=64, rate=3e-3)
 
 
 @query()
