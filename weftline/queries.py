@@ -553,7 +553,7 @@ def wn_latest(s, d):
 @query(post("SELECT group_id, category, row_number() OVER (PARTITION BY category ORDER BY n DESC, group_id) AS place FROM (SELECT group_id, category, count(*) AS n FROM postings GROUP BY ALL)"))
 def srt_stable(s, d):
     g = postings(s, d).groupBy("group_id", "category").agg(F.count("*").alias("n"))
-    return g.select("group_id", "category", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "group_id")).alias("place"))
+    return splits.places(g, ["category"], [F.desc("n"), F.col("group_id")]).select("group_id", "category", "place")
 
 
 @query(post("SELECT location, count(*) AS n FROM postings GROUP BY location ORDER BY n DESC, location"))
