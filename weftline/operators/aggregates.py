@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import filled
+from .selection import quantiles
 
 QUANTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -28,7 +29,7 @@ def sample_kurtosis(c: str) -> Column:
 
 
 def describe(df: DataFrame, c: str, thresholds: tuple[float, ...] = (50.0, 100.0)) -> DataFrame:
-    stats = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), sample_skew(c).alias("skew"), sample_kurtosis(c).alias("kurtosis"), F.min(c).alias("low"), F.max(c).alias("high"), F.expr(f"percentile({c}, array({', '.join(map(str, QUANTILES))}))").alias("q"), *(F.count_if(F.col(c) >= t).alias(f"over_{int(t)}") for t in thresholds))
+    stats = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), sample_skew(c).alias("skew"), sample_kurtosis(c).alias("kurtosis"), F.min(c).alias("low"), F.max(c).alias("high"), *(F.count_if(F.col(c) >= t).alias(f"over_{int(t)}") for t in thresholds)).join(F.broadcast(quantiles(df, c, QUANTILES).select("q")), how="left")  # one row
     q = {p: F.col("q")[i] for i, p in enumerate(QUANTILES)}
     iqr = q[0.75] - q[0.25]
     r = lambda x: F.round(x, 4)
@@ -37,7 +38,9 @@ def describe(df: DataFrame, c: str, thresholds: tuple[float, ...] = (50.0, 100.0
 
 def per_category(df: DataFrame, category: str = "category", value: str = "salary_mid", disclosed: str = "salary_disclosed") -> DataFrame:
     v = F.when(F.col(disclosed) == 1, F.col(value))
-    out = df.groupBy(category).agg(F.count("*").alias("n"), F.sum(disclosed).alias("n_disclosed"), F.median(v).alias("median"), F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.75).alias("p75"), F.percentile(v, 0.95).alias("p95"), F.max(v).alias("high"))
+    out = df.groupBy(category).agg(F.count("*").alias("n"), F.sum(disclosed).alias("n_disclosed"), F.max(v).alias("high"))
+    cut = quantiles(df, v, (0.5, 0.25, 0.75, 0.95), (category,)).select(F.col(category).alias("_class"), *(F.col("q")[i].alias(name) for i, name in enumerate(("median", "p25", "p75", "p95"))))
+    out = out.join(cut, F.col(category).eqNullSafe(F.col("_class")), "left").drop("_class")
     total = out.agg(F.sum("n").alias("total"))
     r = lambda x: F.round(x, 4)
     return out.join(F.broadcast(total)).select(category, "n", r(F.col("n") / F.col("total")).alias("share"), "n_disclosed", r(F.col("n_disclosed") / F.col("n")).alias("rate"), *(r(F.col(x)).alias(x) for x in ("median", "p25", "p75", "p95", "high")), r(F.col("p75") - F.col("p25")).alias("iqr"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import back_transform, hash32, relative_error
+from .selection import quantiles
 
 
 def confusion(pred: DataFrame, grid: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -98,7 +101,9 @@ def regression(pred: DataFrame, keys: tuple[str, ...] = (), logged: bool = True,
     x = pred.select(*keys, y.alias("y"), p.alias("p"), F.log1p(y).alias("ly"), F.log1p(p).alias("lp"))
     e, ape = F.abs(F.col("y") - F.col("p")), relative_error(F.col("y"), F.col("p"))
     r2 = lambda a, b: 1 - F.sum((F.col(a) - F.col(b)) * (F.col(a) - F.col(b))) / (F.var_pop(a) * F.count("*"))
-    out = x.groupBy(*keys).agg(F.count("*").alias("n"), *(F.round(v, 6).alias(k) for k, v in (("mae", F.avg(e)), ("medae", F.median(e)), ("rmse", F.sqrt(F.avg(e * e))), ("mape", F.avg(ape)), ("r2", r2("y", "p")), ("r2_log", r2("ly", "lp")), ("within_10", F.avg((ape <= 0.1).cast("int"))), ("within_20", F.avg((ape <= 0.2).cast("int"))), ("within_3", F.avg((e <= 3).cast("int"))))))
+    out = x.groupBy(*keys).agg(F.count("*").alias("n"), *(F.round(v, 6).alias(k) for k, v in (("mae", F.avg(e)), ("rmse", F.sqrt(F.avg(e * e))), ("mape", F.avg(ape)), ("r2", r2("y", "p")), ("r2_log", r2("ly", "lp")), ("within_10", F.avg((ape <= 0.1).cast("int"))), ("within_20", F.avg((ape <= 0.2).cast("int"))), ("within_3", F.avg((e <= 3).cast("int"))))))
+    middle = quantiles(x.withColumn("_e", e), "_e", (0.5,), keys).select(*(F.col(k).alias(f"_{k}") for k in keys), F.round(F.col("q")[0], 6).alias("medae"))
+    out = out.join(middle, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left").drop(*(f"_{k}" for k in keys)) if keys else out.join(F.broadcast(middle), how="left")  # one row
     return out.where(F.col("n") >= least) if least else out
 
 

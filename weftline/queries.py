@@ -17,6 +17,7 @@ from .operators import features as E
 from .operators import metrics as M
 from .operators import models as L
 from .operators import segmentation, svd
+from .operators.selection import quantiles
 from .plans import cleaning, serving, splits, training
 from .plans.views import BINARIES, POSTINGS, REGRESSIONS, TITLES, binaries, postings, predictions, predictions_sql, raw_postings, regressions, table, titles
 from .sources import tables as S
@@ -420,7 +421,7 @@ def ag_floors(s, d):
 
 @query(post("SELECT category, round(median(salary_mid), 6) AS median FROM postings WHERE salary_disclosed = 1 GROUP BY category"))
 def ag_median(s, d):
-    return postings(s, d).where("salary_disclosed = 1").groupBy("category").agg(F.round(F.median("salary_mid"), 6).alias("median"))
+    return quantiles(postings(s, d).where("salary_disclosed = 1"), "salary_mid", (0.5,), ("category",)).select("category", F.round(F.col("q")[0], 6).alias("median"))
 
 
 @query(doc(", t AS (SELECT DISTINCT doc_id, category, unnest(string_split_regex(lower(title), '\\s+')) AS token FROM titles) SELECT category, token, count(*) AS n FROM t WHERE token <> '' GROUP BY ALL HAVING count(*) >= 3"))
