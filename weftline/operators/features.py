@@ -136,6 +136,8 @@ def _sized(block: tuple) -> list:
 
 #: Character n-grams of the titles: terms at most.
 CHARS = 120_000
+#: Values of a categorical column that get a slot at most, the most frequent ones.
+VALUES = 10_000
 
 
 @dataclass(frozen=True)
@@ -172,7 +174,8 @@ class FeaturePlan:
         if self.chars:
             add("chars", text_block(rows, "chars", CHARS, terms=F.col("chars_terms")))
         if self.categorical:
-            known = [sorted(r[0] for r in rows.groupBy(f"{c}_value").count().where(F.col("count") >= self.floor).select(f"{c}_value").collect()) for c in self.categorical]  # a row in `floor` at most
+            often = lambda c: rows.groupBy(f"{c}_value").count().where(F.col("count") >= self.floor).orderBy(F.desc("count"), f"{c}_value").limit(VALUES)
+            known = [sorted(r[0] for r in often(c).select(f"{c}_value").collect()) for c in self.categorical]  # VALUES rows
             at, out = [f"{c}_at" for c in self.categorical], [f"{c}_hot" for c in self.categorical]
             index = PipelineModel([StringIndexerModel.from_labels(labels, f"{c}_value", i, "keep") for c, labels, i in zip(self.categorical, known, at)])
             stages += [index, OneHotEncoder(inputCols=at, outputCols=out, dropLast=False).fit(index.transform(rows))]

@@ -20,13 +20,23 @@ MASKED_TASKS = ("salary", "disclosed")
 FORBIDDEN = ("job_title", "description", "requirements_text", "benefits_text", "job_title_seg", "description_seg", "requirements_seg", "salary_min", "salary_max", "salary_mid", "salary_mid_log", "salary_is_range", "salary_extreme")
 
 
+#: The columns of a raw posting.
+RAW = (*TEXTS, *LISTS, "location", "country", "languages_required", "experience_required", "contract_type", "working_hours", "category", "salary", "salary_min", "salary_max", "salary_avg")
+
+
+def distinct_rows(raw: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row of each group of exact copies in the raw columns, whatever else the rows carry; of `extra` columns the smallest value."""
+    have = [c for c in RAW if c in raw.columns]
+    return raw.groupBy(*have).agg(*(F.min(c).alias(c) for c in extra)) if extra else raw.select(*have).distinct()
+
+
 def clean(raw: DataFrame, targets: bool = True, lexicon: list[str] | None = None, dedup: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
     """18 raw columns -> 50 clean ones (without targets and group_id for serving); missing input columns are empty.
 
     One select over the scan after dropping exact copies; base texts are computed once, and masks and segments from them.
     """
     have = set(raw.columns)
-    raw = raw.dropDuplicates() if dedup and targets else raw
+    raw = distinct_rows(raw, extra) if dedup and targets else raw
     col = lambda c: F.col(c) if c in have else F.lit("")
     base = raw.select(*extra, *(X.preprocess(col(c)).alias(c) for c in TEXTS), X.normalize_unicode(col("job_title")).alias("_title"), *(col(c).alias(f"_{c}") for c in (*LISTS, "location", "country", "languages_required", "experience_required", "contract_type", "working_hours")), *(col(c).alias(f"_{c}") for c in ("category", "salary_min", "salary_max")))
     listed = base.select("*", *(X.parse_list(f"_{c}").alias(f"_l_{c}") for c in LISTS), X.split_list("_location").alias("_places"), X.normalize_province("_location").alias("province"), X.split_languages("_languages_required").alias("_langs"), X.normalize_unicode("_working_hours").alias("working_hours"), X.normalize_unicode("_contract_type").alias("_contract"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,15 +14,17 @@ from .functions import fixed_values as V
 from .functions import numeric as N
 from .functions import text as X
 from .operators import aggregates as A
+from .operators import encoding
 from .operators import features as E
 from .operators import metrics as M
 from .operators import models as L
 from .operators import segmentation, svd
 from .operators.selection import quantiles
 from .plans import cleaning, serving, splits, training
+from .plans.sweep import Cell, Journal
 from .plans.views import BINARIES, POSTINGS, REGRESSIONS, TITLES, binaries, postings, predictions, predictions_sql, raw_postings, regressions, table, titles
 from .sources import tables as S
-from .sources.scratch import written
+from .sources.scratch import shared_dir, written
 from .streaming.rows import windowed_counts
 
 Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -67,6 +70,32 @@ c AS (SELECT boot, label, sum(t) AS t, sum(p) AS p, sum(tp) AS tp FROM sides GRO
 SELECT boot, round(sum(tp) / sum(t), 6) AS accuracy, round(avg(f1), 6) AS f1_macro, round(avg(CASE WHEN t > 0 THEN tp / t END), 6) AS balanced_accuracy, round(sum(f1 * t) / sum(t), 6) AS f1_weighted FROM f GROUP BY boot"""
 
 
+BOOTS = "b AS (SELECT o_custkey % 40 AS boot, o_orderkey % 3 + 1 AS model, round(avg(o_totalprice) / 1000000, 9) AS f1 FROM orders GROUP BY ALL)"
+
+
+LETTERS = "letters AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g')) AS words FROM documents)"
+
+
+def _letters(s, d):
+    """Every document's whole text as lower-case words of plain letters."""
+    return table(s, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " ")).alias("words"))
+
+
+def _nth(values, k: str) -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return f"CASE {k} % {len(values)} " + " ".join(f"WHEN {i} THEN {q(v)}" for i, v in enumerate(values)) + " END"
+
+
+def _in_texts_sql(pairs) -> str:
+    return f"WITH {LETTERS} SELECT doc_id, rtrim({_nth([b for _, b in pairs], 'doc_id')} || ' . ' || words) AS output FROM letters"
+
+
+def _in_texts(s, d, pairs, f):
+    """A function over every document's words, behind one of the known inputs each."""
+    pick = F.element_at(F.array(*(F.lit(a) for a, _ in pairs)), (F.col("doc_id") % len(pairs) + 1).cast("int"))
+    return _letters(s, d).select("doc_id", F.rtrim(f(F.concat(pick, F.lit(" . "), F.col("words")))).alias("output"))
+
+
 # ---- projections, filters, predicates -----------------------------------------------------------------
 
 
@@ -97,15 +126,21 @@ def prj_edatext(s, d):
     return t.select("doc_id", F.length("all").alias("chars"), X.n_words("all").alias("words"))
 
 
-@query("SELECT * FROM (VALUES ('description','category',false,'description'),('description','salary',false,'description_masked'),('description','salary',true,'description_masked_seg'),('description','category',true,'description_seg')) t(field, task, segmented, resolved)")
+@query("SELECT field, task, segmented, resolved, count_if(task = 'salary' AND doc_id % 4 IN (1, 2)) AS masked FROM documents, (VALUES ('description','category',false,'description'),('description','salary',false,'description_masked'),('description','salary',true,'description_masked_seg'),('description','category',true,'description_seg')) t(field, task, segmented, resolved) GROUP BY ALL")
 def prj_resolve(s, d):
+    """The column that a field is read from, and how many clean postings have a masked amount there."""
+    rows = cleaning.clean(raw_postings(s, d), dedup=False)
     cases = [("description", "category", False), ("description", "salary", False), ("description", "salary", True), ("description", "category", True)]
-    return s.createDataFrame([(*c, cleaning.resolve_column(*c)) for c in cases], "field string, task string, segmented boolean, resolved string")
+    out = [rows.agg(F.lit(f).alias("field"), F.lit(t).alias("task"), F.lit(g).alias("segmented"), F.lit(c := cleaning.resolve_column(f, t, g)).alias("resolved"), F.count_if(F.col(c).contains("<SALARY>")).alias("masked")) for f, t, g in cases]
+    return functools.reduce(DataFrame.union, out)
 
 
-@query("SELECT * FROM (VALUES (false,'location_raw,contract_type,country'),(true,'province,contract_type,country')) t(province, cols)")
+@query("SELECT province, col, count(DISTINCT CASE WHEN col = 'country' THEN 0 WHEN col = 'contract_type' THEN doc_id % 2 WHEN col = 'province' THEN CASE doc_id % 5 WHEN 4 THEN 0 ELSE doc_id % 5 END ELSE doc_id % 5 END) AS n FROM documents, (VALUES (false, 'location_raw'), (false, 'contract_type'), (false, 'country'), (true, 'province'), (true, 'contract_type'), (true, 'country')) t(province, col) GROUP BY ALL")
 def prj_catcols(s, d):
-    return s.createDataFrame([(p, ",".join(cleaning.categorical_columns(p))) for p in (False, True)], "province boolean, cols string")
+    """Distinct values of the categorical columns, with places as they are written and by province."""
+    rows = cleaning.clean(raw_postings(s, d), targets=False)
+    found = rows.agg(*(F.count_distinct(c).alias(c) for c in dict.fromkeys(cleaning.categorical_columns(False) + cleaning.categorical_columns(True))))
+    return found.select(F.inline(F.array(*(F.struct(F.lit(p).alias("province"), F.lit(c).alias("col"), F.col(c).alias("n")) for p in (False, True) for c in cleaning.categorical_columns(p)))))
 
 
 @query(post("SELECT task, count(*) AS n, round(sum(target), 4) AS total FROM (SELECT 'disclosed' AS task, salary_disclosed * 1.0e0 AS target FROM postings UNION ALL SELECT 'salary', salary_mid_log FROM postings WHERE salary_disclosed = 1) t GROUP BY task"))
@@ -130,16 +165,18 @@ def flt_minn(s, d):
     return A.sizes(postings(s, d), "location").where("n >= 30")
 
 
-@query("SELECT * FROM (VALUES ('dev', false, 'ok'), ('test', false, 'refused'), ('test', true, 'ok')) t(evaluate, confirmed, outcome)")
+@query(post(f"SELECT evaluate, confirmed, CASE WHEN evaluate = 'test' AND NOT confirmed THEN 'refused' ELSE 'ok' END AS outcome, count_if(CASE WHEN evaluate = 'test' THEN confirmed AND h < 20 ELSE h >= 20 AND h < 28 END) AS n FROM (SELECT {H.format('group_id')} % 100 AS h FROM postings), (VALUES ('dev', false), ('test', false), ('test', true)) t(evaluate, confirmed) GROUP BY ALL"))
 def flt_gate(s, d):
-    def outcome(e, c):
+    """How many postings a run may be evaluated on; the test split only opens when it is confirmed."""
+    rows, out = splits.hash_split(postings(s, d)), []
+    for e, c in (("dev", False), ("test", False), ("test", True)):
         try:
             cleaning.gate(e, c)
-            return "ok"
+            outcome, own = "ok", rows.where(F.col("split") == e)
         except PermissionError:
-            return "refused"
-
-    return s.createDataFrame([(e, c, outcome(e, c)) for e, c in (("dev", False), ("test", False), ("test", True))], "evaluate string, confirmed boolean, outcome string")
+            outcome, own = "refused", rows.where(F.lit(False))
+        out.append(own.agg(F.lit(e).alias("evaluate"), F.lit(c).alias("confirmed"), F.lit(outcome).alias("outcome"), F.count("*").alias("n")))
+    return functools.reduce(DataFrame.union, out)
 
 
 @query(post("SELECT posting_id, CAST(location IN ('germany', 'france', 'china') AS INT) AS is_major FROM postings"))
@@ -167,9 +204,16 @@ def prd_unaccent(s, d):
     return titles(s, d).select("doc_id", ((F.col("title") != "") & (X.fold_accents("title") == F.col("title"))).alias("unaccented"))
 
 
-@query("SELECT * FROM (VALUES ('salary','full',0),('salary','title',0),('disclosed','full',0),('disclosed','structured',0)) t(task, scope, leaks)")
+@query("SELECT task, scope, count(*) AS n, CAST(sum(CASE WHEN task = 'category' AND scope = 'full' AND doc_id % 4 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS leaks FROM documents, (VALUES ('category', 'full'), ('category', 'title'), ('salary', 'full'), ('salary', 'title'), ('disclosed', 'full'), ('disclosed', 'structured')) t(task, scope) GROUP BY ALL")
 def prd_leak(s, d):
-    return s.createDataFrame([(t, sc, len(set(cleaning.source_columns(t, sc)) & set(cleaning.FORBIDDEN))) for t, sc in (("salary", "full"), ("salary", "title"), ("disclosed", "full"), ("disclosed", "structured"))], "task string, scope string, leaks int")
+    """Postings whose columns, as a task reads them, hold the pay that raw texts name: none for tasks about pay."""
+    rows = cleaning.clean(raw_postings(s, d), dedup=False)
+    out = []
+    for task, scope in (("category", "full"), ("category", "title"), ("salary", "full"), ("salary", "title"), ("disclosed", "full"), ("disclosed", "structured")):
+        columns = [c for c in cleaning.source_columns(task, scope) if dict(rows.dtypes)[c] == "string"]
+        held = F.concat_ws(" ", *columns).contains("15 - 22 triệu")
+        out.append(rows.agg(F.lit(task).alias("task"), F.lit(scope).alias("scope"), F.count("*").alias("n"), F.count_if(held).alias("leaks")))
+    return functools.reduce(DataFrame.union, out)
 
 
 # ---- joins ---------------------------------------------------------------------------------------------
@@ -187,10 +231,10 @@ def jn_province(s, d):
     return raw_postings(s, d).select("doc_id", X.normalize_province("location").alias("province"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'nhân viên kinh doanh' WHEN 1 THEN 'đóng bảo hiểm xã hội, bảo hiểm y tế' ELSE 'làm tại khu công nghiệp' END AS text FROM documents")
+@query(_in_texts_sql([("NV kinh doanh", "nhân viên kinh doanh"), ("đóng BHXH, BHYT", "đóng bảo hiểm xã hội, bảo hiểm y tế"), ("làm tại KCN", "làm tại khu công nghiệp")]).replace("AS output", "AS text"))
 def jn_abbrev(s, d):
-    pick = F.element_at(F.array(F.lit("NV kinh doanh"), F.lit("đóng BHXH, BHYT."), F.lit("làm tại KCN")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return table(s, d, "documents").select("doc_id", X.expand_abbreviations(pick).alias("text"))
+    pairs = [("NV kinh doanh", ""), ("đóng BHXH, BHYT", ""), ("làm tại KCN", "")]
+    return _in_texts(s, d, pairs, X.expand_abbreviations).withColumnRenamed("output", "text")
 
 
 GROUPMED = "WITH {} , train AS (SELECT * FROM postings WHERE salary_disclosed = 1 AND posting_id % 5 <> 0), g AS (SELECT {k} AS k, median(salary_mid) AS m FROM train GROUP BY {k}) SELECT posting_id, round(coalesce(g.m, (SELECT median(salary_mid) FROM train)) + 1e-9, 6) AS p FROM postings LEFT JOIN g ON g.k = {k} WHERE posting_id % 5 = 0"
@@ -255,13 +299,15 @@ def jn_align(s, d):
     return M.aligned(a, a.where("row_id % 97 <> 0"))
 
 
-def _boots(s):
-    return s.range(40).select(F.col("id").alias("boot")).withColumn("model", F.explode(F.array(*(F.lit(i) for i in (1, 2, 3))))).withColumn("f1", (F.col("boot") * 7 * F.col("model") % 100) / 100.0)
+def _boots(s, d):
+    """Orders as resamples of three models: the mean price of a share of the customers."""
+    o = table(s, d, "orders").groupBy((F.col("o_custkey") % 40).alias("boot"), (F.col("o_orderkey") % 3 + 1).alias("model"))
+    return o.agg(F.round(F.avg("o_totalprice") / 1000000, 9).alias("f1"))
 
 
-@query("WITH b AS (SELECT boot, model, (boot * 7 * model % 100) / 100.0e0 AS f1 FROM range(40) t(boot), (VALUES (1), (2), (3)) m(model)) SELECT x.model AS a, y.model AS b, round(avg(CASE WHEN x.f1 > y.f1 THEN 1.0e0 WHEN x.f1 = y.f1 THEN 0.5e0 ELSE 0 END), 6) AS p_better FROM b x JOIN b y USING (boot) WHERE x.model <> y.model GROUP BY ALL")
+@query("WITH " + BOOTS + " SELECT x.model AS a, y.model AS b, round(avg(CASE WHEN x.f1 > y.f1 THEN 1.0e0 WHEN x.f1 = y.f1 THEN 0.5e0 ELSE 0 END), 6) AS p_better FROM b x JOIN b y USING (boot) WHERE x.model <> y.model GROUP BY ALL")
 def jn_pairwise(s, d):
-    return serving.pairwise(_boots(s))
+    return serving.pairwise(_boots(s, d))
 
 
 NEAR = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 10 = 0), s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 9) AS score, v.label FROM q, v WHERE q.vec_id <> v.vec_id),
@@ -533,22 +579,22 @@ def wn_topconf(s, d):
     return M.top_confusions(M.confusion(predictions(s, d)))
 
 
-RUNS = "runs AS (SELECT 'cat-' || i AS run_id, 'm' || (i % 4) AS model, ((i * 37) % 101) / 101.0e0 AS f1, i * 13 % 7 AS created FROM range(24) t(i))"
+RUNS = "runs AS (SELECT 'cat-' || o_orderkey AS run_id, o_orderpriority AS model, o_totalprice / 1000000.0e0 AS f1, o_orderdate AS created FROM orders)"
 
 
-def _runs(s):
-    i = F.col("id")
-    return s.range(24).select(F.concat(F.lit("cat-"), i).alias("run_id"), F.concat(F.lit("m"), i % 4).alias("model"), (i * 37 % 101 / 101.0).alias("f1"), (i * 13 % 7).alias("created"))
+def _runs(s, d):
+    """Orders as runs of a registry."""
+    return table(s, d, "orders").select(F.concat(F.lit("cat-"), F.col("o_orderkey")).alias("run_id"), F.col("o_orderpriority").alias("model"), (F.col("o_totalprice") / 1000000.0).alias("f1"), F.col("o_orderdate").alias("created"))
 
 
 @query(f"WITH {RUNS} SELECT model, (SELECT run_id FROM runs q WHERE q.model = r.model ORDER BY f1 DESC, run_id DESC LIMIT 1) AS run_id, round(max(f1), 6) AS f1, round(median(f1), 6) AS median, round(max(f1) - min(f1), 6) AS range, row_number() OVER (ORDER BY max(f1) DESC, model) AS place FROM runs r GROUP BY model")
 def wn_bestper(s, d):
-    return serving.champions(_runs(s)).select("model", "run_id", *(F.round(c, 6).alias(c) for c in ("f1", "median", "range")), "place")
+    return serving.champions(_runs(s, d)).select("model", "run_id", *(F.round(c, 6).alias(c) for c in ("f1", "median", "range")), "place")
 
 
 @query(f"WITH {RUNS} SELECT run_id FROM runs WHERE run_id LIKE 'cat-%' ORDER BY created DESC, run_id DESC LIMIT 1")
 def wn_latest(s, d):
-    return serving.latest_run(_runs(s), "cat-")
+    return serving.latest_run(_runs(s, d), "cat-")
 
 
 @query(post("SELECT group_id, category, row_number() OVER (PARTITION BY category ORDER BY n DESC, group_id) AS place FROM (SELECT group_id, category, count(*) AS n FROM postings GROUP BY ALL)"))
@@ -601,17 +647,6 @@ def fn_norm_unicode(s, d):
     return table(s, d, "documents").select("doc_id", X.normalize_unicode("text").alias("text"))
 
 
-def _golden(s, rows, f):
-    """Golden vectors through the Spark function: (input, output)."""
-    df = s.createDataFrame([(r,) for r in rows], "input string")
-    return df.select("input", f(F.col("input")).alias("output"))
-
-
-def _values(pairs) -> str:
-    q = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else "NULL" if x is None else str(x)
-    return "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, b in pairs) + ") t(input, output)"
-
-
 TONE = [("hòa", "hoà"), ("thúy", "thuý"), ("tòa nhà", "toà nhà"), ("khóa học", "khoá học"), ("quý", "quý"), ("quy trình", "quy trình"), ("HÒA", "HOÀ"), ("Hòa", "Hoà")]
 CTX = [("TP.HCM", "thành phố hồ chí minh"), ("Tuyển TP Kinh doanh", "Tuyển trưởng phòng Kinh doanh"), ("Chỉ tiêu TP được giao", "Chỉ tiêu TP được giao"), ("Gửi CV xin việc qua email", "Gửi hồ sơ xin việc qua email"), ("Công ty CP Xây dựng", "Công ty cổ phần Xây dựng")]
 SIMPLE = [("NV kinh doanh", "nhân viên kinh doanh"), ("BHXH", "bảo hiểm xã hội"), ("KCN", "khu công nghiệp"), ("abc", "abc")]
@@ -620,19 +655,19 @@ PLACES = [("hà đông", "hà nội"), ("bình thạnh", "hồ chí minh"), ("TP
 MONTHS = [("2 năm", 24.0), ("6 tháng", 6.0), ("Không yêu cầu", 0.0), ("", 0.0), ("1,5 năm", 18.0), (None, 0.0)]
 
 
-@query(_values(TONE))
+@query(_in_texts_sql(TONE))
 def fn_norm_tone(s, d):
-    return _golden(s, [a for a, _ in TONE], X.normalize_tone)
+    return _in_texts(s, d, TONE, X.normalize_tone)
 
 
-@query(_values(CTX))
+@query(_in_texts_sql(CTX))
 def fn_abbrev_ctx(s, d):
-    return _golden(s, [a for a, _ in CTX], X.expand_abbreviations)
+    return _in_texts(s, d, CTX, X.expand_abbreviations)
 
 
-@query(_values(SIMPLE))
+@query(_in_texts_sql(SIMPLE))
 def fn_abbrev_simple(s, d):
-    return _golden(s, [a for a, _ in SIMPLE], X.expand_abbreviations)
+    return _in_texts(s, d, SIMPLE, X.expand_abbreviations)
 
 
 @query()
@@ -658,19 +693,23 @@ def fn_place_key(s, d):
     return titles(s, d).select("doc_id", X.place_key("title").alias("k"))
 
 
-@query(_values(PLACES))
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(source || ' ' || lang) ELSE {_nth([b for _, b in PLACES], '(doc_id // 2)')} END AS output FROM documents")
 def fn_province(s, d):
-    return _golden(s, [a for a, _ in PLACES], X.normalize_province)
+    pick = F.element_at(F.array(*(F.lit(a) for a, _ in PLACES)), (F.floor(F.col("doc_id") / 2) % len(PLACES) + 1).cast("int"))
+    return table(s, d, "documents").select("doc_id", X.normalize_province(F.when(F.col("doc_id") % 2 == 0, F.concat_ws(" ", "source", "lang")).otherwise(pick)).alias("output"))
 
 
-@query(_values(MASKS))
+@query(_in_texts_sql(MASKS))
 def fn_mask_salary(s, d):
-    return _golden(s, [a for a, _ in MASKS], X.mask_salary)
+    return _in_texts(s, d, MASKS, X.mask_salary)
+
+
+PAY = [("500 triệu đồng doanh thu mỗi tháng", False), ("40 triệu khách", False), ("lương 40 triệu khách", True), ("15 triệu", True)]
 
 
-@query(_values([("500 triệu đồng doanh thu mỗi tháng", False), ("40 triệu khách", False), ("lương 40 triệu khách", True), ("15 triệu", True)]))
+@query(f"SELECT doc_id, {_nth([b for _, b in PAY], 'doc_id')} AS output FROM documents")
 def fn_is_pay(s, d):
-    return _golden(s, ["500 triệu đồng doanh thu mỗi tháng", "40 triệu khách", "lương 40 triệu khách", "15 triệu"], lambda c: X.mask_salary(c).contains("<SALARY>"))
+    return _in_texts(s, d, PAY, X.mask_salary).select("doc_id", F.contains("output", F.lit("<SALARY>")).alias("output"))
 
 
 @query(f"SELECT doc_id, {KEY.format('text')} AS k FROM documents")
@@ -678,24 +717,27 @@ def fn_group_key(s, d):
     return table(s, d, "documents").select("doc_id", X.group_key("text").alias("k"))
 
 
-@query(_values([("Mức lương 18 triệu/tháng, thưởng theo doanh số", "Mức lương <SALARY> /tháng, thưởng theo doanh số"), ("nan", ""), ("NV hòa", "nhân viên hoà")]))
+PREPARED = [("Mức lương 18 triệu/tháng, thưởng theo doanh số", "Mức lương <SALARY> /tháng, thưởng theo doanh số"), ("NV hòa", "nhân viên hoà")]
+
+
+@query(_in_texts_sql(PREPARED))
 def fn_preprocess(s, d):
-    return _golden(s, ["Mức lương 18 triệu/tháng, thưởng theo doanh số", "nan", "NV hòa"], lambda c: X.preprocess(c, mask=True))
+    return _in_texts(s, d, PREPARED, lambda c: X.preprocess(c, mask=True))
 
 
-@query(_values([("hà nội, hồ chí minh", "hà nội|hồ chí minh"), ("A/b;C|d", "a|b|c|d"), ("", "")]))
+@query(f"WITH {LETTERS} SELECT doc_id, rtrim('a|b|c|d|' || replace(words, ' ', '|'), '|') AS output FROM letters")
 def fn_split_loc(s, d):
-    return _golden(s, ["hà nội, hồ chí minh", "A/b;C|d", ""], lambda c: F.array_join(X.split_list(c), "|"))
+    return _letters(s, d).select("doc_id", F.array_join(X.split_list(F.concat(F.lit("A/b;C|d, "), F.replace("words", F.lit(" "), F.lit(" , ")))), "|").alias("output"))
 
 
-@query(_values([("Tiếng Anh, UNK", "tiếng anh"), ("UNK", ""), ("a/b", "a|b")]))
+@query(f"WITH {LETTERS} SELECT doc_id, rtrim('tiếng anh|' || replace(words, ' ', '|'), '|') AS output FROM letters")
 def fn_split_lang(s, d):
-    return _golden(s, ["Tiếng Anh, UNK", "UNK", "a/b"], lambda c: F.array_join(X.split_languages(c), "|"))
+    return _letters(s, d).select("doc_id", F.array_join(X.split_languages(F.concat(F.lit("Tiếng Anh, UNK, "), F.replace("words", F.lit(" "), F.lit("/")))), "|").alias("output"))
 
 
-@query(_values([("Tuyển SEO và PHP gấp A", 2), ("abc", 0), ("IT 123", 1)]))
+@query(f"WITH {LETTERS} SELECT doc_id, len(list_filter(string_split(words, ' '), lambda x: length(x) > 1)) AS output FROM letters")
 def fn_upper_case_test(s, d):
-    return _golden(s, ["Tuyển SEO và PHP gấp A", "abc", "IT 123"], X.n_acronyms)
+    return _letters(s, d).select("doc_id", X.n_acronyms(F.concat_ws(" ", F.upper("words"), "words", F.lit("A 12"))).cast("long").alias("output"))
 
 
 @query("SELECT doc_id, length(coalesce(text, '')) AS n FROM documents")
@@ -708,9 +750,9 @@ def fn_ws_words(s, d):
     return table(s, d, "documents").select("doc_id", X.n_words("text").alias("n"))
 
 
-@query(_values([("a_b_c", "a b…"), ("a_b", "a b"), ("a", "a")]))
+@query(f"WITH {LETTERS}, p AS (SELECT doc_id, string_split(words, ' ') AS ws FROM letters) SELECT doc_id, array_to_string(ws[1:2], ' ') || CASE WHEN len(ws) > 2 THEN '…' ELSE '' END AS output FROM p")
 def fn_short_label(s, d):
-    return _golden(s, ["a_b_c", "a_b", "a"], X.short_label)
+    return _letters(s, d).select("doc_id", X.short_label(F.replace("words", F.lit(" "), F.lit("_"))).alias("output"))
 
 
 @query("SELECT o_orderkey, replace(printf('%+.4f', o_totalprice), '.', ',') AS shown FROM orders")
@@ -725,14 +767,16 @@ def N_fmt(c):
 LISTS = [("['Cao đẳng', 'Đại học']", "Cao đẳng|Đại học"), ("[]", ""), (None, ""), ("nan", ""), ("Python, SQL", "Python|SQL"), ("[Cao đẳng, Đại học", "[Cao đẳng|Đại học")]
 
 
-@query(_values(LISTS))
+@query(f"WITH {LETTERS} SELECT doc_id, replace(words, ' ', '|') AS output FROM letters")
 def fn_parse_list(s, d):
-    return _golden(s, [a for a, _ in LISTS], lambda c: F.array_join(X.parse_list(c), "|"))
+    bracketed = F.concat(F.lit("['"), F.replace("words", F.lit(" "), F.lit("', '")), F.lit("']"))
+    given = F.when(F.col("doc_id") % 2 == 0, bracketed).otherwise(F.replace("words", F.lit(" "), F.lit(" ,")))
+    return _letters(s, d).select("doc_id", F.array_join(X.parse_list(given), "|").alias("output"))
 
 
-@query(_values([("['A', 'B']", "a ; b"), ("x, Y", "x ; y")]))
+@query(f"WITH {LETTERS} SELECT doc_id, replace(words, ' ', ' ; ') AS output FROM letters")
 def fn_join_list(s, d):
-    return _golden(s, ["['A', 'B']", "x, Y"], X.join_list)
+    return _letters(s, d).select("doc_id", X.join_list(F.concat(F.lit("['"), F.replace(F.upper("words"), F.lit(" "), F.lit("', '")), F.lit("']"))).alias("output"))
 
 
 @query(doc("SELECT doc_id, len(string_split(title, ' ')) AS n FROM titles"))
@@ -761,14 +805,17 @@ def fn_dot(s, d):
     return table(s, d, "embeddings").select("vec_id", F.round(N.dot("embedding", "embedding"), 6).alias("d"), F.round(N.norm("embedding"), 6).alias("n"))
 
 
-@query("SELECT doc_id, coalesce(try_cast(CASE doc_id % 3 WHEN 0 THEN '1.5' WHEN 1 THEN 'x' ELSE '' END AS DOUBLE), 0) AS n FROM documents")
+@query("SELECT doc_id, coalesce(try_cast(CASE doc_id % 3 WHEN 0 THEN n_chars || '.5' WHEN 1 THEN lang ELSE '' END AS DOUBLE), 0) AS n FROM documents")
 def fn_to_num(s, d):
-    return table(s, d, "documents").select("doc_id", N.to_number(F.when(F.col("doc_id") % 3 == 0, "1.5").when(F.col("doc_id") % 3 == 1, "x").otherwise("")).alias("n"))
+    k = F.col("doc_id") % 3
+    return table(s, d, "documents").select("doc_id", N.to_number(F.when(k == 0, F.concat(F.col("n_chars").cast("string"), F.lit(".5"))).when(k == 1, F.col("lang")).otherwise("")).alias("n"))
 
 
-@query(_values(MONTHS))
+@query("SELECT doc_id, (n_chars % 10) * CASE WHEN doc_id % 2 = 0 THEN 12.0e0 ELSE 1.0e0 END + CASE WHEN doc_id % 2 = 0 THEN 6.0e0 ELSE 0.0e0 END AS output FROM documents")
 def fn_exp_months(s, d):
-    return _golden(s, [a for a, _ in MONTHS], X.experience_months)
+    n = (F.col("n_chars") % 10).cast("string")
+    asked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Từ "), n, F.lit(",5 năm trở lên"))).otherwise(F.concat(n, F.lit(" tháng")))
+    return table(s, d, "documents").select("doc_id", X.experience_months(asked).alias("output"))
 
 
 @query(post("SELECT posting_id, round(ln(1 + salary_mid), 6) AS l, round(greatest(exp(ln(1 + salary_mid)) - 1, 0.5) + 1e-9, 6) AS b FROM postings"))
@@ -776,9 +823,9 @@ def fn_log1p(s, d):
     return postings(s, d).select("posting_id", F.round(F.log1p("salary_mid"), 6).alias("l"), F.round(N.back_transform(F.log1p("salary_mid")) + 1e-9, 6).alias("b"))
 
 
-@query("SELECT * FROM (VALUES (0.5e0, 0.0e0), (1.5e0, 2.0e0), (2.5e0, 2.0e0)) t(x, r)")
+@query("SELECT o_orderkey, round_even(o_custkey / 2.0e0, 0) AS r FROM orders")
 def fn_round(s, d):
-    return s.sql("SELECT x, bround(x, 0) AS r FROM VALUES (0.5D), (1.5D), (2.5D) t(x)")
+    return table(s, d, "orders").select("o_orderkey", F.bround(F.col("o_custkey") / 2.0, 0).alias("r"))
 
 
 @query(f"WITH {REGRESSIONS} SELECT posting_id, round(abs(ty - tp) / greatest(abs(ty), 1e-6), 6) AS ape FROM back")
@@ -786,9 +833,9 @@ def fn_ape(s, d):
     return regressions(s, d).select("posting_id", F.round(N.relative_error(N.back_transform(F.col("y"), 0.0), N.back_transform(F.col("p"))), 6).alias("ape"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'unknown' ELSE 'x' END AS c FROM documents")
+@query("SELECT doc_id, CASE WHEN lang = 'de' THEN 'unknown' ELSE lang END AS c FROM documents")
 def fn_default(s, d):
-    c = F.when(F.col("doc_id") % 2 == 0, "").otherwise("x")
+    c = F.when(F.col("lang") == "de", "").otherwise(F.col("lang"))
     return table(s, d, "documents").select("doc_id", F.when(c == "", "unknown").otherwise(c).alias("c"))
 
 
@@ -846,14 +893,22 @@ def fe_numeric(s, d):
     return p.join(F.broadcast(m)).select("posting_id", *(F.round(F.col(c) / F.coalesce(F.nullif(F.col(f"m_{c}"), F.lit(0.0)), F.lit(1.0)), 6).alias(c) for c in NUMBERS))
 
 
-@query("SELECT * FROM (VALUES ('title', 1), ('structured', 17), ('full', 25)) t(scope, n)")
+@query("SELECT scope, n, (SELECT count(*) FROM documents) AS filled FROM (VALUES ('title', 1), ('structured', 17), ('full', 25)) t(scope, n)")
 def fe_scope(s, d):
-    return s.createDataFrame([(x, len(cleaning.source_columns("category", x))) for x in ("title", "structured", "full")], "scope string, n int")
+    """How many columns a scope reads of clean postings, and how many rows have none of them null."""
+    rows = cleaning.clean(raw_postings(s, d), dedup=False)
+    out = []
+    for x in ("title", "structured", "full"):
+        columns = cleaning.source_columns("category", x)
+        out.append(rows.select(*columns).agg(F.lit(x).alias("scope"), F.lit(len(columns)).alias("n"), F.count_if(functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))).alias("filled")))
+    return functools.reduce(DataFrame.union, out)
 
 
-@query("SELECT * FROM (VALUES ('job_title_masked')) t(col)")
+@query("SELECT 'job_title_masked' AS col, count(*) AS n FROM documents")
 def fe_srccols(s, d):
-    return s.createDataFrame([(c,) for c in cleaning.source_columns("salary", "title")], "col string")
+    columns = cleaning.source_columns("salary", "title")
+    rows = cleaning.clean(raw_postings(s, d), dedup=False).select(*columns)
+    return functools.reduce(DataFrame.union, [rows.agg(F.lit(c).alias("col"), F.count(c).alias("n")) for c in columns])
 
 
 @query()
@@ -866,13 +921,25 @@ def fe_svd(s, d):
     return svd.projected(ready, "features", right, 5).select("doc_id", "components")
 
 
-@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+ENC = """WITH n AS (SELECT count(*) AS n FROM embeddings), w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')[1:256] AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word FROM w), m AS (SELECT doc_id, length(word) > 1 AS kept, embedding FROM t, n JOIN embeddings ON vec_id = CAST('0x' || substring(sha1(word), 1, 8) AS BIGINT) % n),
+p AS (SELECT doc_id, kept, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM m), a AS (SELECT doc_id, i, CAST(round(avg(x::DOUBLE) FILTER (kept) * 10000) AS BIGINT) AS x FROM p GROUP BY ALL),
+c AS (SELECT doc_id, count(*) AS tokens FROM m GROUP BY doc_id), e AS (SELECT doc_id, CAST(sum(coalesce(x, 0) * i) AS BIGINT) AS digest FROM a GROUP BY doc_id)
+SELECT doc_id, coalesce(tokens, 0) AS tokens, coalesce(digest, 0) AS digest FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN e USING (doc_id)"""
+
+
+@query(ENC)
 def fe_enc(s, d):
-    return table(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    """Every document's pooled vector, as the sum of its components, in ten-thousandths, times their places."""
+    out = encoding.encoded(table(s, d, "documents"), "doc_id", "text", table(s, d, "embeddings"), "vec_id", "embedding", 64)
+    digest = F.aggregate(F.transform("encoding", lambda x, i: F.round(x * 10000).cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("doc_id", F.col("tokens").cast("long").alias("tokens"), digest.alias("digest"))
 
 
-@query("SELECT * FROM (VALUES ('category', 'raw', true), ('salary', 'raw', false), ('salary', 'masked', true)) t(task, family, ok)")
+@query("SELECT task, family, ok, CASE WHEN ok THEN (SELECT count(*) FROM embeddings) ELSE 0 END AS n FROM (VALUES ('category', 'raw', true), ('salary', 'raw', false), ('salary', 'masked', true)) t(task, family, ok)")
 def fe_enc_cache(s, d):
+    """How many stored vectors a task may read: tasks about pay none of texts as they are."""
+
     def ok(t, f):
         try:
             S.check_family(t, f)
@@ -880,7 +947,8 @@ def fe_enc_cache(s, d):
         except ValueError:
             return False
 
-    return s.createDataFrame([(t, f, ok(t, f)) for t, f in (("category", "raw"), ("salary", "raw"), ("salary", "masked"))], "task string, family string, ok boolean")
+    v = table(s, d, "embeddings")
+    return functools.reduce(DataFrame.union, [v.where(F.lit(o)).agg(F.lit(t).alias("task"), F.lit(f).alias("family"), F.lit(o).alias("ok"), F.count("*").alias("n")) for t, f in (("category", "raw"), ("salary", "raw"), ("salary", "masked")) for o in (ok(t, f),)])
 
 
 @query(doc(f", {WORDS} SELECT category, round(avg(words), 4) AS mean, max(words) AS most FROM w GROUP BY category"))
@@ -989,9 +1057,14 @@ def ml_gbm_reg(s, d):
     return out.select("line", "label", F.col("_prediction").alias("prediction"), F.col("_q10").alias("q10"), F.col("_q90").alias("q90"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in sorted(L.CLASSIFIERS)) + ") t(name)")
+@query("SELECT name, balanced, round(sum(CASE WHEN balanced THEN total / (k * n) ELSE 1.0e0 END * n), 6) AS weight, round(max(CASE WHEN balanced THEN total / (k * n) ELSE 1.0e0 END), 6) AS heaviest FROM (SELECT label, count(*) * 1.0e0 AS n, sum(count(*)) OVER () * 1.0e0 AS total, count(*) OVER () * 1.0e0 AS k FROM embeddings GROUP BY label), (VALUES " + ", ".join(f"('{n}', {str(n in L.BALANCED).lower()})" for n in sorted(L.CLASSIFIERS)) + ") t(name, balanced) GROUP BY ALL")
 def ml_registry(s, d):
-    return s.createDataFrame([(n,) for n in sorted(L.CLASSIFIERS)], "name string")
+    """The registry's classifiers and the weights that each gives the labelled vectors."""
+    rows = L.balanced(table(s, d, "embeddings").select("label"))
+    sums = rows.agg(F.sum("weight").alias("w"), F.max("weight").alias("m"), F.count("*").alias("n"))
+    names = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(n in L.BALANCED).alias("balanced")) for n in sorted(L.CLASSIFIERS)))
+    weight, heaviest = F.when(F.col("balanced"), F.col("w")).otherwise(F.col("n")), F.when(F.col("balanced"), F.col("m")).otherwise(1.0)
+    return sums.select("*", F.inline(names)).select("name", "balanced", F.round(weight, 6).alias("weight"), F.round(heaviest, 6).alias("heaviest"))
 
 
 # ---- metrics -------------------------------------------------------------------------------------------
@@ -1042,21 +1115,21 @@ def mt_boot(s, d):
     return b.select("boot", *(F.round(c, 6).alias(c) for c in b.columns if c != "boot"))
 
 
-@query("WITH b AS (SELECT (boot * 7 % 100) / 100.0e0 AS f1 FROM range(40) t(boot)) SELECT round(avg(f1), 6) AS mean, round(stddev_samp(f1), 6) AS sd, round(quantile_cont(f1, 0.025), 6) AS ci_lo, round(quantile_cont(f1, 0.975), 6) AS ci_hi FROM b")
+@query("WITH " + BOOTS + " SELECT round(avg(f1), 6) AS mean, round(stddev_samp(f1), 6) AS sd, round(quantile_cont(f1, 0.025), 6) AS ci_lo, round(quantile_cont(f1, 0.975), 6) AS ci_hi FROM b WHERE model = 1")
 def mt_bootsum(s, d):
-    return M.boot_summary(_boots(s).where("model = 1"), "f1").select(*(F.round(c, 6).alias(c) for c in ("mean", "sd", "ci_lo", "ci_hi")))
+    return M.boot_summary(_boots(s, d).where("model = 1"), "f1").select(*(F.round(c, 6).alias(c) for c in ("mean", "sd", "ci_lo", "ci_hi")))
 
 
-@query("WITH b AS (SELECT (boot * 7 % 100) / 100.0e0 - (boot * 14 % 100) / 100.0e0 AS d FROM range(40) t(boot)) SELECT round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, round(quantile_cont(d, 0.025), 6) AS ci_lo, round(quantile_cont(d, 0.975), 6) AS ci_hi, round(avg(CASE WHEN d > 0 THEN 1.0e0 WHEN d = 0 THEN 0.5e0 ELSE 0 END), 6) AS p_better FROM b")
+@query("WITH " + BOOTS + ", e AS (SELECT x.f1 - y.f1 AS d FROM b x JOIN b y USING (boot) WHERE x.model = 1 AND y.model = 2) SELECT round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, round(quantile_cont(d, 0.025), 6) AS ci_lo, round(quantile_cont(d, 0.975), 6) AS ci_hi, round(avg(CASE WHEN d > 0 THEN 1.0e0 WHEN d = 0 THEN 0.5e0 ELSE 0 END), 6) AS p_better FROM e")
 def mt_paired(s, d):
-    b = _boots(s)
+    b = _boots(s, d)
     return M.paired(b.where("model = 1"), b.where("model = 2"), "f1").select(*(F.round(c, 6).alias(c) for c in ("mean", "sd", "ci_lo", "ci_hi", "p_better")))
 
 
-@query(f"WITH {RUNS}, a AS (SELECT run_id, f1 + (CASE WHEN created = 3 THEN 0.01e0 ELSE 0 END) AS anchor FROM runs) SELECT run_id, round(anchor, 6) AS anchor, round(f1, 6) AS f1, abs(f1 - anchor) < 5e-4 AS ok FROM a JOIN runs USING (run_id)")
+@query(f"WITH {RUNS}, a AS (SELECT run_id, f1 + (CASE WHEN run_id LIKE '%3' THEN 0.01e0 ELSE 0 END) AS anchor FROM runs) SELECT run_id, round(anchor, 6) AS anchor, round(f1, 6) AS f1, abs(f1 - anchor) < 5e-4 AS ok FROM a JOIN runs USING (run_id)")
 def mt_sweep(s, d):
-    r = _runs(s)
-    anchors = r.select("run_id", (F.col("f1") + F.when(F.col("created") == 3, 0.01).otherwise(0.0)).alias("anchor"))
+    r = _runs(s, d)
+    anchors = r.select("run_id", (F.col("f1") + F.when(F.col("run_id").endswith("3"), 0.01).otherwise(0.0)).alias("anchor"))
     return serving.reproduced(r, anchors).select("run_id", F.round("anchor", 6).alias("anchor"), F.round("f1", 6).alias("f1"), "ok")
 
 
@@ -1066,9 +1139,9 @@ def mt_evidence(s, d):
     return t.agg(F.count("*").alias("rows"), F.count_distinct(X.group_key("text")).alias("groups"), F.count_if(X.nfc("text") != F.col("text")).alias("not_nfc"), F.count_if((F.col("title") != "") & (X.fold_accents("title") == F.col("title"))).alias("unaccented"), F.count_distinct("location").alias("locations"))
 
 
-@query("SELECT p, CASE WHEN p > 0.975 OR p < 0.025 THEN 'clear' ELSE 'open' END AS verdict FROM (SELECT i / 40.0e0 AS p FROM range(41) t(i))")
+@query("SELECT o_orderkey, p, CASE WHEN p > 0.975 OR p < 0.025 THEN 'clear' ELSE 'open' END AS verdict FROM (SELECT o_orderkey, (o_custkey % 101) / 100.0e0 AS p FROM orders)")
 def mt_decision(s, d):
-    return s.range(41).select((F.col("id") / 40.0).alias("p")).withColumn("verdict", M.decision(F.col("p")))
+    return table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 101 / 100.0).alias("p")).withColumn("verdict", M.decision(F.col("p")))
 
 
 # ---- serving, surface, streams, sources ----------------------------------------------------------------
@@ -1087,13 +1160,18 @@ def sv_predict(s, d):
 
 @query(f"WITH {RUNS} SELECT run_id FROM runs WHERE run_id LIKE 'cat-%' ORDER BY created DESC, run_id DESC LIMIT 1")
 def sv_load(s, d):
-    return serving.latest_run(_runs(s), "cat-")
+    return serving.latest_run(_runs(s, d), "cat-")
 
 
-@query("SELECT * FROM (VALUES ('num_leaves=63', 'int'), ('learning_rate=0.3', 'float'), ('max_features=log2', 'str'), ('class_weight=None', 'NoneType'), ('bootstrap=True', 'bool')) t(item, kind)")
+@query("SELECT item, CASE WHEN item LIKE '%key=%' THEN 'int' WHEN item LIKE '%share=%' THEN 'float' ELSE 'str' END AS kind FROM (SELECT unnest(['key=' || n_nationkey, 'share=' || n_nationkey || '.5', 'name=' || n_name]) AS item FROM nation)")
 def or_set(s, d):
-    items = ["num_leaves=63", "learning_rate=0.3", "max_features=log2", "class_weight=None", "bootstrap=True"]
-    return s.createDataFrame([(i, type(next(iter(L.parse_overrides([i]).values()))).__name__) for i in items], "item string, kind string")
+    items = table(s, d, "nation").select(F.explode(F.array(F.concat(F.lit("key="), F.col("n_nationkey")), F.concat(F.lit("share="), F.col("n_nationkey"), F.lit(".5")), F.concat(F.lit("name="), F.col("n_name")))).alias("item"))
+
+    def kinds(batches):
+        for b in batches:
+            yield b.assign(kind=[type(next(iter(L.parse_overrides([i]).values()))).__name__ for i in b["item"]])
+
+    return items.mapInPandas(kinds, "item string, kind string")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -1109,10 +1187,7 @@ def src_raw_csv(s, d):
 
 
 def S_path(s, name):
-    import uuid
-
-    found = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.sql.warehouse.dir")
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(post(f", {SPLIT} SELECT split, count(*) AS n FROM sp WHERE split = 'dev' GROUP BY split"))
@@ -1132,14 +1207,15 @@ def src_proj_csv(s, d):
     return table(s, d, "documents").select("lang", "source")
 
 
-@query("SELECT * FROM (VALUES (39, 42, 183)) t(abbreviations, provinces, places)")
+@query("SELECT province, count(*) AS n FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'hà nội' WHEN 1 THEN 'hồ chí minh' WHEN 2 THEN 'đà nẵng' WHEN 3 THEN 'unknown' ELSE 'hà nội' END AS province FROM documents) GROUP BY province")
 def src_json_res(s, d):
-    return s.createDataFrame([(len(V.ABBREVIATIONS), len(V.PROVINCES), sum(map(len, V.PROVINCES.values())))], "abbreviations int, provinces int, places int")
+    """Documents by the province that the table of places gives."""
+    return raw_postings(s, d).groupBy(X.normalize_province("location").alias("province")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('a b'), ('a_b'), ('c')) t(word)")
+@query("WITH l AS (SELECT lower(trim(unnest(string_split(coalesce(text, ''), chr(10))))) AS word FROM documents), w AS (SELECT word FROM l WHERE word <> '' AND NOT starts_with(word, '#')) SELECT word FROM w UNION SELECT replace(word, ' ', '_') FROM w")
 def src_txt_res(s, d):
-    return S.resource_words(s.createDataFrame([("# note",), ("A b",), ("c",), ("",)], "value string"))
+    return S.resource_words(table(s, d, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("value")))
 
 
 @query("SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 5 = 0 GROUP BY label")
@@ -1176,16 +1252,16 @@ def snk_file_sha(s, d):
     return S.file_sha256(s, f"{d}/nation.parquet").select("sha256")
 
 
-@query("SELECT '| cat-1 | a·b | – |' AS line")
+@query("SELECT DISTINCT '| ' || o_orderpriority || ' | a·b' || o_orderstatus || ' | – |' AS line FROM orders")
 def snk_log(s, d):
     path = S_path(s, "log")
-    S.append_log(s.createDataFrame([("cat-1", "a|b", None)], "run string, note string, f1 double"), path)
+    S.append_log(table(s, d, "orders").select(F.col("o_orderpriority").alias("run"), F.concat(F.lit("a|b"), F.col("o_orderstatus")).alias("note"), F.lit(None).cast("double").alias("f1")).distinct(), path)
     return S.render_log(s.read.parquet(path), ["run", "note", "f1"])
 
 
-@query("SELECT '{\"epoch\":' || i || ',\"loss\":0.5}' AS value FROM range(3) t(i)")
+@query("SELECT '{\"epoch\":' || year(o_orderdate) || ',\"loss\":' || count(*) || '}' AS value FROM orders GROUP BY year(o_orderdate)")
 def snk_history(s, d):
-    return S.history_lines(s.range(3).select(F.col("id").alias("epoch"), F.lit(0.5).alias("loss")))
+    return S.history_lines(table(s, d, "orders").groupBy(F.year("o_orderdate").alias("epoch")).agg(F.count("*").alias("loss")))
 
 
 @query()
@@ -1225,11 +1301,9 @@ def or_train(s, d):
 
 @query()
 def or_sweep(s, d):
-    import time
-
-    grid = [training.TrainConfig(model=m, bits=10, overrides=o) for m, o in (("nb", {}), ("nb", {"smoothing": 0.1}), ("logreg", {"maxIter": 10}))]
-    rows = [(label, f1) for label, f1, _ in training.sweep(_labelled(s, d), grid, {"nb"}, time.monotonic() + 600)]
-    return s.createDataFrame(rows, "run string, f1 double")
+    cells = [Cell("nb", 1), Cell("nb", 2, {"smoothing": 0.1}), Cell("logreg", 1, {"maxIter": 10}, estimate=10), Cell("gbt", 1, gives_up="a hundred rounds for each class")]
+    report = training.sweep(_labelled(s, d), cells, Journal(s, f"{shared_dir(s)}/sweep-{uuid.uuid4().hex}"), d, training.TrainConfig(bits=10))
+    return report.select("id", "model", "outcome", F.round("score", 6).alias("f1_macro"))
 
 
 @query()
