@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,16 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda rows: sorted(map(tuple, rows))
     assert key(spark.table("w").collect()) == key(windowed_counts(events).collect())
+
+
+def test_resample_weights(spark):
+    """Poisson(1) in each resample, and apart between resamples and rows."""
+    rows = spark.range(4000).select(M.hash32(F.concat(F.col("id"), F.lit(":7"))).alias("h"), "id")
+    w = lambda b: M.poisson_weight(M.resample_share(F.col("h"), F.lit(b).cast("long")))
+    x = rows.select("id", *(w(b).alias(f"w{b}") for b in range(6)))
+    means = x.agg(*(F.avg(f"w{b}") for b in range(6)), *(F.var_samp(f"w{b}") for b in range(6))).first()
+    assert all(abs(v - 1) < 0.1 for v in means)
+    between = x.agg(*(F.corr(f"w{a}", f"w{b}") for a in range(6) for b in range(a))).first()
+    assert all(abs(v) < 0.08 for v in between)
+    zeros = x.agg(F.avg((F.col("w0") == 0).cast("int")), F.avg((F.col("w3") >= 3).cast("int"))).first()
+    assert abs(zeros[0] - math.exp(-1)) < 0.03 and abs(zeros[1] - 0.0803) < 0.02

@@ -36,3 +36,21 @@ def test_whole_tables(spark):
     assert (one["n"], one["q"]) == percentiles(df)[()]
     assert quantiles(df.limit(0), "x", (0.5,)).collect()[0]["q"] == [None]
     assert quantiles(df.limit(0).withColumn("c", F.lit(1)), "x", (0.5,), ("c",)).count() == 0
+
+
+def test_shrunk_centroids(spark):
+    import numpy as np
+
+    from weftline.operators import models
+
+    r = random.Random(8)
+    rows = [(i, [r.gauss(c, 1) for c in ((0, 3, 0), (0, 0, 2), (0.1, 0, 0))[i % 3]], i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    x, y = np.array([v for _, v, _ in rows]), np.array([c for _, _, c in rows])
+    mean = x.mean(0)
+    d = np.stack([x[y == c].mean(0) for c in range(3)]) - mean
+    want = mean + np.sign(d) * np.maximum(np.abs(d) - 0.8 * np.median(np.abs(d[d != 0])), 0)
+    known = models.centroids(df, "embedding", "label")
+    overall = models.centroids(df.withColumn("all", F.lit(0)), "embedding", "all")
+    got = {q["label"]: q["c"] for q in models.shrunk(known, overall, 0.8).collect()}
+    assert all(np.allclose(got[c], want[c]) for c in range(3))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +110,16 @@ def student_p(r: float, n: int) -> float:
     return 1 - value if swap else value
 
 
+def correlation_p(r: Column, n: Column) -> Column:
+    """The two-sided p-value of a correlation over n pairs, for result rows."""
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if a != a else student_p(float(a), int(b)) for a, b in zip(r, n)])
+
+    return p(r, n)
+
+
 def eta_squared(df: DataFrame, category: str, c: str) -> DataFrame:
     """Share of variance between categories."""
     g = df.groupBy(category).agg(F.count(c).alias("n"), F.avg(c).alias("m"), F.sum(F.col(c) * F.col(c)).alias("s2"), F.median(c).alias("med"))

@@ -122,9 +122,19 @@ def poisson_steps(most: int = 11) -> list[float]:
     return out
 
 
-def poisson_weight(key: Column) -> Column:
-    """A Poisson(1) draw from a hash of the key, the same in any SQL engine with SHA-1."""
-    u = (hash32(key) + 0.5) / float(1 << 32)
+#: A prime below 2 ** 31, so squares of remainders fit a long in any engine.
+PRIME = (1 << 31) - 1
+
+
+def resample_share(h: Column, boot: Column) -> Column:
+    """A share in (0, 1) for a row's hash and a resample: squares of remainders, so a row is hashed once however many resamples there are."""
+    x = (h + boot * 1_000_003) % PRIME
+    x = (x * x + boot + 1) % PRIME
+    return ((x * x + h) % PRIME + 0.5) / float(PRIME)
+
+
+def poisson_weight(u: Column) -> Column:
+    """A Poisson(1) draw from a share."""
     first, *rest = ((u > c).cast("int") for c in poisson_steps())
     return sum(rest, first)
 
@@ -135,9 +145,9 @@ def bootstrap_cells(pred: DataFrame, n_boot: int, seed: int) -> DataFrame:
     The same weights serve every model of a paired comparison, as they depend on (row, boot, seed) only; the sample size varies as
     sqrt(n), which vanishes against n at scale, and no index matrix has to exist.
     """
-    weight = poisson_weight(F.concat_ws(":", F.col("row_id").cast("string"), F.col("boot").cast("string"), F.lit(str(seed))))
-    boots = pred.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    return boots.groupBy("boot", F.col("y_true").alias("true"), F.col("y_pred").alias("pred")).agg(F.sum(weight).alias("w")).where("w > 0")
+    rows = pred.select("y_true", "y_pred", hash32(F.concat_ws(":", F.col("row_id").cast("string"), F.lit(str(seed)))).alias("_h"))
+    boots = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot")).withColumn("_u", resample_share(F.col("_h"), F.col("boot").cast("long")))
+    return boots.groupBy("boot", F.col("y_true").alias("true"), F.col("y_pred").alias("pred")).agg(F.sum(poisson_weight(F.col("_u"))).alias("w")).where("w > 0")
 
 
 def boot_scores(pred: DataFrame, n_boot: int = 100, seed: int = 7) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import dot, hash32, norm
 from . import dense, linear, trees
+from .selection import quantiles
 
 
 def majority(train: DataFrame, rows: DataFrame, y: str = "category") -> DataFrame:
@@ -63,9 +64,22 @@ def centroids(train: DataFrame, vector: str, y: str) -> DataFrame:
     return d.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
 
 
-def nearest_centroid(train: DataFrame, rows: DataFrame, key: str, vector: str, y: str) -> DataFrame:
-    """(key, y_pred): the class whose centroid has the largest cosine; centroids are a row per class."""
-    table = centroids(train, vector, y).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("cs"))
+def shrunk(table: DataFrame, overall: DataFrame, threshold: float) -> DataFrame:
+    """Centroids (label, c) drawn towards the overall mean (c): each difference loses `threshold` times the median size of the differences that aren't
+    zero, and smaller ones vanish, so a component that tells a class from the others little tells nothing."""
+    both = table.select("label", F.posexplode("c").alias("i", "x")).join(overall.select(F.posexplode("c").alias("i", "m")), "i")
+    moved = both.select("label", "i", "m", (F.col("x") - F.col("m")).alias("d"))
+    cut = quantiles(moved.where("d <> 0"), F.abs("d"), (0.5,)).select(F.coalesce(threshold * F.col("q")[0], F.lit(0.0)).alias("cut"))
+    kept = moved.join(F.broadcast(cut)).select("label", "i", (F.col("m") + F.signum("d") * F.greatest(F.abs("d") - F.col("cut"), F.lit(0.0))).alias("x"))  # one row
+    return kept.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
+
+
+def nearest_centroid(train: DataFrame, rows: DataFrame, key: str, vector: str, y: str, threshold: float = 0.0) -> DataFrame:
+    """(key, y_pred): the class whose centroid has the largest cosine; centroids are a row per class, shrunk by a threshold if there is one."""
+    known = centroids(train, vector, y)
+    if threshold:
+        known = shrunk(known, centroids(train.withColumn("_all", F.lit(0)), vector, "_all"), threshold)
+    table = known.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("cs"))
     scored = F.transform("cs", lambda s: F.struct((-F.round(dot(vector, s["c"]) / norm(s["c"]), 9)).alias("s"), s["label"].alias("label")))
     return rows.join(F.broadcast(table)).select(key, F.array_min(scored)["label"].alias("y_pred"))
 

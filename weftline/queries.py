@@ -58,10 +58,9 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 CHARS = "f AS (SELECT doc_id, unnest(list_filter(string_split(trim(regexp_replace(lower(" + FOLD.format("title") + "), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS word FROM titles), p AS (SELECT doc_id, ' ' || word || ' ' AS p FROM f), t AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, greatest(length(p) - 1, 1)), lambda i: substr(p, i, 3)), list_transform(range(1, greatest(length(p) - 2, 1)), lambda i: substr(p, i, 4)), list_transform(range(1, greatest(length(p) - 3, 1)), lambda i: substr(p, i, 5)))) AS term FROM p)"
 
 def _boot(n: int, seed: int) -> str:
-    """Weights of n resamples of the predictions: Poisson(1) by a hash of row, resample and seed."""
-    u = f"(CAST('0x' || substring(sha1(row_id || ':' || boot || ':{seed}'), 1, 8) AS BIGINT) + 0.5e0) / 4294967296.0e0"
+    """Weights of n resamples of the predictions: Poisson(1) by a hash of row and seed and the resample's number."""
     weight = " + ".join(f"CAST(u > {c!r} AS INT)" for c in M.poisson_steps())
-    return f'{predictions_sql()}, u AS (SELECT row_id, y_true AS "true", y_pred AS pred, boot, {u} AS u FROM predictions, range({n}) b(boot)), bw AS (SELECT boot, "true", pred, CAST(sum({weight}) AS BIGINT) AS w FROM u GROUP BY ALL HAVING sum({weight}) > 0)'
+    return f'{predictions_sql()}, h AS (SELECT y_true AS "true", y_pred AS pred, {H.format(f"row_id || \':{seed}\'")} AS h FROM predictions), x AS (SELECT *, (h + boot * 1000003) % {M.PRIME} AS x FROM h, range({n}) b(boot)), y AS (SELECT *, (x * x + boot + 1) % {M.PRIME} AS y FROM x), u AS (SELECT "true", pred, boot, ((y * y + h) % {M.PRIME} + 0.5e0) / {M.PRIME}.0e0 AS u FROM y), bw AS (SELECT boot, "true", pred, CAST(sum({weight}) AS BIGINT) AS w FROM u GROUP BY ALL HAVING sum({weight}) > 0)'
 
 
 def _boot_scores(n: int, seed: int) -> str:
@@ -427,14 +426,21 @@ def _per_location(s, d):
     return postings(s, d).groupBy("location").agg(F.count("*").alias("n"), F.avg("salary_disclosed").alias("rate"), F.median(F.when(F.col("salary_disclosed") == 1, F.col("salary_mid"))).alias("med"))
 
 
-@query(post(PC + " SELECT round(corr(ln(n), rate), 6) AS r FROM c"))
+# the p-value by integrating the t distribution's density from 0 to t
+P_VALUE = """, s AS (SELECT r, k, abs(r) * sqrt((k - 2) / (1 - r * r)) AS t, exp(lgamma((k - 1) / 2.0e0) - lgamma((k - 2) / 2.0e0)) / sqrt((k - 2) * pi()) AS c FROM r),
+i AS (SELECT r, k, list_sum(list_transform(range(4001), lambda j: (CASE WHEN j = 0 OR j = 4000 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * power(1 + power(t * j / 4000, 2) / (k - 2), -(k - 1) / 2.0e0))) * c * t / 12000 AS inside FROM s)"""
+
+
+@query(post(PC + ", r AS (SELECT corr(ln(n), rate) AS r, count(*) AS k FROM c)" + P_VALUE + " SELECT round(r, 6) AS r, round(1 - 2 * inside, 6) AS p FROM i"))
 def ag_pearson(s, d):
-    return _per_location(s, d).agg(F.round(F.corr(F.ln("n"), "rate"), 6).alias("r"))
+    x = _per_location(s, d).agg(F.corr(F.ln("n"), "rate").alias("r"), F.count("*").alias("k"))
+    return x.select(F.round("r", 6).alias("r"), F.round(A.correlation_p(F.col("r"), F.col("k")), 6).alias("p"))
 
 
-@query(post(PC + ", r AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0e0 AS a, rank() OVER (ORDER BY med) + (count(*) OVER (PARTITION BY med) - 1) / 2.0e0 AS b FROM c) SELECT round(corr(a, b), 6) AS rho FROM r"))
+@query(post(PC + ", ranks AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0e0 AS a, rank() OVER (ORDER BY med) + (count(*) OVER (PARTITION BY med) - 1) / 2.0e0 AS b FROM c), r AS (SELECT corr(a, b) AS r, count(*) AS k FROM ranks)" + P_VALUE + " SELECT round(r, 6) AS rho, round(1 - 2 * inside, 6) AS p FROM i"))
 def ag_spearman(s, d):
-    return A.average_rank(A.average_rank(_per_location(s, d), "n", "a"), "med", "b").agg(F.round(F.corr("a", "b"), 6).alias("rho"))
+    x = A.average_rank(A.average_rank(_per_location(s, d), "n", "a"), "med", "b").agg(F.corr("a", "b").alias("r"), F.count("*").alias("k"))
+    return x.select(F.round("r", 6).alias("rho"), F.round(A.correlation_p(F.col("r"), F.col("k")), 6).alias("p"))
 
 
 @query(post(", v AS (SELECT location, salary_mid_log AS x FROM postings WHERE salary_disclosed = 1), g AS (SELECT location, count(*) AS n, avg(x) AS m, median(x) AS med FROM v GROUP BY location) SELECT round(sum(n * (m - (SELECT avg(x) FROM v)) ^ 2) / (SELECT var_pop(x) * count(*) FROM v), 6) AS eta2, (SELECT location FROM g ORDER BY med, location LIMIT 1) AS lowest, (SELECT location FROM g ORDER BY med DESC, location DESC LIMIT 1) AS highest FROM g"))
@@ -535,6 +541,29 @@ def ag_classw(s, d):
     return A.class_weights(postings(s, d), "category")
 
 
+@query(doc(f", {WORDS} SELECT category, count(*) AS n, round(median(words), 4) AS median_words, round(quantile_cont(words, 0.75) - quantile_cont(words, 0.25), 4) AS iqr FROM w GROUP BY category"))
+def ag_percat_words(s, d):
+    """Rows and the middle of the lengths in words of each category."""
+    q = quantiles(_words(s, d), "words", (0.25, 0.5, 0.75), ("category",))
+    return q.select("category", "n", F.round(F.col("q")[1], 4).alias("median_words"), F.round(F.col("q")[2] - F.col("q")[0], 4).alias("iqr"))
+
+
+CLS_FLOORS = ", t AS (SELECT category FROM postings WHERE posting_id % 5 <> 0 GROUP BY category ORDER BY count(*) DESC, category LIMIT 1), v AS (SELECT p.category AS y, t.category AS p FROM postings p, t WHERE posting_id % 5 = 0), g AS (SELECT category, median(salary_mid) AS g FROM postings WHERE salary_disclosed = 1 AND posting_id % 5 <> 0 GROUP BY category), m AS (SELECT median(salary_mid) AS m FROM postings WHERE salary_disclosed = 1 AND posting_id % 5 <> 0), e AS (SELECT abs(salary_mid - coalesce(g, m)) AS e FROM postings LEFT JOIN g USING (category), m WHERE salary_disclosed = 1 AND posting_id % 5 = 0)"
+
+
+@query(post(CLS_FLOORS + " SELECT round(avg(CAST(y = p AS INT)), 6) AS accuracy, round(2.0e0 * count_if(y = p) / (count(*) + count_if(y = p)) / count(DISTINCT y), 6) AS f1_macro, (SELECT round(avg(e), 6) FROM e) AS mae_category FROM v"))
+def ag_floors_cls(s, d):
+    """What the most frequent category and each category's median pay reach on held-out postings."""
+    p = postings(s, d)
+    train, held = p.where("posting_id % 5 <> 0"), p.where("posting_id % 5 = 0")
+    cells = M.confusion(L.majority(train, held).withColumnRenamed("category", "y_true"))
+    disclosed = train.where("salary_disclosed = 1")
+    medians = quantiles(disclosed, "salary_mid", (0.5,), ("category",)).select("category", F.col("q")[0].alias("g"))
+    middle = quantiles(disclosed, "salary_mid", (0.5,)).select(F.col("q")[0].alias("m"))
+    error = held.where("salary_disclosed = 1").join(medians, "category", "left").join(F.broadcast(middle)).agg(F.round(F.avg(F.abs(F.col("salary_mid") - F.coalesce("g", "m"))), 6).alias("mae_category"))  # one row
+    return M.classification(cells).select("accuracy", "f1_macro").join(F.broadcast(error))  # one row each
+
+
 # ---- windows, sorts, sets, samples ---------------------------------------------------------------------
 
 
@@ -989,6 +1018,17 @@ def ml_mean(s, d):
     return _constant(s, d, "mean")
 
 
+SHRUNK = """WITH x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 5 <> 0), o AS (SELECT i, avg(x) AS m FROM x GROUP BY i), d AS (SELECT label, i, m, avg(x) - m AS d FROM x JOIN o USING (i) GROUP BY label, i, m),
+t AS (SELECT 0.5e0 * median(abs(d)) AS t FROM d WHERE d <> 0), c AS (SELECT label, list(m + sign(d) * greatest(abs(d) - t, 0) ORDER BY i) AS c FROM d, t GROUP BY label),
+s AS (SELECT e.vec_id, c.label, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), c.c) / sqrt(list_dot_product(c.c, c.c)), 9) AS s FROM embeddings e, c WHERE e.vec_id % 5 = 0) SELECT vec_id, label AS y_pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS r FROM s) WHERE r = 1"""
+
+
+@query(SHRUNK)
+def ml_centroid_shrunk(s, d):
+    v = table(s, d, "embeddings")
+    return L.nearest_centroid(v.where("vec_id % 5 <> 0"), v.where("vec_id % 5 = 0"), "vec_id", "embedding", "label", 0.5)
+
+
 @query(KW)
 def ml_keyword(s, d):
     return jn_keyword(s, d)
@@ -1234,10 +1274,14 @@ def src_npz(s, d):
     return S.read_predictions(s, path).groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.count("*").alias("n"))
 
 
-@query(post(f", {SPLIT} SELECT split, count(*) AS rows, count(DISTINCT group_id) AS groups FROM sp GROUP BY split"))
+@query(post(f", {SPLIT} SELECT split, count(*) AS rows, count(DISTINCT group_id) AS groups, CAST(sum({H.format("CAST(posting_id AS VARCHAR)")}) AS BIGINT) AS ids_digest, 42 AS seed, 'bigint' AS id_type FROM sp GROUP BY split"))
 def snk_manifest(s, d):
-    m = S.write_splits(splits.hash_split(postings(s, d)), S_path(s, "manifest"))
-    return s.createDataFrame([(k, v["rows"], v["groups"]) for k, v in m["splits"].items()], "split string, rows long, groups long")
+    """What a build publishes about its splits: rows, groups, a digest of their ids that knows no order, seed and types."""
+    path = S_path(s, "manifest")
+    m = S.write_splits(splits.hash_split(postings(s, d)), path)
+    ids = s.read.parquet(path).groupBy("split").agg(F.sum(N.hash32(F.col("posting_id").cast("string"))).alias("ids_digest"))
+    known = s.createDataFrame([(k, v["rows"], v["groups"], 42, m["columns"]["posting_id"]) for k, v in m["splits"].items()], "split string, rows long, groups long, seed int, id_type string")
+    return known.join(ids, "split")
 
 
 @query(post(f", {SPLIT} SELECT split, count(*) AS n FROM sp GROUP BY split"))
