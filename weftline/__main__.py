@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from .operators.features import PrepConfig
 from .operators.models import parse_overrides
 from .plans.training import TrainConfig, build_splits, train
 from .sources.tables import append_log, read_raw_csv
@@ -27,12 +28,17 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("--confirm-test", action="store_true")
     t.add_argument("--set", nargs="*", default=[])
     t.add_argument("--log")
+    t.add_argument("--scope", choices=["title", "structured", "full"], help="assembled features of this scope; hashed words otherwise")
+    t.add_argument("--svd", type=int, help="project the assembled features on so many singular directions")
+    for flag in ("segment", "charfold", "province", "stopwords"):
+        t.add_argument(f"--{flag}", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.job == "build":
         print(build_splits(spark, read_raw_csv(spark, a.raw), a.out, greedy=not a.hash_split)["splits"])
     else:
-        config = TrainConfig(a.task, a.model, tuple(a.texts), evaluate=a.eval, confirm_test=a.confirm_test, overrides=parse_overrides(a.set))
+        prep = PrepConfig(a.segment, a.charfold, a.province, a.stopwords)
+        config = TrainConfig(a.task, a.model, tuple(a.texts), evaluate=a.eval, confirm_test=a.confirm_test, overrides=parse_overrides(a.set), scope=a.scope, prep=prep, svd=a.svd)
         metrics = train(spark.read.parquet(a.splits), config)[1]
         metrics.show()
         if a.log:

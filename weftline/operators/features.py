@@ -35,6 +35,8 @@ class PrepConfig:
 
 
 FULL = PrepConfig(segment=True, charfold=True, province=True)
+#: What serving prepares: all but segments.
+SERVED = PrepConfig(charfold=True, province=True)
 
 
 def word_terms(c: Column | str, most: int = 2) -> Column:
@@ -53,9 +55,9 @@ def word_terms(c: Column | str, most: int = 2) -> Column:
     return X.let(F.regexp_extract_all(F.lower(X.text(c)), F.lit(rf"({TOKEN})"), 1), runs)
 
 
-def char_terms(c: Column | str, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams within words, each padded with a space on both sides, over folded text; a word shorter than n counts once whole."""
-    words = F.filter(F.split(X.collapse(F.lower(X.fold_accents(c))), " "), lambda w: w != "")
+def char_terms(c: Column | str, low: int = 3, high: int = 5, fold: bool = True) -> Column:
+    """Character n-grams within words, each padded with a space on both sides, over text without accents (fold) or as it is; a word shorter than n counts once whole."""
+    words = F.filter(F.split(X.collapse(F.lower(X.fold_accents(c) if fold else X.text(c))), " "), lambda w: w != "")
 
     def cut(p: Column, n: int):
         return lambda i: F.substring(p, i, n)
@@ -149,12 +151,14 @@ class FeaturePlan:
     categorical: tuple[str, ...] = ()
     numeric: tuple[str, ...] = ()
     floor: int = 20
+    fold: bool = True
+    stopwords: bool = False
 
     def prepared(self, df: DataFrame) -> DataFrame:
         """Rows with the columns that the fitted stages read: term lists and log1p of numbers. It needs nothing fitted."""
-        terms = {f"{c}_terms": word_terms(c) for c in self.texts}
+        terms = {f"{c}_terms": word_terms(X.remove_stopwords(c) if self.stopwords else c) for c in self.texts}
         if self.chars:
-            terms["chars_terms"] = char_terms(self.chars)
+            terms["chars_terms"] = char_terms(self.chars, fold=self.fold)
         logs = {f"{c}_log": F.log1p(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in self.numeric}
         values = {f"{c}_value": F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("unknown")) for c in self.categorical}
         return df.withColumns(terms | logs | values)

@@ -940,6 +940,17 @@ def fe_srccols(s, d):
     return functools.reduce(DataFrame.union, [rows.agg(F.lit(c).alias("col"), F.count(c).alias("n")) for c in columns])
 
 
+@query()
+def fe_prepcfg(s, d):
+    """How many distinct terms the titles' features are made of, by how they are prepared."""
+    rows, out = cleaning.clean(raw_postings(s, d), targets=False), []
+    for prep in (E.PrepConfig(), E.SERVED, E.PrepConfig(segment=True, charfold=True, province=True, stopwords=True)):
+        plan = serving.feature_plan("category", "title", prep)
+        terms = plan.prepared(rows).select(F.explode(F.concat(*(f"{c}_terms" for c in plan.texts), "chars_terms")).alias("t"))
+        out.append(terms.agg(F.lit(prep.tag()).alias("prep"), F.count("*").alias("n"), F.count_distinct("t").alias("terms")))
+    return functools.reduce(DataFrame.union, out)
+
+
 @query()
 def fe_svd(s, d):
     """Each posting's five components along the largest singular directions of its assembled title features."""
@@ -1343,6 +1354,14 @@ def or_train(s, d):
     return training.train(_labelled(s, d), training.TrainConfig(bits=12, overrides={"maxIter": 20}))[1]
 
 
+@query()
+def or_train_plan(s, d):
+    """A run on the assembled features of the title scope, with segments and without stopwords, projected on eight singular directions."""
+    rows = splits.hash_split(cleaning.clean(raw_postings(s, d)))
+    config = training.TrainConfig(model="logreg", scope="title", prep=E.PrepConfig(segment=True, charfold=True, province=True, stopwords=True), svd=8, overrides={"maxIter": 20})
+    return training.train(rows, config)[1].withColumn("run", F.lit(config.label))
+
+
 @query()
 def or_sweep(s, d):
     cells = [Cell("nb", 1), Cell("nb", 2, {"smoothing": 0.1}), Cell("logreg", 1, {"maxIter": 10}, estimate=10), Cell("gbt", 1, gives_up="a hundred rounds for each class")]
