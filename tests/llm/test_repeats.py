@@ -8,11 +8,11 @@ import pytest
 
 from weftline.llm import hard_negatives, periodic_runs, suffix_dedup
 
-EXTRA = "text string, doc_id long, own string, pack int, bucket int, Text2 string, data binary"
+EXTRA = "text string, doc_id long, own string, pack int, bucket int, Text string, data binary, DOC_ID int"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(t, i, "x", 1, 2, "y", b"z") for i, t in rows], EXTRA)
+    return spark.createDataFrame([(t, i, "x", 1, 2, "y", b"z", 4) for i, t in rows], EXTRA)
 
 
 # ---- substrings that earlier documents hold
@@ -188,7 +188,7 @@ def brute_negatives(rows, every=100):
 
 
 def vectors(spark, rows):
-    return spark.createDataFrame([(v, i, m, 1, 2) for i, m, v in rows], "embedding array<double>, vec_id long, label int, rank int, block int")
+    return spark.createDataFrame([(v, i, m, 1, 2, "x", 5) for i, m, v in rows], "embedding array<double>, vec_id long, label int, rank int, block int, Label string, VEC_ID int")
 
 
 def test_hard_negatives(spark):

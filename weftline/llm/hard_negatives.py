@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .columns import exact
 from .common import fresh_path, put, take, written
 
 #: Bytes of an anchor block and of a candidate block, and rows of each that one product takes.
@@ -24,9 +25,10 @@ LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 def usable(vectors: DataFrame, key: str, label: str, vector: str, scale: int) -> DataFrame:
     """vec_id, label, v of the rows that take part; every seventh id carries the next label of ten."""
-    v = F.col(vector).cast("array<double>")
+    vectors = exact(vectors, vec_id=key, label=label, v=vector)
+    v = F.col("v").cast("array<double>")
     fits = F.coalesce(F.forall(v, lambda x: x.isNotNull() & (F.abs(x * float(scale)) < float("inf"))), F.lit(False))
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), v.alias("v"), fits.alias("fits"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), v.alias("v"), fits.alias("fits"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("fits"))
     return rows.select("vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "v")
 

@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_doc, slices, strings
+from .columns import exact_docs
+from .common import slices, strings
 
 #: A run has LEAST words and TIMES its period or more.
 LEAST, TIMES = 6, 4
@@ -168,7 +169,7 @@ def periodic_runs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
             for part in slices(batch, "text"):
                 yield _slice(part)
 
-    return by_doc(docs, text, key).mapInArrow(run, SCHEMA)
+    return exact_docs(docs, text, key).mapInArrow(run, SCHEMA)
 
 
 def _slice(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_doc, forget, fresh_path, put, take, trim, written
+from .columns import exact_docs
+from .common import forget, fresh_path, put, take, trim, written
 
 #: Bytes of a gram, of a pack of documents, and of text for each bucket of anchors; window starts hashed at once.
 GRAM, PACK, BUCKET, STEP = 24, 4 << 20, 8 << 20, 1 << 16
@@ -361,7 +362,7 @@ def dedup_substrings(docs: DataFrame, width: int = 50, text: str = "text", key:
     """
     assert GRAM < width <= GRAM + 31
     spark = docs.sparkSession
-    packs = packs_of(by_doc(docs, text, key))
+    packs = packs_of(exact_docs(docs, text, key))
     total = packs.agg(F.sum("n_bytes")).first()[0] or 0
     bits = (max(BUCKETS, -(-total // BUCKET)) - 1).bit_length()
     folder = fresh_path(spark, "suffixes")
