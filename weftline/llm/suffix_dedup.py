@@ -313,7 +313,8 @@ class Pack:
         self.ends = np.cumsum([len(t) for t in least], dtype=np.int64) if least else np.zeros(0, np.int64)
         self.ids = np.array(list(least.values()), np.int64)
         self.hashes = Hashes(self.data)
-        self.start, self.count, self.anchor, self.key = pieces(self.data, self.ends, width, self.hashes)
+        self.start, self.count, self.anchor, key = pieces(self.data, self.ends, width, self.hashes)
+        self.key = mixed(key ^ np.uint64(_BASE))  # anchors are the smallest hashes: mixed again, they fill all buckets alike
         self.doc = np.searchsorted(self.ends, self.start, side="right")
         self.length = self.count + width - 1
 
