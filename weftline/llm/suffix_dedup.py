@@ -24,7 +24,7 @@ from .columns import exact_docs
 from .common import forget, fresh_path, put, take, trim, written
 
 #: Bytes of a gram, of a pack of documents, and of text for each bucket of anchors; window starts hashed at once.
-GRAM, PACK, BUCKET, STEP = 24, 4 << 20, 8 << 20, 1 << 16
+GRAM, PACK, BUCKET, STEP = 24, 2 << 20, 8 << 20, 1 << 16
 #: An anchor with more distinct pieces than this sends single strings, dealt by their own hashes, in place of pieces.
 HOT = 1 << 12
 #: The least number of buckets, and pieces sorted at once.
