@@ -43,3 +43,17 @@ def test_texts(spark):
     assert got[1]["tokens"] == 3 and got[1]["encoding"] == [(at("one") + at("two")) / 2, 1.0]
     assert got[2]["tokens"] == 0 and got[2]["encoding"] == [0.0, 0.0]
     assert got[3]["tokens"] == 256 and got[3]["encoding"] == [float(at("one")), 1.0]
+
+
+def test_vectors_in_many_files(spark, monkeypatch):
+    from weftline.operators import encoding as E
+
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("abcdefgh") * r.randint(1, 5) for _ in range(r.randint(0, 30)))) for i in range(300)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(i // 2 if i < 4 else i, None if i == 9 else [r.gauss(0, 1), float(i)]) for i in range(50)], "vec_id long, embedding array<float>")
+    one = {x["doc_id"]: x for x in encoded(docs, "doc_id", "text", vectors, "vec_id", "embedding", 2).collect()}
+    monkeypatch.setattr(E, "BLOCK_BYTES", 64)
+    out = encoded(docs.repartition(3), "doc_id", "text", vectors, "vec_id", "embedding", 2)
+    got = {x["doc_id"]: x for x in out.collect()}
+    assert len(got) == 300 and all(got[i]["tokens"] == one[i]["tokens"] and got[i]["encoding"] == pytest.approx(one[i]["encoding"]) for i in one)
+    assert "Exchange" not in encoded(docs, "doc_id", "text", vectors, "vec_id", "embedding", 2)._jdf.queryExecution().executedPlan().toString()
