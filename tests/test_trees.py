@@ -144,3 +144,22 @@ def test_queries_on_tables(spark):
     for name in ("ml_gbm", "ml_extra"):
         p = queries.Q[name][0](spark, d)
         assert p.count() == 100 and {x["prediction"] for x in p.collect()} <= set(map(float, range(10)))
+
+
+def test_sums_of_close_and_far_codes(monkeypatch):
+    rng = np.random.default_rng(2)
+    for top in (5, 3000, 1 << 40):
+        code, x = rng.integers(0, top, 2000), rng.normal(size=2000)
+        want, back = np.unique(code, return_inverse=True)
+        if top < 1 << 40:
+            monkeypatch.setattr(np, "unique", lambda *a, **k: pytest.fail("sorted"))
+        got = T.summed(code, x)
+        monkeypatch.undo()
+        assert (got[0] == want).all() and (got[1] == np.bincount(back, x)).all()
+    assert [len(a) for a in T.summed(np.zeros(0, np.int64), np.zeros(0))] == [0, 0]
+
+
+def test_packed_rows_come_back(spark):
+    df = spark.range(25_000).selectExpr("id", "sequence(0, id % 4) AS v").repartition(3)
+    back = T.packed(df, "packs").mapInArrow(T.unpacked, df.schema)
+    assert T.packed(df, "packs").count() < 30 and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
