@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,8 @@ BURN, SAMPLES = 3, 3
 STRENGTH = 1.0
 #: Customers up to which the Stirling numbers are those of the recursion; beyond, their ratios come from the saddle point.
 EXACT = 1024
+#: Pairs whose chances are computed at once.
+BLOCK = 1 << 17
 END = U(0x9D39247E33776D41)
 #: Logarithms travel as whole multiples of one in so many.
 FINE = 1 << 21
@@ -310,29 +312,48 @@ def _sent(p: int, q_of: list[tuple[int, int, int]], arrays: list[np.ndarray], wo
     return pd.DataFrame(rows, columns=["q", "p", "words", "sent", "total"])
 
 
+def merged(lists: Iterable[np.ndarray], most: int = 1 << 18) -> np.ndarray:
+    """Distinct numbers of all lists, sorted: lists wait until they hold as much as what is merged, so no more than a few times the result is held."""
+    waiting, held, last = [], 0, 0
+    for x in lists:
+        waiting.append(x)
+        held += len(x)
+        if held > max(most, 2 * last):
+            waiting = [_distinct(np.concatenate(waiting))]
+            held = last = len(waiting[0])
+    return _distinct(np.concatenate(waiting))
+
+
+def _distinct(a: np.ndarray) -> np.ndarray:
+    """The distinct numbers of an array, which is sorted in place: np.unique goes by hash tables, several times slower for these."""
+    a.sort()
+    return a[np.append(True, a[1:] != a[:-1])] if len(a) else a
+
+
 def gather(folder: str, roots: int):
     """A partition's pairs from all chunks, kept in its file; sends its words' training tokens, its restaurants' customers, and pairs of each word."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame, p = frame.sort_values("chunk"), int(frame["p"].iloc[0])
-        names = [unpack(x, U) for x in frame["names"]]
-        words, at = np.unique(np.concatenate(names), return_inverse=True)
-        cuts, keys, counts = np.cumsum([0, *map(len, names)]), [], []
-        for i, (w, b, n) in enumerate(zip(frame["word"], frame["before"], frame["counts"])):
-            own = at[cuts[i] : cuts[i + 1]].astype(np.int64)
+        words, keys = merged(unpack(x, U) for x in frame["names"]), []
+        for names, w, b in zip(frame["names"], frame["word"], frame["before"]):
+            own = np.searchsorted(words, unpack(names, U))
             keys.append(own[risen(unpack(b, np.uint32))] * len(words) + own[unpack(w, np.uint32)])
-            counts.append(unpack(n, np.uint32))
-        pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(place, np.concatenate(counts), len(pairs)).astype(np.int64)
-        asked = [pack(steps(x)) for x in np.split(place, np.cumsum([len(k) for k in keys])[:-1])]  # a chunk's pairs rise as p's do
+        pairs = merged(keys)
+        n, asked = np.zeros(len(pairs), np.int64), []
+        for i, c in enumerate(frame["counts"]):
+            place, keys[i] = np.searchsorted(pairs, keys[i]), None
+            n[place] += unpack(c, np.uint32)  # a chunk's pairs are distinct, and rise as p's do
+            asked.append(pack(steps(place)))
         word, before = pairs % len(words), pairs // len(words)
         q_of = _cut(_home(words, roots))
         put(folder, f"pairs-{p}", {"word": pack(word.astype(np.uint32)), "before": pack(steps(before)), "n": pack(n.astype(np.uint32)), "words": len(words), "homes": q_of, "chunks": [int(x) for x in frame["chunk"]], "asked": asked})
         put(folder, f"state-{p}-0", {"t": pack(np.ones(int((n > 1).sum()), np.uint32)), "t0": None})
         own = [np.bincount(word, n, len(words)), np.bincount(before, n, len(words)), np.bincount(word[n > 0], minlength=len(words))]
-        del at, keys, counts, place, pairs, names
+        total = [float((n == 1).sum()), float((n == 2).sum())]
+        del keys, pairs, word, before, n, asked
         trim()
-        return _sent(p, q_of, own, words, [float((n == 1).sum()), float((n == 2).sum())])
+        return _sent(p, q_of, own, words, total)
 
     return run
 
@@ -358,13 +379,17 @@ def first_home(folder: str):
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame, q = frame.sort_values("p"), int(frame["q"].iloc[0])
-        lists = [unpack(x, U) for x in frame["words"]]
-        words, at = np.unique(np.concatenate(lists), return_inverse=True)
-        cuts = np.cumsum([0, *map(len, lists)])
-        put(folder, f"home-{q}", {"words": len(words), "places": {int(p): pack(steps(at[a:b])) for p, a, b in zip(frame["p"], cuts, cuts[1:])}})
-        own = [np.bincount(at, np.concatenate([unpack(s[i], np.uint32) for s in frame["sent"]]), len(words)) for i in range(3)]
+        words = merged(unpack(x, U) for x in frame["words"])
+        places = [np.searchsorted(words, unpack(x, U)) for x in frame["words"]]
+        put(folder, f"home-{q}", {"words": len(words), "places": {int(p): pack(steps(at)) for p, at in zip(frame["p"], places)}})
+        own = [np.zeros(len(words)) for _ in range(3)]
+        for at, sent in zip(places, frame["sent"]):  # a partition's words are distinct
+            for i in range(3):
+                own[i][at] += unpack(sent[i], np.uint32)
         total = [float((own[0] > 0).sum()), float(own[0].sum()), *(float((own[2] == k).sum()) for k in (1, 2))]
-        rows = [(p, q, _packed([x[at[a:b]] for x in own[:2]]), total if a == 0 else []) for p, a, b in zip(frame["p"], cuts, cuts[1:])]
+        rows = [(p, q, _packed([x[at] for x in own[:2]]), total if i == 0 else []) for i, (p, at) in enumerate(zip(frame["p"], places))]
+        del words, places, own
+        trim()
         return pd.DataFrame(rows, columns=["p", "q", "got", "total"])
 
     return run
@@ -377,13 +402,17 @@ def next_home(folder: str, round_: int, tables: float, base: float, discount: fl
         frame, q = frame.sort_values("p"), int(frame["q"].iloc[0])
         held = take(folder, f"home-{q}")
         places = [risen(unpack(held["places"][int(p)], np.uint32)) for p in frame["p"]]
-        at = np.concatenate(places)
-        c0, own = (np.bincount(at, np.concatenate([unpack(s[i], np.uint32) for s in frame["sent"]]), held["words"]) for i in range(2))
+        c0, own = np.zeros(held["words"]), np.zeros(held["words"])
+        for at, sent in zip(places, frame["sent"]):
+            c0[at] += unpack(sent[0], np.uint32)
+            own[at] += unpack(sent[1], np.uint32)
         last = unpack(take(folder, f"root-{q}-{round_ - 1}"), np.uint32).astype(np.float64) if round_ > 1 else np.minimum(c0, 1)
         t0 = sweep_root(c0, np.minimum(last, c0), tables, base, discount, np.random.default_rng((q, round_, 1)))
         put(folder, f"root-{q}-{round_}", pack(t0.astype(np.uint32)))
         total = [float(t0.sum()), float(c0.sum())]
-        rows = [(p, q, _packed([x[at_p] for x in (c0, own, t0)]), total if i == 0 else []) for i, (p, at_p) in enumerate(zip(frame["p"], places))]
+        rows = [(p, q, _packed([x[at] for x in (c0, own, t0)]), total if i == 0 else []) for i, (p, at) in enumerate(zip(frame["p"], places))]
+        del held, places, c0, own, t0, last
+        trim()
         return pd.DataFrame(rows, columns=["p", "q", "got", "total"])
 
     return run
@@ -419,16 +448,20 @@ def seat(folder: str, round_: int, root: Root, discount: float):
         t = sweep_pairs(n, t, tables[before], c0[word], t0[word], root, discount, np.random.default_rng((p, round_)))
         put(folder, f"state-{p}-{round_}", {"t": pack(t.astype(np.uint32))})
         drop(folder, f"state-{p}-{round_ - 2}")  # the one before is kept for a task that runs again
-        return _sent(p, pairs.homes, pairs.sums(t))
+        out = _sent(p, pairs.homes, pairs.sums(t))
+        del pairs, state, t, word, before, n, c0, tables, t0
+        trim()
+        return out
 
     return run
 
 
-def samples_of(folder: str, p: int, last: list[np.ndarray]) -> list[list[np.ndarray]]:
+def samples_of(folder: str, p: int, last: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
     """For each sample the active pairs' tables, and by words their customers and tables in the root and the tables of their restaurants."""
-    found = [_unpacked(take(folder, f"sample-{p}-{r}")) for r in range(BURN + 2, BURN + SAMPLES + 1)]
+    for r in range(BURN + 2, BURN + SAMPLES + 1):
+        yield _unpacked(take(folder, f"sample-{p}-{r}"))
     c0, tables, t0 = last
-    return [*found, [unpack(take(folder, f"state-{p}-{BURN + SAMPLES}")["t"], np.uint32).astype(np.int64), c0, t0, tables]]
+    yield [unpack(take(folder, f"state-{p}-{BURN + SAMPLES}")["t"], np.uint32).astype(np.int64), c0, t0, tables]
 
 
 def reply(folder: str, roots: list[Root], discount: float):
@@ -440,12 +473,21 @@ def reply(folder: str, roots: list[Root], discount: float):
         t, chance = np.minimum(pairs.n, 1), np.zeros(len(pairs.n))
         for root, (x, c0, t0, tables) in zip(roots, samples_of(folder, p, _joined(got))):
             t[pairs.many] = x
-            chance += predictive(pairs.n, t, tables[pairs.before], customers[pairs.before], root.chance(c0, t0)[pairs.word], discount) / len(roots)
-        logs, seen = np.round(-np.log10(np.minimum(chance, 1)) * FINE).astype(np.uint32), count[pairs.word].astype(np.uint32)
+            parent = root.chance(c0, t0)
+            for a in range(0, len(t), BLOCK):
+                at = slice(a, a + BLOCK)
+                before = pairs.before[at]
+                chance[at] += predictive(pairs.n[at], t[at], tables[before], customers[before], parent[pairs.word[at]], discount) / len(roots)
+        del x, t, c0, t0, tables, parent
+        logs, seen = np.empty(len(chance), np.uint32), count.astype(np.uint32)[pairs.word]
+        for a in range(0, len(chance), BLOCK):
+            at = slice(a, a + BLOCK)
+            logs[at] = np.round(-np.log10(np.minimum(chance[at], 1)) * FINE).astype(np.uint32)
         rows = []
         for chunk, asked in zip(pairs.chunks, pairs.asked):
             at = risen(unpack(asked, np.uint32))
             rows.append((chunk, p, pack(logs[at]), pack(seen[at])))
+        del pairs, chance, logs, seen
         trim()
         return pd.DataFrame(rows, columns=["chunk", "p", "logs", "counts"])
 
