@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 
-from weftline.llm import lm_score
+from weftline.llm import common, graphs, lm_score
 
 
 def test_a_partition_of_pairs_is_merged_without_copies_of_all_chunks(tmp_path):
@@ -39,3 +39,18 @@ def test_merged_numbers_are_distinct_and_sorted():
     lists = [rng.integers(0, 500, n) for n in (0, 7, 300, 1, 2000, 40)]
     assert (lm_score.merged(lists, most=100) == np.unique(np.concatenate(lists))).all()
     assert len(lm_score.merged([np.empty(0, np.uint64)])) == 0
+
+
+def test_only_keys_of_filtered_rows_reach_python(spark):
+    """The pipeline's near_duplicates: whole rows, texts twice over, went to a worker and back to be filtered by id."""
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    kept, gone = (graphs.maybe_in(rows, "doc_id", rows.where("doc_id < 20").select("doc_id"), "doc_id", inside=x) for x in (True, False))
+    assert "MapInArrow" not in kept._jdf.queryExecution().toString()
+    assert {r[0] for r in kept.collect()} >= set(range(20)) and not {r[0] for r in gone.collect()} & set(range(20))
+    assert kept.count() + gone.count() == 50
+
+
+def test_a_worker_lets_go_of_what_another_operator_held():
+    common.only(("table",), lambda: bytearray(1 << 20))
+    common.let_go()
+    assert not common._held

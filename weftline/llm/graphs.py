@@ -50,14 +50,14 @@ def bloom(keys: DataFrame, column: str, most_bits: int = 1 << 26) -> tuple[np.nd
     bits = 1 << int(np.clip(np.ceil(np.log2(16 * max(n, 64))), 10, np.log2(most_bits)))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
+        own = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for at in _places(batch.column(0), bits):
-                own[at] = True
-        for i, a in enumerate(range(0, bits, BLOCK_BITS)):
-            block = own[a : a + BLOCK_BITS]
+                np.bitwise_or.at(own, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        for i, a in enumerate(range(0, bits // 8, BLOCK_BITS // 8)):
+            block = own[a : a + BLOCK_BITS // 8]
             if block.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int64()), "bitmap": pa.array([np.packbits(block).tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int64()), "bitmap": pa.array([block.tobytes()], pa.binary())})
         del own
         trim()
 
@@ -94,15 +94,14 @@ def _places(column: pa.Array, bits: int) -> list[np.ndarray]:
 
 
 def maybe_in(rows: DataFrame, column: str, keys: DataFrame, key: str, inside: bool = True) -> DataFrame:
-    """The rows whose key may be (inside) or surely isn't (not inside) among the keys: a bounded filter before a shuffle, not a join."""
+    """The rows whose key may be (inside) or surely isn't (not inside) among the keys: a bounded filter before a shuffle, not a join. Only keys reach Python."""
     spark = rows.sparkSession
     words, bits = bloom(keys, key)
     shared = spark.sparkContext.broadcast(words)  # 8 MB at most
-    at = rows.columns.index(column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = bloom_has(shared.value, bits, batch.column(at))
-            yield batch.filter(pa.array(keep if inside else ~keep))
+    @F.arrow_udf("boolean")
+    def kept(x: pa.Array) -> pa.Array:
+        keep = bloom_has(shared.value, bits, x)
+        return pa.array(keep if inside else ~keep)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.where(kept(F.col(column)))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import by_doc, forget, slices, trim, written
+from .common import by_doc, forget, let_go, slices, trim, written
 from .graphs import bloom, bloom_has, components, maybe_in
 from .text_units import list_sizes
 
@@ -185,6 +185,7 @@ def _profile(docs: DataFrame, words: int, s: int, t: int) -> DataFrame:
     """A row per document: doc_id, n, key of its set, spare signatures, and its signatures once per key and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         plan, seen = Plan(s, t), set()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -389,19 +390,19 @@ def one_of_each(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5)
     doubtful = written(members.join(several, "part").select("doc_id", "c", ((F.col("doc_id").eqNullSafe(F.col("first.id"))) & (F.col("c") == F.col("first.c"))).alias("stays")).distinct(), "doubtful")
     ids = doubtful.select("doc_id").distinct()
     columns = docs.columns
-    keyed = docs.select(*(F.col(f"`{x}`").alias(f"_{i}") for i, x in enumerate(columns)), F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"))
-    words_, bits = bloom(ids, "doc_id")
-    held = docs.sparkSession.sparkContext.broadcast(words_)  # 8 MB at most
+    keyed = docs.select(*(F.col(f"`{x}`").alias(f"_{i}") for i, x in enumerate(columns)), F.col("doc_id").cast("long").alias("__id"))
+    text = f"_{columns.index('text')}"
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.filter(pa.array(bloom_has(held.value, bits, batch.column("__id")))), "__text"):
+            for part in slices(batch, "__text"):
                 keys = [set_key(x) if len(x) else None for x in shingle_sets(part.column("__text"), words)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(keys, pa.int64())], names=[*part.schema.names[:-1], "__c"])
 
-    found = StructType([*keyed.schema.fields[:-1], StructField("__c", LongType())])
+    found = StructType([*keyed.schema.fields, StructField("__c", LongType())])
     sure = maybe_in(keyed, "__id", ids, "doc_id", inside=False)
-    marked = keyed.mapInArrow(key, found).join(doubtful, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__c") == F.col("c")), "left")
+    maybe = written(maybe_in(keyed, "__id", ids, "doc_id"), "maybe")  # few rows: whole ones pass Python only here
+    marked = maybe.withColumn("__text", F.col(text).cast("string")).mapInArrow(key, found).join(doubtful, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__c") == F.col("c")), "left")
     kept = marked.where("stays").dropDuplicates(["__id", "__c"])
-    rest = marked.where("stays IS NULL").select(*keyed.columns[:-2]).union(kept.select(*keyed.columns[:-2]))
-    return sure.select(*keyed.columns[:-2]).union(rest).toDF(*columns)
+    rest = marked.where("stays IS NULL").select(*keyed.columns[:-1]).union(kept.select(*keyed.columns[:-1]))
+    return sure.select(*keyed.columns[:-1]).union(rest).toDF(*columns)
