@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -137,3 +138,11 @@ def test_broken_records_are_found(tmp_path):
         broken[i] ^= 1
         with pytest.raises(ValueError):
             list(token_output.read_records(io.BytesIO(bytes(broken))))
+
+
+def test_texts_of_ids_are_joined_at_once():
+    tokens = ["a", "", "né", "日本</w>"]
+    ids, ends = np.array([3, 0, 2, 1, 1, 0], np.int32), [0, 0, 3, 4, 4, 6, 6]
+    got = [str(x, "utf-8") for x in bpe_codec.joined(bpe_codec.spaced(tokens), ids, ends)]
+    assert got == [" ".join(tokens[i] for i in ids[a:b]) for a, b in zip(ends, ends[1:])]
+    assert bpe_codec.joined(bpe_codec.spaced(tokens), ids[:0], [0, 0, 0]) == [b"", b""]

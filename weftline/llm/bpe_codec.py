@@ -202,6 +202,19 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
     return path.rpartition("/")[2]
 
 
+def spaced(tokens: list[str]) -> pa.Array:
+    return pa.array([f"{t} " for t in tokens], pa.large_string())
+
+
+def joined(tokens: pa.Array, ids: np.ndarray, ends: list[int]) -> list[memoryview]:
+    """UTF-8 of the spaced() tokens of each text's ids, whose places are given by ends (0 first), with single spaces between: all are put together at once."""
+    found = tokens.take(pa.array(ids))
+    data = memoryview(found.buffers()[2] or b"")
+    offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset :] if len(found) else np.zeros(1, np.int64)
+    at = offsets[np.asarray(ends)].tolist()
+    return [data[a : max(a, b - 1)] for a, b in zip(at, at[1:])]
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 15, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per input row; `keep` adds "ids" (array<int>), "decoded" (string) or both.
 
@@ -217,19 +230,17 @@ def encode_decode(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 15,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = codec_encoder(tokenizer, SparkFiles.get(name))
-        token = vocabulary(tokenizer).tokens.__getitem__
+        tokens = spaced(vocabulary(tokenizer).tokens)
         for batch in batches:
             for part in slices(batch, "text", UNITS):
                 flat, sizes = encoder.encode(part.column("text"))
-                shas, texts, decoded, lists, at = [], [], [], [], 0
-                for n in sizes.tolist():
-                    ids = flat[at : at + n]
-                    at += n
-                    shas.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    text = " ".join(map(token, ids.tolist()))
-                    texts.append(hashlib.sha256(text.encode()).hexdigest())
-                    lists += [ids] if "ids" in keep else []
-                    decoded += [text] if "decoded" in keep else []
+                ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).tolist()
+                raw = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
+                shas = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends, ends[1:])]
+                parts = joined(tokens, flat, ends)
+                texts = [hashlib.sha256(x).hexdigest() for x in parts]
+                lists = [flat[a:b] for a, b in zip(ends, ends[1:])] if "ids" in keep else []
+                decoded = [str(x, "utf-8") for x in parts] if "decoded" in keep else []
                 columns = [part.column("doc_id"), pa.array(sizes), pa.array(shas), pa.array(texts)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 for name_, kept in (("ids", pa.array(lists, pa.list_(pa.int32()))), ("decoded", pa.array(decoded, pa.string()))):
